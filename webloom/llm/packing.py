@@ -29,7 +29,7 @@ def cut_pieces(docs: DataFrame, capacity: int = 1024, tokenizer_path: str | None
         end = np.uint32(end_id).astype("<u4").tobytes()
         for batch in batches:
             out = [], [], [], [], []
-            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode_all(t or "" for t in (x.as_py() for x in batch.column(1))), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode_all(t or "" for t in batch.column(1).to_pylist()), strict=True):
                 ids += end
                 n, start, piece = len(ids) // 4, 0, 0
                 while start < n:

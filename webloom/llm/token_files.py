@@ -147,7 +147,7 @@ class TokenFiles:
                     store.create_dir(base, recursive=True)
                     out = store.open_output_stream(f"{base}/{name}")
                 firsts, counts = [], []
-                for ids in enc.encode_all(t or "" for t in (x.as_py() for x in batch.column(1))):
+                for ids in enc.encode_all(t or "" for t in batch.column(1).to_pylist()):
                     ids = np.frombuffer(ids + end, dtype="<u4")
                     if id_bytes < 4 and int(ids.max()) >> (8 * id_bytes):
                         raise ValueError("an id does not fit id_bytes")

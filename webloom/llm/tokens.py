@@ -13,10 +13,8 @@ from array import array
 
 import numpy as np
 
-#: A space before other white space, or at the end: such a text is encoded whole.
-UNSAFE = re.compile(r" (?=\s|\Z)")
 #: Entries after which a worker's cache starts anew: a bound on memory, not on results.
-CACHE_LIMIT = 500_000
+CACHE_LIMIT = 700_000
 #: A word with at most one mark, one line end and a further word behind it: cut without the library.
 SIMPLE = re.compile(r"([^\W\d_]+)([.,]?)(\n?)([^\W\d_]*)")
 
@@ -38,6 +36,10 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class OtherSpace(Exception):
+    """A space before other white space or at the end: such a text is encoded whole."""
+
+
 class SegmentIds(dict):
     """segment without its leading space -> ids as little-endian unsigned 32-bit bytes; encodes what it lacks."""
 
@@ -50,6 +52,8 @@ class SegmentIds(dict):
         return array("I", [t.id for t in self.tokenize(piece)]).tobytes()
 
     def __missing__(self, bare: str) -> bytes:
+        if self.lead and (not bare or bare[0].isspace()):
+            raise OtherSpace
         if bare.isalpha():  # one word
             ids = self._piece((self.lead + bare).encode().decode("latin-1").translate(BYTES))
         elif (m := SIMPLE.fullmatch(bare)) and m[1].isalpha() and (not m[4] or m[3] and m[4].isalpha()):
@@ -82,14 +86,18 @@ class TextEncoder:
     def encode_all(self, texts):
         """A generator; one text in memory at a time."""
         for text in texts:
-            if not self.by_segment or UNSAFE.search(text):
+            if not self.by_segment:
                 yield self._whole(text)
                 continue
             for known in (self.first, self.rest):
                 if len(known) > self.limit:
                     known.clear()
             head, *rest = text.split(" ")
-            yield (self.first[head] if head else b"") + b"".join(map(self.rest.__getitem__, rest))
+            try:
+                ids = (self.first[head] if head else b"") + b"".join(map(self.rest.__getitem__, rest))
+            except OtherSpace:
+                ids = self._whole(text)
+            yield ids
 
 
 def encoder(path: str) -> TextEncoder:

@@ -7,14 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import decontaminate, language_id, lines, near_dedup, packing, token_files, toxicity
-from webloom.llm.common import documents, held_out, table
+from webloom.llm import decontaminate, language_id, lines, near_dedup, packing, tiff, token_files, toxicity
+from webloom.llm.common import documents, held_out, stored, table
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut_pieces(documents(spark, sf_dir)))
 
 
+def op3_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = stored(tiff.store_texts(documents(spark, sf_dir)))
+    pages = tiff.decode_pages(media.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)}))
+    return pages.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("_pixels").cast("long").alias("payload_bytes"),
+        F.sha2("_pixels", 256).alias("payload_sha256"),
+        F.crc32(F.substring("_pixels", -64, 64)).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        F.col("_feature").alias("feature"),
+    )
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.drop_boilerplate(documents(spark, sf_dir))
     text = F.coalesce("text", F.lit(""))

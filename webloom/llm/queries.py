@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import decontaminate, language_id, lines, near_dedup, packing, tiff, token_files, toxicity
+from webloom.llm import decontaminate, language_id, lines, near_dedup, packing, repeats, tiff, token_files, toxicity
 from webloom.llm.common import documents, held_out, stored, table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.removed_spans(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        F.col("_n_bytes").alias("n_bytes"),
+        (F.col("_n_bytes") - F.octet_length("_kept")).alias("n_removed"),
+        F.size("_spans").cast("long").alias("n_spans"),
+        F.sha2("_kept", 256).alias("kept_sha256"),
+    )
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut_pieces(documents(spark, sf_dir)))
 

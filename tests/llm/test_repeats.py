@@ -64,3 +64,11 @@ def test_long_text_in_chunks(spark, monkeypatch):
         gram, _, at, lo, hi = repeats.nodes_of(np.frombuffer(text.encode(), dtype=np.uint8))
     assert lo[0] == 0 and hi[-1] == len(text) - 200 and (lo[1:] == hi[:-1] + 1).all()
     assert ((at >= hi) & (at - lo <= 150)).all()
+
+
+def test_no_runs():
+    import numpy as np
+
+    assert [len(x) for x in repeats.runs(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))] == [0, 0, 0]
+    doc, lo, hi = repeats.runs(np.array([1, 0, 0, 0]), np.array([5, 4, 3, 9]))
+    assert list(zip(doc, lo, hi, strict=True)) == [(0, 3, 4), (0, 9, 9), (1, 5, 5)]

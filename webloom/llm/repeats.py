@@ -199,9 +199,11 @@ def repeated_starts(rows: dict[str, list], length: int) -> tuple[np.ndarray, np.
 
 def runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts in a row as (doc, first, last)."""
+    if not len(doc):
+        return doc, start, start
     order = np.lexsort((start, doc))
     doc, start = doc[order], start[order]
-    new = np.concatenate([[True], (np.diff(start) != 1) | (np.diff(doc) != 0)]) if len(doc) else np.zeros(0, dtype=bool)
+    new = np.concatenate([[True], (np.diff(start) != 1) | (np.diff(doc) != 0)])
     begin = np.flatnonzero(new)
     end = np.append(begin[1:], len(doc)) - 1
     return doc[begin], start[begin], start[end]

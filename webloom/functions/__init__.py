@@ -1,0 +1,22 @@
+"""Column functions; each takes and returns Columns."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def arrow_udf(schema: str) -> Callable:
+    """A vectorised UDF that is made when it is used, so that modules load without a session."""
+
+    def decorate(f: Callable) -> Callable[..., Column]:
+        @wraps(f)
+        def call(*columns: Column) -> Column:
+            return F.pandas_udf(f, schema)(*columns)
+
+        return call
+
+    return decorate

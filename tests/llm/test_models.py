@@ -86,7 +86,7 @@ def test_interactions_are_learned(spark):
         words = [f"w{(i * 7 + j) % 40}" for j in range(4)] + ["rude"] * insult + ["people"] * group
         rows.append((i, " ".join(words), int(insult and group)))
     df = spark.createDataFrame(rows, "doc_id long, text string, label int")
-    model = toxicity.fit(df)
+    model = toxicity.fit(df, df)
     score = {t: model.margin(model.features(t)) for t in ("rude people", "rude", "people", "")}
     assert score["rude people"] > 0 > max(score["rude"], score["people"], score[""])
     # the margin is the plain double sum
@@ -96,7 +96,7 @@ def test_interactions_are_learned(spark):
     odd = spark.createDataFrame([(1, None, 9), (2, "", 9), (3, "RUDE, people! " * 50_000, 9)], "doc_id long, text string, _score0 int")
     got = {r.doc_id: r._score for r in toxicity.score(odd, model).collect()}
     assert got[1] == got[2] < 0.5 < got[3]
-    assert toxicity.fit(df.filter("label = 0")) is None and toxicity.fit(df.limit(0)) is None
+    assert toxicity.fit(df, df.filter("label = 0")) is None and toxicity.fit(df.limit(0), df) is None and toxicity.fit(df, df.limit(0)) is None
     assert [r._score for r in toxicity.score(odd, None).collect()] == [0.0] * 3
 
 

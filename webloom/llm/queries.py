@@ -79,7 +79,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("label"))
-    model = toxicity.fit(docs.join(labels.filter(~held_out(F.col("doc_id"))), "doc_id"))
+    model = toxicity.fit(docs, labels.filter(~held_out(F.col("doc_id"))))
     found = toxicity.score(docs, model)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
 

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.llm.common import stored
+
 TERM = re.compile(r"[^\W\d_]+")
 #: Words of which a worker remembers the feature; a bound on memory, not on results.
 CACHE_LIMIT = 400_000
@@ -98,13 +100,13 @@ def train(rows: list[np.ndarray], labels: np.ndarray, n_features: int, factors:
     return bias, w, v
 
 
-def fit(labelled: DataFrame, max_docs: int = 20_000, buckets: int = 2**18, max_features: int = 300, min_docs: int = 5, factors: int = 8) -> FactorizationMachine | None:
-    """From rows (doc_id, text, label 0/1), at most `max_docs` of them, those of least hash; None without both
-    labels. Terms are hashed to `buckets`; the `max_features` that depend on the label most (by z score, in at
-    least `min_docs` documents) are learned. What reaches the driver is bounded by these parameters."""
-    rows = labelled.filter(F.col("label").isin(0, 1)).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
-    ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    sample = rows.join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, buckets: int = 2**18, max_features: int = 300, min_docs: int = 5, factors: int = 8) -> FactorizationMachine | None:
+    """From documents (doc_id, text) and labels (doc_id, label 0/1): at most `max_docs` labels, those of least hash;
+    None without documents of both labels. Terms are hashed to `buckets`; the `max_features` that depend on the label
+    most (by z score, in at least `min_docs` documents) are learned. What reaches the driver is bounded by these."""
+    chosen = labels.filter(F.col("label").isin(0, 1)).select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_docs)
+    # the bounded list goes to the texts, which stay where they are
+    sample = stored(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(stored(chosen)), "doc_id"))
     n = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
     if not n.get(0) or not n.get(1):
         return None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import decontaminate, language_id, lines, near_dedup, packing, repeats, tiff, token_files, toxicity
+from webloom.llm import decontaminate, language_id, lines, near_dedup, packing, paragraphs, repeats, tiff, token_files, toxicity
 from webloom.llm.common import documents, held_out, stored, table
 
 
@@ -53,6 +53,20 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = paragraphs.duplicates(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        F.col("_kind").alias("kind"),
+        F.col("_first").alias("first_byte"),
+        F.col("_end").alias("end_byte"),
+        F.col("_n_words").alias("n_words"),
+        F.col("_class_id").alias("class_id"),
+        F.col("_class_first").alias("class_first_byte"),
+        F.col("_removed").alias("removed"),
+    )
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language_id.fit(docs.filter(~held_out(F.col("doc_id"))))

@@ -44,3 +44,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_held: dict = {}
+
+
+def worker_cache(owner, make):
+    """What an operator keeps in a Python worker between tasks. A worker serves one operator after another: it keeps
+    the last one's things only, so that their memory does not add up."""
+    if owner not in _held:
+        _held.clear()
+        _held[owner] = make()
+    return _held[owner]

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from webloom.llm.common import worker_cache
+
 ORDER = 3
 #: What stands before a text.
 LEAD = b"\n" * ORDER
@@ -33,13 +35,13 @@ class LanguageModel:
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code length of each text under each language."""
         data = np.frombuffer(b"".join([LEAD + t for t in texts]), dtype=np.uint8)
-        n = self.cost.shape[1]
-        s = self.symbol[data].astype(np.int64)
+        n, size = self.cost.shape[1], np.array([len(t) for t in texts])
+        s = self.symbol[data].astype(np.int32)
         node = self.context[(s[:-3] * n + s[1:-2]) * n + s[2:-1]]
-        cost = self.cost.reshape(-1, len(self.languages))[node * n + s[3:]]
-        total = np.concatenate([np.zeros((1, cost.shape[1])), np.cumsum(cost, axis=0, dtype=np.float64)])
-        ends = np.cumsum([len(t) + ORDER for t in texts]) - ORDER
-        return total[ends] - total[ends - np.array([len(t) for t in texts])]
+        cost = np.vstack([self.cost.reshape(-1, len(self.languages))[node * n + s[3:]], np.zeros((1, len(self.languages)), np.float32)])
+        start = np.cumsum(size + ORDER) - size - ORDER
+        both = np.stack([start, start + size], axis=1).ravel()  # a text's bytes, then the lead of the next one
+        return np.where(size[:, None] > 0, np.add.reduceat(cost, both, axis=0, dtype=np.float64)[::2], 0)
 
 
 def sample_ids(docs: DataFrame, max_docs: int) -> DataFrame:
@@ -142,6 +144,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text"
     held = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample
 
     def score(texts: pd.Series) -> pd.DataFrame:
+        worker_cache("language", dict)  # lets go of another operator's
         model, rows = held.value, []
         chunk, size = [], 0
 
@@ -156,7 +159,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text"
 
         for t in texts:
             b = (t or "").encode()
-            if size + len(b) > 500_000:
+            if size + len(b) > 100_000:
                 flush()
                 size = 0
             chunk.append(b)

@@ -13,8 +13,10 @@ from array import array
 
 import numpy as np
 
-#: Entries after which a worker's cache starts anew: a bound on memory, not on results.
-CACHE_LIMIT = 700_000
+from webloom.llm.common import worker_cache
+
+#: Entries after which a worker's cache starts anew: a bound on memory (about 220 bytes each), not on results.
+CACHE_LIMIT = 500_000
 #: A word with at most one mark, one line end and a further word behind it: cut without the library.
 SIMPLE = re.compile(r"([^\W\d_]+)([.,]?)(\n?)([^\W\d_]*)")
 
@@ -27,7 +29,6 @@ def byte_alphabet() -> dict[int, str]:
 
 
 BYTES = byte_alphabet()
-_encoders: dict[str, "TextEncoder"] = {}
 
 
 def default_tokenizer() -> str:
@@ -102,6 +103,4 @@ class TextEncoder:
 
 def encoder(path: str) -> TextEncoder:
     """One encoder for each worker process and vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = TextEncoder(path)
-    return _encoders[path]
+    return worker_cache(("tokens", path), lambda: TextEncoder(path))

@@ -7,6 +7,7 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 import pytest
 
 from webloom import cli, schemas
+from webloom.operators import repo as repo_ops
 from webloom.plans import commands
 from webloom.sources import credentials, live, recorded
 from webloom.streaming import pages as page_stream
@@ -66,7 +67,7 @@ def b64(text):
 def api(spark):
     tree = {"truncated": True, "tree": [{"path": "src/b.rs", "type": "blob", "size": 2048}, {"path": "src", "type": "tree"}, {"path": "src2/a.rs", "type": "blob", "size": 5}, {"path": "src/m.md", "type": "blob"}]}
     info = {"full_name": "o/r", "html_url": "https://x/o/r", "default_branch": "main", "stargazers_count": 1, "forks_count": 2, "open_issues_count": 3, "license": {"name": "Own"}}
-    found = [("/repos/o/r", 200, info), ("/repos/o/r/git/trees/main", 200, tree), ("/repos/o/r/contents/a%20b.txt", 200, {"sha": "s", "content": b64("l1\nl2\nl3\n")}), ("/repos/o/r/contents/big.bin?ref=v1", 200, {"sha": "s2"}), ("/repos/o/r/git/blobs/s2", 200, {"content": b64("from blob")}), ("/repos/o/r/contents/raw", 200, {"sha": "x", "content": "/w=="}), ("/repos/o/r/contents/empty", 200, {"sha": "x", "content": ""}), ("/repos/o/r/readme", 404, {"message": "no"}), ("/repos/o/r/issues", 403, {"message": "no scope"}), ("/repos/o/r/pulls", 200, [{"number": 4, "title": "P", "html_url": "u", "draft": True, "user": None}]), ("/repos/o/r/releases", 200, [{"tag_name": "v1", "html_url": "u(1)", "published_at": "2024-05-06T00:00:00Z", "prerelease": True}, {"tag_name": "v0", "name": "old", "html_url": "u", "prerelease": False}])]
+    found = [("/repos/o/r", 200, info), ("/repos/o/r/git/trees/main?recursive=1", 200, tree), ("/repos/o/r/contents/a%20b.txt", 200, {"sha": "s", "content": b64("l1\nl2\nl3\n")}), ("/repos/o/r/contents/big.bin?ref=v1", 200, {"sha": "s2"}), ("/repos/o/r/git/blobs/s2", 200, {"content": b64("from blob")}), ("/repos/o/r/contents/raw", 200, {"sha": "x", "content": "/w=="}), ("/repos/o/r/contents/empty", 200, {"sha": "x", "content": ""}), ("/repos/o/r/readme", 404, {"message": "no"}), ("/repos/o/r/issues?" + repo_ops.RECENT, 403, {"message": "no scope"}), ("/repos/o/r/pulls?" + repo_ops.RECENT, 200, [{"number": 4, "title": "P", "html_url": "u", "draft": True, "user": None}]), ("/repos/o/r/releases?per_page=3", 200, [{"tag_name": "v1", "html_url": "u(1)", "published_at": "2024-05-06T00:00:00Z", "prerelease": True}, {"tag_name": "v0", "name": "old", "html_url": "u", "prerelease": False}])]
     return spark.createDataFrame([(p, s, 50, json.dumps(b)) for p, s, b in found], schemas.API_RESPONSE)
 
 
@@ -167,6 +168,28 @@ def test_live_api_and_retry(spark):
     assert hosts.collect() == [("n.example", "9.9.9.9")]
 
 
+def test_live_rounds(spark):
+    held = {r.path: r for r in api(spark).collect()}
+    ask = lambda new: live.repo_api(new, once=lambda p: (p, held[p].status, 50, held[p].body) if p in held else (p, 404, 50, "{}"))
+    none = recorded.empty(spark, "api")
+    tree = spark.createDataFrame([(1, "o/r", None)], "request_id long, repository string, ref string")
+    got = live.complete(lambda known: commands.repo_paths(tree, known), ask, none)
+    assert rows(commands.repo_tree(tree, got))[1].output.startswith("o/r (ref: main)\nfiles: 3")
+    read = spark.createDataFrame([(1, "o/r", "big.bin", "v1", None)], "request_id long, repository string, file string, ref string, lines string")
+    got = live.complete(lambda known: commands.repo_paths(read, known), ask, none)
+    assert rows(commands.repo_read(read, got))[1].output.endswith("    1\tfrom blob")
+    over = spark.createDataFrame([(1, "o/r")], "request_id long, repository string")
+    got = live.complete(lambda known: commands.repo_paths(over, known), ask, none)
+    assert got.count() == 5 and rows(commands.repo_overview(over, got))[1].output.startswith("# o/r\n")
+    ok = lambda **x: json.dumps({"ok": True} | x)
+    bodies = {"/conversations.history?channel=C1&latest=1.000100&inclusive=true&limit=1": ok(messages=[{"user": "U1", "text": "<@U2>", "ts": "1.000100", "reply_count": 1}]), "/conversations.info?channel=C1": ok(channel={"name": "g"}), "/conversations.replies?channel=C1&ts=1.000100": ok(messages=[{"user": "U1", "text": "<@U2>", "ts": "1.000100"}, {"user": "U3", "text": "re", "ts": "1.000200"}]), "/users.info?user=U1": ok(user={"real_name": "One"}), "/users.info?user=U2": ok(user={"profile": {"display_name": "two"}}), "/users.info?user=U3": json.dumps({"ok": False, "error": "x"})}
+    asked = spark.createDataFrame([(1, "https://t.slack.com/archives/C1/p1000100", False, False)], schemas.FETCH_REQUEST)
+    links = asked.selectExpr("request_id AS key", "named_struct('workspace', 't', 'channel', 'C1', 'ts', '1.000100', 'thread_ts', CAST(NULL AS STRING), 'raw_url', url) AS link")
+    said = live.complete(lambda known: live.chat_calls(links, known), lambda new: live.chat_api(new, credentials.Secret("k"), once=lambda p: (p, 200, None, bodies[p])), spark.createDataFrame([], "path string, body string, api_error string"), 4)
+    text = rows(commands.fetch(asked, recorded.empty(spark, "responses"), chat=live.chat_tables(said)))[1].output
+    assert 'channel: "#g"\nauthor: "One"' in text and text.endswith("@two\n\n---\n\nU3 (1.000200):\nre\n")
+
+
 def test_credentials():
     assert repr(credentials.Secret(" s ")) == "[REDACTED]" and credentials.Secret(" s ").expose() == "s"
     assert credentials.repo_token({"GITHUB_TOKEN": " ", "GH_TOKEN": "b"}).expose() == "b"

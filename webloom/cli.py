@@ -7,8 +7,10 @@ import logging
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from webloom.errors import PipelineError
+from webloom.functions.urls import parse_permalink
 from webloom.plans import commands
 from webloom.sources import credentials, live, recorded
 
@@ -69,16 +71,29 @@ def plan(spark: SparkSession, a: argparse.Namespace):
         asked = spark.createDataFrame([(1, a.url, a.js, a.raw)], "request_id long, url string, js boolean, raw boolean")
         if a.recorded:
             return commands.fetch(asked, table("responses"), chat=(table("messages"), table("users"), table("channels")))
+        links = asked.select(F.col("request_id").alias("key"), parse_permalink(F.col("url")).alias("link")).filter("link IS NOT NULL")
+        if links.limit(1).count():
+            token = credentials.chat_token()
+            none = spark.createDataFrame([], "path string, body string, api_error string")
+            said = live.complete(lambda known: live.chat_calls(links, known), lambda new: live.chat_api(new, token), none)
+            return commands.fetch(asked, recorded.empty(spark, "responses"), chat=live.chat_tables(said))
         return commands.fetch(asked, live.pages(asked).persist())
-    if not a.recorded:
-        raise PipelineError.user("repository commands read recorded exchanges; record them with webloom.sources.live.repo_api")
     if a.command == "repo-tree":
         asked = spark.createDataFrame([(1, a.repository, a.ref)], "request_id long, repository string, ref string")
-        return commands.repo_tree(asked, table("api"), a.path, a.pattern)
+        return commands.repo_tree(asked, _repo(spark, a, asked), a.path, a.pattern)
     if a.command == "repo-read":
         asked = spark.createDataFrame([(1, a.repository, a.path, a.ref, a.lines)], "request_id long, repository string, file string, ref string, lines string")
-        return commands.repo_read(asked, table("api"))
-    return commands.repo_overview(spark.createDataFrame([(1, a.repository)], "request_id long, repository string"), table("api"))
+        return commands.repo_read(asked, _repo(spark, a, asked))
+    asked = spark.createDataFrame([(1, a.repository)], "request_id long, repository string")
+    return commands.repo_overview(asked, _repo(spark, a, asked))
+
+
+def _repo(spark: SparkSession, a: argparse.Namespace, asked):
+    """Recorded repository exchanges, or those that the request needs from the API."""
+    if a.recorded:
+        return recorded.read(spark, a.recorded, "api")
+    token = credentials.repo_token()
+    return live.complete(lambda known: commands.repo_paths(asked, known), lambda new: live.repo_api(new, token), recorded.empty(spark, "api"))
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:

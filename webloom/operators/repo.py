@@ -8,10 +8,19 @@ from pyspark.sql import functions as F
 from webloom import errors, schemas
 from webloom.functions.codec import decode_base64, error_message
 from webloom.functions.text import apply_line_range, escape_md_link, format_size, lines, shift_headings
-from webloom.functions.urls import glob_regex
+from webloom.functions.urls import encode_path, glob_regex
 
 # Rows of an overview and lines of its README.
 OVERVIEW_ITEMS, OVERVIEW_RELEASES, README_LINES = 5, 3, 200
+RECENT = f"state=open&sort=updated&direction=desc&per_page={OVERVIEW_ITEMS}"
+#: An overview's parts: name, schema and path below the repository's.
+OVERVIEW_PARTS = (
+    ("info", schemas.REPO_INFO, ""),
+    ("readme", schemas.CONTENTS, "/readme"),
+    ("issues", schemas.ISSUES, f"/issues?{RECENT}"),
+    ("pulls", schemas.PULLS, f"/pulls?{RECENT}"),
+    ("releases", schemas.RELEASES, f"/releases?per_page={OVERVIEW_RELEASES}"),
+)
 TRUNCATED_NOTE = " (tree truncated by GitHub — repository exceeds API limits)"
 
 
@@ -26,6 +35,19 @@ def api_rows(wanted: DataFrame, responses: DataFrame, schema: str, name: str) ->
     return joined.select(*wanted.columns, F.when(kind.isNull(), parsed).alias(name), errors.error("repo", kind, detail).alias(f"{name}_error"))
 
 
+def repo_path(*tail: Column | str) -> Column:
+    """The API path of a row's repository (owner, repo) and what follows."""
+    return F.concat(F.lit("/repos/"), F.col("owner"), F.lit("/"), F.col("repo"), *[F.lit(x) if isinstance(x, str) else x for x in tail])
+
+
+def tree_path(ref: Column) -> Column:
+    return repo_path("/git/trees/", encode_path(ref), "?recursive=1")
+
+
+def contents_path(file: Column, ref: Column) -> Column:
+    return repo_path("/contents/", encode_path(file), F.when(ref.isNotNull(), F.concat(F.lit("?ref="), encode_path(ref))).otherwise(""))
+
+
 def filter_tree(entries: DataFrame, prefix: str | None = None, pattern: str | None = None) -> DataFrame:
     """Files (path, type, ...) whose path begins with `prefix`, as text, and whose last segment matches the glob."""
     kept = entries.filter(F.col("type") == "blob")
@@ -123,11 +145,9 @@ def format_overview(info: Column, readme: Column, issues: Column, pulls: Column,
 def overview(repos: DataFrame, responses: DataFrame) -> DataFrame:
     """repos (key, owner, repo) with output and error: the repository's record must be there, each of the other four
     may fail and leave a note; a missing README leaves none."""
-    base = F.concat(F.lit("/repos/"), F.col("owner"), F.lit("/"), F.col("repo"))
-    parts = (("info", schemas.REPO_INFO, ""), ("readme", schemas.CONTENTS, "/readme"), ("issues", schemas.ISSUES, "/issues"), ("pulls", schemas.PULLS, "/pulls"), ("releases", schemas.RELEASES, "/releases"))
     out = repos
-    for name, schema, tail in parts:
-        out = api_rows(out.withColumn("path", F.concat(base, F.lit(tail))), responses, schema, name).drop("path")
+    for name, schema, tail in OVERVIEW_PARTS:
+        out = api_rows(out.withColumn("path", repo_path(tail)), responses, schema, name).drop("path")
     out = out.withColumn("_readme", decode_base64(F.col("readme.content")))
     said = F.col("readme_error.message")
     notes = F.array_compact(

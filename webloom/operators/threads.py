@@ -36,12 +36,13 @@ def thread_messages(links: DataFrame, messages: DataFrame) -> DataFrame:
     l = links.select("key", "link.channel", F.col("link.ts").alias("at"), F.col("link.thread_ts").alias("root"))
     at_or_before = messages.select("channel", F.col("ts").alias("m_ts"), "thread_ts", "user", "text", "reply_count").filter(F.col("thread_ts").isNull() | (F.col("thread_ts") == F.col("m_ts")))
     single = l.filter("root IS NULL").join(at_or_before, "channel").filter(F.col("m_ts") <= F.col("at"))
-    latest = single.groupBy("key", "channel", "at").agg(F.max_by(F.struct("user", "text", F.col("m_ts").alias("ts"), "reply_count"), "m_ts").alias("m"))
+    latest = single.groupBy("key", "channel", "at").agg(F.max_by(F.struct("user", "text", F.col("m_ts").alias("ts"), "reply_count"), F.struct("m_ts", "reply_count")).alias("m"))
     replied = F.coalesce("m.reply_count", F.lit(0)) > 0
     alone = latest.filter(~replied).select("key", F.lit(False).alias("is_thread"), "m.user", "m.text", "m.ts")
     roots = l.filter("root IS NOT NULL").select("key", "channel", "root").unionByName(latest.filter(replied).select("key", "channel", F.col("at").alias("root")))
     inside = messages.select("channel", F.coalesce("thread_ts", "ts").alias("root"), "user", "text", "ts")
-    threads = roots.join(inside, ["channel", "root"]).select("key", F.lit(True).alias("is_thread"), "user", "text", "ts")
+    # a first message may be recorded by itself and within its thread
+    threads = roots.join(inside, ["channel", "root"]).select("key", F.lit(True).alias("is_thread"), "user", "text", "ts").dropDuplicates(["key", "ts"])
     return alone.unionByName(threads).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("ts", F.coalesce("ts", F.lit("")))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from webloom import errors, schemas
 from webloom.functions.html import format_fetch_output
 from webloom.functions.text import apply_language, parse_line_range
-from webloom.functions.urls import encode_path, glob_regex, parse_permalink, parse_repo, validate_path, validate_ref
+from webloom.functions.urls import glob_regex, parse_permalink, parse_repo, validate_path, validate_ref
 from webloom.operators import fetch as fetch_ops
 from webloom.operators import repo as repo_ops
 from webloom.operators import research as research_ops
@@ -73,10 +73,9 @@ def repo_tree(requests: DataFrame, responses: DataFrame, path: str | None = None
         except ValueError as e:
             asked = asked.withColumn("_detail", F.when(F.col("_kind").isNull(), str(e)).otherwise(F.col("_detail"))).withColumn("_kind", F.coalesce("_kind", F.lit("InvalidPattern")))
             pattern = None
-    base = F.concat(F.lit("/repos/"), F.col("owner"), F.lit("/"), F.col("repo"))
-    info = repo_ops.api_rows(asked.withColumn("path", F.when(F.col("ref").isNull(), base)), responses, schemas.REPO_INFO, "info").drop("path")
+    info = repo_ops.api_rows(asked.withColumn("path", F.when(F.col("ref").isNull(), repo_ops.repo_path())), responses, schemas.REPO_INFO, "info").drop("path")
     at = info.withColumn("_ref", F.coalesce("ref", "info.default_branch"))
-    tree = repo_ops.api_rows(at.withColumn("path", F.concat(base, F.lit("/git/trees/"), encode_path(F.col("_ref")))), responses, schemas.TREE, "tree").drop("path")
+    tree = repo_ops.api_rows(at.withColumn("path", repo_ops.tree_path(F.col("_ref"))), responses, schemas.TREE, "tree").drop("path")
     own = errors.error("repo", F.col("_kind"), F.col("_detail"))
     failed = F.coalesce(own, F.when(F.col("ref").isNull(), F.col("info_error")), F.col("tree_error"))
     done = tree.withColumn("error", failed)
@@ -89,11 +88,9 @@ def repo_tree(requests: DataFrame, responses: DataFrame, path: str | None = None
 def repo_read(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """requests (request_id, repository, file, ref, lines) → request_id, output, error: a file's numbered lines."""
     asked = _check(_check(_repos(requests), "file", validate_path, "InvalidPath"), "ref", validate_ref, "InvalidRef")
-    base = F.concat(F.lit("/repos/"), F.col("owner"), F.lit("/"), F.col("repo"))
-    ref = F.when(F.col("ref").isNotNull(), F.concat(F.lit("?ref="), encode_path(F.col("ref")))).otherwise("")
-    contents = repo_ops.api_rows(asked.withColumn("path", F.concat(base, F.lit("/contents/"), encode_path(F.col("file")), ref)), responses, schemas.CONTENTS, "contents").drop("path")
+    contents = repo_ops.api_rows(asked.withColumn("path", repo_ops.contents_path(F.col("file"), F.col("ref"))), responses, schemas.CONTENTS, "contents").drop("path")
     lacks = F.col("contents").isNotNull() & F.col("contents.content").isNull()
-    blob = repo_ops.api_rows(contents.withColumn("path", F.when(lacks, F.concat(base, F.lit("/git/blobs/"), F.col("contents.sha")))), responses, schemas.BLOB, "blob").drop("path")
+    blob = repo_ops.api_rows(contents.withColumn("path", F.when(lacks, repo_ops.repo_path("/git/blobs/", F.col("contents.sha")))), responses, schemas.BLOB, "blob").drop("path")
     read = blob.withColumn("_f", repo_ops.file_content(F.col("contents.content"), F.col("blob.content")))
     span = read.withColumn("_s", F.when(F.col("lines").isNull(), F.struct(F.lit(1).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("end"))).otherwise(parse_line_range(F.col("lines"))))
     prior = F.coalesce(errors.error("repo", F.col("_kind"), F.col("_detail")), F.col("contents_error"), F.when(lacks, F.col("blob_error")))
@@ -110,3 +107,20 @@ def repo_overview(requests: DataFrame, responses: DataFrame) -> DataFrame:
     done = repo_ops.overview(asked, responses)
     own = errors.error("repo", F.col("_kind"), F.col("_detail"))
     return done.select("request_id", F.when(own.isNull(), F.col("output")).alias("output"), F.coalesce(own, F.col("error")).alias("error"))
+
+
+def repo_paths(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """The API paths that a live source must ask for, as far as `responses` tells: asked again with what came back, it
+    names the default branch's tree and the blobs of files without content. requests has the columns of repo_tree,
+    repo_read (with `file`) or repo_overview (neither `ref` nor `file`)."""
+    asked = _repos(requests).filter("_kind IS NULL")
+    if "file" in requests.columns:
+        contents = asked.withColumn("path", repo_ops.contents_path(F.col("file"), F.col("ref")))
+        known = repo_ops.api_rows(contents, responses, schemas.CONTENTS, "contents")
+        blob = F.when(F.col("contents").isNotNull() & F.col("contents.content").isNull(), repo_ops.repo_path("/git/blobs/", F.col("contents.sha")))
+        return known.select(F.explode(F.array("path", blob)).alias("path")).filter("path IS NOT NULL").distinct()
+    if "ref" in requests.columns:
+        known = repo_ops.api_rows(asked.withColumn("path", F.when(F.col("ref").isNull(), repo_ops.repo_path())), responses, schemas.REPO_INFO, "info")
+        tree = repo_ops.tree_path(F.coalesce("ref", "info.default_branch"))
+        return known.select(F.explode(F.array("path", tree)).alias("path")).filter("path IS NOT NULL").distinct()
+    return asked.select(F.explode(F.array(*[repo_ops.repo_path(tail) for _, _, tail in repo_ops.OVERVIEW_PARTS])).alias("path")).distinct()

@@ -400,7 +400,8 @@ def overview(spark, d):
     info = F.to_json(F.struct(F.concat("r_name", F.lit("/"), "n_name").alias("full_name"), F.when(k % 2 == 0, F.concat(F.lit("About "), "n_name")).alias("description"), F.concat(F.lit("https://x/"), "n_name").alias("html_url"), F.lit("main").alias("default_branch"), F.when(k % 3 == 0, "Rust").alias("language"), (k * 10).alias("stargazers_count"), k.alias("forks_count"), F.lit(2).alias("open_issues_count"), F.array(F.lit("a"), F.lit("b")).alias("topics"), license_.alias("license")))
     readme = F.to_json(F.struct(F.base64(F.concat(F.lit("# "), "n_name", F.lit("\ntext")).cast("binary")).alias("content")))
     issues = F.lit('[{"number":1,"title":"One","html_url":"https://x/1","labels":[{"name":"bug"},{"name":"ui"}],"user":{"login":"ann"}},{"number":2,"title":"PR","html_url":"u","labels":[],"pull_request":{"url":"p"}}]')
-    parts = (("", 200, info), ("/readme", 200, readme), ("/issues", 200, issues), ("/pulls", 500, F.lit('{"message":"boom"}')), ("/releases", 200, F.lit("[]")))
+    bodies = ((200, info), (200, readme), (200, issues), (500, F.lit('{"message":"boom"}')), (200, F.lit("[]")))
+    parts = [(tail, status, body) for (_, _, tail), (status, body) in zip(repo_ops.OVERVIEW_PARTS, bodies, strict=True)]
     responses = None
     for tail, status, body in parts:
         one = n.select(F.concat(base, F.lit(tail)).alias("path"), F.lit(status).alias("status"), F.lit(None).cast("long").alias("remaining"), body.alias("body"))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.urls import guard_kind, is_private_ip, split_url
+from webloom.operators.threads import mentioned_ids
 from webloom.schemas import API_RESPONSE, HTTP_RESPONSE, RESOLVED
 
 # Limits of live requests.
@@ -196,3 +197,30 @@ def chat_tables(calls: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     users = ok.filter(F.startswith("path", F.lit("/users.info"))).select(param("user").alias("user"), user["real_name"].alias("real_name"), user["profile"]["display_name"].alias("display_name"))
     channels = ok.filter(F.startswith("path", F.lit("/conversations.info"))).select(param("channel").alias("channel"), F.get_json_object("body", "$.channel.name").alias("name"))
     return messages, users, channels
+
+
+def chat_calls(links: DataFrame, said: DataFrame | None = None) -> DataFrame:
+    """The chat calls that links (key, link) need, as far as `said` (see chat_api) tells: first the linked thread or
+    message and the channel; then the replies of a message that has some; then every author and mentioned user."""
+    channel, ts, thread = (F.url_encode(F.col(f"link.{c}")) for c in ("channel", "ts", "thread_ts"))
+    replies = lambda c, root: F.concat(F.lit("/conversations.replies?channel="), c, F.lit("&ts="), root)
+    first = F.when(thread.isNotNull(), replies(channel, thread)).otherwise(F.concat(F.lit("/conversations.history?channel="), channel, F.lit("&latest="), ts, F.lit("&inclusive=true&limit=1")))
+    calls = links.select(F.explode(F.array(first, F.concat(F.lit("/conversations.info?channel="), channel))).alias("path"))
+    if said is not None:
+        messages, _, _ = chat_tables(said)
+        more = messages.filter("thread_ts IS NULL AND reply_count > 0").select(replies(F.url_encode("channel"), F.url_encode("ts")).alias("path"))
+        ids = messages.select(F.explode(F.array_union(F.array_compact(F.array("user")), mentioned_ids(F.col("text")))).alias("user"))
+        calls = calls.unionByName(more).unionByName(ids.select(F.concat(F.lit("/users.info?user="), F.url_encode("user")).alias("path")))
+    return calls.distinct()
+
+
+def complete(wanted: Callable[[DataFrame], DataFrame], ask: Callable[[DataFrame], DataFrame], empty: DataFrame, rounds: int = 3) -> DataFrame:
+    """Exchanges for all that `wanted` names, asked for in rounds, since answers name further calls. Each round's answers
+    are kept, so that nothing is asked twice."""
+    known = empty
+    for _ in range(rounds):
+        new = wanted(known).join(known.select("path"), "path", "left_anti").persist()
+        if not new.limit(1).count():
+            break
+        known = known.unionByName(ask(new).persist())
+    return known

@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-@pytest.mark.parametrize("name", ["op4_line_dedup", "op8_decontamination"])
+@pytest.mark.parametrize("name", ["op1_suffix_dedup", "op4_line_dedup", "op8_decontamination", "op9_minhash_near_dedup"])
 def test_oracle(spark, name):
     assert same(spark, queries.queries()[name], queries.oracle_sql()[name], SF) == 1000
 

@@ -21,6 +21,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/webloom-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch while texts are processed, where the session does not say otherwise.
+BATCH_ROWS = 500
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """df, after the session's Arrow batches are made smaller: ten thousand rows, Spark's default, are meant for short
+    rows; of texts or shingle sets they take hundreds of megabytes on both sides. A setting of the user's stays."""
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: lineage ends there, and what
     follows survives the loss of any executor."""

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import worker_cache
+from webloom.llm.common import in_batches, worker_cache
 
 ORDER = 3
 #: What stands before a text.
@@ -141,7 +141,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text"
     und = F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits"))
     if model is None:
         return docs.select(*docs.columns, F.lit("und").alias("_lang"), F.lit(0.0).alias("_score"), F.lit(None).cast("double").alias("_bits"))
-    held = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample
+    held = in_batches(docs).sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample
 
     def score(texts: pd.Series) -> pd.DataFrame:
         worker_cache("language", dict)  # lets go of another operator's

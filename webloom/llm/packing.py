@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import stored
+from webloom.llm.common import in_batches, stored
 from webloom.llm.tokens import default_tokenizer, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -39,7 +39,7 @@ def cut_pieces(docs: DataFrame, capacity: int = 1024, tokenizer_path: str | None
                     start, piece = start + length, piece + 1
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, PIECES)
+    return in_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, PIECES)
 
 
 def best_fit_plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import decontaminate, language_id, lines, near_dedup, packing, paragraphs, repeats, tiff, token_files, toxicity
+from webloom.llm import decontaminate, language_id, lines, near_dedup, oracles, packing, paragraphs, repeats, tiff, token_files, toxicity
 from webloom.llm.common import documents, held_out, stored, table
 
 
@@ -87,7 +87,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.classes(documents(spark, sf_dir))
+    return near_dedup.classes(documents(spark, sf_dir)).select("doc_id", "class_id", "class_rows")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,4 +105,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": lines.ORACLE, "op8_decontamination": decontaminate.ORACLE}
+    return {
+        "op1_suffix_dedup": oracles.SUFFIX_DEDUP,
+        "op4_line_dedup": lines.ORACLE,
+        "op8_decontamination": decontaminate.ORACLE,
+        "op9_minhash_near_dedup": oracles.NEAR_DEDUP,
+    }

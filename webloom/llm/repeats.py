@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import stored
+from webloom.llm.common import in_batches, stored
 
 GRAM = 50
 #: Starts that are looked at together in one text: a bound on memory.
@@ -115,7 +115,7 @@ def sampled(docs: DataFrame, length: int) -> DataFrame:
         gram, hull, place = (np.concatenate(x) for x in zip(*parts, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(hull), pa.array(np.concatenate(docs_)), pa.array(place)], ["gram", "hull", "doc", "place"])
 
-    return docs.select("doc", "text").mapInArrow(run, "gram long, hull long, doc long, place long")
+    return in_batches(docs).select("doc", "text").mapInArrow(run, "gram long, hull long, doc long, place long")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def packed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())], ["doc", "z"])
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, z binary")
+    return in_batches(docs).select("doc", "text").mapInArrow(run, "doc long, z binary")
 
 
 CONTEXT = "gram long, doc long, place long, weight int, context binary"

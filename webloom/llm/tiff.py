@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.llm.common import in_batches
+
 # Fixed values of the public TIFF 6.0 format.
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -293,7 +295,7 @@ def store_texts(docs: DataFrame, compression: int = DEFLATE, rows_per_strip: int
                 media.append(encode([np.frombuffer(payload(text), dtype=np.uint8).reshape(-1, 64)], compression, rows_per_strip=rows_per_strip))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return in_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 PAGE = "_page int, _width int, _height int, _samples int, _bits int, _compression int, _predictor int, _pixels binary, _feature string, _error string"
@@ -343,4 +345,4 @@ def decode_pages(media: DataFrame, media_col: str = "media") -> DataFrame:
                     rows.append((None,) * 9 + (str(e),))
             yield flush()
 
-    return media.mapInArrow(run, schema)
+    return in_batches(media).mapInArrow(run, schema)

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import shared_dir, stored
+from webloom.llm.common import in_batches, shared_dir
 from webloom.llm.tokens import default_tokenizer, encoder
 
 META = "doc_id long, shard string, first long, n_tokens long"
@@ -159,7 +159,7 @@ class TokenFiles:
             if out is not None:
                 out.close()
 
-        ranged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+        ranged = in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
         ranged.mapInArrow(run, META).write.parquet(f"{files.path}/meta")
         meta = files.meta()
         # a shard's place among all ids: shards are as many as write tasks, not as documents

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import stored
+from webloom.llm.common import in_batches, stored
 
 TERM = re.compile(r"[^\W\d_]+")
 #: Words of which a worker remembers the feature; a bound on memory, not on results.
@@ -130,7 +130,7 @@ def score(docs: DataFrame, model: FactorizationMachine | None, text_col: str = "
     alone; without a model all scores are 0. Whole texts are read."""
     if model is None:
         return docs.select(*docs.columns, F.lit(0.0).alias("_score"))
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = in_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     def run(texts: pd.Series) -> pd.Series:
         m = held.value

@@ -14,13 +14,13 @@ SELECT doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n.bytes,
 FROM d LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
-#: All pairs of texts that share a shingle, exact weighted Jaccard, components by recursion.
+#: All pairs of texts that share a shingle, exact Jaccard, components by recursion.
 NEAR_DEDUP = r"""
 WITH RECURSIVE w AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents),
 t AS (SELECT text, min(doc_id) AS node, any_value(w) AS w FROM w GROUP BY text),
-s AS (SELECT node, array_to_string(w[i + 1 : i + 5], ' ') AS s, count(*) AS n FROM (SELECT node, w, unnest(range(0, greatest(len(w) - 4, 1))) AS i FROM t WHERE len(w) > 0) GROUP BY ALL),
-z AS (SELECT node, sum(n) AS total FROM s GROUP BY node),
-c AS (SELECT x.node AS a, y.node AS b, sum(least(x.n, y.n)) AS common FROM s x JOIN s y ON x.s = y.s AND x.node < y.node GROUP BY x.node, y.node),
+s AS (SELECT node, array_to_string(w[i + 1 : i + 5], ' ') AS s FROM (SELECT node, w, unnest(range(0, greatest(len(w) - 4, 1))) AS i FROM t WHERE len(w) > 0) GROUP BY ALL),
+z AS (SELECT node, count(*) AS total FROM s GROUP BY node),
+c AS (SELECT x.node AS a, y.node AS b, count(*) AS common FROM s x JOIN s y ON x.s = y.s AND x.node < y.node GROUP BY x.node, y.node),
 l AS (SELECT a, b FROM c JOIN z x ON x.node = a JOIN z y ON y.node = b WHERE common / (x.total + y.total - common) >= 0.8),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 p AS (SELECT node AS a, node AS b FROM t UNION SELECT p.a, e.b FROM p JOIN e ON p.b = e.a),

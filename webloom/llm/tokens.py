@@ -16,7 +16,7 @@ import numpy as np
 from webloom.llm.common import worker_cache
 
 #: Entries after which a worker's cache starts anew: a bound on memory (about 220 bytes each), not on results.
-CACHE_LIMIT = 500_000
+CACHE_LIMIT = 600_000
 #: A word with at most one mark, one line end and a further word behind it: cut without the library.
 SIMPLE = re.compile(r"([^\W\d_]+)([.,]?)(\n?)([^\W\d_]*)")
 

@@ -96,6 +96,36 @@ def test_planted(spark):
     assert near_dedup.classes(df.limit(0)).count() == 0
 
 
+def template_family(n, unique, seed=4, length=200):
+    """(doc_id, text): n texts that share all but `unique` words at their ends, each with a near copy at about 0.81."""
+    rng = random.Random(seed)
+    noise = lambda k: [f"n{rng.randint(0, 10**9)}" for _ in range(k)]
+    template, rows = noise(length - unique), []
+    for i in range(n):
+        own = noise(unique)
+        other = own[: len(own) - (length // 10)] + noise(length // 10)
+        rows += [(2 * i, " ".join(template + own)), (2 * i + 1, " ".join(template + other))]
+    return rows
+
+
+def test_template_family(spark):
+    rows = template_family(200, 30)
+    sets, links, where = [set(multiset(t)) for _, t in rows], [0] * len(rows), list(range(len(rows)))
+    for j in range(len(rows)):
+        for i in range(j):
+            common = len(sets[i] & sets[j])
+            if common / (len(sets[i]) + len(sets[j]) - common) >= 0.8:
+                links[i] += 1
+                links[j] += 1
+                where = [where[i] if x == where[j] else x for x in where]
+    want = {}
+    for d, x in enumerate(where):
+        want.setdefault(x, []).append(d)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert grouped(near_dedup.classes(df).collect()) == sorted(want.values()) and len(want) == 200
+    assert {r.doc_id: r.n_links for r in near_dedup.classes(df, all_links=True).collect()} == dict(enumerate(links))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (100, 102)] + [(200, 201 + i) for i in range(50)]
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

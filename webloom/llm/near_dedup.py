@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.llm import rare_prefixes
 from webloom.llm.common import in_batches, stored, text_or_empty
 from webloom.llm.components import connected_components
 
@@ -148,7 +149,8 @@ def bucket_pairs(keyed: DataFrame) -> DataFrame:
 
     One leader is the node that meets the most others over all its bands: among copies of one original, that
     is the original, which is closer to each of them than they are to each other. The other is the first by hash.
-    So pairs grow with the nodes, not with the square of a group. Sizes, scores and leaders are pre-aggregated sums
+    So pairs grow with the nodes, not with the square of a group; what that leaves open is compared by rest_links, after
+    the components of these links are known. Sizes, scores and leaders are pre-aggregated sums
     and maxima; the joins back are ones that Spark splits where a key is hot."""
     sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     met = keyed.join(sizes, ["band", "key"])
@@ -179,11 +181,9 @@ def candidates(nodes: DataFrame, k: int = 128, threshold: float = 0.8) -> DataFr
     return both.select("a", "b", estimate("sa", "sb").alias("estimate")).filter(F.col("estimate") >= least)
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float = 0.8, text_col: str = "text", weighting: str = "presence") -> DataFrame:
-    """The pairs (a, b) whose exact weighted Jaccard similarity is at least `threshold`, with it."""
-    pairs = stored(pairs.select("a", "b"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "h1", "h2"), "node")
-    wanted = stored(wanted)
+def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, text_col: str = "text", weighting: str = "presence") -> DataFrame:
+    """(node, set): the shingles of the wanted nodes, each as often as it weighs."""
+    wanted = stored(wanted.select("node").join(nodes.select("node", "h1", "h2"), "node"))
 
     def run(batches):
         with np.errstate(over="ignore"):
@@ -193,7 +193,35 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: flo
 
     texts_of = docs.select(*_same_text(text_col), text_or_empty(F.col(text_col)).alias("text")).join(_small(wanted), ["h1", "h2"])
     # copies of a text give the same set; one is enough
-    sets = stored(texts_of.select("node", "text").mapInArrow(run, "node long, set binary").groupBy("node").agg(F.any_value("set").alias("set")))
+    return stored(texts_of.select("node", "text").mapInArrow(run, "node long, set binary").groupBy("node").agg(F.any_value("set").alias("set")))
+
+
+def numbered(elements: np.ndarray) -> np.ndarray:
+    """A sorted multiset as a set: the n-th copy of an element is an element of its own."""
+    _, start, n = np.unique(elements, return_index=True, return_counts=True)
+    copy = (np.arange(len(elements)) - np.repeat(start, n)).astype(np.uint64)
+    return mix(elements + GOLDEN * copy)
+
+
+def rest_links(docs: DataFrame, nodes: DataFrame, labels: DataFrame | None, threshold: float = 0.8, text_col: str = "text", weighting: str = "presence") -> DataFrame:
+    """(a, b, similarity) of the links between different labels that the leaders of bucket_pairs leave, by exact comparison
+    (see rare_prefixes): no pair that shares a band's key is passed over. Without labels, of all links in such groups."""
+    left = stored(rare_prefixes.open_nodes(nodes, labels))
+    sets = sets_of(docs, nodes, left, text_col, weighting).join(left, "node")
+
+    def run(batches):
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                found = [numbered(np.frombuffer(s.as_py(), dtype=np.uint64)).tobytes() for s in batch.column(2)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["node", "label", "set"])
+
+    return rare_prefixes.links_between(stored(sets.select("node", "label", "set").mapInArrow(run, "node long, label long, set binary")), threshold)
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float = 0.8, text_col: str = "text", weighting: str = "presence") -> DataFrame:
+    """The pairs (a, b) whose exact weighted Jaccard similarity is at least `threshold`, with it."""
+    pairs = stored(pairs.select("a", "b"))
+    sets = sets_of(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), text_col, weighting)
 
     def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
@@ -211,15 +239,21 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: flo
     return both.select("a", "b", exact("x", "y").alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, k: int = 128, bands: int = 32, id_col: str = "doc_id", text_col: str = "text", weighting: str = "presence") -> DataFrame:
-    """One row per row of `docs`: id_col, class_id (the least id in its class), n_links (of its text with
-    other texts, as verified) and class_rows.
+def classes(docs: DataFrame, threshold: float = 0.8, k: int = 128, bands: int = 32, id_col: str = "doc_id", text_col: str = "text", weighting: str = "presence", all_links: bool = False) -> DataFrame:
+    """One row per row of `docs`: id_col, class_id (the least id in its class), n_links and class_rows.
+
+    n_links counts the links of its text with other texts. Links inside a class that others already hold together are
+    only all compared with `all_links`, which takes the square of a large class; without it n_links counts those found.
 
     Exact copies are one text; null is the empty text, and texts without words are alike only if
     they are equal. Null ids count as greater than any other. Other columns are not read."""
     nodes = texts(docs, k, bands, text_col, weighting)
     links = stored(verified(docs, nodes, candidates(nodes, k, threshold), threshold, text_col, weighting))
     labels = connected_components(links)
+    rest = stored(rest_links(docs, nodes, None if all_links else labels, threshold, text_col, weighting))
+    if rest.limit(1).count():
+        links = stored(links.select("a", "b").union(rest.select("a", "b")).distinct())
+        labels = connected_components(links)
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     placed = nodes.select("node", "h1", "h2").join(labels, "node", "left").join(ends, "node", "left")
     placed = placed.select("h1", "h2", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

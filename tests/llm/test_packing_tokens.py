@@ -126,3 +126,15 @@ def test_queries(spark):
     packed = queries.op2_best_fit_packing(spark, SF).collect()
     assert sum(r.length for r in packed) == at
     assert len({r.sequence_id for r in packed}) <= 1.02 * at / 1024 + 2
+
+
+def test_ids_are_those_of_a_fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = tokens.default_tokenizer()
+    fresh = Tokenizer.from_file(path)
+    rng = random.Random(9)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "<|endoftext| >", ""] + ["".join(rng.choice(["a", " ", "\n", "<|endoftext|>", " Bé", "<|", "the"]) for _ in range(rng.randint(0, 20))) for _ in range(500)]
+    want = [np.asarray(fresh.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert list(tokens.encoder(path).encode_all(texts)) == want
+    assert np.frombuffer(want[0], dtype="<u4").tolist() == [64, 220, 50256, 275]

@@ -1,7 +1,7 @@
 """Whole-text encoding with the tokenizers library, sped up by a bounded cache of text segments.
 
 A byte-level BPE vocabulary of this kind splits a text before every space that a non-space
-character follows. Where a text has no other kind of space, its pieces between spaces can be
+character follows. Where a text has no other kind of space and no added token of the file, its pieces between spaces can be
 encoded one by one and joined; a worker keeps what it has encoded. Any other text, and any other
 kind of tokenizer, is encoded whole. Both ways give the ids of a whole-text call."""
 
@@ -73,7 +73,7 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [token.content for token in t.get_added_tokens_decoder().values()]
         self.limit = limit
         kind = repr(t.pre_tokenizer)
         self.by_segment = t.normalizer is None and kind.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in kind
@@ -87,7 +87,7 @@ class TextEncoder:
     def encode_all(self, texts):
         """A generator; one text in memory at a time."""
         for text in texts:
-            if not self.by_segment:
+            if not self.by_segment or any(content in text for content in self.added):
                 yield self._whole(text)
                 continue
             for known in (self.first, self.rest):

@@ -112,3 +112,18 @@ def test_planted(spark):
     odd = spark.createDataFrame([(1, passage), (1, passage), (None, "a " + passage)], "doc_id long, text string")
     assert {r.doc_id for r in paragraphs.duplicates(odd).collect()} == {1, None}
     assert paragraphs.duplicates(df.limit(0)).count() == 0
+
+
+def test_template_family(spark):
+    rng = random.Random(6)
+    noise = lambda n: [f"n{rng.randint(0, 10**9)}" for _ in range(n)]
+    template, docs = noise(170), []
+    for i in range(120):
+        own = noise(30)
+        docs += [(2 * i, " ".join(template + own)), (2 * i + 1, " ".join(template + own[:10] + noise(20)))]
+    found = paragraphs.near_paragraphs(spark.createDataFrame(docs, "doc long, text string"), 0.8, 16).collect()
+    want = brute_paragraphs(docs)
+    groups = {}
+    for r in found:
+        groups.setdefault((r.class_doc, r.class_first), []).append((r.doc, r.first, r.end))
+    assert sorted(sorted(g) for g in groups.values()) == want and len(want) == 120

@@ -1,8 +1,9 @@
 """Substring dedup by paragraphs: MinHash banding for near copies, equal segments for passages inside paragraphs.
 
 A paragraph is a line of at least `min_words` words. Its MinHash over shingles of five words has 16 coordinates in
-8 bands of two, so that a pair of similarity 0.8 shares a band with a probability over 0.999; pairs that collide are
-compared exactly (Jaccard of their shingle sets), and what is similar forms classes by connected components.
+8 bands of two, so that a pair of similarity 0.8 shares a band with a probability over 0.999. What shares a band is compared exactly (Jaccard of
+their shingle sets), first with two leaders of the band's group, then, where these leave classes apart, by prefixes of
+rare shingles (see rare_prefixes), which pass over no similar pair. Classes are the connected components.
 
 A passage that stands in the middle of different paragraphs makes none of them similar. Texts are therefore also cut
 where a pair of words has the least hash of 20 pairs in a row. These cuts depend on the words alone: a common passage
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from webloom.llm import rare_prefixes
 from webloom.llm.common import in_batches, stored
 from webloom.llm.components import connected_components
 from webloom.llm.near_dedup import GOLDEN, bucket_pairs, mix
@@ -153,12 +155,9 @@ def segments(docs: DataFrame) -> DataFrame:
     return in_batches(docs).select("doc", "text").mapInArrow(run, "doc long, number long, first long, end long, n_words long, h long")
 
 
-def similar_pairs(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of the distinct paragraphs (node, doc, first, end, bands) that share a band, by near_dedup.bucket_pairs,
-    and are similar."""
-    keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    pairs = stored(bucket_pairs(keyed))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc", "first", "end"), "node")
+def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, set): the distinct shingles of the wanted nodes."""
+    wanted = wanted.select("node").join(nodes.select("node", "doc", "first", "end"), "node")
     by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("node", "first", "end")).alias("spans"))  # as many as one text has
 
     def run(batches):
@@ -175,17 +174,16 @@ def similar_pairs(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFr
                         sets.append(np.unique(shingle_hashes(words_of(data[s["first"] : s["end"]])[2])).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(nodes_, pa.int64()), pa.array(sets, pa.binary())], ["node", "set"])
 
-    sets = stored(packed(docs).join(by_doc, "doc").mapInArrow(run, "node long, set binary"))
+    return stored(packed(docs).join(by_doc, "doc").mapInArrow(run, "node long, set binary"))
 
-    def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(x, y, strict=True):
-            a, b = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-            common = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(common / (len(a) + len(b) - common))
-        return pd.Series(out, dtype="float64")
 
-    exact = F.pandas_udf(jaccard, "double")
+def similar_pairs(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of the distinct paragraphs (node, doc, first, end, bands) that share a band, by near_dedup.bucket_pairs,
+    and are similar."""
+    keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    pairs = stored(bucket_pairs(keyed))
+    sets = shingle_sets(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    exact = F.pandas_udf(rare_prefixes.jaccard, "double")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     return both.filter(exact("x", "y") >= threshold).select("a", "b")
 
@@ -197,7 +195,13 @@ def near_paragraphs(docs: DataFrame, threshold: float, min_words: int) -> DataFr
     distinct = units.groupBy("h1", "h2").agg(F.count("*").alias("places"), F.min(F.struct("doc", "first", "end")).alias("one"), F.any_value("bands").alias("bands"))
     nodes = stored(distinct.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "places", "one.*", "bands"))
     links = stored(similar_pairs(docs, nodes, threshold))
-    labels = nodes.join(connected_components(links), "node", "left").select("h1", "h2", "places", place.alias("place"), F.coalesce("label", "node").alias("label"))
+    joined = connected_components(links)
+    left = stored(rare_prefixes.open_nodes(nodes, joined))
+    sets = stored(shingle_sets(docs, nodes, left).join(left, "node").select("node", "label", "set"))
+    rest = stored(rare_prefixes.links_between(sets, threshold).select("a", "b"))
+    if rest.limit(1).count():
+        joined = connected_components(stored(links.union(rest)))
+    labels = nodes.join(joined, "node", "left").select("h1", "h2", "places", place.alias("place"), F.coalesce("label", "node").alias("label"))
     classes = labels.groupBy("label").agg(F.sum("places").alias("places"), F.min("place").alias("least")).filter("places > 1")
     member = labels.select("h1", "h2", "label").join(classes, "label").select("h1", "h2", F.col("least.doc").alias("class_doc"), F.col("least.first").alias("class_first"))
     return units.drop("bands").join(member, ["h1", "h2"]).select("doc", "first", "end", "n_words", "class_doc", "class_first")

@@ -315,6 +315,19 @@ def research_partition(spark, d):
     return done.select(F.col("request_id").alias("page_id"), "url", F.col("reason").isNull().alias("ok"), "reason")
 
 
+def _source_reports(docs: DataFrame, page: Column) -> DataFrame:
+    rows = docs.select(F.col("source").alias("request_id"), "rank", F.concat(F.lit("https://d/"), "doc_id").alias("url"), F.concat(F.lit("doc ["), "doc_id", F.lit("]")).alias("title"), "doc_id", page.alias("markdown"))
+    failed = F.col("doc_id") % 4 == 0
+    fetches = rows.filter("rank <= 3").select("request_id", "rank", "url", F.when(~failed, F.col("url")).alias("final_url"), "markdown", (F.col("doc_id") % 3 == 0).alias("used_raw_fallback"), F.when(failed, "fetch failed: status 500").alias("reason"))
+    none = F.array().cast("array<struct<url:string,title:string>>")
+    first = F.struct(F.lit(0).alias("query_idx"), F.lit("first").alias("answer"), none.alias("sources"))
+    second = F.struct(F.lit(1).alias("query_idx"), F.lit(None).cast("string").alias("answer"), none.alias("sources"))
+    results = rows.select("request_id").distinct().select("request_id", F.array(first, second).alias("results"), F.lit(None).cast(errors.ERROR).alias("error"))
+    requests = rows.select("request_id").distinct().select("request_id", F.concat(F.lit("about "), "request_id").alias("query"))
+    out = research_ops.format_reports(requests, results, fetches, rows.select("request_id", "rank", "url", "title"))
+    return out.select(F.col("request_id").alias("source"), "report")
+
+
 @query("""
 WITH d AS (SELECT doc_id, source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
 p AS (SELECT source, string_agg('### https://d/' || doc_id || chr(10) || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '> Note: Readability extraction failed. Showing raw page conversion.' || chr(10) || chr(10) ELSE '' END || replace(text, chr(10), ' ')[:40] || chr(10) || chr(10), '' ORDER BY r) AS t FROM d WHERE r <= 3 AND doc_id % 4 <> 0 GROUP BY source),
@@ -324,18 +337,18 @@ SELECT source, '# Research: about ' || source || chr(10) || chr(10) || '## Searc
   || coalesce('---' || chr(10) || chr(10) || '## Fetched Pages' || chr(10) || chr(10) || p.t, '') || coalesce('## Failed URLs' || chr(10) || chr(10) || f.t || chr(10), '') || '## Sources' || chr(10) || chr(10) || s.t AS report
 FROM s LEFT JOIN p USING (source) LEFT JOIN f USING (source)""")
 def research_report(spark, d):
-    """Documents of a source as one request's pages: six sources, three fetched, some of them failed or raw."""
+    """Documents of a source as one request's pages: six sources, three fetched, some of them failed or raw. The SQL asks
+    for six and for the first 40 characters; research_report_whole has all."""
     docs = read(spark, d, "documents").withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).filter("rank <= 6")
-    rows = docs.select(F.col("source").alias("request_id"), "rank", F.concat(F.lit("https://d/"), "doc_id").alias("url"), F.concat(F.lit("doc ["), "doc_id", F.lit("]")).alias("title"), "doc_id", F.substring(F.translate("text", "\n", " "), 1, 40).alias("markdown"))
-    failed = F.col("doc_id") % 4 == 0
-    fetches = rows.filter("rank <= 3").select("request_id", "rank", "url", F.when(~failed, F.col("url")).alias("final_url"), "markdown", (F.col("doc_id") % 3 == 0).alias("used_raw_fallback"), F.when(failed, "fetch failed: status 500").alias("reason"))
-    none = F.array().cast("array<struct<url:string,title:string>>")
-    first = F.struct(F.lit(0).alias("query_idx"), F.lit("first").alias("answer"), none.alias("sources"))
-    second = F.struct(F.lit(1).alias("query_idx"), F.lit(None).cast("string").alias("answer"), none.alias("sources"))
-    results = rows.select("request_id").distinct().select("request_id", F.array(first, second).alias("results"), F.lit(None).cast(errors.ERROR).alias("error"))
-    requests = rows.select("request_id").distinct().select("request_id", F.concat(F.lit("about "), "request_id").alias("query"))
-    out = research_ops.format_reports(requests, results, fetches, rows.select("request_id", "rank", "url", "title"))
-    return out.select(F.col("request_id").alias("source"), "report")
+    return _source_reports(docs, F.substring(F.translate("text", "\n", " "), 1, 40))
+
+
+@query()
+def research_report_whole(spark, d):
+    """The same with all documents of a source as its sources and whole texts as pages; the depth of three and the
+    note about a page's bytes are the library's."""
+    docs = read(spark, d, "documents").withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
+    return _source_reports(docs, F.col("text"))
 
 
 BODIES = [
@@ -355,7 +368,7 @@ def search_response(spark, d):
 @query()
 def local_research(spark, d):
     """Research end to end with the local stand-in for the hosted search: benchmark texts as queries over documents."""
-    asked = read(spark, d, "benchmark").filter("item_id < 10").select(F.col("item_id").alias("request_id"), F.col("text").alias("query"), F.lit(2).alias("depth"), F.lit("auto").alias("lang"))
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("request_id"), F.col("text").alias("query"), F.lit(2).alias("depth"), F.lit("auto").alias("lang"))
     docs = read(spark, d, "documents")
     found = research_ops.local_search(research_ops.expand_queries(asked), docs)
     pages = docs.select(F.concat(F.lit("doc://"), "doc_id").alias("url"), F.concat(F.lit("doc://"), "doc_id").alias("final_url"), F.col("text").alias("markdown"), F.lit(False).alias("used_raw_fallback"), F.lit(None).cast(errors.ERROR).alias("error"))

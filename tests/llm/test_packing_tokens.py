@@ -138,3 +138,16 @@ def test_ids_are_those_of_a_fresh_tokenizer():
     want = [np.asarray(fresh.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
     assert list(tokens.encoder(path).encode_all(texts)) == want
     assert np.frombuffer(want[0], dtype="<u4").tolist() == [64, 220, 50256, 275]
+
+
+def test_cache_is_bounded():
+    limit = 400_000
+    enc = tokens.TextEncoder(tokens.default_tokenizer(), limit)
+    fresh = tokens.TextEncoder(tokens.default_tokenizer())
+    many = " ".join(f"w{i}x" for i in range(50_000))
+    texts = [many, "z" * 100_000 + " " + "q" * 500, many[: 200_000]]
+    assert list(enc.encode_all(texts)) == [fresh._whole(t) for t in texts]
+    for known in (enc.first, enc.rest):
+        for held in (known, known.old):
+            assert sum(tokens.ENTRY_BYTES + len(k) + len(v) for k, v in held.items()) <= limit
+            assert max(map(len, held), default=0) < tokens.LONG

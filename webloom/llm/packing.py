@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import in_batches, stored
+from webloom.llm.common import in_small_batches, quoted, slices, stored
 from webloom.llm.tokens import default_tokenizer, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -27,7 +27,7 @@ def cut_pieces(docs: DataFrame, capacity: int = 1024, tokenizer_path: str | None
     def run(batches):
         enc = encoder(path)
         end = np.uint32(end_id).astype("<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches, keep=("tokens", path)):
             out = [], [], [], [], []
             for doc, ids in zip(batch.column(0).to_pylist(), enc.encode_all(t or "" for t in batch.column(1).to_pylist()), strict=True):
                 ids += end
@@ -39,7 +39,7 @@ def cut_pieces(docs: DataFrame, capacity: int = 1024, tokenizer_path: str | None
                     start, piece = start + length, piece + 1
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return in_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col(quoted(id_col)).cast("long"), F.col(quoted(text_col)).cast("string")).mapInArrow(run, PIECES)
 
 
 def best_fit_plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -95,6 +95,7 @@ def best_fit_plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[
     return slots, used
 
 
+@in_small_batches
 def pack(pieces: DataFrame, capacity: int = 1024, blocks: int = 1024) -> DataFrame:
     """`pieces` (see cut_pieces) with sequence_id and offset.
 

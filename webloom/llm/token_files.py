@@ -18,12 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import in_batches, shared_dir
+from webloom.llm.common import quoted, shared_dir, slices, small_batches
 from webloom.llm.tokens import default_tokenizer, encoder
 
 META = "doc_id long, shard string, first long, n_tokens long"
 INDEX = "bucket long, n_slots int, pilots binary, pointers binary, fingerprints binary, shards array<string>, shard_at binary, firsts binary, lengths binary"
 FOUND = "doc_id long, shard string, first long, n_tokens long"
+#: Bytes of text for a shard, and ids that a task reads back at once.
+SHARD_BYTES, READ_IDS = 1 << 27, 1 << 22
 #: Multipliers of the public splitmix64 finaliser; they are part of the index format.
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -119,30 +121,42 @@ def look_up(keys: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": keys.doc_id.iloc[who].astype("Int64").array, "shard": shards[get("shard_at", "<i4")[entry]], "first": firsts[entry], "n_tokens": lengths[entry]})
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the session's default file system where it has none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
+def opened(path: str):
+    """pyarrow's file system for a path with a scheme, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+
+
 class TokenFiles:
     """Token files in `path` (any store that pyarrow.fs and Spark both reach) and their index."""
 
     def __init__(self, spark: SparkSession, path: str, id_bytes: int = 2, bucket_keys: int = 4096):
-        self.spark, self.path, self.id_bytes, self.bucket_keys = spark, path, id_bytes, bucket_keys
+        self.spark, self.path, self.id_bytes, self.bucket_keys = spark, qualified(spark, path), id_bytes, bucket_keys
 
     @classmethod
     def write(cls, docs: DataFrame, path: str | None = None, tokenizer_path: str | None = None, end_id: int = 2, id_bytes: int = 2, bucket_keys: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> TokenFiles:
         """Encode `docs`, write payload shards and index.
 
         A null text counts as empty (its end id alone is stored); rows with a null or repeated doc_id
-        are stored too, null first, and share a key. Other columns are not read. A shard's name is
+        are stored too, null first, and share a key. Other columns are not read. Shards are as many as the texts' bytes ask
+        for, and at least as many as the session's shuffle partitions. A shard's name is
         in the table of documents only if its task ended, so files of lost tasks are never read."""
         files = cls(docs.sparkSession, path or shared_dir(docs.sparkSession), id_bytes, bucket_keys)
         tok, top, kind = tokenizer_path or default_tokenizer(), files.path, f"<u{id_bytes}"
 
         def run(batches):
-            from pyarrow import fs
-
-            store, base = fs.FileSystem.from_uri(f"{top}/ids") if "://" in top else (fs.LocalFileSystem(), f"{top}/ids")
+            store, base = opened(f"{top}/ids")
             enc, first, out = encoder(tok), 0, None
             end = np.uint32(end_id).astype("<u4").tobytes()
             name = f"ids-{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}.bin"
-            for batch in batches:
+            for batch in slices(batches, keep=("tokens", tok)):
                 if batch.num_rows and out is None:
                     store.create_dir(base, recursive=True)
                     out = store.open_output_stream(f"{base}/{name}")
@@ -159,8 +173,12 @@ class TokenFiles:
             if out is not None:
                 out.close()
 
-        ranged = in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-        ranged.mapInArrow(run, META).write.parquet(f"{files.path}/meta")
+        texts = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"))
+        size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        n_shards = max(int(files.spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+        ranged = texts.repartitionByRange(n_shards, "doc_id").sortWithinPartitions("doc_id")
+        with small_batches(files.spark):
+            ranged.mapInArrow(run, META).write.parquet(f"{files.path}/meta")
         meta = files.meta()
         # a shard's place among all ids: shards are as many as write tasks, not as documents
         shards = meta.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
@@ -186,14 +204,12 @@ class TokenFiles:
         return asked.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(look_up, FOUND)
 
     def read(self, located: DataFrame, with_ids: bool = False) -> DataFrame:
-        """located with ids_crc32 of the stored ids (as unsigned 32-bit) and, if asked, the ids: each
-        shard's rows are read in one group, by ranges of its file."""
+        """located with ids_crc32 of the stored ids (as unsigned 32-bit) and, if asked, the ids. A group of rows that begin
+        within READ_IDS ids of one shard is read in one go, in the order of the file."""
         top, kind, width = self.path, f"<u{self.id_bytes}", self.id_bytes
 
         def run(rows: pd.DataFrame) -> pd.DataFrame:
-            from pyarrow import fs
-
-            store, base = fs.FileSystem.from_uri(f"{top}/ids") if "://" in top else (fs.LocalFileSystem(), f"{top}/ids")
+            store, base = opened(f"{top}/ids")
             rows = rows.sort_values("first")
             crcs, kept = [], []
             with store.open_input_file(f"{base}/{rows['shard'].iloc[0]}") as f:
@@ -202,10 +218,11 @@ class TokenFiles:
                     crcs.append(zlib.crc32(ids))
                     if with_ids:
                         kept.append(np.frombuffer(ids, dtype="<u4").astype("int64").tolist())
-            rows = rows.assign(ids_crc32=crcs, doc_id=rows.doc_id.astype("Int64"))
+            rows = rows[["doc_id", "shard", "first", "n_tokens"]].assign(ids_crc32=crcs, doc_id=rows.doc_id.astype("Int64"))
             return rows.assign(ids=kept) if with_ids else rows
 
-        return located.groupBy("shard").applyInPandas(run, FOUND + ", ids_crc32 long" + ", ids array<long>" * with_ids)
+        groups = located.select("doc_id", "shard", "first", "n_tokens").groupBy("shard", F.floor(F.col("first") / READ_IDS))
+        return groups.applyInPandas(run, FOUND + ", ids_crc32 long" + ", ids array<long>" * with_ids)
 
     def starts(self, read: DataFrame) -> DataFrame:
         """Adds start: the ids of all documents before."""

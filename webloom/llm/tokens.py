@@ -15,8 +15,10 @@ import numpy as np
 
 from webloom.llm.common import worker_cache
 
-#: Entries after which a worker's cache starts anew: a bound on memory (about 220 bytes each), not on results.
-CACHE_LIMIT = 600_000
+#: Bytes that a worker's cache may take: a bound on memory, not on results.
+CACHE_BYTES = 128_000_000
+#: What an entry takes besides its characters and ids, and the characters from which on a segment is not kept.
+ENTRY_BYTES, LONG = 150, 64
 #: A word with at most one mark, one line end and a further word behind it: cut without the library.
 SIMPLE = re.compile(r"([^\W\d_]+)([.,]?)(\n?)([^\W\d_]*)")
 
@@ -42,12 +44,16 @@ class OtherSpace(Exception):
 
 
 class SegmentIds(dict):
-    """segment without its leading space -> ids as little-endian unsigned 32-bit bytes; encodes what it lacks."""
+    """segment without its leading space -> ids as little-endian unsigned 32-bit bytes; encodes what it lacks.
 
-    def __init__(self, tokenizer, lead: str = "", plain: "SegmentIds | None" = None):
+    It keeps two generations of half of `limit` bytes each: when the new one is full it becomes the old one, from
+    which a segment that comes again returns. Long segments are not kept."""
+
+    def __init__(self, tokenizer, limit: int, lead: str = "", plain: "SegmentIds | None" = None):
         super().__init__()
         self.tokenize, self.split, self.lead = tokenizer.model.tokenize, tokenizer.pre_tokenizer.pre_tokenize_str, lead
         self.plain = self if plain is None else plain
+        self.half, self.held, self.old = limit // 2, 0, {}
 
     def _piece(self, piece: str) -> bytes:
         return array("I", [t.id for t in self.tokenize(piece)]).tobytes()
@@ -55,31 +61,39 @@ class SegmentIds(dict):
     def __missing__(self, bare: str) -> bytes:
         if self.lead and (not bare or bare[0].isspace()):
             raise OtherSpace
-        if bare.isalpha():  # one word
-            ids = self._piece((self.lead + bare).encode().decode("latin-1").translate(BYTES))
-        elif (m := SIMPLE.fullmatch(bare)) and m[1].isalpha() and (not m[4] or m[3] and m[4].isalpha()):
-            ids = self[m[1]] + b"".join([self.plain[x] for x in m.groups()[1:] if x])
-        else:
-            ids = b"".join([self._piece(x) for x, _ in self.split(self.lead + bare)])
-        self[bare] = ids
+        ids = self.old.get(bare)
+        if ids is None:
+            ids = self._encode(bare)
+        if len(bare) < LONG:
+            self.held += ENTRY_BYTES + len(bare) + len(ids)
+            if self.held > self.half:
+                self.old, self.held = dict(self), 0
+                self.clear()
+            self[bare] = ids
         return ids
 
+    def _encode(self, bare: str) -> bytes:
+        if bare.isalpha():  # one word
+            return self._piece((self.lead + bare).encode().decode("latin-1").translate(BYTES))
+        if (m := SIMPLE.fullmatch(bare)) and m[1].isalpha() and (not m[4] or m[3] and m[4].isalpha()):
+            return self[m[1]] + b"".join([self.plain[x] for x in m.groups()[1:] if x])
+        return b"".join([self._piece(x) for x, _ in self.split(self.lead + bare)])
+
 
 class TextEncoder:
     """encode_all(texts) -> for each text its ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, limit: int = CACHE_LIMIT):
+    def __init__(self, path: str, limit: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = t = Tokenizer.from_file(path)
         self.added = [token.content for token in t.get_added_tokens_decoder().values()]
-        self.limit = limit
         kind = repr(t.pre_tokenizer)
         self.by_segment = t.normalizer is None and kind.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in kind
         if self.by_segment:
-            self.first = SegmentIds(t)
-            self.rest = SegmentIds(t, " ", self.first)
+            self.first = SegmentIds(t, limit // 8)
+            self.rest = SegmentIds(t, limit - limit // 8, " ", self.first)
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -90,9 +104,6 @@ class TextEncoder:
             if not self.by_segment or any(content in text for content in self.added):
                 yield self._whole(text)
                 continue
-            for known in (self.first, self.rest):
-                if len(known) > self.limit:
-                    known.clear()
             head, *rest = text.split(" ")
             try:
                 ids = (self.first[head] if head else b"") + b"".join(map(self.rest.__getitem__, rest))

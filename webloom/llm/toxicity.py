@@ -12,129 +12,151 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import in_batches, stored
+from webloom.llm.common import columns_of, fresh, in_small_batches, least_hashed, quoted, stored, worker_cache
 
 TERM = re.compile(r"[^\W\d_]+")
-#: Words of which a worker remembers the feature; a bound on memory, not on results.
-CACHE_LIMIT = 400_000
+#: Words of which a worker remembers the bucket; a bound on memory, not on results. Longer ones are not remembered.
+CACHE_WORDS, LONG = 200_000, 64
+#: Rows of the sample's key table up to which it is broadcast.
+BROADCAST_KEYS = 200_000
+
+
+def buckets_of(texts, buckets: int) -> list[np.ndarray]:
+    """For each text the sorted distinct buckets of its terms."""
+    known = worker_cache(("terms", buckets), dict)
+    out = []
+    for text in texts:
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        found = set()
+        for term in set(TERM.findall((text or "").lower())):
+            at = known.get(term)
+            if at is None:
+                at = zlib.crc32(term.encode()) % buckets
+                if len(term) < LONG and len(known) <= CACHE_WORDS:
+                    known[term] = at
+            found.add(at)
+        out.append(np.array(sorted(found), dtype=np.int64))
+    return out
+
+
+def flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All features of some texts, and the number of the text that each belongs to."""
+    sizes = np.array([len(r) for r in rows], dtype=np.int64)
+    return np.concatenate([np.zeros(0, dtype=np.int64), *rows]), np.repeat(np.arange(len(rows)), sizes)
+
+
+def sums_by(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of `values` by `of`, which ascends."""
+    out = np.zeros((n, *values.shape[1:]))
+    if len(of):
+        first = np.flatnonzero(np.concatenate([[True], np.diff(of) != 0]))
+        out[of[first]] = np.add.reduceat(values, first, axis=0)
+    return out
 
 
 @dataclass
 class FactorizationMachine:
-    """feature[bucket]: place in the arrays below, or -1 for terms that carry nothing."""
+    """weight and factors of each bucket; buckets that the sample has not are zero."""
 
     buckets: int
-    feature: np.ndarray
     bias: float
     weight: np.ndarray
     factors: np.ndarray
 
-    def __post_init__(self):
-        self.known: dict[str, int] = {}
-
-    def features(self, text: str) -> list[int]:
-        if len(self.known) > CACHE_LIMIT:
-            self.known.clear()
-        known, out = self.known, set()
-        for term in set(TERM.findall(text.lower())):
-            at = known.get(term)
-            if at is None:
-                at = known[term] = int(self.feature[zlib.crc32(term.encode()) % self.buckets])
-            if at >= 0:
-                out.add(at)
-        return sorted(out)
-
-    def margin(self, features: list[int]) -> float:
-        v = self.factors[features]
-        return float(self.bias + self.weight[features].sum() + 0.5 * (v.sum(axis=0) ** 2 - (v**2).sum(axis=0)).sum())
+    def margins(self, texts) -> np.ndarray:
+        rows = buckets_of(texts, self.buckets)
+        at, who = flat(rows)
+        v = self.factors[at].astype(np.float64)
+        pairs = sums_by(v, who, len(rows)) ** 2 - sums_by(v**2, who, len(rows))
+        return self.bias + sums_by(self.weight[at].astype(np.float64), who, len(rows)) + 0.5 * pairs.sum(axis=1)
 
 
-def _buckets(text: str, buckets: int) -> list[int]:
-    return list({zlib.crc32(t.encode()) % buckets for t in set(TERM.findall(text.lower()))})
+def evidence(count: np.ndarray, positive: np.ndarray, share: float) -> np.ndarray:
+    """Log-likelihood ratio of each term: in how far the share of positives among its documents is not that of all."""
+    part = lambda n, expected: np.where(n > 0, n * np.log(np.maximum(n, 1) / expected), 0)
+    return 2 * (part(positive, count * share) + part(count - positive, count * (1 - share)))
 
 
-def term_counts(sample: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, pos, neg): in how many documents of each label a hashed term occurs."""
+def train(rows: list[np.ndarray], labels: np.ndarray, buckets: int, factors: int = 8, epochs: int = 8, rate: float = 0.3, factor_rate: float = 0.05, weak: float = 0.2, strong: float = 100.0, seed: int = 7) -> FactorizationMachine:
+    """Adagrad on the logistic loss with Gaussian priors, in batches of 128 documents, touching what a batch holds; the same
+    for the same input.
 
-    def run(frames):
-        for frame in frames:
-            both = np.zeros((2, buckets), dtype=np.int64)
-            for text, label in zip(frame["text"], frame["label"], strict=True):
-                both[int(label), _buckets(text, buckets)] += 1
-            at = np.flatnonzero(both.sum(axis=0))
-            yield pd.DataFrame({"bucket": at, "neg": both[0, at], "pos": both[1, at]})
-
-    return sample.select("text", "label").mapInPandas(run, "bucket long, neg long, pos long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-
-
-def train(rows: list[np.ndarray], labels: np.ndarray, n_features: int, factors: int = 8, epochs: int = 12, rate: float = 0.1, decay: float = 2e-4, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
-    """Adagrad on the logistic loss, in batches of 128 documents; the same for the same input."""
+    Every term is learned, by itself and in pairs. The priors' precision is `strong`, which a term of few documents does
+    not overcome; for the weight of a term whose evidence is more than chance would give to one of all terms it is `weak`.
+    A term that matters in pairs only has no evidence by itself, but the documents to overcome the prior."""
     rng = np.random.default_rng(seed)
+    seen, count = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *rows]), return_counts=True)
+    rows = [np.searchsorted(seen, r) for r in rows]
     p = min(max(labels.mean(), 1e-3), 1 - 1e-3)
-    bias, w, v = float(np.log(p / (1 - p))), np.zeros(n_features), rng.normal(0, 0.02, (n_features, factors))
-    gw, gv, gb = np.full(n_features, 1e-2), np.full((n_features, factors), 1e-2), 1e-2
+    positive = np.bincount(flat([r for r, y in zip(rows, labels, strict=True) if y])[0], minlength=len(seen))
+    prior = np.where(evidence(count, positive, p) > 2 * np.log(max(2, len(seen))), weak, strong)
+    bias, w, v = float(np.log(p / (1 - p))), np.zeros(len(seen)), rng.normal(0, 0.02, (len(seen), factors))
+    gw, gv, gb = np.ones(len(seen)), np.ones((len(seen), factors)), 1.0
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for start in range(0, len(rows), 128):
             batch = order[start : start + 128]
-            sizes = np.array([len(rows[i]) for i in batch])
-            at = np.concatenate([rows[i] for i in batch]).astype(np.int64)
-            who = np.repeat(np.arange(len(batch)), sizes)
+            at, who = flat([rows[i] for i in batch])
             va = v[at]
-            sums = np.zeros((len(batch), factors))
-            np.add.at(sums, who, va)
-            z = bias + np.bincount(who, w[at], len(batch)) + 0.5 * ((sums**2).sum(axis=1) - np.bincount(who, (va**2).sum(axis=1), len(batch)))
+            sums = sums_by(va, who, len(batch))
+            z = bias + sums_by(w[at], who, len(batch)) + 0.5 * (sums**2 - sums_by(va**2, who, len(batch))).sum(axis=1)
             e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[batch]
-            dw = np.bincount(at, e[who], n_features).astype(float)
-            touched = np.unique(at)
-            dv = np.zeros_like(v)
-            np.add.at(dv, at, e[who, None] * (sums[who] - va))
-            dw[touched] += decay * len(batch) * w[touched]
-            dv[touched] += decay * len(batch) * v[touched]
-            gw[touched] += dw[touched] ** 2
-            gv[touched] += dv[touched] ** 2
-            w[touched] -= rate * dw[touched] / np.sqrt(gw[touched])
-            v[touched] -= rate * dv[touched] / np.sqrt(gv[touched])
             gb += e.sum() ** 2
             bias -= rate * e.sum() / np.sqrt(gb)
-    return bias, w, v
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, buckets: int = 2**18, max_features: int = 300, min_docs: int = 5, factors: int = 8) -> FactorizationMachine | None:
-    """From documents (doc_id, text) and labels (doc_id, label 0/1): at most `max_docs` labels, those of least hash;
-    None without documents of both labels. Terms are hashed to `buckets`; the `max_features` that depend on the label
-    most (by z score, in at least `min_docs` documents) are learned. What reaches the driver is bounded by these."""
-    chosen = labels.filter(F.col("label").isin(0, 1)).select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_docs)
+            if not len(at):
+                continue
+            by_term = np.argsort(at, kind="stable")
+            touched, of, here = np.unique(at[by_term], return_inverse=True, return_counts=True)
+            share = here / count[touched]  # a term's prior counts once an epoch, however many batches it is in
+            dw = sums_by(e[who][by_term], of, len(touched)) + prior[touched] * share * w[touched]
+            dv = sums_by((e[who, None] * (sums[who] - va))[by_term], of, len(touched)) + strong * share[:, None] * v[touched]
+            gw[touched] += dw**2
+            gv[touched] += dv**2
+            w[touched] -= rate * dw / np.sqrt(gw[touched])
+            v[touched] -= factor_rate * dv / np.sqrt(gv[touched])
+    weight, factor = np.zeros(buckets, dtype=np.float32), np.zeros((buckets, factors), dtype=np.float32)
+    weight[seen], factor[seen] = w, v
+    return FactorizationMachine(buckets, bias, weight, factor)
+
+
+@in_small_batches
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, buckets: int = 2**20, factors: int = 8) -> FactorizationMachine | None:
+    """From documents (doc_id, text) and labels (doc_id, label 0/1): of the labelled documents at most `max_docs`, those of
+    least hash of the id; None without documents of both labels. Every term of the sample is learned, hashed to
+    `buckets`. What reaches the driver are the sample's distinct buckets by document."""
+    own = labels.filter(F.col("label").isin(0, 1)).select("doc_id", F.col("label").cast("int").alias("y"), F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("h"))
+    chosen = least_hashed(own.select(F.lit(0).alias("label"), "h").distinct(), max_docs)
     # the bounded list goes to the texts, which stay where they are
-    sample = stored(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(stored(chosen)), "doc_id"))
-    n = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
-    if not n.get(0) or not n.get(1):
+    wanted = stored(own.join(F.broadcast(chosen.select("h")), "h").groupBy("doc_id").agg(F.max("y").alias("label")))
+    wanted = F.broadcast(wanted) if max_docs <= BROADCAST_KEYS else wanted
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(wanted, "doc_id")
+
+    def run(frames):
+        for frame in frames:
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "label": frame["label"], "features": buckets_of(frame["text"], buckets)})
+
+    found = texts.mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, label int, features array<long>")
+    # repeated rows of a document count once
+    local = found.dropDuplicates(["doc_id", "features"]).toPandas()
+    local["order"] = [zlib.crc32(np.asarray(x).tobytes()) for x in local["features"]]
+    local = local.sort_values(["doc_id", "order"])
+    if local["label"].nunique() < 2:
         return None
-    share = n[1] / (n[0] + n[1])
-    all_ = F.col("pos") + F.col("neg")
-    z = (F.col("pos") - all_ * share) / F.sqrt(all_ * share * (1 - share))
-    best = term_counts(sample, buckets).filter(all_ >= min_docs).orderBy(F.abs(z).desc(), "bucket").limit(max_features).select("bucket").collect()
-    feature = np.full(buckets, -1, dtype=np.int32)
-    feature[[r[0] for r in best]] = np.arange(len(best))
-    machine = FactorizationMachine(buckets, feature, 0.0, np.zeros(len(best)), np.zeros((len(best), factors)))
-    held = sample.sparkSession.sparkContext.broadcast(machine)
-    found = F.udf(lambda text: held.value.features(text), "array<int>", useArrow=True)
-    local = sample.select("doc_id", "label", found("text").alias("features")).orderBy("doc_id", "label").collect()
-    rows_ = [np.array(r.features, dtype=np.int64) for r in local]
-    machine.bias, machine.weight, machine.factors = train(rows_, np.array([r.label for r in local], dtype=float), len(best), factors)
-    return machine
+    return train(local["features"].tolist(), local["label"].to_numpy().astype(float), buckets, factors)
 
 
 def score(docs: DataFrame, model: FactorizationMachine | None, text_col: str = "text") -> DataFrame:
-    """`docs` with _score: the probability of label 1. Null and empty texts have no terms and get the bias
-    alone; without a model all scores are 0. Whole texts are read."""
+    """`docs` with, last, _score: the probability of label 1; where `docs` has a column of that name, ours has more
+    underscores behind. Null and empty texts have no terms and get the bias alone; without a model all scores
+    are 0. Whole texts are read."""
+    (name,) = fresh(docs.columns, "_score")
     if model is None:
-        return docs.select(*docs.columns, F.lit(0.0).alias("_score"))
-    held = in_batches(docs).sparkSession.sparkContext.broadcast(model)
+        return docs.select(*columns_of(docs), F.lit(0.0).alias(name))
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: pd.Series) -> pd.Series:
-        m = held.value
-        z = np.array([m.margin(m.features(t or "")) for t in texts], dtype=float)
+        z = np.concatenate([np.zeros(0), *(held.value.margins(texts.iloc[i : i + 500]) for i in range(0, len(texts), 500))])
         return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    return docs.select(*docs.columns, F.pandas_udf(run, "double")(F.col(text_col)).alias("_score"))
+    return docs.select(*columns_of(docs), F.pandas_udf(run, "double")(F.col(quoted(text_col))).alias(name))

@@ -1,4 +1,5 @@
 import math
+import re
 import zlib
 
 import numpy as np
@@ -22,40 +23,78 @@ def counts_of(texts):
     return pd.DataFrame([(k[0], k[1], n) for k, n in rows.items()], columns=["lang", "gram", "n"])
 
 
-def plain_bits(counts, lang, text):
-    """Prediction by partial matching, byte by byte."""
-    grams = [(int(g).to_bytes(4, "big"), n) for la, g, n in counts.itertuples(index=False) if la == lang]
-    everywhere = {b for g in counts["gram"] for b in int(g).to_bytes(4, "big")}
-    b, total = language_id.LEAD + text.encode(), 0.0
-    for i in range(3, len(b)):
-        p, excluded = 1.0, set()
-        for order in (3, 2, 1, 0):
-            ctx, seen = b[i - order : i], {}
-            for g, n in grams:
-                if g[3 - order : 3] == ctx and g[3] not in excluded:
-                    seen[g[3]] = seen.get(g[3], 0) + n
-            if not seen:
-                continue
-            size = sum(seen.values()) + len(seen)
-            if b[i] in seen:
-                p *= seen[b[i]] / size
-                break
-            p *= len(seen) / size
-            excluded |= set(seen)
-        else:
-            p /= 256 - len(excluded)
-        total -= math.log2(p)
-    assert everywhere
-    return total
+class PlainModel:
+    """Prediction by partial matching, byte by byte, over dictionaries of counts."""
+
+    def __init__(self, texts):
+        self.seen = [{} for _ in range(4)]  # by order: context -> symbol -> count
+        for t in texts:
+            b = language_id.LEAD + t.encode()
+            for i in range(3, len(b)):
+                for order in range(4):
+                    symbols = self.seen[order].setdefault(b[i - order : i], {})
+                    symbols[b[i]] = symbols.get(b[i], 0) + 1
+
+    def bits(self, text):
+        b, total = language_id.LEAD + text.encode(), 0.0
+        for i in range(3, len(b)):
+            p, excluded = 1.0, set()
+            for order in (3, 2, 1, 0):
+                seen = {s: n for s, n in self.seen[order].get(b[i - order : i], {}).items() if s not in excluded}
+                if not seen:
+                    continue
+                size = sum(seen.values()) + len(seen)
+                if b[i] in seen:
+                    p *= seen[b[i]] / size
+                    break
+                p *= len(seen) / size
+                excluded |= set(seen)
+            else:
+                p /= 256 - len(excluded)
+            total -= math.log2(p)
+        return total
 
 
 def test_code_lengths_are_exact():
-    texts = [("en", "the cat and the hat sat"), ("en", "that then"), ("fr", "le chat et les rats là"), ("fr", "été")]
+    texts = [("en", "the cat and the hat sat"), ("en", "that then"), ("fr", "le chat et les rats là"), ("fr", "été")] + [(f"x{i:02}", f"{chr(97 + i)}b{i}") for i in range(12)]
     counts = counts_of(texts)
-    model = language_id.build_model(counts, min_count=1)
-    for text in ("the hat", "les chats là", "zzz été Q", "", "a\nb"):
+    model = language_id.build_model(counts)
+    plain = [PlainModel([t for la, t in texts if la == lang]) for lang in model.languages]
+    assert len(model.languages) == 14 and len(model.tables) == 2
+    for text in ("the hat", "les chats là", "zzz été Q", "", "a\nb", "日本"):
         got = model.bits([text.encode(), b"x"])[0]
-        assert np.allclose(got, [plain_bits(counts, la, text) for la in model.languages], rtol=1e-4, atol=1e-3)
+        assert np.allclose(got, [m.bits(text) for m in plain], rtol=1e-4, atol=1e-3)
+
+
+def test_language_query_against_plain_version(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    train = {}
+    for r in rows:
+        if r.text and r.lang is not None and not in_fifth(r.doc_id):
+            train.setdefault(r.lang, set()).add(r.text)
+    plain = {lang: PlainModel(texts) for lang, texts in sorted(train.items())}
+    got = {r.doc_id: r for r in queries.op7_language_id(spark, SF).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        if r.text is None or not any(c.isalpha() for c in r.text):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0)
+        elif len(r.text) < 6000:
+            bits = {lang: m.bits(r.text) for lang, m in plain.items()}
+            best = min(bits, key=bits.get)
+            p = 1 / sum(2.0 ** -min(500, x - bits[best]) for x in bits.values())
+            assert got[r.doc_id].lang_pred == best and abs(got[r.doc_id].score - p) < 1e-3
+
+
+def test_sample_is_bounded_and_even(spark):
+    rows = [(f"l{i % 3}" if i % 4 else "l0", f"text {i // 2}") for i in range(600)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    got = language_id.bounded_sample(df, 20, 1000).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.lang, set()).add(r.text)
+    assert sorted(map(len, by.values())) == [20, 20, 20] and len(got) == 60
+    assert sorted((r.lang, r.text) for r in got) == sorted((r.lang, r.text) for r in language_id.bounded_sample(df.union(df), 20, 1000).collect())
+    assert language_id.bounded_sample(df, 20, 15).count() == 15
 
 
 def test_language_query(spark):
@@ -69,9 +108,11 @@ def test_language_query(spark):
 
 def test_language_odd_rows(spark):
     rows = [(1, "the cat sat on the mat " * 20, "en", 1.0), (2, "le chat est sur la table " * 20, "fr", 1.0), (3, None, "en", 1.0), (4, "", None, 0.0), (5, "123 !?", "fr", 0.0), (6, "the " * 200_000, None, 0.0), (7, "x", None, 0.0)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _bits0 double")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _BITS double")
     model = language_id.fit(df)
-    got = {r.doc_id: r for r in language_id.predict(df, model).collect()}
+    found = language_id.predict(df, model)
+    assert found.columns == [*df.columns, "_lang", "_score", "_bits_"]
+    got = {r.doc_id: r for r in found.collect()}
     assert [got[i]._lang for i in (1, 2, 3, 4, 5, 6)] == ["en", "fr", "und", "und", "und", "en"]
     assert got[7]._lang in ("en", "fr") and got[3]._score == 0
     assert language_id.fit(df.limit(0)) is None
@@ -79,25 +120,54 @@ def test_language_odd_rows(spark):
     assert language_id.predict(df.limit(0), model).count() == 0
 
 
+def letters(i):
+    return "".join(chr(97 + int(x)) for x in f"{i:04}")
+
+
 def test_interactions_are_learned(spark):
+    """Neither word says anything by itself; noise words are as many as a small corpus has."""
+    rng = np.random.default_rng(3)
     rows = []
-    for i in range(2400):
+    for i in range(8000):
         insult, group = i % 2, (i // 2) % 2
-        words = [f"w{(i * 7 + j) % 40}" for j in range(4)] + ["rude"] * insult + ["people"] * group
-        rows.append((i, " ".join(words), int(insult and group)))
+        words = [letters(x) for x in rng.integers(0, 1000, 25)] + ["rude"] * insult + ["people"] * group
+        rows.append((i, " ".join(words), int(insult != group)))
     df = spark.createDataFrame(rows, "doc_id long, text string, label int")
     model = toxicity.fit(df, df)
-    score = {t: model.margin(model.features(t)) for t in ("rude people", "rude", "people", "")}
-    assert score["rude people"] > 0 > max(score["rude"], score["people"], score[""])
+    noise = " ".join(letters(x) for x in range(0, 1000, 50))
+    rude, people, both, neither = model.margins([f"rude {noise}", f"people {noise}", f"rude people {noise}", noise])
+    assert min(rude, people) > 0.5 and max(both, neither) < -0.1
     # the margin is the plain double sum
-    f = model.features("rude people w1 w2 w3")
-    plain = model.bias + model.weight[f].sum() + sum(model.factors[a] @ model.factors[b] for x, a in enumerate(f) for b in f[x + 1 :])
-    assert abs(plain - model.margin(f)) < 1e-9
-    odd = spark.createDataFrame([(1, None, 9), (2, "", 9), (3, "RUDE, people! " * 50_000, 9)], "doc_id long, text string, _score0 int")
-    got = {r.doc_id: r._score for r in toxicity.score(odd, model).collect()}
-    assert got[1] == got[2] < 0.5 < got[3]
+    f = toxicity.buckets_of(["rude people " + noise], model.buckets)[0]
+    plain = model.bias + sum(float(model.weight[a]) for a in f) + sum(float(model.factors[a].astype(float) @ model.factors[b]) for x, a in enumerate(f) for b in f[x + 1 :])
+    assert abs(plain - both) < 1e-6
+    odd = spark.createDataFrame([(1, None, 9), (2, "", 9), (3, "RUDE, rude! " * 50_000, 9)], "doc_id long, text string, _Score int")
+    found = toxicity.score(odd, model)
+    assert found.columns == [*odd.columns, "_score_"]
+    got = {r.doc_id: r._score_ for r in found.collect()}
+    assert got[1] == got[2] < 0.6 < got[3]
     assert toxicity.fit(df, df.filter("label = 0")) is None and toxicity.fit(df.limit(0), df) is None and toxicity.fit(df, df.limit(0)) is None
-    assert [r._score for r in toxicity.score(odd, None).collect()] == [0.0] * 3
+    assert [r._score_ for r in toxicity.score(odd, None).collect()] == [0.0] * 3
+    assert toxicity.score(odd.limit(0), model).count() == 0
+
+
+def test_toxicity_query_against_plain_version(spark):
+    """Features, sample, order of training and scores in plain Python; only the descent itself is shared."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.toxic in (0, 1) and not in_fifth(r.doc_id)}
+    word = re.compile(r"[^\W\d_]+")
+    features = lambda t: sorted({zlib.crc32(w.encode()) % 2**20 for w in word.findall((t or "").lower())})
+    ids = sorted(d for d in labels if d in docs)
+    model = toxicity.train([np.array(features(docs[d]), dtype=np.int64) for d in ids], np.array([labels[d] for d in ids], dtype=float), 2**20)
+    got = {r.doc_id: r for r in queries.op10_toxicity(spark, SF).collect()}
+    assert got.keys() == docs.keys()
+    for d, text in docs.items():
+        f = features(text)
+        if len(f) < 400:
+            w, v = model.weight.astype(float), model.factors.astype(float)
+            z = model.bias + sum(w[a] for a in f) + sum(v[a] @ v[b] for x, a in enumerate(f) for b in f[x + 1 :])
+            want = 1 / (1 + math.exp(-max(-30, min(30, z))))
+            assert abs(got[d].score - want) < 1e-6 and got[d].predicted == int(want >= 0.5)
 
 
 def test_toxicity_query(spark):

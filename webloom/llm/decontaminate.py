@@ -1,19 +1,23 @@
-"""Benchmark decontamination with DataFrame operations only: a hash set of normalised benchmark
-n-grams meets every window of every document, and what it hits is compared word by word."""
+"""Benchmark decontamination with DataFrame operations only: every window of every document meets a broadcast hash set
+of normalised benchmark n-grams, and what it hits is compared word by word.
+
+Results depend on a text alone, so a text is known by 128 bits of it, whatever rows hold it."""
 
 from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import stored
+from webloom.llm.common import columns_of, dropped, fresh, quoted, stored
 
 #: A word, after A-Z is lower-cased: a run of digits, a-z and characters beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Benchmark windows up to which their hashes travel with the plan; beyond, windows are joined by shuffle.
-MAX_SET = 50_000
+#: Hashes in one broadcast set, about 64 MB; a larger benchmark is met in several passes of the same plan.
+SET_SIZE = 1_000_000
+#: Rows (or list entries) of a table of hits up to which it is broadcast; beyond, the same join is made by shuffle.
+BROADCAST_HITS = 200_000
 
 
 def words(text: Column) -> Column:
@@ -31,87 +35,70 @@ def benchmark_windows(benchmark: DataFrame, n: int = 10, id_col: str = "item_id"
     return windows.groupBy("size", "window", "h").agg(F.collect_set("item").alias("items"))
 
 
-def _in_row_hits(sets: dict[int, list[int]]) -> str:
-    """SQL for the hits [(at, size, window)] of the words `_w`: hash-set probe of each window."""
-    parts = []
-    for size, hashes in sorted(sets.items()):
-        probe = f"xxhash64(slice(hs, i + 1, {size})) IN ({', '.join(map(str, hashes))})"
-        found = f"if(size(hs) >= {size}, filter(sequence(0, size(hs) - {size}), i -> {probe}), array())"
-        # hs is bound once for all windows of a row
-        at = f"flatten(transform(array(transform(_w, x -> xxhash64(x))), hs -> {found}))"
-        parts.append(f"transform({at}, i -> named_struct('at', i, 'size', {size}, 'window', array_join(slice(_w, i + 1, {size}), ' ')))")
-    return f"concat({', '.join(parts)})"
-
-
-def hits(docs: DataFrame, windows: DataFrame, text_col: str = "text", max_set: int = MAX_SET) -> DataFrame:
-    """`docs` rows with _row (a row number), _n_words and, for each occurrence of a benchmark window, _at,
-    _size and _items (null where a row has none: one row then)."""
-    windows = stored(windows)
-    n = windows.count()
-    columns = docs.columns
-    base = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_w", words(F.col(text_col)))
-    keep = [F.col(c) for c in columns if c != text_col]
-    if n == 0:
-        return base.select(*keep, "_row", F.size("_w").alias("_n_words"), F.lit(None).cast("int").alias("_at"), F.lit(None).cast("int").alias("_size"), F.lit(None).cast("array<string>").alias("_items"))
-    if n <= max_set:
-        sets: dict[int, list[int]] = {}
-        for size, h in windows.select("size", "h").distinct().collect():  # at most max_set numbers
-            sets.setdefault(size, []).append(h)
-        # the words of a row are computed once: both uses stand under one lambda
-        both = f"transform(array(_w), _w -> named_struct('n', size(_w), 'hits', {_in_row_hits(sets)}))[0]"
-        found = base.select(*keep, "_row", F.expr(both).alias("_b")).select(*keep, "_row", F.col("_b.n").alias("_n_words"), F.explode_outer("_b.hits").alias("_hit"))
-        found = found.select(*keep, "_row", "_n_words", F.col("_hit.at").alias("_at"), F.col("_hit.size").alias("_size"), F.col("_hit.window").alias("_window"))
-        table = F.broadcast(windows.select(F.col("window").alias("_window"), F.col("size").alias("_size"), F.col("items").alias("_items")))
-        # the join compares the words themselves; a hash that only looked alike finds no partner
-        return found.join(table, ["_window", "_size"], "left").select(*keep, "_row", "_n_words", F.when(F.col("_items").isNotNull(), F.col("_at")).alias("_at"), "_size", "_items")
-    sizes = [r[0] for r in windows.select("size").distinct().collect()]
-    head = base.select(*keep, "_row", F.size("_w").alias("_n_words"))
-    spans = F.concat(*[F.expr(f"if(size(_w) >= {s}, transform(sequence(0, size(_w) - {s}), i -> named_struct('at', i, 'size', {s})), array())") for s in sizes])
-    all_windows = base.select("_row", "_w", spans.alias("_s")).select("_row", F.explode(F.expr("transform(_s, s -> named_struct('at', s.at, 'size', s.size, 'window', sha2(array_join(slice(_w, s.at + 1, s.size), ' '), 256)))")).alias("_hit"))
-    table = windows.select(F.sha2("window", 256).alias("_window"), F.col("size").alias("_size"), F.col("items").alias("_items"))
-    hit = all_windows.select("_row", F.col("_hit.at").alias("_at"), F.col("_hit.size").alias("_size"), F.col("_hit.window").alias("_window")).join(table, ["_window", "_size"])
-    return head.join(hit.select("_row", "_at", "_size", "_items"), "_row", "left")
-
-
-def report(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", max_set: int = MAX_SET) -> DataFrame:
-    """`docs` without its text, plus _n_words, _n_hit, _items (sorted strings) and _spans (the hit runs of
-    words, as start and end). One row per row of `docs`; null and empty texts have no words."""
-    found = hits(docs, benchmark_windows(benchmark, n), text_col, max_set)
-    keep = [c for c in docs.columns if c != text_col]
-    firsts = [F.first(c).alias(c) for c in keep]
-    by_row = found.groupBy("_row").agg(
-        *firsts,
-        F.first("_n_words").alias("_n_words"),
-        F.collect_set(F.when(F.col("_at").isNotNull(), F.struct(F.col("_at").alias("a"), (F.col("_at") + F.col("_size")).alias("b")))).alias("_o"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("_items")))).alias("_items"),
-    )
-    merge = """aggregate(array_sort(_o), CAST(array() AS array<struct<a:int,b:int>>), (done, x) ->
-        if(size(done) > 0 AND x.a <= element_at(done, -1).b,
-           concat(slice(done, 1, size(done) - 1), array(named_struct('a', element_at(done, -1).a, 'b', greatest(element_at(done, -1).b, x.b)))),
-           concat(done, array(named_struct('a', x.a, 'b', x.b)))))"""
-    spans = by_row.withColumn("_spans", F.expr(merge))
-    return spans.withColumn("_n_hit", F.expr("aggregate(_spans, 0L, (n, x) -> n + x.b - x.a)")).select(*keep, F.col("_n_words").cast("long").alias("_n_words"), "_n_hit", "_items", "_spans")
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text") -> DataFrame:
+def _key(text: Column) -> Column:
+    """128 bits of a text; null is the empty text."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("text"), text).alias("b"))
+
+
+def hits(docs: DataFrame, windows: DataFrame, text_col: str = "text", set_size: int = SET_SIZE) -> DataFrame:
+    """(key, at, size, items): every occurrence of a benchmark window (see benchmark_windows) in a text, once for equal
+    texts. `windows` is a stored table."""
+    n, sizes = windows.count(), sorted(r[0] for r in windows.select("size").distinct().collect())  # sizes are n at most
+    passes = max(1, -(-n // set_size))
+    text = F.col(quoted(text_col))
+    at_all = [f"if(size(hs) >= {s}, transform(sequence(0, size(hs) - {s}), i -> named_struct('at', i, 'size', {s}, 'h', xxhash64(slice(hs, i + 1, {s})))), array())" for s in sizes]
+    hashed = docs.select(_key(text).alias("key"), words(text).alias("w")).filter(F.size("w") >= (sizes[0] if sizes else 1))
+    # hs is bound once for all windows of a text
+    spans = F.expr(f"flatten(transform(array(transform(w, x -> xxhash64(x))), hs -> concat({', '.join(at_all)})))") if sizes else F.expr("array(named_struct('at', 0, 'size', 0, 'h', 0L))")
+    found = None
+    for k in range(passes):
+        hashes = windows.filter(F.pmod("h", F.lit(passes)) == k).select("h").distinct()
+        met = hashed.select("key", "w", F.explode(spans).alias("s")).join(F.broadcast(hashes.withColumnRenamed("h", "_h")), F.col("s.h") == F.col("_h"))
+        met = met.select("key", F.col("s.at").alias("at"), F.col("s.size").alias("size"), F.expr("array_join(slice(w, s.at + 1, s.size), ' ')").alias("window"))
+        found = met if found is None else found.unionByName(met)
+    # the join compares the words themselves; a hash that only looked alike finds no partner
+    exact = F.broadcast(windows) if n <= BROADCAST_HITS else windows
+    return found.join(exact.select("window", "size", "items"), ["window", "size"]).select("key", "at", "size", "items").distinct()
+
+
+def merged(found: DataFrame) -> DataFrame:
+    """(key, spans, items) of each text of hits(): the hit runs of words as [a, b), and the sorted item ids."""
+    before = Window.partitionBy("key").orderBy("at", "size").rowsBetween(Window.unboundedPreceding, -1)
+    opens = found.withColumn("until", F.max(F.col("at") + F.col("size")).over(before)).withColumn("new", F.when(F.col("until").isNull() | (F.col("at") > F.col("until")), 1).otherwise(0))
+    runs = opens.withColumn("run", F.sum("new").over(Window.partitionBy("key").orderBy("at", "size").rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("key", "run").agg(F.min("at").alias("a"), F.max(F.col("at") + F.col("size")).alias("b"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    return runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+
+def report(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", set_size: int = SET_SIZE) -> DataFrame:
+    """`docs` without its text and with, last, _n_words, _n_hit, _items (sorted strings) and _spans (the hit runs of
+    words, as start and end); where `docs` has a column of that name, ours has more underscores behind.
+
+    One row per row of `docs`, whatever its ids; null and empty texts have no words."""
+    keep = columns_of(docs, text_col)
+    n_words, n_hit, items, spans, key = fresh(docs.columns, "_n_words", "_n_hit", "_items", "_spans", "_key")
+    windows = stored(benchmark_windows(benchmark, n))
+    found = stored(hits(docs, windows, text_col, set_size))
+    by_text = stored(merged(found))
+    dropped(windows, found)
+    size = by_text.agg(F.coalesce(F.sum(F.size("spans") + F.size("items")), F.lit(0))).first()[0]
+    named = by_text.select(F.col("key").alias(key), F.col("spans").alias(spans), F.col("items").alias(items))
+    text = F.col(quoted(text_col))
+    counted = docs.select(*keep, F.size(words(text)).cast("long").alias(n_words), _key(text).alias(key))
+    both = counted.join(F.broadcast(named) if size <= BROADCAST_HITS else named, key, "left")
+    nothing = F.coalesce(F.col(spans), F.expr("CAST(array() AS array<struct<a:int,b:int>>)"))
+    return both.select(*keep, n_words, F.expr(f"aggregate(coalesce({spans}, array()), 0L, (n, x) -> n + x.b - x.a)").alias(n_hit), F.coalesce(F.col(items), F.expr("CAST(array() AS array<string>)")).alias(items), nothing.alias(spans))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", set_size: int = SET_SIZE) -> DataFrame:
     """`docs` without the rows whose text holds a benchmark window; every other row stays as it is."""
+    (key,) = fresh(docs.columns, "_key")
     windows = stored(benchmark_windows(benchmark, n))
-    count = windows.count()
-    if count > MAX_SET:
-        keyed = stored(docs.withColumn("_key", F.expr("uuid()")))
-        bad = hits(keyed.select("_key", text_col), windows, text_col).filter(F.col("_at").isNotNull()).select("_key").distinct()
-        return keyed.join(bad, "_key", "left_anti").drop("_key")
-    if count == 0:
-        return docs
-    sets: dict[int, list[int]] = {}
-    exact: dict[int, list[str]] = {}
-    for size, h, window in windows.select("size", "h", "window").collect():  # at most MAX_SET windows
-        sets.setdefault(size, []).append(h)
-        exact.setdefault(size, []).append(window)
-    found = F.expr(f"transform(array(_w), _w -> {_in_row_hits(sets)})[0]")
-    flat = [w for ws in exact.values() for w in ws]
-    really = F.exists(found, lambda x: x["window"].isin(flat))
-    return docs.withColumn("_w", words(F.col(text_col))).filter(~really).drop("_w")
+    bad = stored(hits(docs, windows, text_col, set_size).select(F.col("key").alias(key)).distinct())
+    dropped(windows)
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_HITS else bad
+    return docs.withColumn(key, _key(F.col(quoted(text_col)))).join(bad, key, "left_anti").select(*columns_of(docs))
 
 
 ORACLE = r"""

@@ -1,4 +1,5 @@
 import hashlib
+import struct
 import zlib
 
 import numpy as np
@@ -13,12 +14,12 @@ from webloom.llm import queries, tiff
 @pytest.mark.parametrize("tile", [None, (16, 32)])
 def test_round_trip(compression, order, tile):
     rng = np.random.default_rng(2)
-    for dtype in ("u1", "<u2", "<u4"):
+    for dtype in ("u1", "<u2", "<u4", "<u8"):
         for predictor in (1, 2, 3):
-            if predictor == 3 and dtype == "u1":
+            if predictor == 3 and dtype == "u1":  # the floating-point predictor is one of several bytes
                 continue
-            top = np.iinfo(dtype).max
-            images = [rng.integers(0, top, (37, 70, 3)).astype(dtype), (np.arange(50 * 41).reshape(50, 41) // 9 % top).astype(dtype), np.zeros((1, 1), dtype)]
+            top = int(np.iinfo(dtype).max) // 2
+            images = [rng.integers(0, top, (37, 70, 3), dtype=np.uint64).astype(dtype), (np.arange(50 * 41).reshape(50, 41).astype(np.uint64) // 9 % np.uint64(top)).astype(dtype), np.zeros((1, 1), dtype)]
             got = list(tiff.pages(tiff.encode(images, compression, predictor, 8, tile, order)))
             assert [p.number for p in got] == [0, 1, 2]
             for p, image in zip(got, images, strict=True):
@@ -56,8 +57,81 @@ def test_query(spark):
 
 
 def test_odd_texts(spark):
-    rows = [(1, None), (2, ""), (3, "é" * 32), (4, "x" * 300_000), (4, "x" * 300_000), (None, "a")]
+    rows = [(1, None), (2, ""), (3, "é" * 32), (4, "x" * 300_000), (4, "x" * 300_000), (None, "a"), (5, "yé" * 60_000)]
     media = tiff.store_texts(spark.createDataFrame([(*r, b"m") for r in rows], "doc_id long, text string, media binary"))
-    got = {r.doc_id: r for r in tiff.decode_pages(media).collect()}
-    assert got[1]._pixels == got[2]._pixels == bytes(64) and len(got[3]._pixels) == 64 and len(got[4]._pixels) == 300_032
-    assert tiff.decode_pages(media).count() == 6
+    pages = tiff.decode_pages(media.filter("doc_id = 4")).collect()
+    assert sorted(r._page for r in pages) == sorted([*range(5)] * 2)
+    got = tiff.read_texts(media).collect()
+    assert sorted((str(r.doc_id), bytes(r.payload)) for r in got) == sorted((str(d), tiff.payload(t)) for d, t in rows)
+    assert len({r.feature for r in got if r.doc_id == 4}) == 1 and [r.feature.count("|") for r in got if r.doc_id == 5] == [2]
+    assert tiff.read_texts(tiff.store_texts(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def test_every_form_is_written():
+    seen = {(p.compression, p.predictor) for i in range(300) for p in tiff.pages(tiff.file_of(tiff.payload(f"text {i} " * 9)))}
+    assert seen == {(c, p) for c in (tiff.LZW, tiff.PACKBITS, tiff.DEFLATE, tiff.OLD_DEFLATE) for p in (1, 2)}
+
+
+def file_with(fields, data=b"", order="<"):
+    """One directory with the fields {tag: (kind, values)} behind the data."""
+    out = bytearray(b"II" + struct.pack("<HI", 42, 8 + len(data)) + data) + struct.pack("<H", len(fields))
+    extra_at, extra = 8 + len(data) + 2 + 12 * len(fields) + 4, b""
+    for tag, (kind, values) in sorted(fields.items()):
+        value = struct.pack(f"<{len(values)}{tiff.FIELD[kind]}", *values)
+        if len(value) > 4:
+            place, extra = extra_at + len(extra), extra + value
+            value = struct.pack("<I", place)
+        out += struct.pack("<HHI", tag, kind, len(values)) + value.ljust(4, b"\0")
+    return bytes(out + b"\0\0\0\0" + extra)
+
+
+def test_bits_below_a_byte():
+    for bits, line in ((1, b"\xa5\x80"), (2, b"\x1b\xc0"), (4, b"\x12\x34\x50")):
+        n = {1: 9, 2: 5, 4: 5}[bits]
+        want = [[1, 0, 1, 0, 0, 1, 0, 1, 1], [0, 1, 2, 3, 3], [1, 2, 3, 4, 5]][[1, 2, 4].index(bits)]
+        data = tiff.pack_bits(line * 2)
+        f = {tiff.WIDTH: (4, (n,)), tiff.HEIGHT: (4, (2,)), tiff.BITS: (3, (bits,)), tiff.COMPRESSION: (3, (tiff.PACKBITS,)), tiff.STRIP_OFFSETS: (4, (8,)), tiff.ROWS_PER_STRIP: (4, (2,)), tiff.STRIP_COUNTS: (4, (len(data),))}
+        (page,) = tiff.pages(file_with(f, data))
+        assert page.bits == bits and list(page.pixels) == want * 2
+        assert tiff.feature(page).startswith(f"{n}x2x1:{bits}:")
+
+
+def broken():
+    good = {tiff.WIDTH: (4, (4,)), tiff.HEIGHT: (4, (4,)), tiff.BITS: (3, (8,)), tiff.STRIP_OFFSETS: (4, (8,)), tiff.ROWS_PER_STRIP: (4, (4,)), tiff.STRIP_COUNTS: (4, (16,))}
+    data = bytes(range(16))
+    yield file_with({k: v for k, v in good.items() if k != tiff.STRIP_OFFSETS}, data)
+    yield file_with({k: v for k, v in good.items() if k != tiff.STRIP_COUNTS}, data)
+    for tag, values in ((tiff.ROWS_PER_STRIP, (0,)), (tiff.WIDTH, (0,)), (tiff.HEIGHT, (0,)), (tiff.WIDTH, ()), (tiff.STRIP_COUNTS, (16, 16)), (tiff.STRIP_OFFSETS, (9_999_999,)), (tiff.SAMPLES, (0,))):
+        yield file_with(good | {tag: (good.get(tag, (3,))[0], values)}, data)
+    yield file_with(good | {tiff.WIDTH: (4, (2**31,)), tiff.HEIGHT: (4, (2**31,))}, data)
+    yield file_with(good | {tiff.TILE_OFFSETS: (4, (8,)), tiff.TILE_COUNTS: (4, (16,))}, data)
+    yield file_with(good | {tiff.TILE_OFFSETS: (4, (8,)), tiff.TILE_COUNTS: (4, (16,)), tiff.TILE_WIDTH: (4, (0,)), tiff.TILE_HEIGHT: (4, (16,))}, data)
+    for codec in (tiff.LZW, tiff.DEFLATE, 7):
+        yield file_with(good | {tiff.COMPRESSION: (3, (codec,))}, data)
+    yield file_with(good | {tiff.PREDICTOR: (3, (9,))}, data)
+    yield file_with(good | {tiff.PREDICTOR: (3, (2,)), tiff.BITS: (3, (1,))}, data)
+
+
+def test_damaged_files(spark):
+    files = [*broken(), b"", b"II", b"II*\0", b"II*\0\xff\xff\xff\x7f", b"MM\0*\0\0\0\x08\xff\xff"]
+    fine = file_with({tiff.WIDTH: (4, (4,)), tiff.HEIGHT: (4, (4,)), tiff.BITS: (3, (8,)), tiff.STRIP_OFFSETS: (4, (8,)), tiff.STRIP_COUNTS: (4, (16,))}, bytes(range(16)))
+    files += [fine[:i] for i in range(len(fine))]
+    rng = np.random.default_rng(8)
+    whole = tiff.encode([rng.integers(0, 255, (30, 40), dtype=np.uint8)], tiff.LZW, 2, 8)
+    for _ in range(300):
+        b = bytearray(whole)
+        for _ in range(3):
+            b[rng.integers(len(b))] = rng.integers(256)
+        files.append(bytes(b))
+    got = tiff.decode_pages(spark.createDataFrame(list(enumerate(files)), "id long, media binary"), max_page=1 << 24).collect()
+    assert {r.id for r in got} == set(range(len(files)))
+    assert all(any(r._error for r in got if r.id == i) for i in range(len(list(broken())) + 5) if files[i] != fine)
+    assert all((r._error is None) != (r._pixels is None) for r in got)
+    assert [r._pixels for r in tiff.decode_pages(spark.createDataFrame([(fine,)], "media binary")).collect()] == [bytes(range(16))]
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(tiff.file_of(tiff.payload("a")), 1, "x")], "media binary, _page long, _ERROR string")
+    got = tiff.decode_pages(df)
+    assert got.columns[:4] == ["_page", "_ERROR", "_page_", "_width"] and got.columns[-1] == "_error_"
+    assert got.first()._page == 1 and got.first()._page_ == 0

@@ -8,18 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm import decontaminate, language_id, lines, near_dedup, oracles, packing, paragraphs, repeats, tiff, token_files, toxicity
-from webloom.llm.common import documents, held_out, stored, table
+from webloom.llm.common import documents, held_out, small_batches, stored, table
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A query's few columns, computed in small batches."""
+    with small_batches(df.sparkSession):
+        return stored(df)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.removed_spans(documents(spark, sf_dir))
-    return found.select(
+    return _small(found.select(
         "doc_id",
         F.col("_n_bytes").alias("n_bytes"),
         (F.col("_n_bytes") - F.octet_length("_kept")).alias("n_removed"),
         F.size("_spans").cast("long").alias("n_spans"),
         F.sha2("_kept", 256).alias("kept_sha256"),
-    )
+    ))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,18 +33,19 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = stored(tiff.store_texts(documents(spark, sf_dir)))
-    pages = tiff.decode_pages(media.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)}))
-    return pages.select(
+    with small_batches(spark):
+        media = stored(tiff.store_texts(documents(spark, sf_dir)))
+    found = tiff.read_texts(media)
+    return _small(found.select(
         "doc_id",
         "n_bytes",
-        F.octet_length("_pixels").cast("long").alias("payload_bytes"),
-        F.sha2("_pixels", 256).alias("payload_sha256"),
-        F.crc32(F.substring("_pixels", -64, 64)).alias("tail_crc32"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
         "media_bytes",
         "media_sha256",
-        F.col("_feature").alias("feature"),
-    )
+        "feature",
+    ))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +78,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language_id.fit(docs.filter(~held_out(F.col("doc_id"))))
     found = language_id.predict(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+    return _small(found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score")))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +102,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("label"))
     model = toxicity.fit(docs, labels.filter(~held_out(F.col("doc_id"))))
     found = toxicity.score(docs, model)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    return _small(found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

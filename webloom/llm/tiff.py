@@ -1,7 +1,8 @@
 """TIFF media columns: a writer for sample payloads and a reader that emits one row per page.
 
 The reader walks the image directories, takes strips or tiles, decodes none, PackBits, LZW and deflate,
-and undoes the horizontal-difference and the floating-point predictor."""
+and undoes the horizontal-difference and the floating-point predictor. Samples of 1, 2 and 4 bits come as one byte each.
+Whatever is wrong with a file is a TiffError, and what it may decode to is limited."""
 
 from __future__ import annotations
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import in_batches
+from webloom.llm.common import columns_of, fresh, in_small_batches, quoted, slices, stored
 
 # Fixed values of the public TIFF 6.0 format.
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
@@ -25,6 +26,8 @@ PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 3
 FIELD = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 16: "Q", 17: "q"}
 WIDTHS = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 16: 8, 17: 8}
 CLEAR, END = 256, 257
+#: Bytes that one page may decode to.
+MAX_PAGE = 1 << 30
 
 
 class TiffError(ValueError):
@@ -43,9 +46,9 @@ class Page:
     pixels: bytes  # rows from the top, samples of a pixel together, little-endian
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, most: int = MAX_PAGE) -> bytes:
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and len(out) < most:
         n = data[i]
         if n < 128:
             out += data[i + 1 : i + 2 + n]
@@ -76,10 +79,10 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int = MAX_PAGE) -> bytes:
     """Codes of 9 to 12 bits, high bit first; the width grows one code early, as the format asks."""
     out, table, previous = [], [], b""
-    held, have, width = 0, 0, 9
+    held, have, width, size = 0, 0, 9, 0
     for byte in data:
         held, have = (held << 8) | byte, have + 8
         if have < width:
@@ -93,6 +96,8 @@ def lzw_decode(data: bytes) -> bytes:
             continue
         if not table:
             raise TiffError("LZW data does not begin with a clear code")
+        if len(table) > 4096:
+            raise TiffError("LZW table is full")
         if not previous:
             entry = table[code] if code < 256 else None
         elif code < len(table):
@@ -104,6 +109,9 @@ def lzw_decode(data: bytes) -> bytes:
         if entry is None:
             raise TiffError("LZW code out of order")
         out.append(entry)
+        size += len(entry)
+        if size >= most:
+            break
         previous = entry
         width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
     return b"".join(out)
@@ -146,7 +154,18 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-CODECS = {NONE: (bytes, bytes), LZW: (lzw_encode, lzw_decode), PACKBITS: (pack_bits, unpack_bits), DEFLATE: (lambda b: zlib.compress(b, 6), zlib.decompress), OLD_DEFLATE: (lambda b: zlib.compress(b, 6), zlib.decompress)}
+def inflate(data: bytes, most: int = MAX_PAGE) -> bytes:
+    try:
+        return zlib.decompressobj().decompress(data, most)
+    except zlib.error as e:
+        raise TiffError(f"deflate: {e}") from e
+
+
+def deflate(data: bytes) -> bytes:
+    return zlib.compress(data, 6)
+
+
+CODECS = {NONE: (bytes, lambda data, most: data[:most]), LZW: (lzw_encode, lzw_decode), PACKBITS: (pack_bits, unpack_bits), DEFLATE: (deflate, inflate), OLD_DEFLATE: (deflate, inflate)}
 
 
 def _difference(block: np.ndarray) -> np.ndarray:
@@ -157,6 +176,13 @@ def _difference(block: np.ndarray) -> np.ndarray:
 
 def _undo(raw: bytes, rows: int, columns: int, samples: int, bits: int, predictor: int, order: str) -> np.ndarray:
     """A strip's or tile's samples as an array (rows, columns, samples) of little-endian unsigned numbers."""
+    if bits < 8:  # rows begin at whole bytes, the first sample in the high bits
+        line = -(-columns * samples * bits // 8)
+        if len(raw) < rows * line or predictor != 1:
+            raise TiffError("a strip or tile is too short" if predictor == 1 else f"predictor {predictor} with {bits} bits")
+        each = np.unpackbits(np.frombuffer(raw[: rows * line], dtype=np.uint8).reshape(rows, line), axis=1)
+        each = each[:, : columns * samples * bits].reshape(rows, columns, samples, bits)
+        return (each << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=3, dtype=np.uint8)
     size = bits // 8
     want = rows * columns * samples * size
     if len(raw) < want:
@@ -200,34 +226,48 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
         raise TiffError(f"cut short: {e}") from e
 
 
-def pages(data: bytes) -> Iterator[Page]:
+def _need(fields: dict[int, tuple], tag: int, what: str) -> tuple:
+    if not fields.get(tag):
+        raise TiffError(f"no {what}")
+    return fields[tag]
+
+
+def _one(fields: dict[int, tuple], tag: int, otherwise: int) -> int:
+    return (fields.get(tag) or (otherwise,))[0]
+
+
+def pages(data: bytes, max_page: int = MAX_PAGE) -> Iterator[Page]:
     for number, (order, f) in enumerate(directories(data)):
-        try:
-            width, height = f[WIDTH][0], f[HEIGHT][0]
-        except KeyError as e:
-            raise TiffError("no width or height") from e
-        samples, bits = f.get(SAMPLES, (1,))[0], f.get(BITS, (1,))[0]
-        compression, predictor, planar = f.get(COMPRESSION, (1,))[0], f.get(PREDICTOR, (1,))[0], f.get(PLANAR, (1,))[0]
-        if compression not in CODECS or bits not in (8, 16, 32) or len(set(f.get(BITS, (1,)))) > 1:
+        width, height = _need(f, WIDTH, "width")[0], _need(f, HEIGHT, "height")[0]
+        samples, bits = _one(f, SAMPLES, 1), _one(f, BITS, 1)
+        compression, predictor, planar = _one(f, COMPRESSION, 1), _one(f, PREDICTOR, 1), _one(f, PLANAR, 1)
+        if compression not in CODECS or bits not in (1, 2, 4, 8, 16, 32, 64) or len(set(f.get(BITS, (1,)))) > 1:
             raise TiffError(f"compression {compression} with {bits} bits")
+        size = max(1, bits // 8)
         tiled = TILE_OFFSETS in f
-        tw, th = (f[TILE_WIDTH][0], f[TILE_HEIGHT][0]) if tiled else (width, min(f.get(ROWS_PER_STRIP, (height,))[0], height))
-        offsets, counts = (f[TILE_OFFSETS], f[TILE_COUNTS]) if tiled else (f[STRIP_OFFSETS], f[STRIP_COUNTS])
+        if tiled:
+            tw, th = _need(f, TILE_WIDTH, "tile width")[0], _need(f, TILE_HEIGHT, "tile height")[0]
+        else:
+            tw, th = width, min(_one(f, ROWS_PER_STRIP, height), height)
+        if min(width, height, samples, tw, th) < 1:
+            raise TiffError("no pixels")
+        if max(width * height, tw * th) * samples * size > max_page:
+            raise TiffError(f"{width} x {height} pixels are over the limit")
+        offsets = _need(f, TILE_OFFSETS, "tiles") if tiled else _need(f, STRIP_OFFSETS, "strips")
+        counts = _need(f, TILE_COUNTS, "tile sizes") if tiled else _need(f, STRIP_COUNTS, "strip sizes")
         across, down = -(-width // tw), -(-height // th)
         planes, each = (samples, 1) if planar == 2 else (1, samples)
-        out = np.zeros((height, width, samples), dtype=f"<u{bits // 8}")
-        for k, (offset, count) in enumerate(zip(offsets, counts, strict=True)):
+        if len(offsets) != len(counts) or len(offsets) < across * down * planes:
+            raise TiffError(f"{len(offsets)} offsets and {len(counts)} sizes for {across * down * planes} strips or tiles")
+        out = np.zeros((height, width, samples), dtype=f"<u{size}")
+        for k in range(across * down * planes):
             plane, row, column = k // (across * down), k // across % down, k % across
-            if plane >= planes:
-                break
             rows = th if tiled else min(th, height - row * th)
-            try:
-                raw = CODECS[compression][1](data[offset : offset + count])
-            except zlib.error as e:
-                raise TiffError(f"deflate: {e}") from e
+            most = rows * -(-tw * each * bits // 8)
+            raw = CODECS[compression][1](data[offsets[k] : offsets[k] + counts[k]], most)
             block = _undo(raw, rows, tw, each, bits, predictor, order)
             y, x = row * th, column * tw
-            target = out[y : y + th, x : x + tw, plane : plane + each] if planar == 2 else out[y : y + th, x : x + tw]
+            target = out[y : y + th, x : x + tw, plane : plane + each]
             target[...] = block[: target.shape[0], : target.shape[1]]
         yield Page(number, width, height, samples, bits, compression, predictor, out.tobytes())
 
@@ -283,57 +323,74 @@ def payload(text: str | None) -> bytes:
     return b.ljust(max(64, -(-len(b) // 64) * 64), b"\0")
 
 
-def store_texts(docs: DataFrame, compression: int = DEFLATE, rows_per_strip: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media): each text's payload as one page of 8-bit samples, 64 wide. A null text is
-    empty; other columns are not read."""
+#: Rows of 64 samples on a page of a stored text.
+PAGE_ROWS = 1024
+
+
+def file_of(data: bytes) -> bytes:
+    """A payload as a file: pages of 64 columns and at most PAGE_ROWS rows. Every byte of its CRC-32 decides something, so
+    that a corpus holds all forms: codec, byte order of numbers, predictor, strips or tiles."""
+    mark = zlib.crc32(data)
+    rows = np.frombuffer(data, dtype=np.uint8).reshape(-1, 64)
+    images = [rows[i : i + PAGE_ROWS] for i in range(0, len(rows), PAGE_ROWS)]
+    compression = (DEFLATE, OLD_DEFLATE, DEFLATE, LZW, PACKBITS, DEFLATE)[mark % 6]
+    return encode(images, compression, 1 + (mark >> 8 & 1), 256, (32, 32) if mark >> 16 & 1 else None, "<>"[mark >> 24 & 1])
+
+
+def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, n_pages, media): each text's payload as a file of 8-bit samples (see file_of); equal texts give
+    equal files. A null text is empty; other columns are not read."""
 
     def run(batches):
-        for batch in batches:
-            sizes, media = [], []
+        for batch in slices(batches):
+            sizes, n_pages, media = [], [], []
             for text in batch.column(1).to_pylist():
+                data = payload(text)
                 sizes.append(len((text or "").encode()))
-                media.append(encode([np.frombuffer(payload(text), dtype=np.uint8).reshape(-1, 64)], compression, rows_per_strip=rows_per_strip))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+                n_pages.append(-(-len(data) // (64 * PAGE_ROWS)))
+                media.append(file_of(data))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(n_pages, pa.int32()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "n_pages", "media"])
 
-    return in_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col(quoted(id_col)).cast("long"), F.col(quoted(text_col)).cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_pages int, media binary")
 
 
-PAGE = "_page int, _width int, _height int, _samples int, _bits int, _compression int, _predictor int, _pixels binary, _feature string, _error string"
+PAGE = {"_page": "int", "_width": "int", "_height": "int", "_samples": "int", "_bits": "int", "_compression": "int", "_predictor": "int", "_pixels": "binary", "_feature": "string", "_error": "string"}
 
 
 def feature(page: Page) -> str:
     """Size, mean and deviation of the samples, and a 64-bit mean hash over a grid of 8 by 8."""
-    x = np.frombuffer(page.pixels, dtype=f"<u{page.bits // 8}")
+    x = np.frombuffer(page.pixels, dtype=f"<u{max(1, page.bits // 8)}")
     flat = np.add.reduceat(x, np.linspace(0, len(x), 64, endpoint=False).astype(np.int64), dtype=np.float64) if len(x) >= 64 else np.zeros(64)
     mark = int("".join("1" if v > flat.mean() else "0" for v in flat), 2)
     return f"{page.width}x{page.height}x{page.samples}:{page.bits}:{x.mean() if len(x) else 0:.4f}:{x.std() if len(x) else 0:.4f}:{mark:016x}"
 
 
-def decode_pages(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """One row per page of the files in `media_col`, with all other columns and _page, _width, _height, _samples,
-    _bits, _compression, _predictor, _pixels, _feature and _error.
+def decode_pages(media: DataFrame, media_col: str = "media", max_page: int = MAX_PAGE) -> DataFrame:
+    """One row per page of the files in `media_col`, with all other columns and, last, _page, _width, _height, _samples,
+    _bits, _compression, _predictor, _pixels, _feature and _error; where `media` has a column of that name, ours has more
+    underscores behind.
 
-    A null or unreadable file gives one row with null page columns and what was wrong in _error; pages read
-    before the damage are given too."""
+    A null or unreadable file, and one with a page of more than `max_page` bytes, gives one row with null page columns and
+    what was wrong in _error; pages read before the damage are given too."""
     keep = [c for c in media.columns if c != media_col]
-    schema = ", ".join([f"`{c}` {media.schema[c].dataType.simpleString()}" for c in keep] + [PAGE])
-    names = [*keep, *(x.split()[0] for x in PAGE.split(", "))]
+    own = fresh(media.columns, *PAGE)
+    schema = ", ".join([f"{quoted(c)} {media.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} {t}" for c, t in zip(own, PAGE.values(), strict=True)])
+    names = [*keep, *own]
     kinds = [pa.int32()] * 7 + [pa.binary(), pa.string(), pa.string()]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             who, rows, size = [], [], 0
 
             def flush(batch=batch):
-                carried = [batch.column(c).take(pa.array(who, pa.int64())) for c in keep]
-                own = [pa.array([r[i] for r in rows], kinds[i]) for i in range(10)]
-                return pa.RecordBatch.from_arrays(carried + own, names)
+                carried = [batch.column(i).take(pa.array(who, pa.int64())) for i in range(1, batch.num_columns)]
+                return pa.RecordBatch.from_arrays(carried + [pa.array([r[i] for r in rows], kinds[i]) for i in range(10)], names)
 
-            for i, data in enumerate(batch.column(media_col).to_pylist()):
+            for i, data in enumerate(batch.column(0)):
                 try:
-                    if data is None:
+                    if not data.is_valid:
                         raise TiffError("null")
-                    for p in pages(data):
+                    for p in pages(data.as_py(), max_page):
                         who.append(i)
                         rows.append((p.number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.pixels, feature(p), None))
                         size += len(p.pixels)
@@ -345,4 +402,25 @@ def decode_pages(media: DataFrame, media_col: str = "media") -> DataFrame:
                     rows.append((None,) * 9 + (str(e),))
             yield flush()
 
-    return in_batches(media).mapInArrow(run, schema)
+    return media.select(F.col(quoted(media_col)), *columns_of(media, media_col)).mapInArrow(run, schema)
+
+
+@in_small_batches
+def read_texts(media: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media_bytes, media_sha256, payload, feature) of the stored rows of store_texts, read back page by
+    page: payload is all pages' samples, feature all pages' features. Files of one page stay in place; the others, long
+    texts, are put together by file, each distinct file once."""
+    marked = media.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    columns = ["doc_id", "n_bytes", "media_bytes", "media_sha256"]
+    short = decode_pages(marked.filter("n_pages = 1")).select(*columns, F.col("_pixels").alias("payload"), F.col("_feature").alias("feature"))
+    long = marked.filter("n_pages > 1")
+    files = decode_pages(long.select("media_sha256", "media").dropDuplicates(["media_sha256"])).groupBy("media_sha256").agg(F.array_sort(F.collect_list(F.struct("_page", "_pixels", "_feature"))).alias("p"))
+    files = files.select("media_sha256", F.col("p._pixels").alias("parts"), F.array_join("p._feature", "|").alias("feature"))
+
+    def run(batches):
+        for batch in slices(batches, 16):
+            joined = [b"".join(x) for x in batch.column("parts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("media_sha256"), pa.array(joined, pa.binary()), batch.column("feature")], ["media_sha256", "payload", "feature"])
+
+    whole = stored(files.mapInArrow(run, "media_sha256 string, payload binary, feature string"))
+    return short.unionByName(long.select(*columns).join(whole, "media_sha256").select(*columns, "payload", "feature"))

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import in_batches, stored
+from webloom.llm.common import dropped, in_small_batches, quoted, slices, stored
 
 GRAM = 50
 #: Starts that are looked at together in one text: a bound on memory.
@@ -96,7 +96,7 @@ def sampled(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in slices(batches):
                 docs_, parts, held = [], [], 0
                 for doc, data in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1)), strict=True):
                     if len(data) < length:
@@ -115,7 +115,7 @@ def sampled(docs: DataFrame, length: int) -> DataFrame:
         gram, hull, place = (np.concatenate(x) for x in zip(*parts, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(hull), pa.array(np.concatenate(docs_)), pa.array(place)], ["gram", "hull", "doc", "place"])
 
-    return in_batches(docs).select("doc", "text").mapInArrow(run, "gram long, hull long, doc long, place long")
+    return docs.select("doc", "text").mapInArrow(run, "gram long, hull long, doc long, place long")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -123,22 +123,22 @@ def packed(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())], ["doc", "z"])
 
-    return in_batches(docs).select("doc", "text").mapInArrow(run, "doc long, z binary")
+    return docs.select("doc", "text").mapInArrow(run, "doc long, z binary")
 
 
 CONTEXT = "gram long, doc long, place long, weight int, context binary"
 
 
-def with_context(docs: DataFrame, nodes: DataFrame, length: int) -> DataFrame:
-    """The nodes (gram, doc, place, weight) with the bytes under their strings."""
+def with_context(texts: DataFrame, nodes: DataFrame, length: int) -> DataFrame:
+    """The nodes (gram, doc, place, weight) with the bytes under their strings, from packed() texts."""
     wanted = nodes.groupBy("doc").agg(F.collect_list(F.struct("gram", "place", "weight")).alias("nodes"))  # as many as fit one text
 
     def run(batches):
         press = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in slices(batches):
             rows, size = ([], [], [], [], []), 0
             for doc, z, nodes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data = press.decompress(z)
@@ -152,7 +152,7 @@ def with_context(docs: DataFrame, nodes: DataFrame, length: int) -> DataFrame:
                     rows, size = ([], [], [], [], []), 0
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["gram", "doc", "place", "weight", "context"])
 
-    return packed(docs).join(wanted, "doc").mapInArrow(run, CONTEXT)
+    return texts.join(wanted, "doc").mapInArrow(run, CONTEXT)
 
 
 def starts_of(rows: dict[str, list], length: int):
@@ -225,7 +225,7 @@ def doubled(contexts: DataFrame, length: int) -> DataFrame:
     def run(batches):
         with np.errstate(over="ignore"):
             held: dict[str, list] = {}
-            for batch in batches:
+            for batch in slices(batches):
                 new = batch.to_pydict()
                 held = {k: held.get(k, []) + v for k, v in new.items()}
                 whole = len(held["gram"])
@@ -245,7 +245,7 @@ def counted(contexts: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in slices(batches):
                 for i in range(0, batch.num_rows, 4000):
                     rows = batch.slice(i, 4000).to_pydict()
                     kind, node, start, spot, first, _ = starts_of(rows, length)
@@ -257,24 +257,29 @@ def counted(contexts: DataFrame, length: int) -> DataFrame:
     return starts.filter("weight = 1").join(twice, ["kind", "rank"]).select("doc", "lo", F.col("lo").alias("hi"))
 
 
-def repeated_runs(docs: DataFrame, length: int = 200, hot: int = HOT) -> DataFrame:
-    """(doc, lo, hi): runs of starts of repeated strings, from docs (doc, text) with distinct docs."""
-    nodes = sampled(docs, length)
-    grams = nodes.groupBy("gram").count().filter("count > 1").select("gram")
+def repeated_runs(docs: DataFrame, texts: DataFrame, length: int = 200, hot: int = HOT) -> DataFrame:
+    """(doc, lo, hi): runs of starts of repeated strings, from docs (doc, text) with distinct docs and their packed() texts.
+
+    What is counted by gram or hull is stored before it is joined back, so that the joins have nothing but exchanges
+    below them and Spark can split a hot gram."""
+    nodes = stored(sampled(docs, length))
+    grams = stored(nodes.groupBy("gram").count().filter("count > 1").select("gram"))
     shared = stored(nodes.join(grams, "gram"))
+    dropped(nodes, grams)
     kinds = stored(shared.groupBy("gram", "hull").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("one")))
     whole = shared.join(kinds.filter("n > 1").select("gram", "hull"), ["gram", "hull"])
     place = F.col("place")
     whole = whole.select("doc", (F.shiftright(place, 16) - place.bitwiseAND(255)).alias("lo"), (F.shiftright(place, 16) - F.shiftright(place, 8).bitwiseAND(255)).alias("hi"))
-    several = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    several = stored(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
     ends = kinds.join(several, "gram").select("gram", "one.doc", "one.place", F.least("n", F.lit(2)).cast("int").alias("weight"), "kinds")
-    usual = doubled(with_context(docs, ends.filter(F.col("kinds") <= hot), length), length)
+    usual = doubled(with_context(texts, ends.filter(F.col("kinds") <= hot), length), length)
     found = whole.unionByName(usual)
     if several.filter(F.col("kinds") > hot).limit(1).count():
-        found = found.unionByName(counted(with_context(docs, ends.filter(F.col("kinds") > hot), length), length))
+        found = found.unionByName(counted(stored(with_context(texts, ends.filter(F.col("kinds") > hot), length)), length))
     return found
 
 
+@in_small_batches
 def removed_spans(docs: DataFrame, length: int = 200, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document, what is left of its text without all bytes under a `length`-byte string that also starts
     elsewhere: id_col, _n_bytes, _spans (maximal removed runs as [start, end)), _kept (binary).
@@ -283,15 +288,16 @@ def removed_spans(docs: DataFrame, length: int = 200, hot: int = HOT, id_col: st
     repeated rows included (copies of a row repeat each other); a null text is empty. Other columns are not read."""
     if length < 2 * GRAM or length - GRAM > 254:
         raise ValueError(f"length must be from {2 * GRAM} to {GRAM + 254}")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).cast("string").alias("text"))
     plain = dict(rows.dtypes)["_id"] == "bigint" and not rows.groupBy("_id").count().filter("count > 1 OR _id IS NULL").limit(1).count()
     # rows that their id does not tell apart get numbers, written once
     keyed = rows.withColumn("doc", F.col("_id")) if plain else stored(rows.withColumn("doc", F.monotonically_increasing_id()))
-    spans = repeated_runs(keyed.select("doc", "text"), length, hot).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    texts = stored(packed(keyed.select("doc", "text")))
+    spans = repeated_runs(keyed.select("doc", "text"), texts, length, hot).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
 
     def run(batches):
         press = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in slices(batches):
             sizes, cuts, kept = [], [], []
             for z, found in zip(batch.column("z").to_pylist(), batch.column("runs").to_pylist(), strict=True):
                 data, merged = press.decompress(z), []
@@ -306,7 +312,7 @@ def removed_spans(docs: DataFrame, length: int = 200, hot: int = HOT, id_col: st
                 kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sizes, pa.int64()), pa.array(cuts, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())], ["doc", "_n_bytes", "_spans", "_kept"])
 
-    done = packed(keyed.select("doc", "text")).join(spans, "doc", "left").select("doc", "z", "runs").mapInArrow(run, "doc long, _n_bytes long, _spans array<array<long>>, _kept binary")
+    done = texts.join(spans, "doc", "left").select("doc", "z", "runs").mapInArrow(run, "doc long, _n_bytes long, _spans array<array<long>>, _kept binary")
     if plain:
         return done.withColumnRenamed("doc", id_col)
     return done.join(keyed.select("doc", F.col("_id").alias(id_col)), "doc").select(id_col, "_n_bytes", "_spans", "_kept")

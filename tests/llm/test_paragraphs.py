@@ -114,6 +114,18 @@ def test_planted(spark):
     assert paragraphs.duplicates(df.limit(0)).count() == 0
 
 
+def test_remove_spans_of_any_ids(spark):
+    line = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, f"first\n{line}"), (None, f"second\n{line}"), (None, "third"), (None, f"{line}\nfourth"), (7, line), (7, f"fifth\n{line}"), (8, None)]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, _spans string")
+    got = paragraphs.remove_spans(df, paragraphs.duplicates(df))
+    assert got.columns == df.columns
+    left = sorted(str(r.text) for r in got.collect())
+    assert len(left) == 7 and sum(line in t for t in left) == 1 and {"third", "None"} <= set(left)
+    twice = spark.createDataFrame([(3, line), (3, line)], "doc_id long, text string")
+    assert [r.text for r in paragraphs.remove_spans(twice, paragraphs.duplicates(twice)).collect()] == [line, line]
+
+
 def test_template_family(spark):
     rng = random.Random(6)
     noise = lambda n: [f"n{rng.randint(0, 10**9)}" for _ in range(n)]

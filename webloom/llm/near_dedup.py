@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm import rare_prefixes
-from webloom.llm.common import in_batches, stored, text_or_empty
+from webloom.llm.common import dropped, in_small_batches, quoted, slices, stored, text_or_empty
 from webloom.llm.components import connected_components
 
 #: Rows of a key table up to which it is broadcast; beyond, the same join is made by shuffle.
@@ -118,7 +118,7 @@ def sketch(text: str, k: int, bands: int, weighting: str = "presence") -> tuple[
 
 def _same_text(text_col: str) -> list[Column]:
     """128 bits that stand for a whole text; null is the empty text."""
-    text = text_or_empty(F.col(text_col))
+    text = text_or_empty(F.col(quoted(text_col)))
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("text"), text).alias("h2")]
 
 
@@ -131,7 +131,7 @@ def texts(docs: DataFrame, k: int = 128, bands: int = 32, text_col: str = "text"
 
     def run(batches):
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in slices(batches):
                 sigs, keys = [], []
                 for text in batch.column(2):
                     found = sketch(text.as_py(), k, bands, weighting)
@@ -139,7 +139,7 @@ def texts(docs: DataFrame, k: int = 128, bands: int = 32, text_col: str = "text"
                     keys.append(found and found[1].tolist())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int32()))], ["h1", "h2", "sig", "bands"])
 
-    sketched = in_batches(docs).select(*_same_text(text_col), text_or_empty(F.col(text_col)).alias("text")).mapInArrow(run, "h1 long, h2 long, sig binary, bands array<int>")
+    sketched = docs.select(*_same_text(text_col), text_or_empty(F.col(quoted(text_col))).alias("text")).mapInArrow(run, "h1 long, h2 long, sig binary, bands array<int>")
     distinct = sketched.groupBy("h1", "h2").agg(F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands"))
     return stored(distinct.withColumn("node", F.monotonically_increasing_id()))
 
@@ -152,7 +152,7 @@ def bucket_pairs(keyed: DataFrame) -> DataFrame:
     So pairs grow with the nodes, not with the square of a group; what that leaves open is compared by rest_links, after
     the components of these links are known. Sizes, scores and leaders are pre-aggregated sums
     and maxima; the joins back are ones that Spark splits where a key is hot."""
-    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    sizes = stored(keyed.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1"))
     met = keyed.join(sizes, ["band", "key"])
     scored = met.join(met.groupBy("node").agg(F.sum("n").alias("score")), "node").select("band", "key", "node", "score")
     by_hash = F.struct(F.xxhash64("node").alias("o"), F.col("node").alias("node"))
@@ -187,11 +187,11 @@ def sets_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, text_col: str
 
     def run(batches):
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in slices(batches):
                 found = [np.repeat(*weighted(t.as_py(), weighting)).tobytes() for t in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "set"])
 
-    texts_of = docs.select(*_same_text(text_col), text_or_empty(F.col(text_col)).alias("text")).join(_small(wanted), ["h1", "h2"])
+    texts_of = docs.select(*_same_text(text_col), text_or_empty(F.col(quoted(text_col))).alias("text")).join(_small(wanted), ["h1", "h2"])
     # copies of a text give the same set; one is enough
     return stored(texts_of.select("node", "text").mapInArrow(run, "node long, set binary").groupBy("node").agg(F.any_value("set").alias("set")))
 
@@ -211,7 +211,7 @@ def rest_links(docs: DataFrame, nodes: DataFrame, labels: DataFrame | None, thre
 
     def run(batches):
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in slices(batches):
                 found = [numbered(np.frombuffer(s.as_py(), dtype=np.uint64)).tobytes() for s in batch.column(2)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["node", "label", "set"])
 
@@ -239,6 +239,7 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: flo
     return both.select("a", "b", exact("x", "y").alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
+@in_small_batches
 def classes(docs: DataFrame, threshold: float = 0.8, k: int = 128, bands: int = 32, id_col: str = "doc_id", text_col: str = "text", weighting: str = "presence", all_links: bool = False) -> DataFrame:
     """One row per row of `docs`: id_col, class_id (the least id in its class), n_links and class_rows.
 
@@ -258,7 +259,8 @@ def classes(docs: DataFrame, threshold: float = 0.8, k: int = 128, bands: int =
     placed = nodes.select("node", "h1", "h2").join(labels, "node", "left").join(ends, "node", "left")
     placed = placed.select("h1", "h2", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     rows = stored(docs.select(F.col(id_col).alias("id"), *_same_text(text_col)).join(placed, ["h1", "h2"]).select("id", "label", "n_links"))
-    least = rows.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("class_rows"))
+    # stored, so that the join has nothing but exchanges below it and Spark can split a large class
+    least = stored(rows.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("class_rows")))
     return rows.join(least, "label").select(F.col("id").alias(id_col), "class_id", "n_links", "class_rows")
 
 

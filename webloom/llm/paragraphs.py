@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.llm import rare_prefixes
-from webloom.llm.common import in_batches, stored
+from webloom.llm.common import dropped, fresh, in_small_batches, quoted, slices, stored
 from webloom.llm.components import connected_components
 from webloom.llm.near_dedup import GOLDEN, bucket_pairs, mix
 from webloom.llm.repeats import VALUE, both_powers, packed
@@ -118,7 +118,7 @@ def buffers(docs: list, texts: list, most: int = 2_000_000):
 def paragraphs(docs: DataFrame, min_words: int) -> DataFrame:
     def run(batches):
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in slices(batches):
                 for ids, starts, data in buffers(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     found = paragraph_units(data, min_words)
                     if found is None:
@@ -128,13 +128,13 @@ def paragraphs(docs: DataFrame, min_words: int) -> DataFrame:
                     flat = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
                     yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(first - starts[who]), pa.array(end - starts[who]), pa.array(n.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), flat], ["doc", "first", "end", "n_words", "h1", "h2", "bands"])
 
-    return in_batches(docs).select("doc", "text").mapInArrow(run, "doc long, first long, end long, n_words long, h1 long, h2 long, bands array<int>")
+    return docs.select("doc", "text").mapInArrow(run, "doc long, first long, end long, n_words long, h1 long, h2 long, bands array<int>")
 
 
 def segments(docs: DataFrame) -> DataFrame:
     def run(batches):
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in slices(batches):
                 for ids, starts, data in buffers(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     first, end, words, _ = words_of(data)
                     at = np.append(np.searchsorted(first, starts), len(first))
@@ -152,7 +152,7 @@ def segments(docs: DataFrame) -> DataFrame:
                     h = runs_hash(words, a, b).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(number), pa.array(first[a] - starts[who]), pa.array(end[b - 1] - starts[who]), pa.array((b - a).astype(np.int64)), pa.array(h)], ["doc", "number", "first", "end", "n_words", "h"])
 
-    return in_batches(docs).select("doc", "text").mapInArrow(run, "doc long, number long, first long, end long, n_words long, h long")
+    return docs.select("doc", "text").mapInArrow(run, "doc long, number long, first long, end long, n_words long, h long")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFr
 
         press = zstandard.ZstdDecompressor()
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in slices(batches):
                 nodes_, sets = [], []
                 for z, spans in zip(batch.column("z").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                     data = np.frombuffer(press.decompress(z), dtype=np.uint8)
@@ -202,45 +202,53 @@ def near_paragraphs(docs: DataFrame, threshold: float, min_words: int) -> DataFr
     if rest.limit(1).count():
         joined = connected_components(stored(links.union(rest)))
     labels = nodes.join(joined, "node", "left").select("h1", "h2", "places", place.alias("place"), F.coalesce("label", "node").alias("label"))
-    classes = labels.groupBy("label").agg(F.sum("places").alias("places"), F.min("place").alias("least")).filter("places > 1")
+    classes = stored(labels.groupBy("label").agg(F.sum("places").alias("places"), F.min("place").alias("least")).filter("places > 1"))
     member = labels.select("h1", "h2", "label").join(classes, "label").select("h1", "h2", F.col("least.doc").alias("class_doc"), F.col("least.first").alias("class_first"))
     return units.drop("bands").join(member, ["h1", "h2"]).select("doc", "first", "end", "n_words", "class_doc", "class_first")
 
 
 def equal_passages(docs: DataFrame, min_run: int) -> DataFrame:
     """The same for segments that stand in two places or more and make runs of `min_run` words."""
-    found = segments(docs)
-    twice = found.groupBy("h", "n_words").agg(F.count("*").alias("places"), F.min(F.struct("doc", "first")).alias("least")).filter("places > 1")
-    repeated = found.join(twice, ["h", "n_words"]).select("doc", "number", "first", "end", "n_words", "least")
+    found = stored(segments(docs))
+    # stored, so that the join has nothing but exchanges below it and Spark can split a hot segment
+    twice = stored(found.groupBy("h", "n_words").agg(F.count("*").alias("places"), F.min(F.struct("doc", "first")).alias("least")).filter("places > 1"))
+    repeated = stored(found.join(twice, ["h", "n_words"]).select("doc", "number", "first", "end", "n_words", "least"))
+    dropped(found, twice)
     in_text = Window.partitionBy("doc").orderBy("number")
     island = repeated.withColumn("island", F.col("number") - F.row_number().over(in_text))
     run = island.withColumn("run", F.sum("n_words").over(Window.partitionBy("doc", "island")))
     return run.filter(F.col("run") >= min_run).select("doc", "first", "end", "n_words", F.col("least.doc").alias("class_doc"), F.col("least.first").alias("class_first"))
 
 
+@in_small_batches
 def duplicates(docs: DataFrame, threshold: float = 0.8, min_words: int = 16, min_run: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per repeated paragraph and passage segment: id_col, _kind ('paragraph' or 'passage'), _first and _end
-    (bytes of its text), _n_words, _class_id and _class_first (id and byte of the class's first place) and _removed
-    (false for that place alone).
+    (bytes of its text), _n_words, _class_id and _class_first (id and byte of the class's first place), _removed
+    (false for that place alone) and _text.
 
     Texts without repeats have no rows; a null text is empty. Null or repeated ids are told apart by a number for
-    each row. Other columns are not read. Memory follows the longest text."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
+    each row; then _text is a hash of the row's text, else null. Other columns are not read. Memory follows the longest
+    text."""
+    rows = docs.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).cast("string").alias("text"))
     plain = dict(rows.dtypes)["_id"] == "bigint" and not rows.groupBy("_id").count().filter("count > 1 OR _id IS NULL").limit(1).count()
     keyed = rows.withColumn("doc", F.col("_id")) if plain else stored(rows.withColumn("doc", F.monotonically_increasing_id()))
     found = near_paragraphs(keyed, threshold, min_words).withColumn("kind", F.lit("paragraph")).unionByName(equal_passages(keyed, min_run).withColumn("kind", F.lit("passage")))
     removed = (F.col("doc") != F.col("class_doc")) | (F.col("first") != F.col("class_first"))
-    own, of = F.col("doc"), F.col("class_doc")
+    own, of, text = F.col("doc"), F.col("class_doc"), F.lit(None).cast("long")
     if not plain:
-        ids = keyed.select("doc", "_id")
+        ids = keyed.select("doc", "_id", F.xxhash64("text").alias("_text"))
+        text = F.col("_text")
         found = found.join(ids, "doc").join(ids.select(F.col("doc").alias("class_doc"), F.col("_id").alias("_of")), "class_doc")
         own, of = F.col("_id"), F.col("_of")
-    return found.select(own.alias(id_col), F.col("kind").alias("_kind"), F.col("first").alias("_first"), F.col("end").alias("_end"), F.col("n_words").alias("_n_words"), of.alias("_class_id"), F.col("class_first").alias("_class_first"), removed.alias("_removed"))
+    return found.select(own.alias(id_col), F.col("kind").alias("_kind"), F.col("first").alias("_first"), F.col("end").alias("_end"), F.col("n_words").alias("_n_words"), of.alias("_class_id"), F.col("class_first").alias("_class_first"), removed.alias("_removed"), text.alias("_text"))
 
 
 def remove_spans(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` (ids without repeats) without the removed spans of duplicates(); all rows stay."""
-    spans = found.filter("_removed").groupBy(id_col).agg(F.collect_list(F.struct(F.col("_first").alias("a"), F.col("_end").alias("b"))).alias("_spans"))
+    """`docs` without the removed spans of duplicates(); all rows stay. Rows of one id (null is an id like any other) are told
+    apart by their texts; rows that are equal in both stay alike, and keep what stays in one of them."""
+    (name,) = fresh(docs.columns, "_spans")
+    by_place = found.groupBy(F.col(quoted(id_col)).alias("of"), F.col("_text").alias("of_text"), "_kind", "_first", "_end").agg(F.every("_removed").alias("removed"))
+    spans = by_place.filter("removed").groupBy("of", "of_text").agg(F.collect_list(F.struct(F.col("_first").alias("a"), F.col("_end").alias("b"))).alias(name))
 
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
@@ -255,5 +263,7 @@ def remove_spans(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text
             out.append(b"".join([*parts, data[at:]]).decode())
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(spans, id_col, "left")
-    return joined.withColumn(text_col, F.pandas_udf(cut, "string")(F.col(text_col), F.col("_spans"))).select(*docs.columns)
+    own = F.xxhash64(docs[quoted(text_col)].cast("string"))
+    joined = docs.join(spans, docs[quoted(id_col)].eqNullSafe(spans["of"]) & (spans["of_text"].isNull() | (spans["of_text"] == own)), "left")
+    text = F.pandas_udf(cut, "string")(docs[quoted(text_col)], spans[name])
+    return joined.select(*[text.alias(c) if c == text_col else docs[quoted(c)] for c in docs.columns])

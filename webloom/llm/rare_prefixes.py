@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import in_batches, stored
+from webloom.llm.common import slices, stored
 
 #: Buckets in which elements are counted: a bound on memory; collisions change the order, not the pairs.
 BUCKETS = 1 << 20
@@ -30,7 +30,8 @@ def open_nodes(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
     joined = joined.join(labels, "node", "left") if labels is not None else joined
     keyed = stored(joined.select("node", own.alias("label"), F.posexplode("bands").alias("band", "key")))
     groups = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    return keyed.join(groups.filter("n > 2 AND lo <> hi").select("band", "key"), ["band", "key"]).select("node", "label").distinct()
+    groups = stored(groups.filter("n > 2 AND lo <> hi").select("band", "key"))
+    return keyed.join(groups, ["band", "key"]).select("node", "label").distinct()
 
 
 def counted(sets: DataFrame) -> np.ndarray:
@@ -38,7 +39,7 @@ def counted(sets: DataFrame) -> np.ndarray:
 
     def run(batches):
         total = np.zeros(BUCKETS, dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for s in batch.column(0):
                 at = (np.frombuffer(s.as_py(), dtype=np.uint64) % np.uint64(BUCKETS)).astype(np.int64)
                 np.add.at(total, at, 1)
@@ -56,11 +57,11 @@ def counted(sets: DataFrame) -> np.ndarray:
 def close_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of nodes of different labels among `sets` (node, label, set) that may reach the threshold: all that
     do are among them."""
-    held = sets.sparkSession.sparkContext.broadcast(counted(in_batches(sets)))
+    held = sets.sparkSession.sparkContext.broadcast(counted(sets))
 
     def run(batches):
         often = held.value
-        for batch in batches:
+        for batch in slices(batches):
             out = [[] for _ in range(6)]
             for node, label, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 x = np.frombuffer(s, dtype=np.uint64)

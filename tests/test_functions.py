@@ -109,3 +109,59 @@ def test_private_addresses():
 def test_half_even_sizes(spark):
     got = [r[0] for r in spark.createDataFrame([(1023,), (1024,), (39168,), (1048576,), (0,)], "n long").select(T.format_size(F.col("n"))).collect()]
     assert got == ["1023 B", "1.0 KB", "38.2 KB", "1.0 MB", "0 B"]
+
+
+def plain_body_bytes(html):
+    """The body's visible bytes, character by character."""
+    start = re.search("<body", html, re.I)
+    body = html
+    if start:
+        close = html.find(">", start.start())
+        body = html[close + 1 if close >= 0 else start.start() :]
+        end = re.search("</body>", body, re.I)
+        body = body[: end.start()] if end else body
+    out, in_tag, name, reading, skip = [], False, "", False, False
+    for c in body:
+        if c == "<":
+            in_tag, name, reading = True, "", True
+        elif c == ">" and in_tag:
+            in_tag = False
+            if name.lower() in ("script", "style"):
+                skip = True
+            elif name.lower() in ("/script", "/style"):
+                skip = False
+        elif in_tag:
+            if reading and (c.isascii() and c.isalnum() or c == "/"):
+                name += c
+            else:
+                reading = False
+        elif not skip:
+            out.append(c)
+    return len(re.sub(r"\s+", " ", "".join(out)).strip().encode())
+
+
+def test_body_bytes_against_plain_version(spark):
+    rng = random.Random(5)
+    parts = ["<body>", "</body>", "<BODY x=1", ">", "<", "<script>", "</script>", "<style a>", "</STYLE >", "<script/>", "text", " ", "é", "\n", "<b", "<scripts>", "</script", "a>b", "<<script>", "<x <style>", "<p>"]
+    pages = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
+    assert each(spark, pages, H.body_text_bytes) == [plain_body_bytes(p) for p in pages]
+
+
+def test_pages_are_read_once(spark):
+    """Pages made to be read again and again, of a megabyte each."""
+    n = 1_000_000
+    pages = ["<body>" + "<" * n, "<" * n, "<script>" * (n // 8), "<script><" * (n // 9), "<body" * (n // 5), "<title" * (n // 6), "<title>" * (n // 7), "</script" * (n // 8) + ">", "<body>" + "<script " * (n // 8)]
+    assert all(x in (True, False) for x in each(spark, pages, H.is_js_dependent))
+    assert each(spark, pages, H.extract_title) == [None] * len(pages)
+    nested = "<div>" * 20_000 + "<p>" + "word, " * 100 + "</p>"
+    assert H.article_of(nested)[4] is False
+
+
+def test_charsets(spark):
+    types = ["text/html; charset=hex", "text/html;charset='shift_jis'", 'text/html; x=y; CHARSET="EUC-KR"', "text/html; charset=", 'text/html; charset=""; charset=utf-8', "charset=utf-8", "text/html; charset = latin1", None]
+    assert each(spark, types, codec.extract_charset) == ["hex", "'shift_jis'", "euc-kr", None, "utf-8", None, None, None]
+    labels = ["hex", "rot13", "idna", "undefined", "base64", "'shift_jis'", "unicode_escape", "x-sjis", "windows-1251", "l2"]
+    df = spark.createDataFrame([(b"\xe9\x82", c) for c in labels], "b binary, c string")
+    got = [r[0] for r in df.select(codec.decode_body(F.col("b"), F.col("c"))).collect()]
+    assert got[:7] == ["�"] * 7 and got[7:] == [b"\xe9\x82".decode("cp932"), "й‚", "é\x82"]
+    assert all("é".encode(name, "replace") is not None for name in codec.ENCODINGS)

@@ -20,15 +20,27 @@ OUTPUT_BYTES = 100_000
 SPA_ROOTS = ('id="root"', 'id="app"', 'id="__next"', 'id="__nuxt"')
 RAW_FALLBACK_NOTE = "> Note: Readability extraction failed. Showing raw page conversion.\n\n"
 
-_OPEN = r"<(?:[^>]*<)?(?:script|style)(?:[^A-Za-z0-9/<>][^<>]*)?>"
-_CLOSE = r"<(?:[^>]*<)?/(?:script|style)(?:[^A-Za-z0-9/<>][^<>]*)?>"
+# A tag's name is what stands behind its last <; names end at the first character that is no letter, digit or /.
+# Every part is possessive and bounded by the next < or >, so that a page is read once however it is made.
+_RESTARTED = r"<[^<>]*+(?=<)"
+_SCRIPT = r"<(?:script|style)(?:[^A-Za-z0-9/<>][^<>]*+)?+>"
+_SCRIPT_END = r"</(?:script|style)(?:[^A-Za-z0-9/<>][^<>]*+)?+>"
+_TAG = r"<[^<>]*+(?:>|\z)"
+
+
+def _body(html: Column) -> Column:
+    """What stands between the first body tag's > and the next end tag, or the page's end; all of a page without one."""
+    start = F.regexp_instr(html, F.lit("(?i)<body"))
+    close = F.position(F.lit(">"), html, start)
+    inside = F.substr(html, F.when(close > 0, close + 1).otherwise(start))
+    end = F.regexp_instr(inside, F.lit("(?i)</body>"))
+    return F.when(start > 0, F.when(end > 0, F.left(inside, end - 1)).otherwise(inside)).otherwise(html)
 
 
 def body_text_bytes(html: Column) -> Column:
     """UTF-8 bytes of the body's visible text: no scripts, styles or tags, white space runs as one, none at the ends."""
-    lower = F.lower(html)
-    body = F.when(html.rlike(r"(?i)<body[^>]*>"), F.regexp_extract(html, r"(?is)<body[^>]*>(.*?)(?:</body>|\z)", 1)).when(F.contains(lower, F.lit("<body")), F.regexp_extract(html, r"(?is)(<body.*)", 1)).otherwise(html)
-    plain = F.regexp_replace(F.regexp_replace(body, rf"(?is){_OPEN}.*?(?:{_CLOSE}|\z)", ""), r"(?s)<[^>]*(?:>|\z)", "")
+    tags = F.regexp_replace(_body(html), _RESTARTED, "")
+    plain = F.regexp_replace(F.regexp_replace(tags, rf"(?is){_SCRIPT}.*?(?:{_SCRIPT_END}|\z)", ""), _TAG, "")
     return F.octet_length(F.regexp_replace(F.regexp_replace(plain, WS + "+", " "), r"\A | \z", ""))
 
 
@@ -52,7 +64,11 @@ def visible_text_len(html: Column, limit: int | None = None) -> Column:
 
 def extract_title(html: Column) -> Column:
     """The trimmed text of the first title element; null if there is none or it is empty. Entities stay."""
-    return F.nullif(trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
+    start = F.regexp_instr(html, F.lit("(?i)<title"))
+    close = F.position(F.lit(">"), html, start)
+    inside = F.substr(html, close + 1)
+    end = F.regexp_instr(inside, F.lit("(?i)</title>"))
+    return F.when((start > 0) & (close > 0) & (end > 0), F.nullif(trim(F.left(inside, end - 1)), F.lit("")))
 
 
 def is_thin_extract(article: Column) -> Column:
@@ -145,11 +161,35 @@ def _prune(node) -> None:
         at[2][:] = [c for c in at[2] if isinstance(c, str) or not (c[0] in _DROP or c[0] in _CHROME or c[0] in ("div", "section", "ul") and _UNLIKELY.search(f"{c[1].get('class', '')} {c[1].get('id', '')}"))]
 
 
+def _measured(root) -> dict[int, tuple[int, int, int, int, int]]:
+    """For each node, by its identity: characters of its text, blanks at the text's start and end, characters of the
+    links in it and commas. Every node is looked at once."""
+    out: dict[int, tuple[int, int, int, int, int]] = {}
+    todo = [(root, False)]
+    while todo:
+        node, done = todo.pop()
+        if not done:
+            todo.append((node, True))
+            todo.extend((c, False) for c in node[2] if not isinstance(c, str))
+            continue
+        size, head, tail, links, commas = 0, 0, 0, 0, 0
+        for c in node[2] if node[0] not in _DROP else ():
+            if isinstance(c, str):
+                n, first, last, inside, marks = len(c), len(c) - len(c.lstrip()), len(c) - len(c.rstrip()), 0, c.count(",")
+            else:
+                n, first, last, inside, marks = out[id(c)]
+            head = head + first if head == size else head
+            tail = tail + n if last == n else last
+            size, links, commas = size + n, links + inside, commas + marks
+        out[id(node)] = size, head, tail, links + (size if node[0] == "a" else 0), commas
+    return out
+
+
 def article_of(html: str) -> tuple:
     """The main article of a page by the usual readability signals: paragraphs' text weighs for its parent and, by
     half, its grandparent, less where much of it is links. A page whose paragraphs hold little text is not readable."""
-    found = re.search(r"<title[^>]*>(.*?)</title>", html, re.I | re.S)
-    title = found[1].strip() or None if found else None
+    found = _title(html)
+    title = found.strip() or None if found is not None else None
     try:
         root = _parse(html)
     except (AssertionError, ValueError):
@@ -159,36 +199,43 @@ def article_of(html: str) -> tuple:
         if node[0] == "meta" and (key := (node[1].get("property") or node[1].get("name", "")).lower()):
             meta.setdefault(key, node[1].get("content", "").strip())
     _prune(root)
+    measured = _measured(root)
+
+    def stripped(node) -> int:
+        size, head, tail, _, _ = measured[id(node)]
+        return max(0, size - head - tail)
+
     score, parents = {}, {}
     for node in _walk(root):
         for c in node[2]:
             if not isinstance(c, str):
                 parents[id(c)] = node
-    readable = 0.0
+    readable, articles = 0.0, []
     for node in _walk(root):
         if node[0] not in ("p", "pre", "article", "td", "blockquote"):
             continue
-        n = len(_text(node).strip())
+        n = stripped(node)
+        if node[0] == "article" and n >= 140:
+            articles.append(node)
         if node[0] in ("p", "pre") and n >= 140:
             readable += (n - 140) ** 0.5
         if n < 25:
             continue
-        points, up = 1 + min(n // 100, 3) + _text(node).count(","), node
+        points, up = 1 + min(n // 100, 3) + measured[id(node)][4], node
         for share in (1.0, 0.5):
             up = parents.get(id(up))
             if up is None:
                 break
             held = score.setdefault(id(up), [0.0, up])
             held[0] += points * share
-    if readable < 20 and not any(n[0] == "article" and len(_text(n).strip()) >= 140 for n in _walk(root)):
+    if readable < 20 and not articles:
         return title, None, None, html, True
 
     def rate(s, node):
-        links = sum(len(_text(a)) for a in _walk(node) if a[0] == "a")
-        return s * (1 - links / max(1, len(_text(node)))) + 25 * (node[0] == "article")
+        size, _, _, links, _ = measured[id(node)]
+        return s * (1 - links / max(1, size)) + 25 * (node[0] == "article")
 
     best = max(score.values(), key=lambda x: rate(*x), default=None)
-    articles = [n for n in _walk(root) if n[0] == "article" and len(_text(n).strip()) >= 140]
     node = articles[0] if articles else best and best[1]
     if node is None:
         return title, None, None, html, True
@@ -196,6 +243,14 @@ def article_of(html: str) -> tuple:
     return title, byline or None, meta.get("article:published_time") or None, _html(node), False
 
 
+def _title(html: str) -> str | None:
+    """Between the first title tag's > and the next end tag."""
+    start = re.search("<title", html, re.I)
+    close = html.find(">", start.end()) if start else -1
+    end = re.compile("</title>", re.I).search(html, close + 1) if close >= 0 else None
+    return html[close + 1 : end.start()] if end else None
+
+
 @arrow_udf(ARTICLE)
 def _articles(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([article_of(x) if x is not None else (None, None, None, None, True) for x in html], columns=["title", "byline", "published_time", "content_html", "used_raw_fallback"])

@@ -146,8 +146,11 @@ def ssrf_check(urls: DataFrame, resolved: DataFrame, url_col: str = "url") -> Da
 
 
 def redact_url_credentials(url: Column) -> Column:
-    """The URL without user and password; text that is no URL stays."""
-    return F.regexp_replace(url, r"\A([A-Za-z][A-Za-z0-9+.-]*://)[^/?#\\]*@", "$1")
+    """The URL without user and password; one that has none, and text that is no URL, stays. A web address has its authority
+    behind any number of slashes of either kind, and then gets two; any other scheme has one behind two slashes only."""
+    web = r"\A(?i)[\x00-\x20]*(https?:)[/\\]*[^/?#\\]*@"
+    other = r"\A(?!(?i)[\x00-\x20]*https?:)[\x00-\x20]*([A-Za-z][A-Za-z0-9+.-]*:)//[^/?#]*@"
+    return F.regexp_replace(F.regexp_replace(url, web, "$1//"), other, "$1//")
 
 
 # What a path keeps when it is percent-encoded, next to letters and digits.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom import errors
@@ -32,11 +32,14 @@ def display_name(users: DataFrame) -> DataFrame:
 
 def thread_messages(links: DataFrame, messages: DataFrame) -> DataFrame:
     """(key, is_thread, idx, user, text, ts) of links (key, link). A link into a thread takes the thread; one to a
-    message takes its thread if it has replies, else the message at or before it."""
+    message takes its thread if it has replies, else the message at or before it.
+
+    The latest message at or before a link is found by one sort of links and messages. A channel's time is dealt out by its
+    hours, so that a busy channel has many groups: within an hour the last message before a link, before that the last
+    message of an earlier hour, of which there is one row each."""
     l = links.select("key", "link.channel", F.col("link.ts").alias("at"), F.col("link.thread_ts").alias("root"))
     at_or_before = messages.select("channel", F.col("ts").alias("m_ts"), "thread_ts", "user", "text", "reply_count").filter(F.col("thread_ts").isNull() | (F.col("thread_ts") == F.col("m_ts")))
-    single = l.filter("root IS NULL").join(at_or_before, "channel").filter(F.col("m_ts") <= F.col("at"))
-    latest = single.groupBy("key", "channel", "at").agg(F.max_by(F.struct("user", "text", F.col("m_ts").alias("ts"), "reply_count"), F.struct("m_ts", "reply_count")).alias("m"))
+    latest = latest_before(l.filter("root IS NULL").select("key", "channel", "at"), at_or_before)
     replied = F.coalesce("m.reply_count", F.lit(0)) > 0
     alone = latest.filter(~replied).select("key", F.lit(False).alias("is_thread"), "m.user", "m.text", "m.ts")
     roots = l.filter("root IS NOT NULL").select("key", "channel", "root").unionByName(latest.filter(replied).select("key", "channel", F.col("at").alias("root")))
@@ -46,6 +49,24 @@ def thread_messages(links: DataFrame, messages: DataFrame) -> DataFrame:
     return alone.unionByName(threads).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("ts", F.coalesce("ts", F.lit("")))
 
 
+def latest_before(links: DataFrame, messages: DataFrame) -> DataFrame:
+    """(key, channel, at, m) of the links (key, channel, at) that have a message (channel, m_ts, user, text, reply_count) at
+    or before `at`: the last one, and of those of one time the one with most replies."""
+    hour = lambda ts: F.coalesce(F.floor(F.split_part(ts, F.lit("."), F.lit(1)).try_cast("long") / 3600), F.lit(-1))
+    said = messages.select("channel", hour(F.col("m_ts")).alias("hour"), F.col("m_ts").alias("t"), F.struct("m_ts", F.coalesce("reply_count", F.lit(0)).alias("n"), "user", "text", F.col("m_ts").alias("ts"), "reply_count").alias("m"))
+    asked = links.select("channel", hour(F.col("at")).alias("hour"), F.col("at").alias("t"), "key")
+    by_hour = said.groupBy("channel", "hour").agg(F.max("m").alias("m"))
+    # one row an hour: the last message of the hours before
+    earlier = Window.partitionBy("channel").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = by_hour.unionByName(asked.select("channel", "hour", F.lit(None).cast(by_hour.schema["m"].dataType).alias("m")).distinct()).groupBy("channel", "hour").agg(F.max("m").alias("m"))
+    before = hours.select("channel", "hour", F.max("m").over(earlier).alias("before"))
+    both = said.select("channel", "hour", "t", "m", F.lit(None).cast(links.schema["key"].dataType).alias("key"), F.lit(0).alias("asks")).unionByName(asked.select("channel", "hour", "t", F.lit(None).cast(by_hour.schema["m"].dataType).alias("m"), "key", F.lit(1).alias("asks")))
+    within = Window.partitionBy("channel", "hour").orderBy("t", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("last", F.max("m").over(within)).filter("asks = 1")
+    done = found.join(before, ["channel", "hour"], "left").select("key", "channel", F.col("t").alias("at"), F.coalesce("last", "before").alias("m"))
+    return done.filter("m IS NOT NULL").select("key", "channel", "at", F.struct("m.user", "m.text", "m.ts", "m.reply_count").alias("m"))
+
+
 def resolve(messages: DataFrame, users: DataFrame) -> DataFrame:
     """messages (key, is_thread, user, text, ts) with author and mentions by name: ids are looked up once each."""
     names = display_name(users)

@@ -29,26 +29,36 @@ def _guarded(df: DataFrame, url_col: str, resolved: DataFrame | None) -> DataFra
     return df.withColumn("guard_error", url_guard(F.col(url_col))) if resolved is None else ssrf_check(df, resolved, url_col)
 
 
-def downloaded(requests: DataFrame, responses: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
-    """requests (url, ...) with final_url, html, kind and detail. Address and final address are guarded; without a table
-    of resolved names only literals and names themselves are."""
-    checked = _guarded(requests, "url", resolved).withColumnRenamed("guard_error", "_guard1")
-    joined = checked.join(responses, "url", "left").withColumn("final_url", F.coalesce("final_url", "url"))
-    twice = _guarded(joined, "final_url", resolved)
+def answered(asked: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
+    """asked (url, final_url, status, content_type, body, failure, ...) with final_url, html, kind and detail instead of the
+    exchange. Address and final address are guarded; without a table of resolved names only literals and names
+    themselves are."""
+    exchange = ("final_url", "status", "content_type", "body", "failure")
+    keep = [c for c in asked.columns if c not in exchange]
+    first = _guarded(asked.withColumn("final_url", F.coalesce("final_url", "url")), "url", resolved).withColumnRenamed("guard_error", "_guard1")
+    twice = _guarded(first, "final_url", resolved)
     answer = response_error(F.col("status"), F.col("content_type"), F.octet_length("body"), F.col("failure"))
     kind = F.coalesce("_guard1", answer, "guard_error")
     detail = F.when(kind == "Status", F.col("status").cast("string")).when(kind == "UnsupportedContentType", mime_type(F.col("content_type"))).when(kind == "Http", F.lit("no response")).otherwise(F.col("url"))
     text = decode_body(F.col("body"), extract_charset(F.col("content_type")))
-    return twice.select(*requests.columns, "final_url", F.when(kind.isNull(), text).alias("html"), kind.alias("kind"), F.when(kind.isNotNull(), detail).alias("detail"))
+    return twice.select(*keep, "final_url", F.when(kind.isNull(), text).alias("html"), kind.alias("kind"), F.when(kind.isNotNull(), detail).alias("detail"))
 
 
 def fetch_pages(requests: DataFrame, responses: DataFrame, resolved: DataFrame | None = None, rendered: DataFrame | None = None) -> DataFrame:
-    """requests (url, js, raw, ...) with final_url, markdown, used_raw_fallback and error.
+    """requests (url, js, raw, ...) with final_url, markdown, used_raw_fallback and error, by their recorded responses (see
+    fetch_responses)."""
+    return fetch_responses(requests.join(responses, "url", "left"), resolved, rendered)
+
+
+def fetch_responses(asked: DataFrame, resolved: DataFrame | None = None, rendered: DataFrame | None = None) -> DataFrame:
+    """Requests with their exchange (url, js, raw, final_url, status, content_type, body, failure, ...) with final_url,
+    markdown, used_raw_fallback and error instead.
 
     A page that asks for scripts, or whose extract is thin, is taken as rendered if `rendered` (url, stdout, failure)
     has it. If rendering was forced and failed, that is an error; otherwise the page stays as it was. With raw, nothing
     is extracted, yet pages that need scripts are still rendered. The chain has no state and works on a stream."""
-    page = downloaded(requests, responses, resolved)
+    columns = [c for c in asked.columns if c not in ("final_url", "status", "content_type", "body", "failure")]
+    page = answered(asked, resolved)
     if rendered is None:
         page = page.withColumn("_js_html", F.lit(None).cast("string"))
     else:
@@ -66,7 +76,7 @@ def fetch_pages(requests: DataFrame, responses: DataFrame, resolved: DataFrame |
     markdown = H.format_with_frontmatter(F.col("_a"), H.html_to_markdown(F.col("_a.content_html")))
     ok = F.col("kind").isNull()
     return page.select(
-        *requests.columns,
+        *columns,
         F.when(ok, F.col("final_url")).alias("final_url"),
         F.when(ok, markdown).alias("markdown"),
         F.when(ok, F.col("_a.used_raw_fallback")).alias("used_raw_fallback"),

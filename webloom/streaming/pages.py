@@ -6,11 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from webloom.functions import html as H
-from webloom.operators.fetch import response_error
-from webloom.functions.codec import decode_body, extract_charset
-from webloom.functions.urls import url_guard
-from webloom import errors
+from webloom.operators.fetch import fetch_responses
 from webloom.schemas import HTTP_RESPONSE
 
 
@@ -19,15 +15,11 @@ def page_stream(spark: SparkSession, folder: str, files_per_trigger: int = 16) -
     return spark.readStream.schema(HTTP_RESPONSE).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def fetched(responses: DataFrame) -> DataFrame:
-    """(url, final_url, markdown, used_raw_fallback, error) of a stream or table of responses."""
-    final = F.coalesce("final_url", "url")
-    kind = F.coalesce(url_guard(F.col("url")), response_error(F.col("status"), F.col("content_type"), F.octet_length("body"), F.col("failure")), url_guard(final))
-    text = F.when(kind.isNull(), decode_body(F.col("body"), extract_charset(F.col("content_type"))))
-    page = responses.select("url", final.alias("final_url"), kind.alias("_kind"), F.col("status").cast("string").alias("_detail"), text.alias("_html")).withColumn("_a", H.extract_article(F.col("_html")))
-    markdown = H.format_with_frontmatter(F.col("_a"), H.html_to_markdown(F.col("_a.content_html")))
-    ok = F.col("_kind").isNull()
-    return page.select("url", "final_url", F.when(ok, markdown).alias("markdown"), F.when(ok, F.col("_a.used_raw_fallback")).alias("used_raw_fallback"), errors.error("fetch", F.col("_kind"), F.col("_detail")).alias("error"))
+def fetched(responses: DataFrame, rendered: DataFrame | None = None, raw: bool = False) -> DataFrame:
+    """(url, final_url, markdown, used_raw_fallback, error) of a stream or table of responses; rendered pages are a
+    table."""
+    asked = responses.select("*", F.lit(False).alias("js"), F.lit(raw).alias("raw"))
+    return fetch_responses(asked, rendered=rendered).select("url", "final_url", "markdown", "used_raw_fallback", "error")
 
 
 def start(spark: SparkSession, source: str, sink: str, checkpoint: str) -> StreamingQuery:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import argparse
 import logging
+import os
 import sys
+from functools import partial
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from webloom.functions.urls import parse_permalink
 from webloom.plans import commands
 from webloom.sources import credentials, live, recorded
 
+log = logging.getLogger("webloom")
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="webloom")
@@ -66,7 +70,8 @@ def plan(spark: SparkSession, a: argparse.Namespace):
         from webloom.operators.research import expand_queries, search_results, top_sources, unique_sources
 
         urls = top_sources(unique_sources(search_results(expand_queries(asked), answers)), asked)
-        return commands.research(asked, answers, live.pages(urls).persist())
+        # one request: a few pages in flight, each within its own time
+        return commands.research(asked, answers, live.pages(urls, partitions=1, get=partial(live.get_page, total_s=live.RESEARCH_PAGE_S)).persist())
     if a.command == "fetch":
         asked = spark.createDataFrame([(1, a.url, a.js, a.raw)], "request_id long, url string, js boolean, raw boolean")
         if a.recorded:
@@ -98,7 +103,9 @@ def _repo(spark: SparkSession, a: argparse.Namespace, asked):
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     logging.basicConfig(stream=sys.stderr, level=logging.WARNING)
+    log.setLevel(os.environ.get("WEBLOOM_LOG", "INFO").upper())
     args = parser().parse_args(argv)
+    log.info("%s%s", args.command, " from recorded exchanges" if args.recorded else "")
     session = spark or SparkSession.builder.appName("webloom").getOrCreate()
     try:
         row = plan(session, args).first()  # one request, one row
@@ -108,6 +115,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         sys.stdout.write(text if text.endswith("\n") else text + "\n")
         return 0
     except PipelineError as e:
+        log.debug("failed with exit code %d", e.exit_code)
         print(f"error: {e}", file=sys.stderr)
         return e.exit_code
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from http import HTTPStatus
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,6 +58,17 @@ MESSAGES = {
 }
 
 
+# Reasons that are worded otherwise than in Python's table.
+REASONS = {413: "Payload Too Large", 414: "URI Too Long", 416: "Range Not Satisfiable", 418: "I'm a teapot", 422: "Unprocessable Entity"}
+
+
+def status_line(status: Column) -> Column:
+    """A status with its reason, as in '404 Not Found'."""
+    reasons = {x.value: x.phrase for x in HTTPStatus} | REASONS
+    table = F.create_map(*[F.lit(x) for pair in reasons.items() for x in pair])
+    return F.concat(status.cast("string"), F.lit(" "), F.coalesce(F.try_element_at(table, status), F.lit("<unknown status code>")))
+
+
 class PipelineError(Exception):
     """An error at the edge of the library, with its exit code."""
 

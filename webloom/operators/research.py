@@ -40,9 +40,11 @@ def search_results(queries: DataFrame, responses: DataFrame) -> DataFrame:
     without a response failed on the network."""
     joined = queries.join(responses, "search_query", "left").withColumn("_r", grounded_result(F.col("body")))
     kind = F.when(F.col("status").isNull(), "Network").otherwise(F.coalesce(errors.search_status(F.col("status"), F.col("body")), F.when(F.col("_r.corrupt"), "Network")))
-    code = F.coalesce(F.get_json_object("body", "$.error.code").try_cast("int"), F.when(F.col("status").between(200, 299), 0).otherwise(F.col("status")))
-    said = F.coalesce(F.get_json_object("body", "$.error.message"), F.left("body", F.lit(200)), F.lit(""))
-    detail = F.when(kind == "Api", F.concat(F.lit("("), code.cast("string"), F.lit("): "), said)).when(kind == "QuotaExhausted", said).when(kind == "Network", F.when(F.col("status").isNull(), "no response").otherwise("error decoding response body"))
+    own, code = F.get_json_object("body", "$.error").isNotNull(), F.get_json_object("body", "$.error.code").try_cast("int")
+    said = F.coalesce(F.get_json_object("body", "$.error.message"), F.lit("Unknown error"))
+    structured = F.when(code.isNull(), F.concat(F.lit("(0): Unknown error (no status code): "), said)).otherwise(F.concat(F.lit("("), code.cast("string"), F.lit("): "), said))
+    plain = F.concat(F.lit("("), F.col("status").cast("string"), F.lit("): HTTP "), errors.status_line(F.col("status")), F.lit(": "), F.left(F.coalesce("body", F.lit("")), F.lit(200)))
+    detail = F.when(kind == "Api", F.when(own, structured).otherwise(plain)).when(kind == "QuotaExhausted", said).when(kind == "Network", F.when(F.col("status").isNull(), "no response").otherwise("error decoding response body"))
     empty = F.array().cast("array<struct<url:string,title:string>>")
     return joined.select(*queries.columns, F.when(kind.isNull(), F.col("_r.answer")).alias("answer"), F.when(kind.isNull(), F.col("_r.sources")).otherwise(empty).alias("sources"), errors.error("search", kind, detail).alias("error"))
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import http.client
 import json
+import logging
 import random
 import socket
 import ssl
@@ -26,7 +27,10 @@ from webloom.schemas import API_RESPONSE, HTTP_RESPONSE, RESOLVED
 # Limits of live requests.
 IN_FLIGHT, ATTEMPTS, BASE_BACKOFF_MS = 5, 3, 1000
 CONNECT_S, TOTAL_S, DNS_S, MAX_REDIRECTS, MAX_BYTES = 10, 30, 5, 5, 10_000_000
+RESEARCH_PAGE_S = 15
+SECRET_HEADERS = ("Authorization", "x-goog-api-key")
 AGENT = "webloom/0.1"
+log = logging.getLogger(__name__)
 
 
 def jittered_backoff(attempt: int, rnd: Callable[[], float] = random.random) -> float:
@@ -41,6 +45,7 @@ def retry_with(op: Callable, retriable: Callable, sleep: Callable = time.sleep):
         out = op()
         if attempt == ATTEMPTS - 1 or not retriable(out):
             return out
+        log.warning("try %d failed, trying again", attempt + 1)
         sleep(jittered_backoff(attempt))
 
 
@@ -49,10 +54,16 @@ def resolve_host(host: str, port: int) -> list[str]:
         return sorted({x[4][0] for x in pool.submit(socket.getaddrinfo, host, port, 0, socket.SOCK_STREAM).result(timeout=DNS_S)})
 
 
-def get_page(url: str, resolver=resolve_host, blocked: Callable = is_private_ip) -> tuple:
+def get_page(url: str, resolver=resolve_host, blocked: Callable = is_private_ip, total_s: float = TOTAL_S) -> tuple:
     """(url, final_url, status, content_type, body, failure). Every hop is checked and the checked address is the one
-    that is connected to; redirects are followed by hand."""
-    at = url
+    that is connected to; redirects are followed by hand. All hops and reads together take `total_s` at most."""
+    at, until = url, time.monotonic() + total_s
+
+    def left() -> float:
+        if (rest := until - time.monotonic()) <= 0:
+            raise TimeoutError
+        return rest
+
     try:
         for _ in range(MAX_REDIRECTS + 1):
             if (kind := guard_kind(at)) and not (kind == "InternalHost" and blocked is not is_private_ip):
@@ -63,10 +74,10 @@ def get_page(url: str, resolver=resolve_host, blocked: Callable = is_private_ip)
                 return url, at, None, None, None, "DnsResolution"
             if any(blocked(a) for a in addresses):
                 return url, at, None, None, None, "InternalHost"
-            raw = socket.create_connection((addresses[0], port), timeout=CONNECT_S)
-            raw.settimeout(TOTAL_S)
+            raw = socket.create_connection((addresses[0], port), timeout=min(CONNECT_S, left()))
+            raw.settimeout(left())
             connection = http.client.HTTPConnection(host, port)
-            connection.sock = ssl.create_default_context().wrap_socket(raw, server_hostname=host) if scheme == "https" else raw
+            connection.sock = sock = ssl.create_default_context().wrap_socket(raw, server_hostname=host) if scheme == "https" else raw
             try:
                 parts = urlsplit(at)
                 connection.request("GET", (quote(parts.path, safe="/%:@!$&'()*+,;=~-._") or "/") + (f"?{parts.query}" if parts.query else ""), headers={"User-Agent": AGENT, "Accept": "text/html,*/*"})
@@ -76,8 +87,13 @@ def get_page(url: str, resolver=resolve_host, blocked: Callable = is_private_ip)
                     continue
                 if int(r.getheader("content-length") or 0) > MAX_BYTES:
                     return url, at, r.status, r.getheader("content-type"), None, "TooLarge"
-                body = r.read(MAX_BYTES + 1)
-                return url, at, r.status, r.getheader("content-type"), body, None
+                body = bytearray()
+                while len(body) <= MAX_BYTES:
+                    sock.settimeout(left())
+                    if not (chunk := r.read1(1 << 16)):
+                        break
+                    body += chunk
+                return url, at, r.status, r.getheader("content-type"), bytes(body), None
             finally:
                 connection.close()
         return url, at, None, None, None, "Http"
@@ -124,8 +140,8 @@ def _api(base: str, headers: dict[str, str], timeout: int, body: bytes | None =
     scheme, host, _, port, error = split_url(base)
     if error or scheme is None:
         raise ValueError(error or "no scheme")
-    if "Authorization" in headers and scheme != "https":
-        raise ValueError("a token goes over HTTPS only")
+    if scheme != "https" and any(name in headers for name in SECRET_HEADERS):
+        raise ValueError("a token or key goes over HTTPS only")
 
     def once(path: str) -> tuple:
         kind = http.client.HTTPSConnection if scheme == "https" else http.client.HTTPConnection
@@ -160,6 +176,8 @@ def repo_api(paths: DataFrame, token=None, base: str = "https://api.github.com",
 def search_api(queries: DataFrame, key, model: str, base: str = "https://generativelanguage.googleapis.com/v1beta/models", partitions: int = 2, once: Callable | None = None) -> DataFrame:
     """Recorded exchanges (search_query, status, body) of the distinct queries, with retries."""
     secret = key.expose()
+    if once is None:
+        _api(base, {"x-goog-api-key": secret}, 20)  # a base without HTTPS is refused before anything is sent
 
     def ask(query: str) -> tuple:
         body = json.dumps({"contents": [{"parts": [{"text": query}]}], "tools": [{"google_search": {}}]}).encode()

@@ -40,10 +40,6 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def values(sql_rows: str) -> str:
-    return sql_rows.strip()
-
-
 def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
@@ -112,9 +108,38 @@ def page_visible_len(spark, d):
     return _pages(spark, d).select("page_id", H.visible_text_len(F.col("html")).alias("chars"), H.visible_text_len(F.col("html"), 50).alias("capped"))
 
 
+@query(r"SELECT page_id, page_id % 10 = 0 OR length(v) < 50 AS thin FROM (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<[^>]*(?:>|\z)', '', 'g'), '[\t\n\r ]+', '', 'g') AS v FROM " + ALL_PAGES + ")")
+def thin_extract(spark, d):
+    return _pages(spark, d).select("page_id", H.is_thin_extract(H.extract_raw(F.col("html"))).alias("plain"), (F.col("page_id") % 10 == 0).alias("fallback"), H.extract_raw(F.col("html"), True).alias("raw")).select("page_id", F.when(F.col("fallback"), H.is_thin_extract(F.col("raw"))).otherwise(F.col("plain")).alias("thin"))
+
+
+@query(r"""
+SELECT page_id, md5(CASE page_id % 4 WHEN 0 THEN html WHEN 1 THEN regexp_replace('noise' || chr(10) || html, '\A[\t\n\r ]+|[\t\n\r ]+\z', '', 'g') WHEN 2 THEN html
+  ELSE regexp_replace(left('"' || replace(html, '"', '\"'), 40), '[\t\n\r ]+\z', '') END) AS html FROM pages""")
+def renderer_output(spark, d):
+    """Pages as a headless renderer prints them: as a JSON string behind a mark, as they are, as a JSON string alone, or
+    cut off, which leaves what stands there."""
+    k = F.col("page_id") % 4
+    quoted_html = F.regexp_extract(F.to_json(F.struct(F.col("html").alias("v"))), r'(?s)\A\{"v":(.*)\}\z', 1)
+    printed = F.when(k == 0, F.concat(F.lit("log\n### Result\n"), quoted_html, F.lit("\n### Ran\ncode"))).when(k == 1, F.concat(F.lit("noise\n"), "html")).when(k == 2, quoted_html).otherwise(F.concat(F.lit("### Result\n"), F.left(quoted_html, F.lit(40))))
+    return read(spark, d, "pages").select("page_id", F.md5(H.parse_renderer_output(printed)).alias("html"))
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'utf-16le' WHEN 1 THEN 'latin1' WHEN 2 THEN 'hex' WHEN 3 THEN chr(39) || 'latin1' || chr(39) WHEN 4 THEN 'rot13' END AS charset, md5(text) AS text FROM documents""")
+def charset_decode(spark, d):
+    """Every document as bytes under a charset label: known ones, names that are no character sets, quotes that are
+    no quotes, and none; what is not known is UTF-8."""
+    k = F.col("doc_id") % 6
+    typed = F.when(k == 0, 'text/html; charset="UTF-16LE"').when(k == 1, "text/html;x=1;charset=Latin1 ").when(k == 2, "text/html; charset=hex").when(k == 3, "text/html; charset='latin1'").when(k == 4, "text/html; charset=rot13").otherwise("text/html")
+    body = F.when(k == 0, F.encode("text", "UTF-16LE")).when(k == 1, F.encode("text", "ISO-8859-1")).otherwise(F.col("text").cast("binary"))
+    sent = read(spark, d, "documents").select("doc_id", body.alias("body"), codec.extract_charset(typed).alias("charset"))
+    return sent.select("doc_id", "charset", F.md5(codec.decode_body(F.col("body"), F.col("charset"))).alias("text"))
+
+
 @query()
 def article_markdown(spark, d):
-    """Article extraction and Markdown of every page; tested against brute force and fixtures."""
+    """Article extraction and Markdown of every page; the tests compare the words of each with those of its article."""
     a = read(spark, d, "pages").select("page_id", H.extract_article(F.col("html")).alias("a"))
     return a.select("page_id", "a.title", "a.byline", "a.used_raw_fallback", H.format_with_frontmatter(F.col("a"), H.html_to_markdown(F.col("a.content_html"))).alias("markdown"))
 
@@ -355,14 +380,83 @@ BODIES = [
     (1, 200, '{"candidates":[{"content":{"parts":[{"text":"A"},{"text":"B"}]},"groundingMetadata":{"groundingChunks":[{"web":{"uri":"https://a","title":"Ta"}},{"web":null},{"web":{"uri":""}},{"web":{"uri":"https://b"}},{"web":{"uri":"https://a","title":"again"}}]}}]}'),
     (2, 200, '{"candidates":null}'), (3, 200, '{"candidates":[{"content":{"parts":[{"text":""}]}}]}'), (4, 200, '{"error":{"code":403,"message":"no quota"}}'),
     (5, 429, "slow down"), (6, 500, "x" * 300), (7, 400, '{"error":{"code":400,"message":"bad"}}'), (8, 200, "not json"), (9, 503, '{"error":{"message":"down"}}'),
+    (10, 404, ""), (11, 403, '{"error":{"code":403}}'), (12, 599, "no"), (13, 200, '{"error":{"code":429,"message":"m"}}'), (14, 403, "plain"), (15, 500, '{"error":{}}'), (16, 413, "big"),
 ]
 
 
-@query("SELECT CAST(id AS BIGINT) AS request_id, answer, n, kind, code FROM " + sql_values([(1, "A", 3, None, None), (2, None, 0, None, None), (3, None, 0, None, None), (4, None, 0, "QuotaExhausted", 1), (5, None, 0, "RateLimited", 1), (6, None, 0, "Api", 2), (7, None, 0, "Api", 2), (8, None, 0, "Network", 2), (9, None, 0, "Api", 2)], "id, answer, n, kind, code"))
+ANSWERS = [
+    (1, "A", 3, None, None, None), (2, None, 0, None, None, None), (3, None, 0, None, None, None), (4, None, 0, "QuotaExhausted", 1, "API quota exhausted: no quota — check your API billing at https://aistudio.google.com"),
+    (5, None, 0, "RateLimited", 1, "API rate limit exceeded. Please retry later."), (6, None, 0, "Api", 2, "API error (500): HTTP 500 Internal Server Error: " + "x" * 200), (7, None, 0, "Api", 2, "API error (400): bad"), (8, None, 0, "Network", 2, "Network error: error decoding response body"),
+    (9, None, 0, "Api", 2, "API error (0): Unknown error (no status code): down"), (10, None, 0, "Api", 2, "API error (404): HTTP 404 Not Found: "), (11, None, 0, "QuotaExhausted", 1, "API quota exhausted: Unknown error — check your API billing at https://aistudio.google.com"), (12, None, 0, "Api", 2, "API error (599): HTTP 599 <unknown status code>: no"),
+    (13, None, 0, "RateLimited", 1, "API rate limit exceeded. Please retry later."), (14, None, 0, "Api", 2, "API error (403): HTTP 403 Forbidden: plain"), (15, None, 0, "Api", 2, "API error (0): Unknown error (no status code): Unknown error"), (16, None, 0, "Api", 2, "API error (413): HTTP 413 Payload Too Large: big"),
+]
+
+
+@query("SELECT CAST(id AS BIGINT) AS request_id, answer, n, kind, code, message FROM " + sql_values(ANSWERS, "id, answer, n, kind, code, message"))
 def search_response(spark, d):
     asked = literal(spark, [(i, str(i)) for i, *_ in BODIES], "request_id long, search_query string")
     got = research_ops.search_results(asked, literal(spark, [(str(i), s, b) for i, s, b in BODIES], "search_query string, status int, body string"))
-    return got.select("request_id", "answer", F.size("sources").alias("n"), "error.kind", F.col("error.exit_code").alias("code"))
+    return got.select("request_id", "answer", F.size("sources").alias("n"), "error.kind", F.col("error.exit_code").alias("code"), "error.message")
+
+
+NO_ANSWER = "(No answer returned — the query may have been filtered by safety settings.)"
+
+
+def _search_body(answer: Column, sources: Column) -> Column:
+    """A hosted search's response with one answer and sources (uri, title)."""
+    chunks = F.transform(sources, lambda x: F.struct(x.alias("web")))
+    return F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(answer.alias("text"))).alias("parts")).alias("content"), F.struct(chunks.alias("groundingChunks")).alias("groundingMetadata"))).alias("candidates")))
+
+
+@query(r"""
+SELECT item_id AS request_id, CASE WHEN item_id % 7 <> 5 THEN CASE WHEN item_id % 3 = 0 THEN '""" + NO_ANSWER + r"""' ELSE 'about ' || text END
+  || CASE WHEN item_id % 2 = 0 THEN chr(10) || chr(10) || '---' || chr(10) || '**Sources:**' || chr(10) || '- [T \[' || item_id || '\]](https://s/' || item_id || ')' || chr(10) || '- [](https://t)' || chr(10) ELSE '' END END AS output,
+  CASE WHEN item_id % 7 = 5 THEN 'API rate limit exceeded. Please retry later.' END AS message FROM benchmark""")
+def search_command(spark, d):
+    """The search command for every benchmark item: answers, missing ones, sources, and limits that are reached."""
+    k = F.col("item_id")
+    b = read(spark, d, "benchmark").withColumn("query", F.concat(k.cast("string"), F.lit(" "), "text"))
+    asked = b.select(k.alias("request_id"), "query", F.when(k % 4 == 1, "ja").otherwise("auto").alias("lang"))
+    sent = F.concat("query", F.when(k % 4 == 1, " (日本語で回答)").otherwise(""))
+    web = lambda uri, title: F.struct(uri.alias("uri"), title.alias("title"))
+    sources = F.when(k % 2 == 0, F.array(web(F.concat(F.lit("https://s/"), k), F.concat(F.lit("T ["), k, F.lit("]"))), web(F.lit(""), F.lit("gone")), web(F.lit("https://t"), F.lit(None).cast("string")))).otherwise(F.expr("CAST(array() AS array<struct<uri:string,title:string>>)"))
+    body = _search_body(F.when(k % 3 != 0, F.concat(F.lit("about "), "text")), sources)
+    responses = b.select(sent.alias("search_query"), F.when(k % 7 == 5, 429).otherwise(200).alias("status"), body.alias("body"))
+    return commands.search(asked, responses).select("request_id", "output", "error.message")
+
+
+#: What a page that is one paragraph comes to: its words on one line, behind an empty head; cut after 3,000 bytes.
+PARAGRAPH_SQL = r"""
+p AS (SELECT doc_id, regexp_replace(translate(text, '<>&', ''), '\A[\t\n\r ]+|[\t\n\r ]+\z', '', 'g') AS t FROM documents),
+m AS (SELECT doc_id, length(t) < 540 AS raw, '---' || chr(10) || '---' || chr(10) || CASE WHEN t = '' THEN '' ELSE chr(10) || regexp_replace(t, '[\t\n\r ]+', ' ', 'g') END AS md FROM p),
+c AS (SELECT doc_id, unnest(string_split(md, '')) AS c, generate_subscripts(string_split(md, ''), 1) AS i FROM m WHERE strlen(md) > 3000),
+h AS (SELECT doc_id, string_agg(c, '' ORDER BY i) AS head FROM (SELECT *, sum(strlen(c)) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM c) WHERE n <= 3000 GROUP BY doc_id),
+g AS (SELECT doc_id, CASE WHEN raw THEN '> Note: Readability extraction failed. Showing raw page conversion.' || chr(10) || chr(10) ELSE '' END || CASE WHEN strlen(md) <= 3000 THEN md ELSE concat(head, chr(10), chr(10), '(truncated: showing ', strlen(head), ' / ', strlen(md), ' bytes)') END AS page FROM m LEFT JOIN h USING (doc_id))"""
+
+
+@query("WITH " + PARAGRAPH_SQL + r""",
+b AS (SELECT item_id, text, CASE WHEN item_id % 2 = 0 THEN 2 ELSE 3 END AS depth FROM benchmark),
+s AS (SELECT item_id, depth, k, item_id * 7 + k AS doc FROM (SELECT *, unnest(range(4)) AS k FROM b)),
+f AS (SELECT s.*, g.page, CASE WHEN doc % 5 = 0 THEN 'fetch failed: status 500' WHEN doc_id IS NULL THEN 'fetch failed: no response' END AS reason FROM s LEFT JOIN g ON g.doc_id = doc WHERE k < depth),
+ok AS (SELECT item_id, '---' || chr(10) || chr(10) || '## Fetched Pages' || chr(10) || chr(10) || string_agg('### https://d.example/' || doc || chr(10) || chr(10) || page || chr(10) || chr(10), '' ORDER BY k) AS t FROM f WHERE reason IS NULL GROUP BY item_id),
+bad AS (SELECT item_id, '## Failed URLs' || chr(10) || chr(10) || string_agg('- https://d.example/' || doc || ' (' || reason || ')' || chr(10), '' ORDER BY k) || chr(10) AS t FROM f WHERE reason IS NOT NULL GROUP BY item_id),
+src AS (SELECT item_id, '## Sources' || chr(10) || chr(10) || string_agg('- [doc \[' || doc || '\]](https://d.example/' || doc || ')' || chr(10), '' ORDER BY k) AS t FROM s GROUP BY item_id)
+SELECT item_id AS request_id, md5('# Research: ' || translate(text, chr(10) || chr(13), '  ') || chr(10) || chr(10) || 'found' || chr(10) || chr(10) || coalesce(ok.t, '') || coalesce(bad.t, '') || src.t) AS report
+FROM b LEFT JOIN ok USING (item_id) LEFT JOIN bad USING (item_id) LEFT JOIN src USING (item_id)""")
+def research_command(spark, d):
+    """The research command for every benchmark item, through search, fetch chain and report: four documents each as
+    sources, two or three of them fetched as pages of one paragraph, one in five failing."""
+    k = F.col("item_id")
+    b = read(spark, d, "benchmark").withColumn("query", F.col("text"))
+    asked = b.select(k.alias("request_id"), "query", F.when(k % 2 == 0, 2).otherwise(3).alias("depth"), F.lit("en").alias("lang"))
+    doc = lambda i: (k * 7 + i).cast("string")
+    sources = F.array(*[F.struct(F.concat(F.lit("https://d.example/"), doc(i)).alias("uri"), F.concat(F.lit("doc ["), doc(i), F.lit("]")).alias("title")) for i in range(4)])
+    sent = F.concat("query", F.lit(" (answer in English)"))
+    responses = b.select(sent.alias("search_query"), F.lit(200).alias("status"), _search_body(F.lit("found"), sources).alias("body"))
+    url = F.concat(F.lit("https://d.example/"), F.col("doc_id").cast("string"))
+    html = F.concat(F.lit("<p>"), F.translate("text", "<>&", ""), F.lit("</p>"))
+    pages = read(spark, d, "documents").select(url.alias("url"), F.lit(None).cast("string").alias("final_url"), F.when(F.col("doc_id") % 5 == 0, 500).otherwise(200).alias("status"), F.lit("text/html").alias("content_type"), html.cast("binary").alias("body"), F.lit(None).cast("string").alias("failure"))
+    return commands.research(asked, responses, pages).select("request_id", F.md5("report").alias("report"))
 
 
 @query()
@@ -423,6 +517,87 @@ def overview(spark, d):
     return commands.repo_overview(asked, responses).select(F.col("request_id").alias("n_nationkey"), "output")
 
 
+@query("""
+WITH f AS (SELECT c_nationkey AS k, c_custkey, 'src/' || translate(c_name, '#', '-') || CASE WHEN c_custkey % 2 = 0 THEN '.rs' ELSE '.md' END AS path, CASE WHEN c_custkey % 3 > 0 THEN c_custkey * 7 END AS n FROM customer),
+w AS (SELECT k, c_custkey, path || CASE WHEN n IS NULL THEN '' WHEN n < 1024 THEN ' (' || n || ' B)' ELSE ' (' || printf('%.1f', n / 1024.0) || ' KB)' END || chr(10) AS line FROM f WHERE path LIKE '%5_.rs' OR path LIKE '%8.rs')
+SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 4 THEN 'Not found: /repos/o/' || n_name || '/git/trees/gone?recursive=1' END AS message,
+  CASE WHEN n_nationkey % 5 <> 4 THEN md5('o/' || n_name || ' (ref: ' || CASE WHEN n_nationkey % 2 = 0 THEN 'main' ELSE 'v1' END || ')' || chr(10) || 'files: ' || count(line) || CASE WHEN n_nationkey % 3 = 0 THEN ' (tree truncated by GitHub — repository exceeds API limits)' ELSE '' END || chr(10) || chr(10) || coalesce(string_agg(line, '' ORDER BY c_custkey), '')) END AS output
+FROM nation LEFT JOIN w ON k = n_nationkey GROUP BY n_nationkey, n_name""")
+def repo_tree_command(spark, d):
+    """The tree command for every nation as a repository of its customers, at the default branch or a named ref, below a
+    path and by a pattern; one in five refs is not there."""
+    k = F.col("n_nationkey")
+    n = read(spark, d, "nation")
+    path = F.concat(F.lit("src/"), F.translate("c_name", "#", "-"), F.when(F.col("c_custkey") % 2 == 0, ".rs").otherwise(".md"))
+    entry = F.struct(F.col("c_custkey"), path.alias("path"), F.lit("blob").alias("type"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_custkey") * 7).alias("size"))
+    files = read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    both = n.join(files, "n_nationkey", "left")
+    folder = F.struct(F.lit("src").alias("path"), F.lit("tree").alias("type"), F.lit(None).cast("long").alias("size"))
+    listed = F.concat(F.array(folder), F.coalesce(F.transform("e", lambda x: F.struct(x["path"].alias("path"), x["type"].alias("type"), x["size"].cast("long").alias("size"))), F.expr("CAST(array() AS array<struct<path:string,type:string,size:bigint>>)")))
+    base = F.concat(F.lit("/repos/o/"), "n_name")
+    ref = F.when(k % 5 == 4, "gone").when(k % 2 == 0, F.lit(None).cast("string")).otherwise("v1")
+    tree = F.to_json(F.struct(listed.alias("tree"), (k % 3 == 0).alias("truncated")))
+    info = F.to_json(F.struct(F.concat(F.lit("o/"), "n_name").alias("full_name"), F.lit("main").alias("default_branch")))
+    exchange = lambda path, status, body: both.select(path.alias("path"), status.alias("status"), F.lit(None).cast("long").alias("remaining"), body.alias("body"))
+    trees = exchange(F.concat(base, F.lit("/git/trees/"), F.coalesce(ref, F.lit("main")), F.lit("?recursive=1")), F.when(k % 5 == 4, 404).otherwise(200), F.when(k % 5 == 4, '{"message":"no"}').otherwise(tree))
+    responses = exchange(base, F.lit(200), info).unionByName(trees)
+    asked = n.select(k.alias("request_id"), F.concat(F.lit("https://github.com/o/"), "n_name", F.lit(".git")).alias("repository"), ref.alias("ref"))
+    out = commands.repo_tree(asked, responses, "src/", "*{5?,8}.rs")
+    return out.select(F.col("request_id").alias("n_nationkey"), F.col("error.message").alias("message"), F.md5("output").alias("output"))
+
+
+SPANS = {0: None, 1: "2-3", 2: "2-", 3: "900-", 4: "x"}
+
+
+@query(r"""
+WITH l AS (""" + LINES_SQL.strip() + r"""),
+n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id),
+d AS (SELECT documents.doc_id, documents.doc_id % 5 AS kind, coalesce(n, 0) AS n, CASE documents.doc_id % 5 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 3 THEN 900 ELSE 1 END AS a, CASE documents.doc_id % 5 WHEN 1 THEN 3 ELSE 1000000 END AS b FROM documents LEFT JOIN n USING (doc_id)),
+t AS (SELECT d.doc_id, string_agg(printf('%5d', pos) || chr(9) || line, chr(10) ORDER BY pos) AS part FROM d JOIN l ON l.doc_id = d.doc_id AND pos BETWEEN a AND b GROUP BY d.doc_id)
+SELECT doc_id, CASE WHEN kind = 4 THEN 'Invalid line range: ''x''. Use formats like ''1-80'', ''50-'', or ''100'' (first N lines).' END AS message,
+  CASE WHEN kind <> 4 THEN md5('a b/' || doc_id || '.txt (' || n || ' lines)' || chr(10) || chr(10) || CASE WHEN a > n THEN '(file has ' || n || ' lines, requested start at ' || a || ')' ELSE part END) END AS output FROM d LEFT JOIN t USING (doc_id)""")
+def repo_read_command(spark, d):
+    """The read command for every document as a file: whole or by lines, every other one too large for the contents
+    record, so that its blob is asked for."""
+    k = F.col("doc_id")
+    docs = read(spark, d, "documents")
+    file = F.concat(F.lit("a b/"), k.cast("string"), F.lit(".txt"))
+    sha = F.concat(F.lit("s"), k.cast("string"))
+    data = F.base64(F.col("text").cast("binary"))
+    contents = docs.select(F.concat(F.lit("/repos/o/r/contents/a%20b/"), k.cast("string"), F.lit(".txt")).alias("path"), F.to_json(F.struct(sha.alias("sha"), F.when(k % 2 == 0, data).alias("content"))).alias("body"))
+    blobs = docs.filter(k % 2 == 1).select(F.concat(F.lit("/repos/o/r/git/blobs/"), sha).alias("path"), F.to_json(F.struct(data.alias("content"))).alias("body"))
+    responses = contents.unionByName(blobs).select("path", F.lit(200).alias("status"), F.lit(None).cast("long").alias("remaining"), "body")
+    spans = F.create_map(*[F.lit(x) for pair in SPANS.items() if pair[1] for x in pair])
+    asked = docs.select(k.alias("request_id"), F.lit("o/r").alias("repository"), file.alias("file"), F.lit(None).cast("string").alias("ref"), F.try_element_at(spans, (k % 5).cast("int")).alias("lines"))
+    return commands.repo_read(asked, responses).select(F.col("request_id").alias("doc_id"), F.col("error.message").alias("message"), F.md5("output").alias("output"))
+
+
+@query("""
+WITH r AS (SELECT n_nationkey AS k, n_name, CASE WHEN n_nationkey % 2 = 0 THEN 250 ELSE 200 END AS n FROM nation),
+t AS (SELECT k, string_agg('## line ' || i, chr(10) ORDER BY i) AS t FROM (SELECT k, unnest(range(1, 201)) AS i FROM r) GROUP BY k)
+SELECT r.k AS n_nationkey, md5('# o/' || n_name || chr(10) || chr(10) || '| Attribute | Value |' || chr(10) || '|-----------|-------|' || chr(10) || '| Stars | ' || r.k || ' |' || chr(10) || chr(10)
+  || '## README' || chr(10) || chr(10) || replace(t.t, '## line', '#### line') || CASE WHEN n > 200 THEN chr(10) || chr(10) || '... (truncated, ' || n || ' lines total)' ELSE '' END || chr(10) || chr(10)
+  || '## Recent Pull Requests' || chr(10) || chr(10) || '- [#' || r.k || '](https://x/\\(1\\)) P [draft] — @bob' || chr(10) || '- [#2](u) Q' || chr(10) || chr(10)
+  || '## Recent Releases' || chr(10) || chr(10) || '- [v' || r.k || '](u) — 2024-05-06 (pre-release)' || chr(10) || '- [named](u) — —' || chr(10) || '- [v0](u) — —' || chr(10) || chr(10)
+  || chr(10) || '> **Note:** Could not fetch issues (Access denied: no scope — check that your GITHUB_TOKEN has the required scopes).' || chr(10)) AS output FROM r JOIN t ON t.k = r.k""")
+def overview_rich(spark, d):
+    """Nations as repositories with long READMEs, drafts, releases with and without name and date, and issues that are
+    not to be had."""
+    n, k = read(spark, d, "nation"), F.col("n_nationkey")
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.when(k % 2 == 0, 250).otherwise(200)), lambda i: F.concat(F.lit("## line "), i.cast("string"))), "\n")
+    info = F.to_json(F.struct(F.concat(F.lit("o/"), "n_name").alias("full_name"), k.alias("stargazers_count")))
+    readme = F.to_json(F.struct(F.base64(text.cast("binary")).alias("content")))
+    pulls = F.concat(F.lit('[{"number":'), k, F.lit(',"title":"P","html_url":"https://x/(1)","draft":true,"user":{"login":"bob"}},{"number":2,"title":"Q","html_url":"u","draft":false,"user":null}]'))
+    releases = F.concat(F.lit('[{"tag_name":"v'), k, F.lit('","html_url":"u","published_at":"2024-05-06T07:08:09Z","prerelease":true},{"tag_name":"t","name":"named","html_url":"u","prerelease":false},{"tag_name":"v0","html_url":"u","published_at":"short","prerelease":false},{"tag_name":"fourth","html_url":"u","prerelease":false}]'))
+    bodies = ((200, info), (200, readme), (403, F.lit('{"message":"no scope"}')), (200, pulls), (200, releases))
+    responses = None
+    for (_, _, tail), (status, body) in zip(repo_ops.OVERVIEW_PARTS, bodies, strict=True):
+        one = n.select(F.concat(F.lit("/repos/o/"), "n_name", F.lit(tail)).alias("path"), F.lit(status).alias("status"), F.lit(9).cast("long").alias("remaining"), body.alias("body"))
+        responses = one if responses is None else responses.unionByName(one)
+    asked = n.select(k.alias("request_id"), F.concat(F.lit("o/"), "n_name").alias("repository"))
+    return commands.repo_overview(asked, responses).select(F.col("request_id").alias("n_nationkey"), F.md5("output").alias("output"))
+
+
 REPOS = [(1, "a/b"), (2, "https://github.com/a/b.git"), (3, "http://github.com/a/b//"), (4, "a"), (5, "a/../c"), (6, "a/b/tree/main"), (7, "a b/c"), (8, "../x"), (9, "a/b.git/"), (10, "")]
 
 
@@ -473,6 +648,19 @@ def url_redact_encode(spark, d):
     return read(spark, d, "pages").select("page_id", U.redact_url_credentials(F.concat(F.lit("https://user:pw@h/"), "page_id")).alias("clean"), U.encode_path(F.concat(F.lit("a b/é"), "page_id", F.lit("?x"))).alias("encoded"))
 
 
+CREDENTIALS = [
+    (1, "https://user:pw@h/a", "https://h/a"), (2, "http:user:pw@h/", "http://h/"), (3, "https:\\\\user@h/x@y", "https://h/x@y"), (4, "https://h/a@b", "https://h/a@b"), (5, "ftp://u:p@h/", "ftp://h/"), (6, "mailto:a@b", "mailto:a@b"),
+    (7, "no url a@b", "no url a@b"), (8, "HTTPS:///u@h?q=a@b", "HTTPS://h?q=a@b"), (9, "https://a@b@c/", "https://c/"), (10, "https://h?u=a@b", "https://h?u=a@b"),
+]
+
+
+@query("SELECT CAST(id AS BIGINT) AS id, clean FROM " + sql_values([(i, c) for i, _, c in CREDENTIALS], "id, clean") + " UNION ALL SELECT page_id + 1000, url FROM pages")
+def credentials_redact(spark, d):
+    """The user and password go wherever an address may carry them; every page's own address stays as it is."""
+    rows = literal(spark, [(i, u) for i, u, _ in CREDENTIALS], "id long, url string").unionByName(read(spark, d, "pages").select((F.col("page_id") + 1000).alias("id"), "url"))
+    return rows.select("id", U.redact_url_credentials(F.col("url")).alias("clean"))
+
+
 LINKS = [
     (1, "https://team.slack.com/archives/C1/p1700000000123456"), (2, "https://team.slack.com/archives/C1/p1700000000123456?thread_ts=1699999999.000100&cid=C1"), (3, "https://example.com/archives/C1/p1700000000123456"),
     (4, "https://team.slack.com/messages/C1/p1700000000123456"), (5, "https://team.slack.com/archives/C1/p123456"), (6, "https://team.slack.com/archives/C1/1700000000123456"), (7, "https://slack.com/archives/C1/p1700000000123456"), (8, "https://team.slack.com/archives/C1/p1700000000123456/x"),
@@ -535,9 +723,32 @@ def thread_render(spark, d):
     return out.select(F.col("key").alias("conv_id"), F.md5("output").alias("output"))
 
 
+@query("""
+WITH m AS (SELECT 'C' || conv_id % 10 AS channel, conv_id, turn, printf('%d.%06d', 1700000000 + conv_id * 1000 + turn * 60, 0) AS ts, role, text FROM conversations),
+l AS (SELECT conv_id, turn, channel, printf('%d.%06d', 1700000000 + conv_id * 1000 + turn * 60 + 30, 0) AS at FROM m),
+b AS (SELECT l.conv_id, l.turn, m.ts, m.role, m.text, row_number() OVER (PARTITION BY l.conv_id, l.turn ORDER BY m.ts DESC) AS r FROM l JOIN m ON m.channel = l.channel AND m.ts <= l.at)
+SELECT conv_id, turn, ts, md5(text) AS text, CAST(1 AS BIGINT) AS n FROM b WHERE r = 1""")
+def single_message(spark, d):
+    """Links between the messages of ten channels: each finds the last message at or before it."""
+    at = lambda more: F.format_string("%d.%06d", F.col("conv_id") * 1000 + 1_700_000_000 + F.col("turn") * 60 + more, F.lit(0))
+    c = read(spark, d, "conversations").withColumn("channel", F.concat(F.lit("C"), F.col("conv_id") % 10))
+    messages = c.select("channel", at(0).alias("ts"), F.lit(None).cast("string").alias("thread_ts"), F.col("role").alias("user"), "text", F.lit(None).cast("long").alias("reply_count"))
+    key = F.concat("conv_id", F.lit("/"), "turn")
+    links = c.select(key.alias("key"), F.struct(F.lit("t").alias("workspace"), "channel", at(30).alias("ts"), F.lit(None).cast("string").alias("thread_ts"), F.lit("u").alias("raw_url")).alias("link"))
+    early = links.select(F.concat(F.lit("x"), "key").alias("key"), F.struct("link.workspace", "link.channel", F.lit("1600000000.000000").alias("ts"), "link.thread_ts", "link.raw_url").alias("link"))
+    got = thread_ops.thread_messages(links.unionByName(early), messages)
+    part = lambda i: F.split_part("key", F.lit("/"), F.lit(i)).cast("long")
+    return got.groupBy("key").agg(F.min("ts").alias("ts"), F.md5(F.min("text")).alias("text"), F.count("*").alias("n")).select(part(1).alias("conv_id"), part(2).alias("turn"), "ts", "text", "n")
+
+
 # --- errors ----------------------------------------------------------------------------------------------
 
-KINDS = [(area, kind, code) for area, kinds in errors.EXIT_CODES.items() for kind, code in kinds.items()]
+KINDS = [
+    ("fetch", "InvalidScheme", 1), ("fetch", "InvalidUrl", 1), ("fetch", "InternalHost", 1), ("fetch", "UnsupportedContentType", 1), ("fetch", "Playwright", 1), ("fetch", "Timeout", 2), ("fetch", "DnsResolution", 2), ("fetch", "Http", 2), ("fetch", "Status", 2), ("fetch", "TooLarge", 2),
+    ("repo", "NotFound", 1), ("repo", "InvalidRepo", 1), ("repo", "InvalidRef", 1), ("repo", "InvalidPath", 1), ("repo", "InvalidLineRange", 1), ("repo", "InvalidPattern", 1), ("repo", "RateLimited", 1), ("repo", "Forbidden", 1), ("repo", "Api", 2), ("repo", "Network", 2), ("repo", "Decode", 2),
+    ("search", "ApiKeyNotSet", 1), ("search", "RateLimited", 1), ("search", "QuotaExhausted", 1), ("search", "Api", 2), ("search", "Network", 2),
+    ("chat", "TokenNotSet", 1), ("chat", "Api", 1), ("chat", "Network", 2), ("chat", "Timeout", 2), ("chat", "Decode", 2),
+]
 
 
 @query("SELECT area, kind, code FROM " + sql_values(KINDS, "area, kind, code"))

@@ -22,7 +22,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if model is None:
         return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     found = language_id.predict(docs, model)
-    return found.filter((F.col("_lang") != "und") & (F.col("_score") >= 0.5)).select(*docs.columns)
+    lang, score, _ = found.columns[len(docs.columns) :]
+    return found.filter((F.col(lang) != "und") & (F.col(score) >= 0.5)).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -96,6 +96,19 @@ def test_planted(spark):
     assert near_dedup.classes(df.limit(0)).count() == 0
 
 
+def test_keep_one_of_any_ids(spark):
+    rng = random.Random(2)
+    line = lambda: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(40))
+    a, b, c, d = line(), line(), line(), line()
+    near = a.replace(a.split()[-1], "other")
+    rows = [(5, a), (3, near), (None, a), (None, b), (None, b), (3, c), (7, c), (7, d), (7, d), (9, None), (None, ""), (8, d)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, _label string, _h1 int")
+    kept = near_dedup.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, near), (None, b), (3, c), (7, d), (9, None)], key=str)
+    assert near_dedup.keep_one(df.limit(0)).count() == 0
+
+
 def template_family(n, unique, seed=4, length=200):
     """(doc_id, text): n texts that share all but `unique` words at their ends, each with a near copy at about 0.81."""
     rng = random.Random(seed)

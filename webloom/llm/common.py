@@ -8,6 +8,7 @@ import uuid
 from contextlib import contextmanager
 from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,8 +59,10 @@ def in_small_batches(f):
 def slices(batches, rows: int = BATCH_ROWS, keep=None):
     """Arrow batches in parts of `rows` rows, whatever their size. The worker lets go of what operators other than `keep` have
     kept in it (see worker_cache)."""
-    for owner in [x for x in _held if x != keep]:
-        del _held[owner]
+    if others := [x for x in _held if x != keep]:
+        for owner in others:
+            del _held[owner]
+        pa.default_memory_pool().release_unused()
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
@@ -82,6 +85,19 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver's as a DataFrame; by way of Arrow, so that no Python worker is started for them."""
+    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    fields = [x.split() for x in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return spark.createDataFrame(pa.table({n: pa.array(list(c), types[t]) for (n, t), c in zip(fields, columns, strict=True)}), schema)
+
+
+def run_once(f, schema: str, kind=F.pandas_udf):
+    """A UDF that Spark does not move and so does not run twice: a filter on its result would else be computed apart."""
+    return kind(f, schema).asNondeterministic()
+
+
 def fresh(columns: list[str], *names: str) -> list[str]:
     """The names, with as many underscores behind as it takes to be none of `columns` (whatever the case)."""
     taken, out = {c.lower() for c in columns}, []
@@ -121,7 +137,7 @@ def least_hashed(keys: DataFrame, n: int, max_total: int | None = None) -> DataF
             if total >= n:
                 break
         tops.append((label, length))
-    top = keys.sparkSession.createDataFrame(tops, f"label {dict(keys.dtypes)['label']}, top int")
+    top = local_table(keys.sparkSession, tops, f"label {dict(keys.dtypes)['label']}, top int")
     near = keys.join(F.broadcast(top), "label").filter(digits <= F.col("top"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy("h"))
     return near.select("label", "h", rank.alias("r")).filter(F.col("r") <= n).select("label", "h")

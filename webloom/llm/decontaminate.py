@@ -41,25 +41,42 @@ def _key(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("text"), text).alias("b"))
 
 
-def hits(docs: DataFrame, windows: DataFrame, text_col: str = "text", set_size: int = SET_SIZE) -> DataFrame:
-    """(key, at, size, items): every occurrence of a benchmark window (see benchmark_windows) in a text, once for equal
-    texts. `windows` is a stored table."""
+def probed(docs: DataFrame, windows: DataFrame, text_col: str, set_size: int, heads: bool) -> DataFrame:
+    """(kept, key, n_words, pos, at, size, window): the windows of texts whose hash is in the set of `windows` (a stored
+    table), numbered by pos from 1. With `heads` every row of `docs` has a row of pos 0 besides, with its columns but
+    the text as `kept`.
+
+    Windows are long numbers when they meet the set; only what is met takes its words along."""
     n, sizes = windows.count(), sorted(r[0] for r in windows.select("size").distinct().collect())  # sizes are n at most
     passes = max(1, -(-n // set_size))
     text = F.col(quoted(text_col))
-    at_all = [f"if(size(hs) >= {s}, transform(sequence(0, size(hs) - {s}), i -> named_struct('at', i, 'size', {s}, 'h', xxhash64(slice(hs, i + 1, {s})))), array())" for s in sizes]
-    hashed = docs.select(_key(text).alias("key"), words(text).alias("w")).filter(F.size("w") >= (sizes[0] if sizes else 1))
-    # hs is bound once for all windows of a text
-    spans = F.expr(f"flatten(transform(array(transform(w, x -> xxhash64(x))), hs -> concat({', '.join(at_all)})))") if sizes else F.expr("array(named_struct('at', 0, 'size', 0, 'h', 0L))")
+    kept = columns_of(docs, text_col) if heads else []
+    split = docs.select(F.struct(*(kept or [F.lit(0).alias("none")])).alias("kept"), _key(text).alias("key"), words(text).alias("w"))
+    # hs is bound once for all windows of a text; the first number, 0, stands for the row itself
+    hashes = ["array(0L)"] + [f"if(size(hs) >= {s}, transform(sequence(0, size(hs) - {s}), i -> xxhash64(slice(hs, i + 1, {s}))), array())" for s in sizes]
+    spans = F.expr(f"flatten(transform(array(transform(w, x -> xxhash64(x))), hs -> concat({', '.join(hashes)})))")
+    every = split.select("kept", "key", "w", F.posexplode(spans).alias("pos", "h"))
     found = None
     for k in range(passes):
-        hashes = windows.filter(F.pmod("h", F.lit(passes)) == k).select("h").distinct()
-        met = hashed.select("key", "w", F.explode(spans).alias("s")).join(F.broadcast(hashes.withColumnRenamed("h", "_h")), F.col("s.h") == F.col("_h"))
-        met = met.select("key", F.col("s.at").alias("at"), F.col("s.size").alias("size"), F.expr("array_join(slice(w, s.at + 1, s.size), ' ')").alias("window"))
+        own = windows.filter(F.pmod("h", F.lit(passes)) == k).select(F.col("h").alias("in_set"), "size").distinct()
+        if heads and k == 0:
+            own = own.unionByName(docs.sparkSession.range(1).select(F.lit(0).cast("long").alias("in_set"), F.lit(0).alias("size")))
+        met = every.join(F.broadcast(own), (F.col("h") == F.col("in_set")) & ((F.col("pos") == 0) == (F.col("size") == 0)))
         found = met if found is None else found.unionByName(met)
-    # the join compares the words themselves; a hash that only looked alike finds no partner
-    exact = F.broadcast(windows) if n <= BROADCAST_HITS else windows
-    return found.join(exact.select("window", "size", "items"), ["window", "size"]).select("key", "at", "size", "items").distinct()
+    at, before = F.lit(None).cast("int"), F.lit(1)
+    for s in sizes:  # windows are numbered size by size
+        at = F.when(F.col("size") == s, F.col("pos") - before).otherwise(at)
+        before = before + F.greatest(F.size("w") - s + 1, F.lit(0))
+    placed = found.select("kept", "key", "w", F.size("w").cast("long").alias("n_words"), "pos", at.alias("at"), "size")
+    return placed.select("kept", "key", "n_words", "pos", "at", "size", F.when(F.col("size") > 0, F.expr("array_join(slice(w, at + 1, size), ' ')")).alias("window"))
+
+
+def hits(met: DataFrame, windows: DataFrame) -> DataFrame:
+    """(key, at, size, items): every occurrence of a benchmark window among probed() ones, once for equal texts. The words
+    themselves are compared; a hash that only looked alike finds no partner."""
+    exact = windows.select("window", "size", "items")
+    exact = F.broadcast(exact) if exact.count() <= BROADCAST_HITS else exact
+    return met.filter("pos > 0").select("key", "at", "size", "window").join(exact, ["window", "size"]).select("key", "at", "size", "items").distinct()
 
 
 def merged(found: DataFrame) -> DataFrame:
@@ -76,26 +93,23 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "
     words, as start and end); where `docs` has a column of that name, ours has more underscores behind.
 
     One row per row of `docs`, whatever its ids; null and empty texts have no words."""
-    keep = columns_of(docs, text_col)
-    n_words, n_hit, items, spans, key = fresh(docs.columns, "_n_words", "_n_hit", "_items", "_spans", "_key")
+    n_words, n_hit, items, spans = fresh(docs.columns, "_n_words", "_n_hit", "_items", "_spans")
     windows = stored(benchmark_windows(benchmark, n))
-    found = stored(hits(docs, windows, text_col, set_size))
-    by_text = stored(merged(found))
-    dropped(windows, found)
+    met = stored(probed(docs, windows, text_col, set_size, True))
+    by_text = stored(merged(hits(met, windows)))
     size = by_text.agg(F.coalesce(F.sum(F.size("spans") + F.size("items")), F.lit(0))).first()[0]
-    named = by_text.select(F.col("key").alias(key), F.col("spans").alias(spans), F.col("items").alias(items))
-    text = F.col(quoted(text_col))
-    counted = docs.select(*keep, F.size(words(text)).cast("long").alias(n_words), _key(text).alias(key))
-    both = counted.join(F.broadcast(named) if size <= BROADCAST_HITS else named, key, "left")
-    nothing = F.coalesce(F.col(spans), F.expr("CAST(array() AS array<struct<a:int,b:int>>)"))
-    return both.select(*keep, n_words, F.expr(f"aggregate(coalesce({spans}, array()), 0L, (n, x) -> n + x.b - x.a)").alias(n_hit), F.coalesce(F.col(items), F.expr("CAST(array() AS array<string>)")).alias(items), nothing.alias(spans))
+    rows = met.filter("pos = 0").select("kept", "key", "n_words")
+    both = rows.join(F.broadcast(by_text) if size <= BROADCAST_HITS else by_text, "key", "left")
+    keep = [F.col("kept").getField(c).alias(c) for c in docs.columns if c != text_col]
+    found = F.coalesce("spans", F.expr("CAST(array() AS array<struct<a:int,b:int>>)"))
+    return both.select(*keep, F.col("n_words").alias(n_words), F.expr("aggregate(coalesce(spans, array()), 0L, (n, x) -> n + x.b - x.a)").alias(n_hit), F.coalesce("items", F.expr("CAST(array() AS array<string>)")).alias(items), found.alias(spans))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", set_size: int = SET_SIZE) -> DataFrame:
     """`docs` without the rows whose text holds a benchmark window; every other row stays as it is."""
     (key,) = fresh(docs.columns, "_key")
     windows = stored(benchmark_windows(benchmark, n))
-    bad = stored(hits(docs, windows, text_col, set_size).select(F.col("key").alias(key)).distinct())
+    bad = stored(hits(probed(docs, windows, text_col, set_size, False), windows).select(F.col("key").alias(key)).distinct())
     dropped(windows)
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_HITS else bad
     return docs.withColumn(key, _key(F.col(quoted(text_col)))).join(bad, key, "left_anti").select(*columns_of(docs))

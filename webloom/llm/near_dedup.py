@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm import rare_prefixes
-from webloom.llm.common import dropped, in_small_batches, quoted, slices, stored, text_or_empty
+from webloom.llm.common import columns_of, fresh, in_small_batches, quoted, run_once, slices, stored, text_or_empty
 from webloom.llm.components import connected_components
 
 #: Rows of a key table up to which it is broadcast; beyond, the same join is made by shuffle.
@@ -177,7 +177,7 @@ def candidates(nodes: DataFrame, k: int = 128, threshold: float = 0.8) -> DataFr
         x, y = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(len(s), -1) for s in (sa, sb))
         return pd.Series((x == y).mean(axis=1))
 
-    estimate = F.pandas_udf(agree, "double")
+    estimate = run_once(agree, "double")
     return both.select("a", "b", estimate("sa", "sb").alias("estimate")).filter(F.col("estimate") >= least)
 
 
@@ -234,20 +234,14 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: flo
             out.append(common / (len(a) + len(b) - common))
         return pd.Series(out, dtype="float64")
 
-    exact = F.pandas_udf(jaccard, "double")
+    exact = run_once(jaccard, "double")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     return both.select("a", "b", exact("x", "y").alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
-@in_small_batches
-def classes(docs: DataFrame, threshold: float = 0.8, k: int = 128, bands: int = 32, id_col: str = "doc_id", text_col: str = "text", weighting: str = "presence", all_links: bool = False) -> DataFrame:
-    """One row per row of `docs`: id_col, class_id (the least id in its class), n_links and class_rows.
-
-    n_links counts the links of its text with other texts. Links inside a class that others already hold together are
-    only all compared with `all_links`, which takes the square of a large class; without it n_links counts those found.
-
-    Exact copies are one text; null is the empty text, and texts without words are alike only if
-    they are equal. Null ids count as greater than any other. Other columns are not read."""
+def labelled(docs: DataFrame, threshold: float, k: int, bands: int, id_col: str, text_col: str, weighting: str, all_links: bool) -> tuple[DataFrame, DataFrame]:
+    """Stored tables: (id, h1, h2, label, n_links) of each row, and of each label the least id and the number of rows. Both
+    are stored, so that a join of them has nothing but exchanges below it and Spark can split a large class."""
     nodes = texts(docs, k, bands, text_col, weighting)
     links = stored(verified(docs, nodes, candidates(nodes, k, threshold), threshold, text_col, weighting))
     labels = connected_components(links)
@@ -258,19 +252,40 @@ def classes(docs: DataFrame, threshold: float = 0.8, k: int = 128, bands: int =
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     placed = nodes.select("node", "h1", "h2").join(labels, "node", "left").join(ends, "node", "left")
     placed = placed.select("h1", "h2", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    rows = stored(docs.select(F.col(id_col).alias("id"), *_same_text(text_col)).join(placed, ["h1", "h2"]).select("id", "label", "n_links"))
-    # stored, so that the join has nothing but exchanges below it and Spark can split a large class
-    least = stored(rows.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("class_rows")))
+    rows = stored(docs.select(F.col(quoted(id_col)).alias("id"), *_same_text(text_col)).join(placed, ["h1", "h2"]).select("id", "h1", "h2", "label", "n_links"))
+    return rows, stored(rows.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("class_rows")))
+
+
+@in_small_batches
+def classes(docs: DataFrame, threshold: float = 0.8, k: int = 128, bands: int = 32, id_col: str = "doc_id", text_col: str = "text", weighting: str = "presence", all_links: bool = False) -> DataFrame:
+    """One row per row of `docs`: id_col, class_id (the least id in its class), n_links and class_rows.
+
+    n_links counts the links of its text with other texts. Links inside a class that others already hold together are
+    only all compared with `all_links`, which takes the square of a large class; without it n_links counts those found.
+
+    Exact copies are one text; null is the empty text, and texts without words are alike only if
+    they are equal. Null ids count as greater than any other. Other columns are not read."""
+    rows, least = labelled(docs, threshold, k, bands, id_col, text_col, weighting, all_links)
     return rows.join(least, "label").select(F.col("id").alias(id_col), "class_id", "n_links", "class_rows")
 
 
+@in_small_batches
 def keep_one(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one row of each class, that of the least id; rows with a null id all stay."""
-    found = stored(classes(docs, threshold, id_col=id_col, text_col=text_col))
-    gone = found.filter(F.col(id_col) != F.col("class_id")).select(id_col).distinct()
-    kept = docs.join(_small(stored(gone)), id_col, "left_anti").select(*docs.columns)
-    if docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").limit(1).count():
-        twice = docs.groupBy(id_col).count().filter("count > 1").select(id_col)
-        once = kept.join(twice, id_col, "left_anti")
-        return once.unionByName(kept.join(twice, id_col, "left_semi").dropDuplicates([id_col])).select(*docs.columns)
-    return kept
+    """`docs` with one row of each class: that of the least id, or one of those with it if there are several; a class
+    without ids keeps one row too. Rows are told apart by id and text, so that an id may be repeated."""
+    rows, least = labelled(docs, threshold, 128, 32, id_col, text_col, "presence", False)
+    first = F.col("id").eqNullSafe(F.col("class_id"))
+    joined = rows.join(least.select("label", "class_id"), "label")
+    gone = stored(joined.filter(~first).select("id", "h1", "h2").distinct())
+    several = stored(joined.filter(first).groupBy("label").agg(F.count("*").alias("n")).filter("n > 1").select("label"))
+    again = stored(rows.join(several, "label").join(least.select("label", "class_id"), "label").filter(first).select("id", "h1", "h2", "label").distinct())
+    h1, h2, label, of, g1, g2 = fresh(docs.columns, "_h1", "_h2", "_label", "_of", "_g1", "_g2")
+    names = {"id": of, "h1": g1, "h2": g2, "label": label}
+    same = F.col(quoted(id_col)).eqNullSafe(F.col(of)) & (F.col(h1) == F.col(g1)) & (F.col(h2) == F.col(g2))
+    text_key = _same_text(text_col)
+    kept = docs.withColumns({h1: text_key[0], h2: text_key[1]}).join(_small(gone.withColumnsRenamed(names)), same, "left_anti")
+    if again.limit(1).count():
+        twice = _small(again.withColumnsRenamed(names))
+        one_each = kept.join(twice, same).dropDuplicates([label]).select(*kept.columns)
+        kept = kept.join(twice, same, "left_anti").unionByName(one_each)
+    return kept.select(*columns_of(docs))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import slices, stored
+from webloom.llm.common import run_once, slices, stored
 
 #: Buckets in which elements are counted: a bound on memory; collisions change the order, not the pairs.
 BUCKETS = 1 << 20
@@ -97,7 +97,7 @@ def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
 def links_between(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of all nodes of different labels among `sets` (node, label, set), compared exactly."""
     pairs = stored(close_pairs(sets, threshold))
-    exact = F.pandas_udf(jaccard, "double")
+    exact = run_once(jaccard, "double")
     of = lambda end, name: sets.select(F.col("node").alias(end), F.col("set").alias(name))
     both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
     return both.select("a", "b", exact("x", "y").alias("similarity")).filter(F.col("similarity") >= threshold)

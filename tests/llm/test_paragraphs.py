@@ -19,11 +19,14 @@ def brute_paragraphs(docs, threshold=0.8, min_words=16):
     units = {}
     for d, t in docs:
         at = 0
-        for line in (t or "").encode().split(b"\n"):
+        data = (t or "").encode()
+        apart = rb"\n" if not re.search(rb"\n[\t\x0b\f\r ]*\n", data.strip()) else rb"\n[\t\x0b\f\r ]*(?=\n)"
+        for line in re.split(apart, data):
             w = spaced(lower(line))
             if len(w) >= min_words:
                 units.setdefault(tuple(x[2] for x in w), []).append((d, at + w[0][0], at + w[-1][1]))
-            at += len(line) + 1
+            at += len(line)
+            at += len(re.match(apart, data[at:])[0]) if at < len(data) else 0
     keys = list(units)
     sets = [{k[i : i + 5] for i in range(len(k) - 4)} for k in keys]
     by, parent = {}, list(range(len(keys)))
@@ -51,7 +54,8 @@ def classes(rows, kind):
         if r._kind == kind:
             out.setdefault((r._class_id, r._class_first), []).append((r.doc_id, r._first, r._end))
     for key, members in out.items():
-        # a segment's first place may itself stand in too short a run to be a passage
+        # a segment's first place may itself stand in too short a run to be a passage; what goes on alike beside a run
+        # has its first place beside another one
         assert min(members)[:2] == key if kind == "paragraph" else min(members)[:2] >= key
     return sorted(sorted(g) for g in out.values())
 
@@ -102,11 +106,21 @@ def test_planted(spark):
         if i % 2:
             w[rng.randrange(120)] = "Other"
         docs.append((i, noise(20) + "\n" + " ".join(w).upper() + "\nshort line"))
+    wrapped = noise(70).split()
+    for i in range(30, 34):  # lines of ten words, paragraphs between blank lines
+        block = "\n".join(" ".join(wrapped[k : k + 10 + i % 3]) for k in range(0, 70, 10 + i % 3))
+        docs.append((i, f"{noise(25)}\nshort\n \n{block}\n\n\n{noise(9)}\n{noise(9)}"))
     docs += [(50, None), (51, ""), (52, "short line"), (53, "x " * 3000), (54, noise(50_000)), (55, "é " * 20), (56, "clean " + noise(80))]
     df = spark.createDataFrame([(*d, 1, "n") for d in docs], "doc_id long, text string, first int, bands string")
     rows = paragraphs.duplicates(df).collect()
     check(docs, rows)
-    assert {r.doc_id for r in rows} == set(range(24)) | {53}
+    assert {r.doc_id for r in rows} == set(range(24)) | set(range(30, 34)) | {53}
+    later = [d for d in range(1, 12) if all(r._removed for r in rows if r.doc_id == d)]
+    assert len(later) >= 7
+    for d in later:  # the whole passage goes, word by word, where none of its segments stands first
+        text = dict(docs)[d].encode()
+        start, gone = text.index(passage.encode()), {i for r in rows if r.doc_id == d and r._removed for i in range(r._first, r._end)}
+        assert all(start + m.start() in gone and start + m.end() - 1 in gone for m in re.finditer(rb"\S+", passage.encode()))
     cut = {r.doc_id: r.text for r in paragraphs.remove_spans(df, paragraphs.duplicates(df)).collect()}
     assert len(cut) == len(docs) and cut[50] is None and cut[56] == dict(docs)[56] and cut[0] == dict(docs)[0] and len(cut[5]) < len(dict(docs)[5])
     odd = spark.createDataFrame([(1, passage), (1, passage), (None, "a " + passage)], "doc_id long, text string")
@@ -133,7 +147,8 @@ def test_template_family(spark):
     for i in range(120):
         own = noise(30)
         docs += [(2 * i, " ".join(template + own)), (2 * i + 1, " ".join(template + own[:10] + noise(20)))]
-    found = paragraphs.near_paragraphs(spark.createDataFrame(docs, "doc long, text string"), 0.8, 16).collect()
+    df = spark.createDataFrame(docs, "doc long, text string")
+    found = paragraphs.near_paragraphs(df, paragraphs.packed(df), 0.8, 16).collect()
     want = brute_paragraphs(docs)
     groups = {}
     for r in found:

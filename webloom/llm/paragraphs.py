@@ -1,6 +1,7 @@
 """Substring dedup by paragraphs: MinHash banding for near copies, equal segments for passages inside paragraphs.
 
-A paragraph is a line of at least `min_words` words. Its MinHash over shingles of five words has 16 coordinates in
+A paragraph is what stands between blank lines or, in a text without any, a line; it has at least `min_words` words
+(repeated shorter ones are the line dedup's). Its MinHash over shingles of five words has 16 coordinates in
 8 bands of two, so that a pair of similarity 0.8 shares a band with a probability over 0.999. What shares a band is compared exactly (Jaccard of
 their shingle sets), first with two leaders of the band's group, then, where these leave classes apart, by prefixes of
 rare shingles (see rare_prefixes), which pass over no similar pair. Classes are the connected components.
@@ -8,13 +9,16 @@ rare shingles (see rare_prefixes), which pass over no similar pair. Classes are
 A passage that stands in the middle of different paragraphs makes none of them similar. Texts are therefore also cut
 where a pair of words has the least hash of 20 pairs in a row. These cuts depend on the words alone: a common passage
 of 50 words or more is cut alike wherever it stands, and the segments between its cuts are equal. Equal segments are a
-class of their own kind (similarity 1); those that together make a run of `min_run` words count as a passage.
+class of their own kind (similarity 1); those that together make a run of `min_run` words count as a passage, with the words
+before and behind that go on alike.
 
 Words are what ASCII white space separates, compared without ASCII case. Of every class the first place stays, all
 others are removals."""
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.llm import rare_prefixes
-from webloom.llm.common import dropped, fresh, in_small_batches, quoted, slices, stored
+from webloom.llm.common import dropped, fresh, in_small_batches, quoted, run_once, slices, stored
 from webloom.llm.components import connected_components
 from webloom.llm.near_dedup import GOLDEN, bucket_pairs, mix
 from webloom.llm.repeats import VALUE, both_powers, packed
@@ -31,12 +35,13 @@ K, BANDS, SHINGLE, PAIRS = 16, 8, 5, 20
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+WORD = re.compile(rb"[^\t-\r ]+")
 #: Odd multipliers and offsets of the 16 hash functions, from a fixed seed.
 A, B = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, (2, K), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First byte, end, hash and line number of each word."""
+    """First byte, end, hash and line number (from line ends alone) of each word."""
     edge = np.diff(np.concatenate([[True], SPACE[data], [True]]).astype(np.int8))
     first, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     power, inverse = both_powers(len(data) + 1)
@@ -60,10 +65,21 @@ def shingle_hashes(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def paragraph_units(data: np.ndarray, min_words: int):
-    """(first, end, n_words, h1, h2, bands) of the paragraphs in a buffer of lines."""
+def paragraph_starts(first: np.ndarray, line: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Numbers of the words that begin a paragraph: of texts with blank lines, what stands between them; of others, a line."""
+    if not len(first):
+        return np.zeros(0, dtype=np.int64)
+    text, step = np.searchsorted(starts, first, side="right") - 1, np.diff(line)
+    other = np.diff(text) != 0
+    blank = (step > 1) & ~other
+    by_blank = np.bincount(text[1:][blank], minlength=len(starts)) > 0
+    return np.flatnonzero(np.concatenate([[True], other | np.where(by_blank[text[1:]], blank, step != 0)]))
+
+
+def paragraph_units(data: np.ndarray, starts: np.ndarray, min_words: int):
+    """(first, end, n_words, h1, h2, bands) of the paragraphs in a buffer of texts that begin at `starts`."""
     first, end, words, line = words_of(data)
-    a = np.flatnonzero(np.concatenate([[True], np.diff(line) != 0])) if len(words) else np.zeros(0, dtype=np.int64)
+    a = paragraph_starts(first, line, starts)
     b = np.append(a[1:], len(words))[: len(a)]
     long = b - a >= min_words
     a, b = a[long], b[long]
@@ -120,7 +136,7 @@ def paragraphs(docs: DataFrame, min_words: int) -> DataFrame:
         with np.errstate(over="ignore"):
             for batch in slices(batches):
                 for ids, starts, data in buffers(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    found = paragraph_units(data, min_words)
+                    found = paragraph_units(data, starts, min_words)
                     if found is None:
                         continue
                     first, end, n, h1, h2, bands = found
@@ -155,8 +171,8 @@ def segments(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, "doc long, number long, first long, end long, n_words long, h long")
 
 
-def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, set): the distinct shingles of the wanted nodes."""
+def shingle_sets(texts: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, set): the distinct shingles of the wanted nodes, from packed() texts."""
     wanted = wanted.select("node").join(nodes.select("node", "doc", "first", "end"), "node")
     by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("node", "first", "end")).alias("spans"))  # as many as one text has
 
@@ -174,30 +190,30 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFr
                         sets.append(np.unique(shingle_hashes(words_of(data[s["first"] : s["end"]])[2])).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(nodes_, pa.int64()), pa.array(sets, pa.binary())], ["node", "set"])
 
-    return stored(packed(docs).join(by_doc, "doc").mapInArrow(run, "node long, set binary"))
+    return stored(texts.join(by_doc, "doc").mapInArrow(run, "node long, set binary"))
 
 
-def similar_pairs(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+def similar_pairs(texts: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """(a, b) of the distinct paragraphs (node, doc, first, end, bands) that share a band, by near_dedup.bucket_pairs,
     and are similar."""
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     pairs = stored(bucket_pairs(keyed))
-    sets = shingle_sets(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    exact = F.pandas_udf(rare_prefixes.jaccard, "double")
+    sets = shingle_sets(texts, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    exact = run_once(rare_prefixes.jaccard, "double")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return both.filter(exact("x", "y") >= threshold).select("a", "b")
+    return both.select("a", "b", exact("x", "y").alias("similarity")).filter(F.col("similarity") >= threshold).select("a", "b")
 
 
-def near_paragraphs(docs: DataFrame, threshold: float, min_words: int) -> DataFrame:
+def near_paragraphs(docs: DataFrame, texts: DataFrame, threshold: float, min_words: int) -> DataFrame:
     """(doc, first, end, n_words, class_doc, class_first) of the paragraphs in classes of two places or more."""
     units = stored(paragraphs(docs, min_words))
     place = F.struct("doc", "first")
     distinct = units.groupBy("h1", "h2").agg(F.count("*").alias("places"), F.min(F.struct("doc", "first", "end")).alias("one"), F.any_value("bands").alias("bands"))
     nodes = stored(distinct.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "places", "one.*", "bands"))
-    links = stored(similar_pairs(docs, nodes, threshold))
+    links = stored(similar_pairs(texts, nodes, threshold))
     joined = connected_components(links)
     left = stored(rare_prefixes.open_nodes(nodes, joined))
-    sets = stored(shingle_sets(docs, nodes, left).join(left, "node").select("node", "label", "set"))
+    sets = stored(shingle_sets(texts, nodes, left).join(left, "node").select("node", "label", "set"))
     rest = stored(rare_prefixes.links_between(sets, threshold).select("a", "b"))
     if rest.limit(1).count():
         joined = connected_components(stored(links.union(rest)))
@@ -207,22 +223,86 @@ def near_paragraphs(docs: DataFrame, threshold: float, min_words: int) -> DataFr
     return units.drop("bands").join(member, ["h1", "h2"]).select("doc", "first", "end", "n_words", "class_doc", "class_first")
 
 
-def equal_passages(docs: DataFrame, min_run: int) -> DataFrame:
-    """The same for segments that stand in two places or more and make runs of `min_run` words."""
+def equal_passages(docs: DataFrame, texts: DataFrame, min_run: int) -> DataFrame:
+    """The same for segments that stand in two places or more and make runs of `min_run` words, and for the words at both
+    ends of a run that go on alike (see run_ends)."""
     found = stored(segments(docs))
     # stored, so that the join has nothing but exchanges below it and Spark can split a hot segment
-    twice = stored(found.groupBy("h", "n_words").agg(F.count("*").alias("places"), F.min(F.struct("doc", "first")).alias("least")).filter("places > 1"))
+    twice = stored(found.groupBy("h", "n_words").agg(F.count("*").alias("places"), F.min(F.struct("doc", "first", "end")).alias("least")).filter("places > 1"))
     repeated = stored(found.join(twice, ["h", "n_words"]).select("doc", "number", "first", "end", "n_words", "least"))
     dropped(found, twice)
     in_text = Window.partitionBy("doc").orderBy("number")
     island = repeated.withColumn("island", F.col("number") - F.row_number().over(in_text))
     run = island.withColumn("run", F.sum("n_words").over(Window.partitionBy("doc", "island")))
-    return run.filter(F.col("run") >= min_run).select("doc", "first", "end", "n_words", F.col("least.doc").alias("class_doc"), F.col("least.first").alias("class_first"))
+    run = stored(run.filter(F.col("run") >= min_run))
+    whole = run.select("doc", "first", "end", "n_words", F.col("least.doc").alias("class_doc"), F.col("least.first").alias("class_first"))
+    return whole.withColumn("kind", F.lit("passage")).unionByName(run_ends(run, texts).withColumn("kind", F.lit("edge")))
+
+
+def run_ends(run: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc, first, end, n_words, class_doc, class_first): the words before a run's first segment and behind its last one that
+    are those of the place where that segment stands first, in another text. They are at most PAIRS, since what goes on
+    alike for longer is cut alike; the segments beside a run stand nowhere else, so nothing that is kept is touched. A run
+    whose outermost segment stands first itself, cut otherwise than in a text before, keeps that segment."""
+    place = lambda own, least: F.struct("doc", F.col(own).alias("at"), F.col("least.doc").alias("of_doc"), F.col(f"least.{least}").alias("of_at"))
+    ends = run.groupBy("doc", "island").agg(F.min_by(place("first", "first"), "number").alias("l"), F.max_by(place("end", "end"), "number").alias("r")).select("l", "r")
+    sides = ends.select(F.explode(F.array(F.struct(F.lit(True).alias("before"), "l.*"), F.struct(F.lit(False).alias("before"), "r.*"))).alias("s")).select("s.*").filter("doc <> of_doc").distinct()
+    asked = sides.select("before", "doc", "at").union(sides.select("before", F.col("of_doc").alias("doc"), F.col("of_at").alias("at"))).distinct()
+    by_doc = asked.groupBy("doc").agg(F.collect_list(F.struct("before", "at")).alias("asked"))
+
+    def words_beside(data: bytes, at: int, before: bool) -> bytes:
+        size = 256
+        while True:
+            part = data[max(0, at - size) : at] if before else data[at : at + size]
+            if len(part) < size or len(part.split()) > PAIRS + 1:
+                return part
+            size *= 2
+
+    def run_(batches):
+        import zstandard
+
+        press = zstandard.ZstdDecompressor()
+        for batch in slices(batches):
+            out = [], [], [], []
+            for doc, z, places in zip(batch.column("doc").to_pylist(), batch.column("z").to_pylist(), batch.column("asked").to_pylist(), strict=True):
+                data = press.decompress(z)
+                for x in places:
+                    for column, value in zip(out, (doc, x["before"], x["at"], words_beside(data, x["at"], x["before"])), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], ["doc", "before", "at", "beside"])
+
+    beside = stored(texts.join(by_doc, "doc").select("doc", "z", "asked").mapInArrow(run_, "doc long, before boolean, at long, beside binary"))
+    other = beside.select(F.col("doc").alias("of_doc"), "before", F.col("at").alias("of_at"), F.col("beside").alias("of_beside"))
+    both = sides.join(beside, ["doc", "before", "at"]).join(other, ["of_doc", "before", "of_at"])
+
+    def common(before: pd.Series, mine: pd.Series, other: pd.Series) -> pd.DataFrame:
+        rows = []
+        for side, a, b in zip(before, mine, other, strict=True):
+            x, y = ([(m.start(), m.end(), m[0].lower()) for m in WORD.finditer(t)] for t in (bytes(a), bytes(b)))
+            if side:  # offsets from the end
+                x, y = ([(s - len(t), e - len(t), w) for s, e, w in v][::-1] for v, t in ((x, a), (y, b)))
+            n = 0
+            while n < min(len(x), len(y), PAIRS) and x[n][2] == y[n][2]:
+                n += 1
+            if not n:
+                rows.append((0, 0, 0, 0, 0))
+            elif side:
+                rows.append((n, x[n - 1][0], x[0][1], y[n - 1][0], y[0][1]))
+            else:
+                rows.append((n, x[0][0], x[n - 1][1], y[0][0], y[n - 1][1]))
+        return pd.DataFrame(rows, columns=["n", "first", "end", "of_first", "of_end"])
+
+    schema = "n long, first long, end long, of_first long, of_end long"
+    got = both.select("doc", "at", "of_doc", "of_at", run_once(common, schema)("before", "beside", "of_beside").alias("c")).filter("c.n > 0")
+    of_first = (F.col("of_at") + F.col("c.of_first")).alias("class_first")
+    found = got.select("doc", (F.col("at") + F.col("c.first")).alias("first"), (F.col("at") + F.col("c.end")).alias("end"), F.col("c.n").alias("n_words"), F.col("of_doc").alias("class_doc"), of_first)
+    stays = got.select(F.col("of_doc").alias("doc"), of_first.alias("first"), (F.col("of_at") + F.col("c.of_end")).alias("end"), F.col("c.n").alias("n_words"), F.col("of_doc").alias("class_doc"), of_first)
+    return stored(found.unionByName(stays).distinct())
 
 
 @in_small_batches
 def duplicates(docs: DataFrame, threshold: float = 0.8, min_words: int = 16, min_run: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per repeated paragraph and passage segment: id_col, _kind ('paragraph' or 'passage'), _first and _end
+    """One row per repeated paragraph, passage segment and edge of a passage: id_col, _kind ('paragraph', 'passage' or 'edge'), _first and _end
     (bytes of its text), _n_words, _class_id and _class_first (id and byte of the class's first place), _removed
     (false for that place alone) and _text.
 
@@ -232,7 +312,8 @@ def duplicates(docs: DataFrame, threshold: float = 0.8, min_words: int = 16, min
     rows = docs.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).cast("string").alias("text"))
     plain = dict(rows.dtypes)["_id"] == "bigint" and not rows.groupBy("_id").count().filter("count > 1 OR _id IS NULL").limit(1).count()
     keyed = rows.withColumn("doc", F.col("_id")) if plain else stored(rows.withColumn("doc", F.monotonically_increasing_id()))
-    found = near_paragraphs(keyed, threshold, min_words).withColumn("kind", F.lit("paragraph")).unionByName(equal_passages(keyed, min_run).withColumn("kind", F.lit("passage")))
+    texts = stored(packed(keyed.select("doc", "text")))
+    found = near_paragraphs(keyed, texts, threshold, min_words).withColumn("kind", F.lit("paragraph")).unionByName(equal_passages(keyed, texts, min_run))
     removed = (F.col("doc") != F.col("class_doc")) | (F.col("first") != F.col("class_first"))
     own, of, text = F.col("doc"), F.col("class_doc"), F.lit(None).cast("long")
     if not plain:

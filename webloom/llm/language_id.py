@@ -16,10 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import columns_of, fresh, in_small_batches, least_hashed, quoted, worker_cache
+from webloom.llm.common import BATCH_ROWS, columns_of, fresh, in_small_batches, least_hashed, quoted, run_once, worker_cache
 
 ORDER = 3
 #: What stands before a text.
@@ -180,7 +181,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text"
         return docs.select(*columns_of(docs), F.lit("und").alias(lang), F.lit(0.0).alias(score_), F.lit(None).cast("double").alias(bits_))
     held = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample
 
-    def score(texts: pd.Series) -> pd.DataFrame:
+    def score(texts: pa.Array) -> pa.Array:
         worker_cache("language", dict)  # lets go of another operator's
         model, rows = held.value, []
         chunk, size = [], 0
@@ -194,17 +195,19 @@ def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text"
                 rows.extend((model.languages[b], float(x), float(v[0]) / max(1, len(t))) for b, x, v, t in zip(best, p, least, chunk, strict=True))
                 chunk.clear()
 
-        for t in texts:
-            b = (t or "").encode()
-            if size + len(b) > 100_000:
-                flush()
-                size = 0
-            chunk.append(b)
-            size += len(b)
+        for start in range(0, len(texts), BATCH_ROWS):
+            for t in texts.slice(start, BATCH_ROWS).to_pylist():
+                b = (t or "").encode()
+                if size + len(b) > 100_000:
+                    flush()
+                    size = 0
+                chunk.append(b)
+                size += len(b)
         flush()
-        return pd.DataFrame(rows, columns=["lang", "score", "bits"]).astype({"score": "float64", "bits": "float64"})
+        types = {"lang": pa.string(), "score": pa.float64(), "bits": pa.float64()}
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types.values())], list(types))
 
-    udf = F.pandas_udf(score, "lang string, score double, bits double")
+    udf = run_once(score, "lang string, score double, bits double", F.arrow_udf)
     text = F.col(quoted(text_col))
     und = F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits"))
     letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))

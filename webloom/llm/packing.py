@@ -10,24 +10,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import in_small_batches, quoted, slices, stored
-from webloom.llm.tokens import default_tokenizer, encoder
+from webloom.llm.common import in_small_batches, local_table, quoted, slices, stored
+from webloom.llm.tokens import CACHE_BYTES, default_tokenizer, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def cut_pieces(docs: DataFrame, capacity: int = 1024, tokenizer_path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_pieces(docs: DataFrame, capacity: int = 1024, tokenizer_path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32.
 
     A null text counts as empty and yields the end id alone. A document of more than `capacity`
     ids is cut; what is left over by the cut is its first piece, all others are full. Other columns
-    of `docs` are not read. Repeated rows yield repeated pieces."""
+    of `docs` are not read. Repeated rows yield repeated pieces. A worker keeps ids of text segments in `cache_bytes`: less
+    memory takes more time."""
     path = tokenizer_path or default_tokenizer()
 
     def run(batches):
-        enc = encoder(path)
+        enc = encoder(path, cache_bytes)
         end = np.uint32(end_id).astype("<u4").tobytes()
-        for batch in slices(batches, keep=("tokens", path)):
+        for batch in slices(batches, keep=("tokens", path, cache_bytes)):
             out = [], [], [], [], []
             for doc, ids in zip(batch.column(0).to_pylist(), enc.encode_all(t or "" for t in batch.column(1).to_pylist()), strict=True):
                 ids += end
@@ -111,7 +112,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, blocks: int = 1024) -> DataFra
     slots, _ = best_fit_plan(histogram, capacity)
     total = sum(histogram.values())
     deals = [(length, max(1, -(-n * blocks // total))) for length, n in histogram.items()]
-    dealt = pieces.join(F.broadcast(spark.createDataFrame(deals, "length long, n_blocks int")), "length").withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), "n_blocks").cast("int"))
+    dealt = pieces.join(F.broadcast(local_table(spark, deals, "length long, n_blocks int")), "length").withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), "n_blocks").cast("int"))
     counts: dict[int, dict[int, int]] = {}
     for length, block, n in dealt.groupBy("length", "block").count().collect():  # at most blocks + capacity rows
         counts.setdefault(length, {})[block] = n
@@ -122,8 +123,8 @@ def pack(pieces: DataFrame, capacity: int = 1024, blocks: int = 1024) -> DataFra
             before.append((length, block, at))
             at += by_block[block]
     in_block = Window.partitionBy("length", "block").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = dealt.withColumn("in_block", F.row_number().over(in_block)).join(F.broadcast(spark.createDataFrame(before, "length long, block int, before long")), ["length", "block"])
+    ranked = dealt.withColumn("in_block", F.row_number().over(in_block)).join(F.broadcast(local_table(spark, before, "length long, block int, before long")), ["length", "block"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("in_block") - 1)
-    plan = spark.createDataFrame(slots, "slot_length long, rank_start long, slots long, sequence_start long, offset long")
+    plan = local_table(spark, slots, "slot_length long, rank_start long, slots long, sequence_start long, offset long")
     fits = (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("rank_start")) & (F.col("rank") < F.col("rank_start") + F.col("slots"))
     return ranked.join(F.broadcast(plan), fits).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence_start") + F.col("rank") - F.col("rank_start")).alias("sequence_id"), "offset")

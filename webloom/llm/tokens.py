@@ -112,6 +112,6 @@ class TextEncoder:
             yield ids
 
 
-def encoder(path: str) -> TextEncoder:
-    """One encoder for each worker process and vocabulary file."""
-    return worker_cache(("tokens", path), lambda: TextEncoder(path))
+def encoder(path: str, limit: int = CACHE_BYTES) -> TextEncoder:
+    """One encoder for each worker process, vocabulary file and cache."""
+    return worker_cache(("tokens", path, limit), lambda: TextEncoder(path, limit))

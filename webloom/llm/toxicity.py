@@ -9,10 +9,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import columns_of, fresh, in_small_batches, least_hashed, quoted, stored, worker_cache
+from webloom.llm.common import BATCH_ROWS, columns_of, fresh, in_small_batches, least_hashed, quoted, stored, worker_cache
 
 TERM = re.compile(r"[^\W\d_]+")
 #: Words of which a worker remembers the bucket; a bound on memory, not on results. Longer ones are not remembered.
@@ -155,8 +156,8 @@ def score(docs: DataFrame, model: FactorizationMachine | None, text_col: str = "
         return docs.select(*columns_of(docs), F.lit(0.0).alias(name))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(texts: pd.Series) -> pd.Series:
-        z = np.concatenate([np.zeros(0), *(held.value.margins(texts.iloc[i : i + 500]) for i in range(0, len(texts), 500))])
-        return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    def run(texts: pa.Array) -> pa.Array:
+        z = np.concatenate([np.zeros(0), *(held.value.margins(texts.slice(i, BATCH_ROWS).to_pylist()) for i in range(0, len(texts), BATCH_ROWS))])
+        return pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    return docs.select(*columns_of(docs), F.pandas_udf(run, "double")(F.col(quoted(text_col))).alias(name))
+    return docs.select(*columns_of(docs), F.arrow_udf(run, "double")(F.col(quoted(text_col))).alias(name))

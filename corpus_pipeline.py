@@ -44,7 +44,8 @@ def drop_benchmark_documents(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of what is left, packed into sequences of 1024."""
-    return packing.pack(packing.cut_pieces(docs))
+    # the session's executors have served four stages before: a small cache leaves them room
+    return packing.pack(packing.cut_pieces(docs, cache_bytes=32_000_000))
 
 
 STAGES = [

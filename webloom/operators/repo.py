@@ -21,7 +21,9 @@ OVERVIEW_PARTS = (
     ("pulls", schemas.PULLS, f"/pulls?{RECENT}"),
     ("releases", schemas.RELEASES, f"/releases?per_page={OVERVIEW_RELEASES}"),
 )
+# Wording of listings.
 TRUNCATED_NOTE = " (tree truncated by GitHub — repository exceeds API limits)"
+TABLE_HEAD = "| Attribute | Value |\n|-----------|-------|\n"
 
 
 def api_rows(wanted: DataFrame, responses: DataFrame, schema: str, name: str) -> DataFrame:
@@ -87,7 +89,7 @@ def metadata_table(r: Column) -> Column:
     row = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"| {name} | "), value.cast("string"), F.lit(" |\n"))).otherwise("")
     topics = F.when(F.coalesce(F.size(r["topics"]), F.lit(0)) > 0, F.array_join(r["topics"], ", "))
     rows = [row("Language", r["language"]), row("Stars", r["stargazers_count"]), row("Forks", r["forks_count"]), row("Open Issues", r["open_issues_count"]), row("License", F.coalesce(r["license"]["spdx_id"], r["license"]["name"])), row("Default Branch", r["default_branch"]), row("Topics", topics), row("URL", r["html_url"])]
-    return F.concat(F.lit("| Attribute | Value |\n|-----------|-------|\n"), *rows, F.lit("\n"))
+    return F.concat(F.lit(TABLE_HEAD), *rows, F.lit("\n"))
 
 
 def readme_section(readme: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm import rare_prefixes
-from webloom.llm.common import columns_of, fresh, in_small_batches, quoted, run_once, slices, stored, text_or_empty
+from webloom.llm.common import columns_of, dropped, fresh, in_small_batches, quoted, run_once, slices, stored, text_or_empty
 from webloom.llm.components import connected_components
 
 #: Rows of a key table up to which it is broadcast; beyond, the same join is made by shuffle.
@@ -144,29 +144,38 @@ def texts(docs: DataFrame, k: int = 128, bands: int = 32, text_col: str = "text"
     return stored(distinct.withColumn("node", F.monotonically_increasing_id()))
 
 
-def bucket_pairs(keyed: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) to compare, from (node, band, key): in a key's group every node is paired with two leaders.
+def shared_groups(nodes: DataFrame) -> DataFrame:
+    """(band, key, node, n), stored: the nodes (node, bands) of each group of n nodes, two or more, that share a band's key."""
+    keyed = nodes.filter(F.col("bands").isNotNull()).select("node", F.posexplode("bands").alias("band", "key"))
+    # stored, so that the join has nothing but exchanges below it and Spark can split a hot key
+    sizes = stored(keyed.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1"))
+    found = stored(keyed.join(sizes, ["band", "key"]).select("band", "key", "node", "n"))
+    dropped(sizes)
+    return found
+
+
+def bucket_pairs(groups: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) to compare, from shared_groups(): in a key's group every node is paired with two leaders.
 
     One leader is the node that meets the most others over all its bands: among copies of one original, that
     is the original, which is closer to each of them than they are to each other. The other is the first by hash.
     So pairs grow with the nodes, not with the square of a group; what that leaves open is compared by rest_links, after
-    the components of these links are known. Sizes, scores and leaders are pre-aggregated sums
-    and maxima; the joins back are ones that Spark splits where a key is hot."""
-    sizes = stored(keyed.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1"))
-    met = keyed.join(sizes, ["band", "key"])
-    scored = met.join(met.groupBy("node").agg(F.sum("n").alias("score")), "node").select("band", "key", "node", "score")
+    the components of these links are known. Scores and leaders are pre-aggregated sums and maxima, stored before
+    they are joined back."""
+    scores = stored(groups.groupBy("node").agg(F.sum("n").alias("score")))
+    scored = stored(groups.select("band", "key", "node").join(scores, "node"))
     by_hash = F.struct(F.xxhash64("node").alias("o"), F.col("node").alias("node"))
-    led = scored.groupBy("band", "key").agg(F.max(F.struct("score", by_hash.alias("o"))).alias("x"), F.min(by_hash).alias("y"))
-    both = scored.join(led.select("band", "key", F.array("x.o.node", "y.node").alias("leaders")), ["band", "key"])
-    pairs = both.select("node", F.explode("leaders").alias("leader")).filter("node <> leader")
-    return pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    led = stored(scored.groupBy("band", "key").agg(F.max(F.struct("score", by_hash.alias("o"))).alias("x"), F.min(by_hash).alias("y")).select("band", "key", F.array("x.o.node", "y.node").alias("leaders")))
+    pairs = scored.join(led, ["band", "key"]).select("node", F.explode("leaders").alias("leader")).filter("node <> leader")
+    found = stored(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
+    dropped(scores, scored, led)
+    return found
 
 
-def candidates(nodes: DataFrame, k: int = 128, threshold: float = 0.8) -> DataFrame:
+def candidates(nodes: DataFrame, groups: DataFrame, k: int = 128, threshold: float = 0.8) -> DataFrame:
     """Pairs (a, b) of texts that share a band's key (see bucket_pairs) and whose signatures do not rule out the
     threshold: estimates within four standard errors of it stay."""
-    keyed = nodes.filter(F.col("bands").isNotNull()).select("node", F.posexplode("bands").alias("band", "key"))
-    pairs = bucket_pairs(keyed)
+    pairs = bucket_pairs(groups)
     sig = nodes.select("node", "sig")
     both = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
     least = threshold - 4 * (threshold * (1 - threshold) / k) ** 0.5
@@ -203,10 +212,10 @@ def numbered(elements: np.ndarray) -> np.ndarray:
     return mix(elements + GOLDEN * copy)
 
 
-def rest_links(docs: DataFrame, nodes: DataFrame, labels: DataFrame | None, threshold: float = 0.8, text_col: str = "text", weighting: str = "presence") -> DataFrame:
+def rest_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, labels: DataFrame | None, threshold: float = 0.8, text_col: str = "text", weighting: str = "presence") -> DataFrame:
     """(a, b, similarity) of the links between different labels that the leaders of bucket_pairs leave, by exact comparison
     (see rare_prefixes): no pair that shares a band's key is passed over. Without labels, of all links in such groups."""
-    left = stored(rare_prefixes.open_nodes(nodes, labels))
+    left = stored(rare_prefixes.open_nodes(groups, labels))
     sets = sets_of(docs, nodes, left, text_col, weighting).join(left, "node")
 
     def run(batches):
@@ -243,9 +252,10 @@ def labelled(docs: DataFrame, threshold: float, k: int, bands: int, id_col: str,
     """Stored tables: (id, h1, h2, label, n_links) of each row, and of each label the least id and the number of rows. Both
     are stored, so that a join of them has nothing but exchanges below it and Spark can split a large class."""
     nodes = texts(docs, k, bands, text_col, weighting)
-    links = stored(verified(docs, nodes, candidates(nodes, k, threshold), threshold, text_col, weighting))
+    groups = shared_groups(nodes)
+    links = stored(verified(docs, nodes, candidates(nodes, groups, k, threshold), threshold, text_col, weighting))
     labels = connected_components(links)
-    rest = stored(rest_links(docs, nodes, None if all_links else labels, threshold, text_col, weighting))
+    rest = stored(rest_links(docs, nodes, groups, None if all_links else labels, threshold, text_col, weighting))
     if rest.limit(1).count():
         links = stored(links.select("a", "b").union(rest.select("a", "b")).distinct())
         labels = connected_components(links)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from webloom.llm import rare_prefixes
 from webloom.llm.common import dropped, fresh, in_small_batches, quoted, run_once, slices, stored
 from webloom.llm.components import connected_components
-from webloom.llm.near_dedup import GOLDEN, bucket_pairs, mix
+from webloom.llm.near_dedup import GOLDEN, bucket_pairs, mix, shared_groups
 from webloom.llm.repeats import VALUE, both_powers, packed
 
 K, BANDS, SHINGLE, PAIRS = 16, 8, 5, 20
@@ -193,15 +193,16 @@ def shingle_sets(texts: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataF
     return stored(texts.join(by_doc, "doc").mapInArrow(run, "node long, set binary"))
 
 
-def similar_pairs(texts: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of the distinct paragraphs (node, doc, first, end, bands) that share a band, by near_dedup.bucket_pairs,
+def similar_pairs(texts: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), stored, of the distinct paragraphs (node, doc, first, end, bands) that share a band, by near_dedup.bucket_pairs,
     and are similar."""
-    keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    pairs = stored(bucket_pairs(keyed))
+    pairs = bucket_pairs(groups)
     sets = shingle_sets(texts, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     exact = run_once(rare_prefixes.jaccard, "double")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return both.select("a", "b", exact("x", "y").alias("similarity")).filter(F.col("similarity") >= threshold).select("a", "b")
+    found = stored(both.select("a", "b", exact("x", "y").alias("similarity")).filter(F.col("similarity") >= threshold).select("a", "b"))
+    dropped(pairs, sets)
+    return found
 
 
 def near_paragraphs(docs: DataFrame, texts: DataFrame, threshold: float, min_words: int) -> DataFrame:
@@ -210,11 +211,13 @@ def near_paragraphs(docs: DataFrame, texts: DataFrame, threshold: float, min_wor
     place = F.struct("doc", "first")
     distinct = units.groupBy("h1", "h2").agg(F.count("*").alias("places"), F.min(F.struct("doc", "first", "end")).alias("one"), F.any_value("bands").alias("bands"))
     nodes = stored(distinct.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "places", "one.*", "bands"))
-    links = stored(similar_pairs(texts, nodes, threshold))
+    groups = shared_groups(nodes)
+    links = similar_pairs(texts, nodes, groups, threshold)
     joined = connected_components(links)
-    left = stored(rare_prefixes.open_nodes(nodes, joined))
+    left = rare_prefixes.open_nodes(groups, joined)
     sets = stored(shingle_sets(texts, nodes, left).join(left, "node").select("node", "label", "set"))
-    rest = stored(rare_prefixes.links_between(sets, threshold).select("a", "b"))
+    rest = rare_prefixes.links_between(sets, threshold).select("a", "b")
+    dropped(groups, left, sets)
     if rest.limit(1).count():
         joined = connected_components(stored(links.union(rest)))
     labels = nodes.join(joined, "node", "left").select("h1", "h2", "places", place.alias("place"), F.coalesce("label", "node").alias("label"))

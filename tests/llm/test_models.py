@@ -139,6 +139,7 @@ def test_interactions_are_learned(spark):
     assert min(rude, people) > 0.5 and max(both, neither) < -0.1
     # the margin is the plain double sum
     f = toxicity.buckets_of(["rude people " + noise], model.buckets)[0]
+    f = model.place[f]
     plain = model.bias + sum(float(model.weight[a]) for a in f) + sum(float(model.factors[a].astype(float) @ model.factors[b]) for x, a in enumerate(f) for b in f[x + 1 :])
     assert abs(plain - both) < 1e-6
     odd = spark.createDataFrame([(1, None, 9), (2, "", 9), (3, "RUDE, rude! " * 50_000, 9)], "doc_id long, text string, _Score int")
@@ -158,13 +159,14 @@ def test_toxicity_query_against_plain_version(spark):
     word = re.compile(r"[^\W\d_]+")
     features = lambda t: sorted({zlib.crc32(w.encode()) % 2**20 for w in word.findall((t or "").lower())})
     ids = sorted(d for d in labels if d in docs)
-    model = toxicity.train([np.array(features(docs[d]), dtype=np.int64) for d in ids], np.array([labels[d] for d in ids], dtype=float), 2**20)
+    model = toxicity.train([np.array(features(docs[d]), dtype=np.int32) for d in ids], np.array([labels[d] for d in ids], dtype=float), 2**20)
     got = {r.doc_id: r for r in queries.op10_toxicity(spark, SF).collect()}
     assert got.keys() == docs.keys()
     for d, text in docs.items():
         f = features(text)
         if len(f) < 400:
             w, v = model.weight.astype(float), model.factors.astype(float)
+            f = model.place[f]
             z = model.bias + sum(w[a] for a in f) + sum(v[a] @ v[b] for x, a in enumerate(f) for b in f[x + 1 :])
             want = 1 / (1 + math.exp(-max(-30, min(30, z))))
             assert abs(got[d].score - want) < 1e-6 and got[d].predicted == int(want >= 0.5)

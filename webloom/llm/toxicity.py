@@ -37,14 +37,14 @@ def buckets_of(texts, buckets: int) -> list[np.ndarray]:
                 if len(term) < LONG and len(known) <= CACHE_WORDS:
                     known[term] = at
             found.add(at)
-        out.append(np.array(sorted(found), dtype=np.int64))
+        out.append(np.array(sorted(found), dtype=np.int32))
     return out
 
 
 def flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """All features of some texts, and the number of the text that each belongs to."""
     sizes = np.array([len(r) for r in rows], dtype=np.int64)
-    return np.concatenate([np.zeros(0, dtype=np.int64), *rows]), np.repeat(np.arange(len(rows)), sizes)
+    return np.concatenate([np.zeros(0, dtype=np.int32), *rows]), np.repeat(np.arange(len(rows)), sizes)
 
 
 def sums_by(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
@@ -58,16 +58,19 @@ def sums_by(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class FactorizationMachine:
-    """weight and factors of each bucket; buckets that the sample has not are zero."""
+    """weight and factors of the buckets that the sample has, and a last row of zeros for all others; place gives each
+    bucket's row."""
 
     buckets: int
     bias: float
+    place: np.ndarray
     weight: np.ndarray
     factors: np.ndarray
 
     def margins(self, texts) -> np.ndarray:
         rows = buckets_of(texts, self.buckets)
         at, who = flat(rows)
+        at = self.place[at]
         v = self.factors[at].astype(np.float64)
         pairs = sums_by(v, who, len(rows)) ** 2 - sums_by(v**2, who, len(rows))
         return self.bias + sums_by(self.weight[at].astype(np.float64), who, len(rows)) + 0.5 * pairs.sum(axis=1)
@@ -87,13 +90,13 @@ def train(rows: list[np.ndarray], labels: np.ndarray, buckets: int, factors: int
     not overcome; for the weight of a term whose evidence is more than chance would give to one of all terms it is `weak`.
     A term that matters in pairs only has no evidence by itself, but the documents to overcome the prior."""
     rng = np.random.default_rng(seed)
-    seen, count = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *rows]), return_counts=True)
-    rows = [np.searchsorted(seen, r) for r in rows]
+    seen, count = np.unique(np.concatenate([np.zeros(0, dtype=np.int32), *rows]), return_counts=True)
+    rows = [np.searchsorted(seen, r).astype(np.int32) for r in rows]
     p = min(max(labels.mean(), 1e-3), 1 - 1e-3)
     positive = np.bincount(flat([r for r, y in zip(rows, labels, strict=True) if y])[0], minlength=len(seen))
     prior = np.where(evidence(count, positive, p) > 2 * np.log(max(2, len(seen))), weak, strong)
-    bias, w, v = float(np.log(p / (1 - p))), np.zeros(len(seen)), rng.normal(0, 0.02, (len(seen), factors))
-    gw, gv, gb = np.ones(len(seen)), np.ones((len(seen), factors)), 1.0
+    bias, w, v = float(np.log(p / (1 - p))), np.zeros(len(seen)), rng.normal(0, 0.02, (len(seen), factors)).astype(np.float32)
+    gw, gv, gb = np.ones(len(seen)), np.ones((len(seen), factors), dtype=np.float32), 1.0
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for start in range(0, len(rows), 128):
@@ -113,12 +116,12 @@ def train(rows: list[np.ndarray], labels: np.ndarray, buckets: int, factors: int
             dw = sums_by(e[who][by_term], of, len(touched)) + prior[touched] * share * w[touched]
             dv = sums_by((e[who, None] * (sums[who] - va))[by_term], of, len(touched)) + strong * share[:, None] * v[touched]
             gw[touched] += dw**2
-            gv[touched] += dv**2
+            gv[touched] += (dv**2).astype(np.float32)
             w[touched] -= rate * dw / np.sqrt(gw[touched])
-            v[touched] -= factor_rate * dv / np.sqrt(gv[touched])
-    weight, factor = np.zeros(buckets, dtype=np.float32), np.zeros((buckets, factors), dtype=np.float32)
-    weight[seen], factor[seen] = w, v
-    return FactorizationMachine(buckets, bias, weight, factor)
+            v[touched] -= (factor_rate * dv / np.sqrt(gv[touched])).astype(np.float32)
+    place = np.full(buckets, len(seen), dtype=np.int32)
+    place[seen] = np.arange(len(seen))
+    return FactorizationMachine(buckets, bias, place, np.append(w, 0).astype(np.float32), np.vstack([v, np.zeros((1, factors), dtype=np.float32)]))
 
 
 @in_small_batches
@@ -137,14 +140,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, buckets: int
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "label": frame["label"], "features": buckets_of(frame["text"], buckets)})
 
-    found = texts.mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, label int, features array<long>")
+    found = texts.mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, label int, features array<int>")
     # repeated rows of a document count once
-    local = found.dropDuplicates(["doc_id", "features"]).toPandas()
-    local["order"] = [zlib.crc32(np.asarray(x).tobytes()) for x in local["features"]]
-    local = local.sort_values(["doc_id", "order"])
-    if local["label"].nunique() < 2:
+    local = found.dropDuplicates(["doc_id", "features"]).toArrow().combine_chunks()
+    y = local.column("label").to_numpy()
+    if len(np.unique(y)) < 2:
         return None
-    return train(local["features"].tolist(), local["label"].to_numpy().astype(float), buckets, factors)
+    lists = local.column("features").combine_chunks()
+    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    rows = [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    ids = local.column("doc_id").to_pylist()
+    order = sorted(range(len(rows)), key=lambda i: (ids[i], zlib.crc32(rows[i].tobytes())))
+    return train([rows[i] for i in order], y[order].astype(float), buckets, factors)
 
 
 def score(docs: DataFrame, model: FactorizationMachine | None, text_col: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import decontaminate, language_id, lines, near_dedup, oracles, packing, paragraphs, phrases, repeats, tiff, token_files, toxicity
+from webloom.llm import decontaminate, language_id, lines, near_dedup, oracles, packing, paragraphs, phrases, ranked_search, repeats, tiff, token_files, toxicity
 from webloom.llm.common import documents, held_out, small_batches, stored, table
 
 
@@ -105,6 +105,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _small(found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted")))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.RankedIndex.build(documents(spark, sf_dir))
+    found = index.search(table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", "doc_id", "score")
+
+
 def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(documents(spark, sf_dir))
 
@@ -121,5 +127,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_line_dedup": lines.ORACLE,
         "op8_decontamination": decontaminate.ORACLE,
         "op9_minhash_near_dedup": oracles.NEAR_DEDUP,
+        "op12_ranked_search": ranked_search.ORACLE,
         "op13_phrase_mining": phrases.ORACLE,
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import decontaminate, language_id, lines, near_dedup, oracles, packing, paragraphs, phrases, ranked_search, repeats, tiff, token_files, toxicity
+from webloom.llm import decontaminate, language_id, lines, near_dedup, oracles, packing, paragraphs, phrases, pii, ranked_search, repeats, tiff, token_files, toxicity
 from webloom.llm.common import documents, held_out, small_batches, stored, table
 
 
@@ -105,6 +105,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _small(found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted")))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+    counts = [F.size(F.filter("_base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return _small(found.select("doc_id", *counts, F.sha2(pii.spelled("_base"), 256).alias("base_sha256"), pii.spelled("_spans").alias("spans")))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = ranked_search.RankedIndex.build(documents(spark, sf_dir))
     found = index.search(table(spark, sf_dir, "benchmark"))

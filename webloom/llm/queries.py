@@ -108,7 +108,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = pii.find(docs, pii.fit(docs))
-    counts = [F.size(F.filter("_base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    counts = [F.expr(f"CAST(size(filter(_base, x -> x.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in pii.KINDS]
     return _small(found.select("doc_id", *counts, F.sha2(pii.spelled("_base"), 256).alias("base_sha256"), pii.spelled("_spans").alias("spans")))
 
 

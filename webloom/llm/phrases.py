@@ -26,7 +26,7 @@ PIECE_ENDS, BLANKS = ".,;:!?\n\v\f\r", " \t"
 #: Frequent words, and frequent longer phrases, up to which a level is broadcast (some 150 and 64 MB in a worker).
 MAX_WORDS_HELD, MAX_PHRASES_HELD = 1_000_000, 8_000_000
 #: Distinct words, and keys, that a task counts before it hands them on: bounds on memory.
-WORDS_HELD, KEYS_HELD = 400_000, 3_000_000
+WORDS_HELD, KEYS_HELD = 200_000, 1_500_000
 #: Rows of a group that is ranked at once.
 RANKED_ROWS = 20_000
 

@@ -12,7 +12,7 @@ from webloom.plans import commands
 from webloom.sources import credentials, live, recorded
 from webloom.streaming import pages as page_stream
 
-ARTICLE = "<html><head><title>T</title></head><body><article><h1>H</h1>" + "<p>A sentence that is long enough to be taken for the text of an article by anyone, with commas, too, and more words so that it counts.</p>" * 4 + "</article></body></html>"
+ARTICLE = "<html><head><title>T</title></head><body><article><h1>H</h1>" + "<p>A sentence that is long enough to be taken for the text of an article by anyone, with commas, too, and more words so that it counts.</p>" * 6 + "</article></body></html>"
 SPA = '<html><body><div id="root"></div><script src="a.js"></script></body></html>'
 
 

@@ -4,13 +4,12 @@ Markdown, which expressions cannot hold, in Arrow UDFs over the standard library
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from webloom.functions import arrow_udf
+from webloom.functions import arrow_udf, dom, markdown, readable
 from webloom.functions.text import WS, escape_yaml, shift_headings, trim, truncate_with_note
 
 # Limits and marks of the page tests.
@@ -76,171 +75,8 @@ def is_thin_extract(article: Column) -> Column:
 
 
 ARTICLE = "title string, byline string, published_time string, content_html string, used_raw_fallback boolean"
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-_DROP = {"script", "style", "noscript", "template", "iframe", "svg", "form", "button"}
-_CHROME = {"nav", "footer", "aside", "header"}
-_UNLIKELY = re.compile(r"\b(?:comment|sidebar|footer|menu|nav|breadcrumb|share|social|advert|promo|cookie|banner|related)", re.I)
-
-
-class _Tree(HTMLParser):
-    """A page as nested [tag, attributes, children]; end tags that match nothing are passed over."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = ["#root", {}, []]
-        self.stack = [self.root]
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and self.stack[-1][0] == tag:
-            self.stack.pop()
-        node = [tag, {k: v or "" for k, v in attrs}, []]
-        self.stack[-1][2].append(node)
-        if tag not in _VOID:
-            self.stack.append(node)
-
-    def handle_startendtag(self, tag, attrs):
-        self.stack[-1][2].append([tag, {k: v or "" for k, v in attrs}, []])
-
-    def handle_endtag(self, tag):
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                return
-
-    def handle_data(self, data):
-        self.stack[-1][2].append(data)
-
-
-def _parse(html: str):
-    tree = _Tree()
-    tree.feed(html)
-    tree.close()
-    return tree.root
-
-
-def _walk(node):
-    todo = [node]
-    while todo:
-        at = todo.pop()
-        yield at
-        todo.extend(c for c in reversed(at[2]) if not isinstance(c, str))
-
-
-def _text(node) -> str:
-    out, todo = [], [node]
-    while todo:
-        at = todo.pop()
-        if isinstance(at, str):
-            out.append(at)
-        elif at[0] not in _DROP:
-            todo.extend(reversed(at[2]))
-    return "".join(out)
-
-
-def _html(node) -> str:
-    """The node as HTML again; iterative, since pages nest as deep as they like."""
-    from html import escape
-
-    out, todo = [], [node]
-    while todo:
-        at = todo.pop()
-        if isinstance(at, tuple):
-            out.append(at[0])
-        elif isinstance(at, str):
-            out.append(escape(at, quote=False))
-        elif at[0] not in _DROP:
-            out.append(f"<{at[0]}" + "".join(f' {k}="{escape(v)}"' for k, v in at[1].items()) + ">" if at[0] != "#root" else "")
-            if at[0] not in _VOID:
-                todo.append((f"</{at[0]}>" if at[0] != "#root" else "",))
-                todo.extend(reversed(at[2]))
-    return "".join(out)
-
-
-def _prune(node) -> None:
-    for at in list(_walk(node)):
-        at[2][:] = [c for c in at[2] if isinstance(c, str) or not (c[0] in _DROP or c[0] in _CHROME or c[0] in ("div", "section", "ul") and _UNLIKELY.search(f"{c[1].get('class', '')} {c[1].get('id', '')}"))]
-
-
-def _measured(root) -> dict[int, tuple[int, int, int, int, int]]:
-    """For each node, by its identity: characters of its text, blanks at the text's start and end, characters of the
-    links in it and commas. Every node is looked at once."""
-    out: dict[int, tuple[int, int, int, int, int]] = {}
-    todo = [(root, False)]
-    while todo:
-        node, done = todo.pop()
-        if not done:
-            todo.append((node, True))
-            todo.extend((c, False) for c in node[2] if not isinstance(c, str))
-            continue
-        size, head, tail, links, commas = 0, 0, 0, 0, 0
-        for c in node[2] if node[0] not in _DROP else ():
-            if isinstance(c, str):
-                n, first, last, inside, marks = len(c), len(c) - len(c.lstrip()), len(c) - len(c.rstrip()), 0, c.count(",")
-            else:
-                n, first, last, inside, marks = out[id(c)]
-            head = head + first if head == size else head
-            tail = tail + n if last == n else last
-            size, links, commas = size + n, links + inside, commas + marks
-        out[id(node)] = size, head, tail, links + (size if node[0] == "a" else 0), commas
-    return out
-
-
-def article_of(html: str) -> tuple:
-    """The main article of a page by the usual readability signals: paragraphs' text weighs for its parent and, by
-    half, its grandparent, less where much of it is links. A page whose paragraphs hold little text is not readable."""
-    found = _title(html)
-    title = found.strip() or None if found is not None else None
-    try:
-        root = _parse(html)
-    except (AssertionError, ValueError):
-        return title, None, None, html, True
-    meta = {}
-    for node in _walk(root):
-        if node[0] == "meta" and (key := (node[1].get("property") or node[1].get("name", "")).lower()):
-            meta.setdefault(key, node[1].get("content", "").strip())
-    _prune(root)
-    measured = _measured(root)
-
-    def stripped(node) -> int:
-        size, head, tail, _, _ = measured[id(node)]
-        return max(0, size - head - tail)
-
-    score, parents = {}, {}
-    for node in _walk(root):
-        for c in node[2]:
-            if not isinstance(c, str):
-                parents[id(c)] = node
-    readable, articles = 0.0, []
-    for node in _walk(root):
-        if node[0] not in ("p", "pre", "article", "td", "blockquote"):
-            continue
-        n = stripped(node)
-        if node[0] == "article" and n >= 140:
-            articles.append(node)
-        if node[0] in ("p", "pre") and n >= 140:
-            readable += (n - 140) ** 0.5
-        if n < 25:
-            continue
-        points, up = 1 + min(n // 100, 3) + measured[id(node)][4], node
-        for share in (1.0, 0.5):
-            up = parents.get(id(up))
-            if up is None:
-                break
-            held = score.setdefault(id(up), [0.0, up])
-            held[0] += points * share
-    if readable < 20 and not articles:
-        return title, None, None, html, True
-
-    def rate(s, node):
-        size, _, _, links, _ = measured[id(node)]
-        return s * (1 - links / max(1, size)) + 25 * (node[0] == "article")
-
-    best = max(score.values(), key=lambda x: rate(*x), default=None)
-    node = articles[0] if articles else best and best[1]
-    if node is None:
-        return title, None, None, html, True
-    byline = meta.get("author") or meta.get("article:author") or next((_text(n).strip() for n in _walk(root) if n[1].get("rel") == "author" or "byline" in n[1].get("class", "").lower()), None)
-    return title, byline or None, meta.get("article:published_time") or None, _html(node), False
+#: A page as it is fetched: its article and the Markdown of it.
+PAGE = f"{ARTICLE}, markdown string"
 
 
 def _title(html: str) -> str | None:
@@ -248,7 +84,26 @@ def _title(html: str) -> str | None:
     start = re.search("<title", html, re.I)
     close = html.find(">", start.end()) if start else -1
     end = re.compile("</title>", re.I).search(html, close + 1) if close >= 0 else None
-    return html[close + 1 : end.start()] if end else None
+    return html[close + 1 : end.start()].strip() or None if end else None
+
+
+def article_of(html: str) -> tuple:
+    """(title, byline, published_time, content_html, used_raw_fallback): the main article, or the whole page where it is not readable."""
+    found = readable.article_of(html)
+    return (_title(html), None, None, html, True) if found is None else (_title(html), found.byline, found.published, found.html(), False)
+
+
+def page_of(html: str, raw: bool = False) -> tuple:
+    """article_of() and its Markdown, the page parsed once; with `raw` the whole page."""
+    root = dom.parse(html)
+    found = None if raw else readable.article_of(html, root)
+    if found is None:
+        return _title(html), None, None, html, not raw, markdown.render([root])
+    return _title(html), found.byline, found.published, found.html(), False, markdown.render(found.parts)
+
+
+def markdown_of(html: str) -> str:
+    return markdown.render([dom.parse(html)])
 
 
 @arrow_udf(ARTICLE)
@@ -260,71 +115,21 @@ def extract_article(html: Column) -> Column:
     return _articles(html)
 
 
-def extract_raw(html: Column, fallback: bool = False) -> Column:
-    """The whole page as an article."""
-    null = F.lit(None).cast("string")
-    return F.struct(extract_title(html).alias("title"), null.alias("byline"), null.alias("published_time"), html.alias("content_html"), F.lit(fallback).alias("used_raw_fallback"))
+@arrow_udf(PAGE)
+def _pages(html: pd.Series, raw: pd.Series) -> pd.DataFrame:
+    none = (None, None, None, None, True, None)
+    return pd.DataFrame([page_of(x, bool(r)) if x is not None else none for x, r in zip(html, raw, strict=True)], columns=["title", "byline", "published_time", "content_html", "used_raw_fallback", "markdown"])
 
 
-_BLOCK = {"p", "div", "section", "article", "main", "header", "footer", "ul", "ol", "table", "tr", "figure", "dl", "dd", "dt", "address", "center", "body", "html"}
+def read_page(html: Column, raw: Column) -> Column:
+    """The article of a page, or with `raw` the whole page, and its Markdown in one pass."""
+    return _pages(html, raw)
 
 
-def markdown_of(html: str) -> str:
-    """ATX headings, emphasis, links, images, lists, quotes, rules, fenced and inline code, pipe tables."""
-
-    def inline(s: str) -> str:
-        return re.sub(r"\s+", " ", s)
-
-    def render(node, depth: int, pre: bool) -> str:
-        if isinstance(node, str):
-            return node if pre else inline(node)
-        tag, attrs, children = node
-        if tag in _DROP or tag in ("head", "title"):
-            return ""
-        if depth > 200:  # deeper nesting is text only
-            return inline(_text(node))
-        if tag in ("ul", "ol"):
-            out = []
-            for k, item in enumerate(c for c in children if not isinstance(c, str) and c[0] == "li"):
-                body = "".join(render(c, depth + 1, pre) for c in item[2]).strip()
-                mark = "- " if tag == "ul" else f"{k + 1}. "
-                out.append(mark + body.replace("\n", "\n" + " " * len(mark)))
-            return "\n\n" + "\n".join(out) + "\n\n"
-        if tag == "table":
-            rows = [[inline(_text(c)).strip().replace("|", "\\|") for c in r[2] if not isinstance(c, str) and c[0] in ("td", "th")] for r in _walk(node) if r[0] == "tr"]
-            rows = [r for r in rows if r]
-            if not rows:
-                return ""
-            width = max(map(len, rows))
-            text = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
-            return "\n\n" + "\n".join([text[0], "|" + " --- |" * width, *text[1:]]) + "\n\n"
-        if tag == "pre":
-            return "\n\n```\n" + _text(node).strip("\n") + "\n```\n\n"
-        body = "".join(render(c, depth + 1, pre) for c in children)
-        if re.fullmatch("h[1-6]", tag):
-            return f"\n\n{'#' * int(tag[1])} {inline(body).strip()}\n\n" if body.strip() else ""
-        if tag in ("strong", "b", "em", "i") and body.strip():
-            mark = "**" if tag in ("strong", "b") else "*"
-            return body[: len(body) - len(body.lstrip())] + mark + body.strip() + mark + body[len(body.rstrip()) :]
-        if tag == "code" and body.strip():
-            return f"`{body.strip()}`"
-        if tag == "a" and attrs.get("href") and body.strip():
-            return f"[{inline(body).strip()}]({attrs['href']})"
-        if tag == "img" and attrs.get("src"):
-            return f"![{attrs.get('alt', '')}]({attrs['src']})"
-        if tag == "br":
-            return "\n"
-        if tag == "hr":
-            return "\n\n---\n\n"
-        if tag == "blockquote":
-            return "\n\n" + "\n".join("> " + x if x else ">" for x in tidy(body).strip().split("\n")) + "\n\n"
-        return f"\n\n{body.strip()}\n\n" if tag in _BLOCK else body
-
-    def tidy(s: str) -> str:
-        return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", s))
-
-    text = tidy(render(_parse(html), 0, False)).strip()
-    return text + "\n" if text else ""
+def extract_raw(html: Column, fallback: bool = False) -> Column:
+    """The whole page as an article."""
+    null = F.lit(None).cast("string")
+    return F.struct(extract_title(html).alias("title"), null.alias("byline"), null.alias("published_time"), html.alias("content_html"), F.lit(fallback).alias("used_raw_fallback"))
 
 
 @arrow_udf("string")
@@ -336,15 +141,15 @@ def html_to_markdown(html: Column) -> Column:
     return _markdown(html)
 
 
-def format_with_frontmatter(article: Column, markdown: Column) -> Column:
+def format_with_frontmatter(article: Column, text: Column) -> Column:
     """Markdown behind a YAML block that is always there; its lines only where set."""
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f'{name}: "'), escape_yaml(value), F.lit('"\n'))).otherwise("")
-    return F.concat(F.lit("---\n"), line("title", article["title"]), line("author", article["byline"]), line("date", article["published_time"]), F.lit("---\n\n"), markdown)
+    return F.concat(F.lit("---\n"), line("title", article["title"]), line("author", article["byline"]), line("date", article["published_time"]), F.lit("---\n\n"), text)
 
 
-def format_fetch_output(markdown: Column, used_raw_fallback: Column) -> Column:
+def format_fetch_output(text: Column, used_raw_fallback: Column) -> Column:
     """What the fetch command prints: headings two levels down, a note for raw pages, at most 100,000 bytes."""
-    shifted = shift_headings(markdown, 2)
+    shifted = shift_headings(text, 2)
     return truncate_with_note(F.when(used_raw_fallback, F.concat(F.lit(RAW_FALLBACK_NOTE), shifted)).otherwise(shifted), OUTPUT_BYTES)
 
 

@@ -69,11 +69,11 @@ def fetch_responses(asked: DataFrame, resolved: DataFrame | None = None, rendere
     failed = F.col("kind").isNull() & forced & F.col("_js_html").isNull()
     page = page.withColumn("_need", need).withColumn("_html", F.when(need, F.coalesce("_js_html", "html")).otherwise(F.col("html")))
     page = page.withColumn("kind", F.when(failed, "Playwright").otherwise(F.col("kind"))).withColumn("detail", F.when(failed, "no rendered page").otherwise(F.col("detail")))
-    page = page.withColumn("_a", F.when(raw, H.extract_raw(F.col("_html"))).otherwise(H.extract_article(F.col("_html"))))
+    page = page.withColumn("_a", H.read_page(F.when(F.col("kind").isNull(), F.col("_html")), raw))
     retry = ~raw & ~F.col("_need") & F.col("_js_html").isNotNull() & H.is_thin_extract(F.col("_a"))
     if rendered is not None:
-        page = page.withColumn("_b", H.extract_article(F.when(retry, F.col("_js_html")))).withColumn("_a", F.when(retry, F.col("_b")).otherwise(F.col("_a")))
-    markdown = H.format_with_frontmatter(F.col("_a"), H.html_to_markdown(F.col("_a.content_html")))
+        page = page.withColumn("_b", H.read_page(F.when(retry, F.col("_js_html")), F.lit(False))).withColumn("_a", F.when(retry, F.col("_b")).otherwise(F.col("_a")))
+    markdown = H.format_with_frontmatter(F.col("_a"), F.col("_a.markdown"))
     ok = F.col("kind").isNull()
     return page.select(
         *columns,

@@ -161,6 +161,54 @@ def fetch_pages(spark, d):
     return commands.fetch(asked, responses).select("request_id", "output", "error.kind", "error.exit_code")
 
 
+# Pages made of known parts: each document's letters as one paragraph, a second one of the same length for all, and what
+# pages put around them, in six ways. The same expressions say what Markdown must come out.
+_FILLER = "repeat('and then some more, ', 30) || 'to the end.'"
+_LETTERS = {"spark": "trim(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' '))", "duckdb": "trim(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g'))"}
+_ID = "CAST(doc_id AS VARCHAR(20))"
+_PARTS = f"""CASE doc_id % 6
+WHEN 0 THEN '<article><p>' || repeat('a teaser of no weight ', 8) || '</p></article><div id=x><p>' || a || '</p><p>' || b || '</p></div>'
+WHEN 1 THEN '<div><div class=s><p>' || a || '</p></div><div class=s><p>' || b || '</p></div></div>'
+WHEN 2 THEN '<div class="main social-article"><p>' || a || '</p><p>' || b || '</p></div><div class=sidebar><p>' || b || '</p></div>'
+WHEN 3 THEN '<article><header><h1>Head ' || {_ID} || '</h1></header><p>' || a || '</p><p>' || b || '</article>'
+WHEN 4 THEN '<form action=x><div><p>' || a || '<p>' || b || '</p><ul><li>one<ul><li>two ' || {_ID} || '</ul></ul></div><button>Go</button></form>'
+ELSE '<article><p>' || a || '<table><tr><th>k<th>v<tr><td>id<td><b>' || {_ID} || '</b></table><p>' || b || '</article>' END"""
+_HEAD = f"""'<html><head><title>Doc ' || {_ID} || '</title><meta name=author content="A ' || {_ID} || '"><meta property="article:published_time" content="2024-01-0' || CAST(1 + doc_id % 9 AS VARCHAR(1)) || '"></head><body><nav><a href=/>Menu</a></nav>'"""
+_PAGE = f"{_HEAD} || {_PARTS} || '<footer>Foot</footer></body></html>'"
+_SHOWN = f"""'---' || chr(10) || 'title: "Doc ' || {_ID} || '"' || chr(10) || CASE WHEN doc_id % 20 = 10 THEN '' ELSE 'author: "A ' || {_ID} || '"' || chr(10) || 'date: "2024-01-0' || CAST(1 + doc_id % 9 AS VARCHAR(1)) || '"' || chr(10) END || '---' || chr(10) || chr(10) || CASE
+WHEN doc_id % 20 = 10 THEN '[Menu](/)' || chr(10) || chr(10) || a || chr(10) || chr(10) || b
+WHEN doc_id % 6 = 3 THEN '### Head ' || {_ID} || chr(10) || chr(10) || a || chr(10) || chr(10) || b
+WHEN doc_id % 6 = 4 THEN a || chr(10) || chr(10) || b || chr(10) || chr(10) || '- one' || chr(10) || '  - two ' || {_ID}
+WHEN doc_id % 6 = 5 THEN a || chr(10) || chr(10) || '| k | v |' || chr(10) || '| --- | --- |' || chr(10) || '| id | **' || {_ID} || '** |' || chr(10) || chr(10) || b
+ELSE a || chr(10) || chr(10) || b END"""
+
+
+def _made_pages(spark, d):
+    parts = read(spark, d, "documents").selectExpr("doc_id", f"trim({_LETTERS['spark']} || ' ' || {_FILLER}) AS a", f"'second ' || {_ID} || ' ' || {_FILLER} AS b")
+    page = f"CASE doc_id % 20 WHEN 10 THEN {_HEAD} || '<p>' || a || '</p><form><p>' || b || '</form>' WHEN 11 THEN '<html><body><div id=\"root\"></div><script src=a.js></script></body></html>' ELSE {_PAGE} END"
+    return parts.selectExpr("doc_id", f"'https://d.example/' || {_ID} AS url", f"{page} AS html", f"{_PAGE} AS shown")
+
+
+@query(f"""WITH p AS (SELECT doc_id, trim({_LETTERS['duckdb']} || ' ' || {_FILLER}) AS a, 'second ' || {_ID} || ' ' || {_FILLER} AS b FROM documents),
+k AS (SELECT *, CASE doc_id % 20 WHEN 7 THEN 'Status' WHEN 8 THEN 'UnsupportedContentType' WHEN 9 THEN 'Timeout' WHEN 12 THEN 'Playwright' WHEN 13 THEN 'InternalHost' END AS kind FROM p)
+SELECT doc_id AS request_id, CASE WHEN kind IS NULL THEN md5({_SHOWN}) END AS output, kind, CAST(CASE WHEN kind IS NULL THEN NULL WHEN kind IN ('Status', 'Timeout') THEN 2 ELSE 1 END AS INTEGER) AS exit_code FROM k""")
+def fetch_known_pages(spark, d):
+    """The fetch command over pages made of known parts: read, raw, rendered, titled and dated ones, and five ways to fail."""
+    pages, k = _made_pages(spark, d), F.col("doc_id") % 20
+    final = F.when(k == 13, "http://10.0.0.1/").otherwise(F.col("url"))
+    responses = pages.select(
+        "url",
+        final.alias("final_url"),
+        F.when(k == 7, 404).otherwise(200).alias("status"),
+        F.when(k == 8, "application/pdf").otherwise("text/html; charset=utf-8").alias("content_type"),
+        F.col("html").cast("binary").alias("body"),
+        F.when(k == 9, "Timeout").alias("failure"),
+    )
+    rendered = pages.filter(k == 11).select("url", F.col("shown").alias("stdout"), F.lit(None).cast("string").alias("failure"))
+    asked = pages.select(F.col("doc_id").alias("request_id"), "url", (k == 12).alias("js"), (k == 10).alias("raw"))
+    return commands.fetch(asked, responses, rendered=rendered).select("request_id", F.md5("output").alias("output"), "error.kind", "error.exit_code")
+
+
 # --- text ------------------------------------------------------------------------------------------------
 
 EXTRA_TEXT = "concat(text, ' [a](b) ', chr(34), chr(92), chr(9), chr(13), chr(10))"

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import codecs
+import re
+from functools import cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,16 +76,50 @@ def decode_base64(b64: Column) -> Column:
     return F.struct(text.alias("text"), error.alias("error"))
 
 
+#: Byte-order marks; one of them counts more than the label of an encoding other than UTF-8.
+MARKS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xfe\xff", "utf-16-be"), (b"\xff\xfe", "utf-16-le"))
+# Where the web's tables depart from Python's.
+PATCHES = {"koi8-u": {0xAE: "\u045e", 0xBE: "\u040e"}}
+USER_DEFINED = "x-user-defined"
+#: Labels of encodings that are not decoded: any bytes are one replacement character.
+REPLACED = "replacement"
+CODEC_OF |= {USER_DEFINED: USER_DEFINED} | dict.fromkeys("csiso2022kr hz-gb-2312 iso-2022-cn iso-2022-cn-ext iso-2022-kr replacement".split(), REPLACED)
+
+
+@cache
+def byte_table(name: str) -> str | None:
+    """The 256 characters of a single-byte encoding: bytes from 80 to 9F that a Windows code page leaves open are control
+    characters, other open ones are replaced. None for encodings of more bytes."""
+    if name == USER_DEFINED:
+        return "".join(chr(b if b < 128 else 0xF700 + b) for b in range(256))
+    if not re.match(r"cp(?:125|866|874)|iso8859|koi8|mac", name):
+        return None
+    patch = PATCHES.get(name, {})
+    one = lambda b: bytes([b]).decode(name, errors="replace")
+    return "".join(patch.get(b) or (chr(b) if 0x80 <= b < 0xA0 and one(b) == "\ufffd" and name.startswith("cp") else one(b)) for b in range(256))
+
+
+def decode(body: bytes, label: str | None) -> str:
+    name = CODEC_OF.get((label or "utf-8").strip("\t\n\f\r ").lower(), "utf-8")
+    if name == "utf-8":
+        return body.decode("utf-8", errors="replace")
+    for mark, marked in MARKS:
+        if body.startswith(mark):
+            return body[len(mark) :].decode(marked, errors="replace")
+    if name == REPLACED:
+        return "\ufffd" if body else ""
+    table = byte_table(name)
+    return codecs.charmap_decode(body, "replace", table)[0] if table else body.decode(name, errors="replace")
+
+
 @arrow_udf("string")
 def _decode(body: pd.Series, charset: pd.Series) -> pd.Series:
-    def one(b, label):
-        return None if b is None else bytes(b).decode(CODEC_OF.get((label or "utf-8").strip().lower(), "utf-8"), errors="replace")
-
-    return pd.Series([one(b, c) for b, c in zip(body, charset, strict=True)], dtype=object)
+    return pd.Series([None if b is None else decode(bytes(b), c) for b, c in zip(body, charset, strict=True)], dtype=object)
 
 
 def decode_body(body: Column, charset: Column) -> Column:
-    """Bytes as text, wrong ones replaced: UTF-8 where no or an unknown charset is named."""
+    """Bytes as text, wrong ones replaced: UTF-8 where no or an unknown charset is named. A byte-order mark decides about bytes
+    of any other charset."""
     plain = charset.isNull() | charset.isin("utf-8", "utf8")
     return F.when(plain, F.make_valid_utf8(body.cast("string"))).otherwise(_decode(body, charset))
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 
 import ipaddress
 import re
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import arrow_udf
+from webloom.functions.hosts import ascii_host, ipv4
 
 # Hosts and networks that are never fetched.
 BLOCKED_HOST = "localhost"
@@ -33,29 +34,6 @@ def is_private_ip(ip: str) -> bool:
     return any(a in n for n in _V4)
 
 
-def _number(part: str) -> int | None:
-    try:
-        if part[:2].lower() == "0x":
-            return int(part[2:] or "0", 16)
-        return int(part, 8) if len(part) > 1 and part[0] == "0" else int(part, 10)
-    except ValueError:
-        return None
-
-
-def _v4(host: str) -> str | None:
-    """The address that a host of one to four decimal, octal or hexadecimal numbers stands for."""
-    parts = host.removesuffix(".").split(".")
-    numbers = [_number(p) if p else None for p in parts]
-    if len(parts) > 4 or numbers[-1] is None:
-        return None
-    if None in numbers or any(n > 255 for n in numbers[:-1]) or numbers[-1] >= 256 ** (5 - len(parts)):
-        raise ValueError("invalid IPv4 address")
-    value = numbers[-1]
-    for i, n in enumerate(numbers[:-1]):
-        value += n * 256 ** (3 - i)
-    return str(ipaddress.IPv4Address(value))
-
-
 def split_url(raw: str | None) -> tuple:
     """(scheme, host, is_ip, port, error) of a URL, hosts in lower case and numbers as addresses."""
     try:
@@ -73,16 +51,8 @@ def split_url(raw: str | None) -> tuple:
             host, port, is_ip = str(ipaddress.IPv6Address(inside)), after.removeprefix(":"), True
         else:
             host, _, port = authority.partition(":")
-            from urllib.parse import unquote
-
-            host = unquote(host, errors="strict").lower()
-            if not host:
-                raise ValueError("empty host")
-            if not host.isascii():
-                host = host.encode("idna").decode()
-            if re.search(r"[\x00-\x20#%/:<>?@\[\\\]^|\x7f]", host):
-                raise ValueError("invalid domain character")
-            v4 = _v4(host)
+            host = ascii_host(unquote(host, errors="strict"))
+            v4 = ipv4(host)
             host, is_ip = v4 or host, v4 is not None
         if port and (not port.isascii() or not port.isdigit() or int(port) > 65535):
             raise ValueError("invalid port number")

@@ -137,6 +137,23 @@ def charset_decode(spark, d):
     return sent.select("doc_id", "charset", F.md5(codec.decode_body(F.col("body"), F.col("charset"))).alias("text"))
 
 
+#: Code points of the bytes 80 to 9F of windows-1252; fixed values of the web standard.
+_WINDOWS = "[8364, 129, 8218, 402, 8222, 8230, 8224, 8225, 710, 8240, 352, 8249, 338, 141, 381, 143, 144, 8216, 8217, 8220, 8221, 8226, 8211, 8212, 732, 8482, 353, 8250, 339, 157, 382, 376]"
+
+
+@query(f"""
+WITH h AS (SELECT doc_id, text, hex(encode(text)) AS h FROM documents),
+b AS (SELECT doc_id, text, list_transform(regexp_extract_all(h, '..'), lambda x: CAST('0x' || x AS INTEGER)) AS b FROM h)
+SELECT doc_id, md5(array_to_string(list_transform(b, lambda x: chr(CASE WHEN x BETWEEN 128 AND 159 THEN {_WINDOWS}[x - 127] ELSE x END)), '')) AS misread, md5(text) AS marked, md5(chr(65279) || text) AS kept,
+md5(array_to_string(list_transform(b, lambda x: chr(CASE WHEN x >= 128 THEN 63232 + x ELSE x END)), '')) AS own FROM b""")
+def charset_bytes(spark, d):
+    """Every document's UTF-8 bytes under wrong labels: as windows-1252, with a byte-order mark that outdoes the label, with one
+    under a UTF-8 label, where it stays, and user-defined."""
+    body, mark = F.col("text").cast("binary"), F.unhex(F.lit("EFBBBF"))
+    read_as = lambda b, label: F.md5(codec.decode_body(b, F.lit(label)))
+    return read(spark, d, "documents").select("doc_id", read_as(body, "iso-8859-1").alias("misread"), read_as(F.concat(mark, body), "windows-1251").alias("marked"), read_as(F.concat(mark, body), "unicode-1-1-utf-8").alias("kept"), read_as(body, "x-user-defined").alias("own"))
+
+
 @query()
 def article_markdown(spark, d):
     """Article extraction and Markdown of every page; the tests compare the words of each with those of its article."""
@@ -683,6 +700,18 @@ def url_guard(spark, d):
     return rows.select("id", U.url_guard(F.col("url")).alias("kind"))
 
 
+@query("""
+SELECT page_id, 'page' || page_id || '.example' AS wide, '0.0.' || page_id // 256 || '.' || page_id % 256 AS number, 'InternalHost' AS number_kind, 'InvalidUrl' AS ends_in_number, 'b' || page_id || '.xn--bcher-kva.example' AS umlaut FROM pages WHERE page_id < 65536
+UNION ALL SELECT page_id, 'page' || page_id || '.example', CAST(page_id >> 24 AS VARCHAR) || '.' || (page_id >> 16) % 256 || '.' || (page_id >> 8) % 256 || '.' || page_id % 256, CASE WHEN page_id >> 24 = 0 THEN 'InternalHost' END, 'InvalidUrl', 'b' || page_id || '.xn--bcher-kva.example' FROM pages WHERE page_id >= 65536""")
+def host_mapping(spark, d):
+    """Hosts made from every page's number: in full-width letters with a soft hyphen, as a bare number, as a name that ends in a
+    number, and with a label beyond ASCII."""
+    i = F.col("page_id").cast("string")
+    url = lambda *parts: F.concat(F.lit("http://"), *[F.lit(p) if isinstance(p, str) else p for p in parts], F.lit("/x"))
+    wide, number, ends, umlaut = url("\uff30\uff21\u00ad\uff27\uff25", i, "\uff0eEXAMPLE"), url(i), url("name.", i), url("B", i, ".B\u00fccher.example")
+    return read(spark, d, "pages").select("page_id", U.url_parts(wide)["host"].alias("wide"), U.url_parts(number)["host"].alias("number"), U.url_guard(number).alias("number_kind"), U.url_guard(ends).alias("ends_in_number"), U.url_parts(umlaut)["host"].alias("umlaut"))
+
+
 @query("""
 SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 'DnsResolution' WHEN page_id % 6 = 1 THEN 'InternalHost' END AS kind FROM pages""")
 def ssrf_names(spark, d):

@@ -13,7 +13,6 @@ import socket
 import ssl
 import time
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import quote, urljoin, urlsplit
 
 import pandas as pd
@@ -23,11 +22,14 @@ from pyspark.sql import functions as F
 from webloom.functions.urls import guard_kind, is_private_ip, split_url
 from webloom.operators.threads import mentioned_ids
 from webloom.schemas import API_RESPONSE, HTTP_RESPONSE, RESOLVED
+from webloom.sources.flight import LookupTimeout, Names, flown, within
 
 # Limits of live requests.
 IN_FLIGHT, ATTEMPTS, BASE_BACKOFF_MS = 5, 3, 1000
 CONNECT_S, TOTAL_S, DNS_S, MAX_REDIRECTS, MAX_BYTES = 10, 30, 5, 5, 10_000_000
 RESEARCH_PAGE_S = 15
+#: Bytes of an API's answer that are read at most.
+MAX_API_BYTES = 100_000_000
 SECRET_HEADERS = ("Authorization", "x-goog-api-key")
 AGENT = "webloom/0.1"
 log = logging.getLogger(__name__)
@@ -49,9 +51,18 @@ def retry_with(op: Callable, retriable: Callable, sleep: Callable = time.sleep):
         sleep(jittered_backoff(attempt))
 
 
+def _look_up(host: str, port: int) -> list[str]:
+    return sorted({x[4][0] for x in socket.getaddrinfo(host, port, 0, socket.SOCK_STREAM)})
+
+
+_names: Names | None = None
+
+
 def resolve_host(host: str, port: int) -> list[str]:
-    with ThreadPoolExecutor(1) as pool:
-        return sorted({x[4][0] for x in pool.submit(socket.getaddrinfo, host, port, 0, socket.SOCK_STREAM).result(timeout=DNS_S)})
+    """Addresses of a name, by the process's own resolver."""
+    global _names
+    _names = _names or Names(_look_up, DNS_S)
+    return _names(host, port)
 
 
 def get_page(url: str, resolver=resolve_host, blocked: Callable = is_private_ip, total_s: float = TOTAL_S) -> tuple:
@@ -69,7 +80,7 @@ def get_page(url: str, resolver=resolve_host, blocked: Callable = is_private_ip,
             if (kind := guard_kind(at)) and not (kind == "InternalHost" and blocked is not is_private_ip):
                 return url, at, None, None, None, kind
             scheme, host, is_ip, port, _ = split_url(at)
-            addresses = [host] if is_ip else resolver(host, port)
+            addresses = [host] if is_ip else within(lambda: resolver(host, port), min(DNS_S, left()))  # noqa: B023
             if not addresses:
                 return url, at, None, None, None, "DnsResolution"
             if any(blocked(a) for a in addresses):
@@ -97,25 +108,36 @@ def get_page(url: str, resolver=resolve_host, blocked: Callable = is_private_ip,
             finally:
                 connection.close()
         return url, at, None, None, None, "Http"
+    except (LookupTimeout, socket.gaierror):
+        return url, at, None, None, None, "Timeout" if time.monotonic() >= until else "DnsResolution"
     except TimeoutError:
         return url, at, None, None, None, "Timeout"
-    except socket.gaierror:
-        return url, at, None, None, None, "DnsResolution"
     except (OSError, http.client.HTTPException, ValueError):
         return url, at, None, None, None, "Http"
 
 
-def _each(frames: Iterator[pd.DataFrame], column: str, one: Callable, names: list[str]) -> Iterator[pd.DataFrame]:
-    with ThreadPoolExecutor(IN_FLIGHT) as pool:
-        for frame in frames:
-            yield pd.DataFrame(list(pool.map(one, frame[column])), columns=names)
+def _size(answer: tuple) -> int:
+    return sum(len(x) for x in answer if isinstance(x, (str, bytes)))
 
 
-def pages(urls: DataFrame, partitions: int = 8, get: Callable = get_page) -> DataFrame:
-    """Responses (see HTTP_RESPONSE) of the distinct `url`s."""
+def _flown(frames: Iterator[pd.DataFrame], column: str, one: Callable, names: list[str], types: dict[str, str], host_of: Callable = lambda _: None) -> Iterator[pd.DataFrame]:
+    """Answers to a column of requests, in frames of bounded bytes."""
+    requests = (x for frame in frames for x in frame[column])
+    for answers in flown(requests, one, host_of, _size, IN_FLIGHT):
+        yield pd.DataFrame(answers, columns=names).astype(types)
+
+
+def _host(url: str) -> str | None:
+    return split_url(url)[1]
+
+
+def pages(urls: DataFrame, partitions: int = 8, get: Callable = get_page, host_tasks: int = 2) -> DataFrame:
+    """Responses (see HTTP_RESPONSE) of the distinct `url`s. A host's addresses are dealt to at most `host_tasks` tasks, each of
+    which has two of them in flight, so that no host is asked by the whole cluster at once."""
     names = [x.split()[0] for x in HTTP_RESPONSE.split(", ")]
-    spread = urls.select("url").distinct().repartition(partitions)
-    return spread.mapInPandas(lambda frames: (f.astype({"status": "Int32"}) for f in _each(frames, "url", get, names)), HTTP_RESPONSE)
+    host = F.regexp_extract(F.lower("url"), r"\A\s*[a-z][a-z0-9+.-]*:[/\\]*(?:[^/?#\\]*@)?([^/?#\\:]*)", 1)
+    spread = urls.select("url").distinct().repartition(partitions, host, F.pmod(F.xxhash64("url"), F.lit(host_tasks)))
+    return spread.mapInPandas(lambda frames: _flown(frames, "url", get, names, {"status": "Int32"}, _host), HTTP_RESPONSE)
 
 
 def resolved(urls: DataFrame, partitions: int = 8, resolver: Callable = resolve_host) -> DataFrame:
@@ -129,7 +151,7 @@ def resolved(urls: DataFrame, partitions: int = 8, resolver: Callable = resolve_
                 if host and not is_ip and error is None:
                     try:
                         rows += [(host, ip) for ip in resolver(host, port)]
-                    except (OSError, TimeoutError):
+                    except OSError:
                         continue
             yield pd.DataFrame(rows, columns=["host", "ip"])
 
@@ -145,12 +167,19 @@ def _api(base: str, headers: dict[str, str], timeout: int, body: bytes | None =
 
     def once(path: str) -> tuple:
         kind = http.client.HTTPSConnection if scheme == "https" else http.client.HTTPConnection
-        connection = kind(host, port, timeout=timeout)
+        connection, until = kind(host, port, timeout=timeout), time.monotonic() + timeout
         try:
             connection.request("POST" if body is not None else "GET", urlsplit(base).path.rstrip("/") + path, body=body, headers=headers | {"User-Agent": AGENT})
             r = connection.getresponse()
             left = r.getheader("x-ratelimit-remaining")
-            return path, r.status, int(left) if left and left.isdigit() else None, r.read().decode("utf-8", "replace")
+            body_ = bytearray()
+            while chunk := r.read1(1 << 16):
+                body_ += chunk
+                if len(body_) > MAX_API_BYTES or time.monotonic() > until:
+                    return path, None, None, None
+                if connection.sock:
+                    connection.sock.settimeout(max(0.01, until - time.monotonic()))
+            return path, r.status, int(left) if left and left.isdigit() else None, body_.decode("utf-8", "replace")
         except (OSError, http.client.HTTPException):
             return path, None, None, None
         finally:
@@ -170,7 +199,7 @@ def repo_api(paths: DataFrame, token=None, base: str = "https://api.github.com",
     names = [x.split()[0] for x in API_RESPONSE.split(", ")]
     one = lambda path: retry_with(lambda: ask(path), _worth_retry)
     spread = paths.filter("path IS NOT NULL").select("path").distinct().repartition(partitions)
-    return spread.mapInPandas(lambda frames: (f.astype({"status": "Int32", "remaining": "Int64"}) for f in _each(frames, "path", one, names)), API_RESPONSE)
+    return spread.mapInPandas(lambda frames: _flown(frames, "path", one, names, {"status": "Int32", "remaining": "Int64"}), API_RESPONSE)
 
 
 def search_api(queries: DataFrame, key, model: str, base: str = "https://generativelanguage.googleapis.com/v1beta/models", partitions: int = 2, once: Callable | None = None) -> DataFrame:
@@ -185,11 +214,12 @@ def search_api(queries: DataFrame, key, model: str, base: str = "https://generat
             return once(query)
         return _api(base, {"Content-Type": "application/json", "x-goog-api-key": secret}, 20, body)(f"/{model}:generateContent")
 
+    def one(query: str) -> tuple:
+        found = retry_with(lambda: ask(query), _worth_retry)
+        return query, found[1], found[3]
+
     def run(frames):
-        with ThreadPoolExecutor(IN_FLIGHT) as pool:
-            for frame in frames:
-                found = list(pool.map(lambda q: retry_with(lambda: ask(q), _worth_retry), frame["search_query"]))
-                yield pd.DataFrame({"search_query": frame["search_query"], "status": pd.array([x[1] for x in found], dtype="Int32"), "body": [x[3] for x in found]})
+        return _flown(frames, "search_query", one, ["search_query", "status", "body"], {"status": "Int32"})
 
     return queries.select("search_query").distinct().repartition(partitions).mapInPandas(run, "search_query string, status int, body string")
 
@@ -199,7 +229,7 @@ def chat_api(calls: DataFrame, token, base: str = "https://slack.com/api", parti
     '/users.info?user=U1'; no retries. api_error is what the envelope says, null where it is ok."""
     ask = once or _api(base, {"Authorization": f"Bearer {token.expose()}"}, TOTAL_S)
     names = [x.split()[0] for x in API_RESPONSE.split(", ")]
-    found = calls.select("path").distinct().repartition(partitions).mapInPandas(lambda frames: (f.astype({"status": "Int32", "remaining": "Int64"}) for f in _each(frames, "path", ask, names)), API_RESPONSE)
+    found = calls.select("path").distinct().repartition(partitions).mapInPandas(lambda frames: _flown(frames, "path", ask, names, {"status": "Int32", "remaining": "Int64"}), API_RESPONSE)
     ok = F.get_json_object("body", "$.ok") == "true"
     return found.select("path", "body", F.when(~F.coalesce(ok, F.lit(False)), F.coalesce(F.get_json_object("body", "$.error"), F.lit("unknown"))).alias("api_error"))
 

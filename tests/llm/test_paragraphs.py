@@ -14,19 +14,35 @@ def spaced(b):
     return [(m.start(), m.end(), m[0]) for m in re.finditer(rb"[^\t\n\x0b\x0c\r ]+", b)]
 
 
+def units_of(text, min_words):
+    """(first byte, end byte, words, whether it is a block) of lines, and of blocks of several lines between blank lines."""
+    data, out, at, block = (text or "").encode(), [], 0, []
+    blocks, has_blank = [], False
+    for line in data.split(b"\n"):
+        w = [(at + a, at + b, x) for a, b, x in spaced(lower(line))]
+        at += len(line) + 1
+        if w:
+            block.append(w)
+        elif block:
+            blocks.append(block)
+            block = []
+    if block:
+        blocks.append(block)
+    has_blank = len(blocks) > 1
+    for block in blocks:
+        kinds = [(w, False) for w in block] + ([([x for w in block for x in w], True)] if has_blank and len(block) > 1 else [])
+        out += [(w[0][0], w[-1][1], tuple(x[2] for x in w), is_block) for w, is_block in kinds if len(w) >= min_words]
+    return out
+
+
 def brute_paragraphs(docs, threshold=0.8, min_words=16):
-    """Classes of the lines with two places or more: sorted lists of (doc, first byte, end byte)."""
-    units = {}
+    """Classes of the paragraphs with two places or more: sorted lists of (doc, first byte, end byte)."""
+    units, blocks = {}, set()
     for d, t in docs:
-        at = 0
-        data = (t or "").encode()
-        apart = rb"\n" if not re.search(rb"\n[\t\x0b\f\r ]*\n", data.strip()) else rb"\n[\t\x0b\f\r ]*(?=\n)"
-        for line in re.split(apart, data):
-            w = spaced(lower(line))
-            if len(w) >= min_words:
-                units.setdefault(tuple(x[2] for x in w), []).append((d, at + w[0][0], at + w[-1][1]))
-            at += len(line)
-            at += len(re.match(apart, data[at:])[0]) if at < len(data) else 0
+        for first, end, words, is_block in units_of(t, min_words):
+            units.setdefault(words, []).append((d, first, end))
+            if is_block:
+                blocks.add((d, first, end))
     keys = list(units)
     sets = [{k[i : i + 5] for i in range(len(k) - 4)} for k in keys]
     by, parent = {}, list(range(len(keys)))
@@ -45,7 +61,11 @@ def brute_paragraphs(docs, threshold=0.8, min_words=16):
     groups = {}
     for i, k in enumerate(keys):
         groups.setdefault(root(i), []).extend(units[k])
-    return sorted(sorted(g) for g in groups.values() if len(g) > 1)
+    found = [g for g in groups.values() if len(g) > 1]
+    gone = [x for g in found for x in g if x in blocks and x[:2] != min(g)[:2]]
+    inside = lambda x: any(x[0] == b[0] and b[1] <= x[1] and x[2] <= b[2] for b in gone)
+    found = [[x for x in g if x in blocks or not inside(x)] for g in found]
+    return sorted(sorted(g) for g in found if len(g) > 1)
 
 
 def classes(rows, kind):
@@ -154,3 +174,25 @@ def test_template_family(spark):
     for r in found:
         groups.setdefault((r.class_doc, r.class_first), []).append((r.doc, r.first, r.end))
     assert sorted(sorted(g) for g in groups.values()) == want and len(want) == 120
+
+
+def test_lines_are_found_across_texts_with_and_without_blank_lines(spark):
+    rng = random.Random(12)
+    noise = lambda n: [f"n{rng.randint(0, 10**9)}" for _ in range(n)]
+    docs = []
+    for i in range(40):
+        line = noise(40)
+        near = [*line]
+        near[1] = "other"
+        docs += [(2 * i, " ".join(noise(20)) + "\n" + " ".join(line)), (2 * i + 1, "title\n\n" + " ".join(noise(18)) + "\n" + " ".join(near) + "\n" + " ".join(noise(18)))]
+    # a block that goes takes its lines along: they are no first place of anything
+    block = [" ".join(noise(30)) for _ in range(3)]
+    docs += [(100, "a\n\n" + "\n".join(block)), (101, "b\n\n" + "\n".join([block[0], block[1] + " more", block[2]])), (102, " ".join(noise(17)) + "\n" + block[1] + " more")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = paragraphs.duplicates(df).collect()
+    want = brute_paragraphs(docs)
+    assert classes(rows, "paragraph") == want
+    assert sum(len(g) == 2 and g[0][0] + 1 == g[1][0] < 80 for g in want) == 40
+    text = {r.doc_id: r.text for r in paragraphs.remove_spans(df, paragraphs.duplicates(df)).collect()}
+    everything = " ".join(text.values())
+    assert all(w in everything for _, t in docs for w in t.split() if w.startswith("n"))

@@ -1,8 +1,9 @@
 """Substring dedup by paragraphs: MinHash banding for near copies, equal segments for passages inside paragraphs.
 
-A paragraph is what stands between blank lines or, in a text without any, a line; it has at least `min_words` words
-(repeated shorter ones are the line dedup's). Its MinHash over shingles of five words has 16 coordinates in
-8 bands of two, so that a pair of similarity 0.8 shares a band with a probability over 0.999. What shares a band is compared exactly (Jaccard of
+A paragraph is a line, or a block of lines between blank lines, of at least `min_words` words (repeated shorter ones are the
+line dedup's); a line within a block that goes has no say of its own, so that what stays stands in no block that goes. The
+MinHash over shingles of five words has 30 coordinates in 10 bands of three, so that a pair of similarity 0.8 shares a band
+with a probability over 0.999. What shares a band is compared exactly (Jaccard of
 their shingle sets), first with two leaders of the band's group, then, where these leave classes apart, by prefixes of
 rare shingles (see rare_prefixes), which pass over no similar pair. Classes are the connected components.
 
@@ -31,7 +32,9 @@ from webloom.llm.components import connected_components
 from webloom.llm.near_dedup import GOLDEN, bucket_pairs, mix, shared_groups
 from webloom.llm.repeats import VALUE, both_powers, packed
 
-K, BANDS, SHINGLE, PAIRS = 16, 8, 5, 20
+K, BANDS, SHINGLE, PAIRS = 30, 10, 5, 20
+#: Bits of a paragraph's shingles by which almost similar ones are told apart.
+N_BITS = 1024
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -65,24 +68,28 @@ def shingle_hashes(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def paragraph_starts(first: np.ndarray, line: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Numbers of the words that begin a paragraph: of texts with blank lines, what stands between them; of others, a line."""
+def paragraph_spans(first: np.ndarray, line: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, whether it is a block) of the paragraphs as runs of words a..b-1: all lines, and in texts with blank lines what
+    stands between these, if it has several lines."""
     if not len(first):
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
     text, step = np.searchsorted(starts, first, side="right") - 1, np.diff(line)
     other = np.diff(text) != 0
     blank = (step > 1) & ~other
     by_blank = np.bincount(text[1:][blank], minlength=len(starts)) > 0
-    return np.flatnonzero(np.concatenate([[True], other | np.where(by_blank[text[1:]], blank, step != 0)]))
+    line_at = np.flatnonzero(np.concatenate([[True], other | (step != 0)]))
+    block_at = np.flatnonzero(np.concatenate([[True], other | blank]))
+    line_end, block_end = np.append(line_at[1:], len(first)), np.append(block_at[1:], len(first))
+    several = by_blank[text[block_at]] & (line[block_end - 1] != line[block_at])
+    return np.concatenate([line_at, block_at[several]]), np.concatenate([line_end, block_end[several]]), np.repeat([False, True], [len(line_at), int(several.sum())])
 
 
 def paragraph_units(data: np.ndarray, starts: np.ndarray, min_words: int):
-    """(first, end, n_words, h1, h2, bands) of the paragraphs in a buffer of texts that begin at `starts`."""
+    """(first, end, n_words, block, h1, h2, bands) of the paragraphs in a buffer of texts that begin at `starts`."""
     first, end, words, line = words_of(data)
-    a = paragraph_starts(first, line, starts)
-    b = np.append(a[1:], len(words))[: len(a)]
+    a, b, block = paragraph_spans(first, line, starts)
     long = b - a >= min_words
-    a, b = a[long], b[long]
+    a, b, block = a[long], b[long], block[long]
     if not len(a):
         return None
     n = b - a - SHINGLE + 1
@@ -93,7 +100,7 @@ def paragraph_units(data: np.ndarray, starts: np.ndarray, min_words: int):
     bands = np.zeros((BANDS, len(a)), dtype=np.uint64)
     for r in range(K // BANDS):
         bands = mix(bands + least[r :: K // BANDS] + GOLDEN)
-    return first[a], end[b - 1], b - a, runs_hash(words, a, b), runs_hash(mix(words ^ GOLDEN), a, b), bands.T.astype(np.uint32).view(np.int32)
+    return first[a], end[b - 1], b - a, block, runs_hash(words, a, b), runs_hash(mix(words ^ GOLDEN), a, b), bands.T.astype(np.uint32).view(np.int32)
 
 
 def cut_places(words: np.ndarray) -> np.ndarray:
@@ -139,12 +146,12 @@ def paragraphs(docs: DataFrame, min_words: int) -> DataFrame:
                     found = paragraph_units(data, starts, min_words)
                     if found is None:
                         continue
-                    first, end, n, h1, h2, bands = found
+                    first, end, n, block, h1, h2, bands = found
                     who = np.searchsorted(starts, first, side="right") - 1
                     flat = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(first - starts[who]), pa.array(end - starts[who]), pa.array(n.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), flat], ["doc", "first", "end", "n_words", "h1", "h2", "bands"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(first - starts[who]), pa.array(end - starts[who]), pa.array(n.astype(np.int64)), pa.array(block), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), flat], ["doc", "first", "end", "n_words", "block", "h1", "h2", "bands"])
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, first long, end long, n_words long, h1 long, h2 long, bands array<int>")
+    return docs.select("doc", "text").mapInArrow(run, "doc long, first long, end long, n_words long, block boolean, h1 long, h2 long, bands array<int>")
 
 
 def segments(docs: DataFrame) -> DataFrame:
@@ -216,14 +223,21 @@ def near_paragraphs(docs: DataFrame, texts: DataFrame, threshold: float, min_wor
     joined = connected_components(links)
     left = rare_prefixes.open_nodes(groups, joined)
     sets = stored(shingle_sets(texts, nodes, left).join(left, "node").select("node", "label", "set"))
-    rest = rare_prefixes.links_between(sets, threshold).select("a", "b")
+    rest = rare_prefixes.links_between(sets, threshold, N_BITS).select("a", "b")
     dropped(groups, left, sets)
     if rest.limit(1).count():
         joined = connected_components(stored(links.union(rest)))
     labels = nodes.join(joined, "node", "left").select("h1", "h2", "places", place.alias("place"), F.coalesce("label", "node").alias("label"))
-    classes = stored(labels.groupBy("label").agg(F.sum("places").alias("places"), F.min("place").alias("least")).filter("places > 1"))
-    member = labels.select("h1", "h2", "label").join(classes, "label").select("h1", "h2", F.col("least.doc").alias("class_doc"), F.col("least.first").alias("class_first"))
-    return units.drop("bands").join(member, ["h1", "h2"]).select("doc", "first", "end", "n_words", "class_doc", "class_first")
+    classes = stored(labels.groupBy("label").agg(F.sum("places").alias("places"), F.min("place").alias("least")).filter("places > 1").select("label", "least"))
+    member = stored(labels.join(classes, "label").select("h1", "h2", "label", "least"))
+    rows = stored(units.drop("bands").join(member, ["h1", "h2"]).select("doc", "first", "end", "n_words", "block", "label", "least"))
+    # lines within a block that goes: blocks of a text are apart, so the last one that begins before a line decides
+    gone = F.when(F.col("block") & (place != F.col("least")), F.struct("first", "end"))
+    before = Window.partitionBy("doc").orderBy("first", F.desc("block")).rowsBetween(Window.unboundedPreceding, 0)
+    left = stored(rows.withColumn("gone", F.last(gone, ignorenulls=True).over(before)).filter(F.col("block") | F.col("gone").isNull() | (F.col("first") >= F.col("gone.end"))).drop("gone", "least"))
+    again = stored(left.groupBy("label").agg(F.count("*").alias("places"), F.min(place).alias("least")).filter("places > 1").select("label", "least"))
+    dropped(units, nodes, classes, member, rows)
+    return left.join(again, "label").select("doc", "first", "end", "n_words", F.col("least.doc").alias("class_doc"), F.col("least.first").alias("class_first"))
 
 
 def equal_passages(docs: DataFrame, texts: DataFrame, min_run: int) -> DataFrame:

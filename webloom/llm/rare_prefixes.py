@@ -4,7 +4,8 @@ Sets are distinct unsigned 64-bit numbers. Their elements are ordered by how oft
 buckets, of which any total order would do), the rarest first. If two sets have a Jaccard similarity of t or more, the
 first 1 - t of the longer and the first 1 - 2t / (1 + t) of the shorter share an element, and at the first that they
 share enough is left in both for the overlap that t asks for; 256 bits of each set bound the overlap once more. So no pair is lost, and what a family shares (its template)
-stands at the end of every set, where nothing is joined, unless the family is alike as a whole."""
+stands at the end of every set, where nothing is joined, unless the family is alike as a whole. More bits tell more pairs
+that are almost similar apart before their sets are read, and make the postings longer."""
 
 from __future__ import annotations
 
@@ -19,7 +20,6 @@ from webloom.llm.common import dropped, run_once, slices, stored
 #: Buckets in which elements are counted: a bound on memory; collisions change the order, not the pairs.
 BUCKETS = 1 << 20
 EPS = 1e-9
-BITS = ("b0", "b1", "b2", "b3")
 
 
 def open_nodes(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -36,10 +36,10 @@ def open_nodes(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
     return found
 
 
-def bits_of(x: np.ndarray) -> np.ndarray:
-    """256 bits of a set as four numbers: each element sets one."""
-    bits = np.zeros(256, dtype=np.uint8)
-    bits[(x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.int64)] = 1
+def bits_of(x: np.ndarray, n: int = 256) -> np.ndarray:
+    """n bits of a set, a power of two from 64 on, as n / 64 numbers: each element sets one."""
+    bits = np.zeros(n, dtype=np.uint8)
+    bits[(x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - n.bit_length())).astype(np.int64)] = 1
     return np.packbits(bits).view(np.int64)
 
 
@@ -63,35 +63,36 @@ def counted(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def close_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+def close_pairs(sets: DataFrame, threshold: float, n_bits: int = 256) -> DataFrame:
     """Pairs (a, b) of nodes of different labels among `sets` (node, label, set) that may reach the threshold: all that
     do are among them."""
+    bits = [f"b{i}" for i in range(n_bits // 64)]
     held = sets.sparkSession.sparkContext.broadcast(counted(sets))
 
     def run(batches):
         often = held.value
         for batch in slices(batches):
-            out = [[] for _ in range(10)]
+            out = [[] for _ in range(6 + len(bits))]
             for node, label, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 x = np.frombuffer(s, dtype=np.uint64)
                 n = often[(x % np.uint64(BUCKETS)).astype(np.int64)]
                 order = np.lexsort((x, n))[: len(x) - int(np.ceil(threshold * len(x) - EPS)) + 1]
                 at = np.flatnonzero(n[order] > 1)  # what occurs once meets nothing
                 short = len(x) - int(np.ceil(2 * threshold / (1 + threshold) * len(x) - EPS)) + 1
-                for o, v in zip(out, (x[order[at]].view(np.int64), np.full(len(at), node), np.full(len(at), label), np.full(len(at), len(x)), at, at < short, *(np.full(len(at), b) for b in bits_of(x))), strict=True):
+                for o, v in zip(out, (x[order[at]].view(np.int64), np.full(len(at), node), np.full(len(at), label), np.full(len(at), len(x)), at, at < short, *(np.full(len(at), b) for b in bits_of(x, n_bits))), strict=True):
                     o.append(v)
-            names = ["token", "node", "label", "size", "at", "short", *BITS]
+            names = ["token", "node", "label", "size", "at", "short", *bits]
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names)
 
-    postings = stored(sets.select("node", "label", "set").mapInArrow(run, "token long, node long, label long, size long, at long, short boolean, b0 long, b1 long, b2 long, b3 long"))
-    x = postings.filter("short").select("token", *[F.col(c).alias(f"x_{c}") for c in ("node", "label", "size", "at", *BITS)])
-    y = postings.select("token", *[F.col(c).alias(f"y_{c}") for c in ("node", "label", "size", "at", *BITS)])
+    postings = stored(sets.select("node", "label", "set").mapInArrow(run, "token long, node long, label long, size long, at long, short boolean, " + ", ".join(f"{b} long" for b in bits)))
+    x = postings.filter("short").select("token", *[F.col(c).alias(f"x_{c}") for c in ("node", "label", "size", "at", *bits)])
+    y = postings.select("token", *[F.col(c).alias(f"y_{c}") for c in ("node", "label", "size", "at", *bits)])
     met = x.join(y, "token").filter("x_label <> y_label AND (x_size < y_size OR x_size = y_size AND x_node < y_node)")
     need = F.lit(threshold / (1 + threshold)) * (F.col("x_size") + F.col("y_size")) - EPS
     left = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))
     # an element of one set alone accounts for every bit that differs
-    differ = sum((F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in BITS), F.lit(0))
+    differ = sum((F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in bits), F.lit(0))
     left = F.least(left, (F.col("x_size") + F.col("y_size") - differ) / 2)
     met = met.filter((F.col("x_size") >= F.lit(threshold) * F.col("y_size") - EPS) & (left >= need))
     found = stored(met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct())
@@ -108,9 +109,9 @@ def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def links_between(sets: DataFrame, threshold: float) -> DataFrame:
+def links_between(sets: DataFrame, threshold: float, n_bits: int = 256) -> DataFrame:
     """(a, b, similarity) of all nodes of different labels among `sets` (node, label, set), compared exactly."""
-    pairs = close_pairs(sets, threshold)
+    pairs = close_pairs(sets, threshold, n_bits)
     exact = run_once(jaccard, "double")
     of = lambda end, name: sets.select(F.col("node").alias(end), F.col("set").alias(name))
     both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")

@@ -35,13 +35,15 @@ def escape_yaml(s: Column) -> Column:
     return s
 
 
-def truncate_with_note(s: Column, most: int) -> Column:
-    """At most `most` UTF-8 bytes, cut at a character, and a note if anything was cut."""
+def truncate_with_note(s: Column, most: int, total: Column | None = None) -> Column:
+    """At most `most` UTF-8 bytes, cut at a character, and a note if anything was cut. With `total`, s is what is at hand of a text
+    of so many bytes, all of it or more than `most`."""
+    total = F.octet_length(s) if total is None else total
     raw = s.cast("binary")
     heads = [F.try_validate_utf8(F.substring(raw, 1, most - k).cast("string")) for k in range(min(4, most + 1))]
     head = F.coalesce(*heads, F.lit(""))
-    note = F.concat(F.lit("\n\n(truncated: showing "), F.octet_length(head).cast("string"), F.lit(" / "), F.octet_length(s).cast("string"), F.lit(" bytes)"))
-    return F.when(F.octet_length(s) <= most, s).otherwise(F.concat(head, note))
+    note = F.concat(F.lit("\n\n(truncated: showing "), F.octet_length(head).cast("string"), F.lit(" / "), total.cast("string"), F.lit(" bytes)"))
+    return F.when(total <= most, s).otherwise(F.concat(head, note))
 
 
 def lines(s: Column) -> Column:

@@ -9,6 +9,7 @@ from webloom import errors
 from webloom.functions import html as H
 from webloom.functions.codec import accepts_content_type, decode_body, extract_charset, mime_type
 from webloom.functions.urls import ssrf_check, url_guard
+from webloom.operators.exchanges import latest
 
 # Fixed value: bytes of a page that are read at most.
 MAX_RESPONSE_BYTES = 10_000_000
@@ -46,8 +47,10 @@ def answered(asked: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
 
 def fetch_pages(requests: DataFrame, responses: DataFrame, resolved: DataFrame | None = None, rendered: DataFrame | None = None) -> DataFrame:
     """requests (url, js, raw, ...) with final_url, markdown, used_raw_fallback and error, by their recorded responses (see
-    fetch_responses)."""
-    return fetch_responses(requests.join(responses, "url", "left"), resolved, rendered)
+    fetch_responses), the latest ones where these are logs."""
+    resolved = None if resolved is None else latest(resolved, "host", whole=True)
+    rendered = None if rendered is None else latest(rendered, "url")
+    return fetch_responses(requests.join(latest(responses, "url"), "url", "left"), resolved, rendered)
 
 
 def fetch_responses(asked: DataFrame, resolved: DataFrame | None = None, rendered: DataFrame | None = None) -> DataFrame:

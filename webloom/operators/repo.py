@@ -9,6 +9,7 @@ from webloom import errors, schemas
 from webloom.functions.codec import decode_base64, error_message
 from webloom.functions.text import apply_line_range, escape_md_link, format_size, lines, shift_headings
 from webloom.functions.urls import encode_path, glob_regex
+from webloom.operators.exchanges import latest
 
 # Rows of an overview and lines of its README.
 OVERVIEW_ITEMS, OVERVIEW_RELEASES, README_LINES = 5, 3, 200
@@ -27,14 +28,15 @@ TABLE_HEAD = "| Attribute | Value |\n|-----------|-------|\n"
 
 
 def api_rows(wanted: DataFrame, responses: DataFrame, schema: str, name: str) -> DataFrame:
-    """wanted (path, ...) with the parsed body as `name` and `name`_error: recorded responses by path."""
-    status, body = F.col("status"), F.col("body")
-    parsed = F.from_json(body, schema)
-    kind = F.when(status.isNull(), "Network").otherwise(F.coalesce(errors.repo_status(status, F.col("remaining")), F.when(parsed.isNull(), "Network")))
-    said = error_message(body)
-    detail = F.when(kind == "Api", F.concat(F.lit("("), status.cast("string"), F.lit("): "), said)).when(kind == "NotFound", F.col("path")).when(kind == "Network", F.lit("no usable response")).otherwise(said)
-    joined = wanted.join(responses, "path", "left")
-    return joined.select(*wanted.columns, F.when(kind.isNull(), parsed).alias(name), errors.error("repo", kind, detail).alias(f"{name}_error"))
+    """wanted (path, ...) with the parsed body as `name` and `name`_error: recorded responses by path, the latest ones of a log.
+    A body is parsed once, whatever is made of it."""
+    held = latest(responses, "path").withColumn("_parsed", F.from_json("body", schema))
+    joined = wanted.join(held, "path", "left")
+    kind = F.when(F.col("status").isNull(), "Network").otherwise(F.coalesce(errors.repo_status(F.col("status"), F.col("remaining")), F.when(F.col("_parsed").isNull(), "Network")))
+    marked = joined.withColumn("_failed", kind)
+    said = error_message(F.col("body"))
+    detail = F.when(F.col("_failed") == "Api", F.concat(F.lit("("), F.col("status").cast("string"), F.lit("): "), said)).when(F.col("_failed") == "NotFound", F.col("path")).when(F.col("_failed") == "Network", F.lit("no usable response")).otherwise(said)
+    return marked.select(*wanted.columns, F.when(F.col("_failed").isNull(), F.col("_parsed")).alias(name), errors.error("repo", F.col("_failed"), F.when(F.col("_failed").isNotNull(), detail)).alias(f"{name}_error"))
 
 
 def repo_path(*tail: Column | str) -> Column:

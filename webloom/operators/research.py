@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from webloom import errors
 from webloom.functions.html import RAW_FALLBACK_NOTE
 from webloom.functions.text import apply_language, escape_md_link, expand_bilingual, sanitize_heading, shift_headings, truncate_with_note
+from webloom.operators.exchanges import latest
 from webloom.schemas import SEARCH_RESPONSE
 
 # Limits and wording of reports.
@@ -38,7 +39,7 @@ def grounded_result(body: Column) -> Column:
 def search_results(queries: DataFrame, responses: DataFrame) -> DataFrame:
     """`queries` joined with recorded responses (search_query, status, body): adds answer, sources and error. A query
     without a response failed on the network."""
-    joined = queries.join(responses, "search_query", "left").withColumn("_r", grounded_result(F.col("body")))
+    joined = queries.join(latest(responses, "search_query"), "search_query", "left").withColumn("_r", grounded_result(F.col("body")))
     kind = F.when(F.col("status").isNull(), "Network").otherwise(F.coalesce(errors.search_status(F.col("status"), F.col("body")), F.when(F.col("_r.corrupt"), "Network")))
     own, code = F.get_json_object("body", "$.error").isNotNull(), F.get_json_object("body", "$.error.code").try_cast("int")
     said = F.coalesce(F.get_json_object("body", "$.error.message"), F.lit("Unknown error"))
@@ -142,11 +143,26 @@ def format_reports(requests: DataFrame, results: DataFrame, fetches: DataFrame,
 
 def local_search(queries: DataFrame, documents: DataFrame, k: int = 5) -> DataFrame:
     """A stand-in for the hosted search where there is no network, not a copy of its ranking: documents by the number
-    of the query's terms they hold. Gives (search_query, status, body) like recorded responses."""
-    terms = queries.select("search_query", F.explode(F.array_distinct(F.split(F.lower("search_query"), r"[^\p{L}\p{N}]+"))).alias("term")).filter("term != ''").distinct()
-    words = documents.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
-    scored = words.join(terms, "term").groupBy("search_query", "doc_id").agg(F.count("*").alias("n"))
-    best = scored.withColumn("r", F.row_number().over(Window.partitionBy("search_query").orderBy(F.desc("n"), "doc_id"))).filter(F.col("r") <= k)
+    of the query's terms they hold. Gives (search_query, status, body) like recorded responses.
+
+    Terms are asked the rarest first. The k-th best count by the rarer half bounds the k-th best of all from below; what
+    reaches it, L of T terms, holds one of the T - L + 1 rarest. Only such pairs of query and document are made and counted
+    in full, so a word that is everywhere makes no rows of its own."""
+    split = lambda c: F.array_distinct(F.split(F.lower(c), r"[^\p{L}\p{N}]+"))
+    terms = queries.select("search_query", F.explode(split("search_query")).alias("term")).filter("term != ''").distinct()
+    vocabulary = terms.select("term").distinct()
+    postings = documents.select("doc_id", F.explode(split("text")).alias("term")).join(vocabulary, "term", "left_semi")
+    often = postings.groupBy("term").agg(F.count("*").alias("df"))
+    by_query = Window.partitionBy("search_query")
+    asked = terms.join(often, "term").withColumn("r", F.row_number().over(by_query.orderBy("df", "term"))).withColumn("t", F.count("*").over(by_query))
+    half = postings.join(asked.filter(F.col("r") * 2 <= F.col("t") + 1).select("term", "search_query"), "term").groupBy("search_query", "doc_id").agg(F.count("*").alias("n"))
+    kth = half.withColumn("k", F.row_number().over(by_query.orderBy(F.desc("n")))).filter(F.col("k") == k).select("search_query", F.col("n").alias("least"))
+    first = asked.join(kth, "search_query", "left").filter(F.col("r") <= F.col("t") - F.coalesce("least", F.lit(1)) + 1)
+    pairs = postings.join(first.select("term", "search_query"), "term").select("search_query", "doc_id").distinct()
+    held = postings.groupBy("doc_id").agg(F.collect_set("term").alias("held"))
+    wanted = asked.groupBy("search_query").agg(F.collect_set("term").alias("wanted"))  # a query's own terms
+    scored = pairs.join(held, "doc_id").join(wanted, "search_query").select("search_query", "doc_id", F.size(F.array_intersect("held", "wanted")).alias("n"))
+    best = scored.withColumn("r", F.row_number().over(by_query.orderBy(F.desc("n"), "doc_id"))).filter(F.col("r") <= k)
     chunk = F.struct(F.struct(F.concat(F.lit("doc://"), F.col("doc_id")).alias("uri"), F.concat(F.lit("document "), F.col("doc_id")).alias("title")).alias("web"))
     grouped = best.groupBy("search_query").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", chunk.alias("c")))), lambda x: x["c"]).alias("chunks"))
     answer = F.struct(F.array(F.struct(F.concat(F.size("chunks").cast("string"), F.lit(" documents")).alias("text"))).alias("parts"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom import errors
+from webloom import errors, schemas
 from webloom.functions.html import OUTPUT_BYTES
 from webloom.functions.text import escape_yaml, truncate_with_note
 
@@ -18,6 +18,22 @@ def mentioned_ids(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(MENTION), F.lit(1))
 
 
+def mention_spans(text: Column) -> Column:
+    """array<struct<user_id,start,end>> of the mentions, places in bytes of UTF-8, the end exclusive: running sums of what lies
+    between them and of themselves."""
+    gaps = F.transform(F.split(text, MENTION, -1), F.octet_length)
+    found = F.transform(F.regexp_extract_all(text, F.lit(MENTION), F.lit(0)), F.octet_length)
+    each = F.zip_with(F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, n: F.struct(g.alias("gap"), n.alias("n"))), mentioned_ids(text), lambda x, i: F.struct(x["gap"].alias("gap"), x["n"].alias("n"), i.alias("user_id")))
+    none = F.array().cast(f"array<{schemas.MENTION}>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+
+    def step(acc: Column, x: Column) -> Column:
+        first = acc["at"] + x["gap"]
+        return F.struct((first + x["n"]).alias("at"), F.concat(acc["spans"], F.array(F.struct(x["user_id"].alias("user_id"), first.alias("start"), (first + x["n"]).alias("end")))).alias("spans"))
+
+    return F.when(text.isNotNull(), F.aggregate(each, start, step, lambda acc: acc["spans"]))
+
+
 def substitute_mentions(text: Column, names: Column) -> Column:
     """Mentions as @name by a map of names; @id where the map has none."""
     gaps = F.split(text, MENTION, -1)
@@ -77,34 +93,58 @@ def resolve(messages: DataFrame, users: DataFrame) -> DataFrame:
     return joined.select("key", "is_thread", author.alias("author"), substitute_mentions(F.col("text"), F.col("names")).alias("text"), "ts")
 
 
-def format_thread(link: Column, channel_name: Column, first: Column, replies: Column) -> Column:
-    """YAML head with the linked message's ts and the first message's author, its text, then the replies."""
+def reply_text(author: Column, ts: Column, text: Column) -> Column:
+    return F.concat(F.lit("\n\n---\n\n"), author, F.when(ts == "", "").otherwise(F.concat(F.lit(" ("), ts, F.lit(")"))), F.lit(":\n"), text)
+
+
+def thread_head(link: Column, channel_name: Column, author: Column, n_replies: Column) -> Column:
+    """YAML with the linked message's ts and the first message's author."""
     line = lambda name, value: F.concat(F.lit(f'{name}: "'), value, F.lit('"\n'))
-    head = F.concat(
+    return F.concat(
         F.lit("---\n"),
         line("workspace", escape_yaml(link["workspace"])),
         line("channel", escape_yaml(channel_name)),
-        line("author", escape_yaml(first["author"])),
+        line("author", escape_yaml(author)),
         line("ts", link["ts"]),
-        F.when(F.size(replies) > 0, F.concat(F.lit("replies: "), F.size(replies).cast("string"), F.lit("\n"))).otherwise(""),
+        F.when(n_replies > 0, F.concat(F.lit("replies: "), n_replies.cast("string"), F.lit("\n"))).otherwise(""),
         line("url", escape_yaml(link["raw_url"])),
         F.lit("---\n\n"),
     )
-    body = F.array_join(F.transform(replies, lambda m: F.concat(F.lit("\n\n---\n\n"), m["author"], F.when(m["ts"] == "", "").otherwise(F.concat(F.lit(" ("), m["ts"], F.lit(")"))), F.lit(":\n"), m["text"])), "")
-    text = F.concat(head, first["text"], body)
-    return F.when(F.endswith(text, F.lit("\n")), text).otherwise(F.concat(text, F.lit("\n")))
+
+
+def first_bytes(messages: DataFrame, limit: int) -> DataFrame:
+    """(key, author, n, size, body, ends) of each key's messages (key, is_thread, author, text, ts): the first one's author, the
+    number of the others that count as replies, the bytes of all their text in order, and as much of that text as the first
+    `limit` bytes need. `ends` says whether all of it ends in a line end.
+
+    Running sums of bytes tell before anything is gathered which messages begin within the limit; later ones are only counted."""
+    in_order = Window.partitionBy("key").orderBy("ts", "author", "text")
+    placed = messages.withColumn("i", F.row_number().over(in_order)).filter((F.col("i") == 1) | F.col("is_thread"))
+    part = F.when(F.col("i") == 1, F.col("text")).otherwise(reply_text(F.col("author"), F.col("ts"), F.col("text")))
+    sized = placed.withColumn("part", part).withColumn("upto", F.sum(F.octet_length("part")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    begins = F.col("upto") - F.octet_length("part") <= limit
+    return sized.groupBy("key").agg(
+        F.min_by("author", "i").alias("author"),
+        (F.count("*") - 1).alias("n"),
+        F.max("upto").alias("size"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(begins, F.struct("i", "part")))), lambda x: x["part"]), "").alias("body"),
+        F.max_by(F.endswith("part", F.lit("\n")) | (F.col("part") == ""), "i").alias("ends"),  # the head ends in one
+    )
 
 
 def fetch_threads(links: DataFrame, messages: DataFrame, users: DataFrame, channels: DataFrame) -> DataFrame:
     """links (key, link) with output (at most 100,000 bytes) and error. Unknown users and channels keep their ids; a link
     without messages is the error 'message not found'."""
     resolved = resolve(thread_messages(links, messages), users)
-    by = resolved.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ts", "author", "text"))).alias("all"), F.max("is_thread").alias("is_thread"))  # one thread's messages
+    by = first_bytes(resolved, OUTPUT_BYTES)
     named = links.withColumn("channel", F.col("link.channel")).join(channels.select("channel", F.col("name").alias("_name")), "channel", "left").drop("channel")
     joined = named.join(by, "key", "left")
-    replies = F.when(F.col("is_thread"), F.slice("all", 2, 2**30)).otherwise(F.slice("all", 1, 0))
     channel = F.coalesce(F.concat(F.lit("#"), F.col("_name")), F.col("link.channel"))
-    text = truncate_with_note(format_thread(F.col("link"), channel, F.get("all", F.lit(0)), replies), OUTPUT_BYTES)
-    found = F.coalesce(F.size("all"), F.lit(0)) > 0
+    head = thread_head(F.col("link"), channel, F.col("author"), F.col("n"))
+    # a text that does not end in a line end gets one
+    last = F.when(F.col("ends"), "").otherwise("\n")
+    total = F.octet_length(head) + F.col("size") + F.octet_length(last)
+    text = truncate_with_note(F.concat(head, F.col("body"), F.when(F.octet_length("body") == F.col("size"), last).otherwise("")), OUTPUT_BYTES, total)
+    found = F.col("n").isNotNull()
     kind = F.when(~found, F.lit("Api"))
     return joined.select(*links.columns, F.when(found, text).alias("output"), errors.error("chat", kind, F.lit("message not found")).alias("error"))

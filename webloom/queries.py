@@ -226,6 +226,27 @@ def fetch_known_pages(spark, d):
     return commands.fetch(asked, responses, rendered=rendered).select("request_id", F.md5("output").alias("output"), "error.kind", "error.exit_code")
 
 
+@query("""
+WITH v AS (SELECT page_id, v, CASE WHEN v = page_id % 4 THEN 200 ELSE 500 + v END AS status FROM pages, (SELECT unnest(range(0, 3)) AS v) WHERE v <= page_id % 3)
+SELECT page_id AS request_id, arg_max(status, v) = 200 AS fetched, CASE WHEN arg_max(status, v) <> 200 THEN 'Status' END AS kind FROM v WHERE v < 2 GROUP BY page_id""")
+def recrawled_pages(spark, d):
+    """Every page recorded up to three times, a day apart, and fetched as of the second day: one row a request."""
+    v = F.explode(F.sequence(F.lit(0), (F.col("page_id") % 3).cast("int"))).alias("v")
+    log = read(spark, d, "pages").select("page_id", "url", "html", v).select(
+        "url",
+        F.col("url").alias("final_url"),
+        F.when(F.col("v") == F.col("page_id") % 4, 200).otherwise(500 + F.col("v")).alias("status"),
+        F.lit("text/html").alias("content_type"),
+        F.col("html").cast("binary").alias("body"),
+        F.lit(None).cast("string").alias("failure"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("v") * 86_400).alias("recorded_at"),
+        F.uuid().alias("version"),
+    )
+    asked = read(spark, d, "pages").select(F.col("page_id").alias("request_id"), "url", F.lit(False).alias("js"), F.lit(True).alias("raw"))
+    found = commands.fetch(asked, log.filter(F.col("recorded_at") <= F.timestamp_seconds(F.lit(1_700_000_000 + 86_400))))
+    return found.select("request_id", F.col("output").isNotNull().alias("fetched"), "error.kind")
+
+
 # --- text ------------------------------------------------------------------------------------------------
 
 EXTRA_TEXT = "concat(text, ' [a](b) ', chr(34), chr(92), chr(9), chr(13), chr(10))"
@@ -786,6 +807,13 @@ def mentions(spark, d):
     return _messages(spark, d).select("conv_id", "turn", F.array_join(thread_ops.mentioned_ids(F.col("text")), ",").alias("ids"), thread_ops.substitute_mentions(F.col("text"), names).alias("text"))
 
 
+@query("SELECT conv_id, turn, 'user:' || strlen(text) + 1 || ':' || strlen(text) + 10 || ',ghost:' || strlen(text) + 11 || ':' || strlen(text) + 19 AS spans FROM conversations")
+def mention_spans(spark, d):
+    """Mentions behind every message, by bytes."""
+    spans = F.transform(thread_ops.mention_spans(F.col("text")), lambda m: F.concat_ws(":", m["user_id"], m["start"].cast("string"), m["end"].cast("string")))
+    return _messages(spark, d).select("conv_id", "turn", F.array_join(spans, ",").alias("spans"))
+
+
 @query("""
 WITH m AS (SELECT conv_id, turn, printf('%d.%06d', conv_id + 1700000000, turn) AS ts, CASE role WHEN 'user' THEN 'ann' WHEN 'assistant' THEN 'Bot' ELSE role END AS author, text || ' @ann @ghost <@open' AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
 f AS (SELECT * FROM m WHERE r = 1), p AS (SELECT conv_id, count(*) AS n, string_agg(chr(10) || chr(10) || '---' || chr(10) || chr(10) || author || ' (' || ts || '):' || chr(10) || text, '' ORDER BY turn) AS t FROM m WHERE r > 1 GROUP BY conv_id)

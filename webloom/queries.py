@@ -480,10 +480,20 @@ ANSWERS = [
 ]
 
 
-@query("SELECT CAST(id AS BIGINT) AS request_id, answer, n, kind, code, message FROM " + sql_values(ANSWERS, "id, answer, n, kind, code, message"))
+@query("SELECT CAST(id AS BIGINT) AS request_id, answer, n, kind, code, message FROM " + sql_values(ANSWERS, "id, answer, n, kind, code, message") + """
+UNION ALL SELECT doc_id + 1000, CASE WHEN doc_id % 6 = 0 THEN source END, CASE WHEN doc_id % 6 = 0 THEN 1 ELSE 0 END, CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'QuotaExhausted' WHEN 2 THEN 'RateLimited' WHEN 5 THEN 'Network' ELSE 'Api' END,
+CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 2 END, CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'API quota exhausted: ' || source || ' — check your API billing at https://aistudio.google.com' WHEN 2 THEN 'API rate limit exceeded. Please retry later.'
+WHEN 3 THEN 'API error (500): HTTP 500 Internal Server Error: ' || left(text, 200) WHEN 4 THEN 'API error (' || doc_id || '): ' || source ELSE 'Network error: error decoding response body' END FROM documents""")
 def search_response(spark, d):
-    asked = literal(spark, [(i, str(i)) for i, *_ in BODIES], "request_id long, search_query string")
-    got = research_ops.search_results(asked, literal(spark, [(str(i), s, b) for i, s, b in BODIES], "search_query string, status int, body string"))
+    """Responses by literal bodies, and a document's source and text as answer, message or body of an error."""
+    docs, k = read(spark, d, "documents"), F.col("doc_id") % 6
+    said = lambda code: F.to_json(F.struct(F.struct(code.alias("code"), F.col("source").alias("message")).alias("error")))
+    web = F.array(F.struct(F.concat(F.lit("https://d/"), "doc_id").alias("uri"), F.lit("t").alias("title")))
+    body = F.when(k == 0, _search_body(F.col("source"), web)).when(k == 1, said(F.lit(403))).when(k == 3, F.col("text")).when(k == 4, said(F.col("doc_id"))).otherwise("{broken")
+    status = F.when(k == 2, 429).when(k == 3, 500).when(k == 4, 400).otherwise(200)
+    own = docs.select((F.col("doc_id") + 1000).alias("request_id"), F.concat(F.lit("d"), "doc_id").alias("search_query"), status.alias("status"), body.alias("body"))
+    asked = literal(spark, [(i, str(i)) for i, *_ in BODIES], "request_id long, search_query string").unionByName(own.select("request_id", "search_query"))
+    got = research_ops.search_results(asked, literal(spark, [(str(i), s, b) for i, s, b in BODIES], "search_query string, status int, body string").unionByName(own.select("search_query", "status", "body")))
     return got.select("request_id", "answer", F.size("sources").alias("n"), "error.kind", F.col("error.exit_code").alias("code"), "error.message")
 
 
@@ -547,6 +557,25 @@ def research_command(spark, d):
     return commands.research(asked, responses, pages).select("request_id", F.md5("report").alias("report"))
 
 
+@query(r"""
+WITH q AS (SELECT item_id, text || ' 型' AS q FROM benchmark)
+SELECT item_id AS request_id, CASE item_id % 4 WHEN 0 THEN NULL ELSE md5('# Research: ' || replace(replace(q, chr(10), ' '), chr(13), ' ') || chr(10) || chr(10) || CASE WHEN item_id % 4 = 3 THEN '## Search Result 1' || chr(10) || chr(10) || 'first ' || item_id || chr(10) || chr(10) || '## Search Result 2' || chr(10) || chr(10) || 'second ' || item_id ELSE CASE WHEN item_id % 4 = 1 THEN 'second ' ELSE 'first ' END || item_id END || chr(10) || chr(10)) END AS report,
+CASE WHEN item_id % 4 = 0 THEN 'RateLimited' END AS kind FROM q""")
+def research_failing(spark, d):
+    """Benchmark items with a Japanese word, asked twice each: the first search fails, or the second, or both, whose first error
+    is the request's."""
+    k, q = F.col("item_id"), F.concat("text", F.lit(" 型"))
+    asked = read(spark, d, "benchmark").select(k.alias("request_id"), q.alias("query"), F.lit(3).alias("depth"), F.lit("auto").alias("lang"))
+    sent = research_ops.expand_queries(asked)
+    i, bad = F.col("request_id"), F.when(F.col("query_idx") == 0, F.col("request_id") % 4 < 2).otherwise((F.col("request_id") % 4 == 0) | (F.col("request_id") % 4 == 2))
+    said = F.concat(F.when(F.col("query_idx") == 0, "first ").otherwise("second "), i.cast("string"))
+    none = F.array().cast("array<struct<uri:string,title:string>>")
+    # equal texts ask alike: each item's answers are its own
+    responses = sent.select("search_query", F.when(bad & (F.col("query_idx") == 0), 429).when(bad, 500).otherwise(200).alias("status"), F.when(bad, "down").otherwise(_search_body(said, none)).alias("body"))
+    pages = literal(spark, [], "url string, final_url string, status int, content_type string, body binary, failure string")
+    return commands.research(asked, responses, pages).select("request_id", F.md5("report").alias("report"), "error.kind")
+
+
 @query()
 def local_research(spark, d):
     """Research end to end with the local stand-in for the hosted search: benchmark texts as queries over documents."""
@@ -689,19 +718,27 @@ def overview_rich(spark, d):
 REPOS = [(1, "a/b"), (2, "https://github.com/a/b.git"), (3, "http://github.com/a/b//"), (4, "a"), (5, "a/../c"), (6, "a/b/tree/main"), (7, "a b/c"), (8, "../x"), (9, "a/b.git/"), (10, "")]
 
 
-@query("SELECT CAST(id AS BIGINT) AS id, owner, repo FROM " + sql_values([(1, "a", "b"), (2, "a", "b"), (3, "a", "b"), (4, None, None), (5, None, None), (6, "a", "b"), (7, None, None), (8, None, None), (9, "a", "b"), (10, None, None)], "id, owner, repo"))
+@query("SELECT CAST(id AS BIGINT) AS id, owner, repo FROM " + sql_values([(1, "a", "b"), (2, "a", "b"), (3, "a", "b"), (4, None, None), (5, None, None), (6, "a", "b"), (7, None, None), (8, None, None), (9, "a", "b"), (10, None, None)], "id, owner, repo") + " UNION ALL SELECT page_id + 1000, CASE WHEN page_id % 5 < 3 THEN 'o' || page_id END, CASE WHEN page_id % 5 < 3 THEN 'r.' || page_id END FROM pages")
 def repo_parse(spark, d):
-    r = U.parse_repo(F.col("s"))
-    return literal(spark, REPOS, "id long, s string").select("id", r["owner"].alias("owner"), r["repo"].alias("repo"))
+    """Repositories by name and by web address; every page's number as one, the address of the page itself is none."""
+    r, i, k = U.parse_repo(F.col("s")), F.col("page_id").cast("string"), F.col("page_id") % 5
+    name = F.concat(F.lit("o"), i, F.lit("/r."), i)
+    own = F.when(k == 0, name).when(k == 1, F.concat(F.lit("https://github.com/"), name, F.lit(".git"))).when(k == 2, F.concat(F.lit("http://github.com/"), name, F.lit("/tree/x/"))).when(k == 3, F.concat(F.lit("git@"), name)).otherwise(F.col("url"))
+    return literal(spark, REPOS, "id long, s string").unionByName(read(spark, d, "pages").select((F.col("page_id") + 1000).alias("id"), own.alias("s"))).select("id", r["owner"].alias("owner"), r["repo"].alias("repo"))
 
 
 NAMES = [(1, "main"), (2, "v1.0"), (3, "a..b"), (4, "x.lock"), (5, "end."), (6, "sp ace"), (7, "q?"), (8, ""), (9, "feature/x"), (10, "/abs"), (11, "a/../b"), (12, "a..b/c"), (13, "x[1]"), (14, "li\nne")]
 
 
-@query(r"SELECT CAST(id AS BIGINT) AS id, s <> '' AND NOT regexp_matches(s, '[\n\r ~^:\\*?\[]') AND NOT contains(s, '..') AND NOT ends_with(s, '.') AND NOT ends_with(s, '.lock') AS ref_ok, s <> '' AND NOT starts_with(s, '/') AND NOT regexp_matches(s, '[\n\r]') AND NOT list_contains(string_split(s, '/'), '..') AS path_ok, regexp_matches(s, '\A[A-Za-z0-9._-]+\z') AND s NOT IN ('.', '..') AS name_ok FROM " + sql_values(NAMES, "id, s"))
+@query(r"SELECT CAST(id AS BIGINT) AS id, s <> '' AND NOT regexp_matches(s, '[\n\r ~^:\\*?\[]') AND NOT contains(s, '..') AND NOT ends_with(s, '.') AND NOT ends_with(s, '.lock') AS ref_ok, s <> '' AND NOT starts_with(s, '/') AND NOT regexp_matches(s, '[\n\r]') AND NOT list_contains(string_split(s, '/'), '..') AS path_ok, regexp_matches(s, '\A[A-Za-z0-9._-]+\z') AND s NOT IN ('.', '..') AS name_ok FROM (SELECT * FROM " + sql_values(NAMES, "id, s") + " UNION ALL SELECT doc_id + 1000, split_part(text, ' ', 1) || CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '/..' WHEN 2 THEN '.lock' WHEN 3 THEN '/x' ELSE ' ~1' END FROM documents UNION ALL SELECT -1 - doc_id, text FROM documents)")
 def ref_path_checks(spark, d):
-    s = F.col("s")
-    return literal(spark, NAMES, "id long, s string").select("id", U.validate_ref(s).alias("ref_ok"), U.validate_path(s).alias("path_ok"), U.is_valid_name(s).alias("name_ok"))
+    """Names as refs, paths and parts of a repository's name: literal ones, the first word of every document with something
+    behind it, and the text itself."""
+    s, k = F.col("s"), F.col("doc_id") % 5
+    docs = read(spark, d, "documents")
+    tail = F.when(k == 0, "").when(k == 1, "/..").when(k == 2, ".lock").when(k == 3, "/x").otherwise(" ~1")
+    own = docs.select((F.col("doc_id") + 1000).alias("id"), F.concat(F.split_part("text", F.lit(" "), F.lit(1)), tail).alias("s")).unionByName(docs.select((-1 - F.col("doc_id")).alias("id"), F.col("text").alias("s")))
+    return literal(spark, NAMES, "id long, s string").unionByName(own).select("id", U.validate_ref(s).alias("ref_ok"), U.validate_path(s).alias("path_ok"), U.is_valid_name(s).alias("name_ok"))
 
 
 # --- addresses -------------------------------------------------------------------------------------------
@@ -767,19 +804,28 @@ LINKS = [
 ]
 
 
-@query("SELECT CAST(id AS BIGINT) AS id, workspace, channel, ts, thread_ts FROM " + sql_values([(1, "team", "C1", "1700000000.123456", None), (2, "team", "C1", "1700000000.123456", "1699999999.000100")] + [(i, None, None, None, None) for i in range(3, 9)], "id, workspace, channel, ts, thread_ts"))
+@query("SELECT CAST(id AS BIGINT) AS id, workspace, channel, ts, thread_ts FROM " + sql_values([(1, "team", "C1", "1700000000.123456", None), (2, "team", "C1", "1700000000.123456", "1699999999.000100")] + [(i, None, None, None, None) for i in range(3, 9)], "id, workspace, channel, ts, thread_ts") + """
+UNION ALL SELECT 1000 + conv_id * 100 + turn, CASE WHEN turn % 4 < 3 THEN 'team' || conv_id END, CASE WHEN turn % 4 < 3 THEN 'C' || conv_id END, CASE WHEN turn % 4 < 3 THEN 1700000000 + conv_id || '.' || printf('%06d', turn) END, CASE turn % 4 WHEN 1 THEN 1700000000 + conv_id || '.000000' WHEN 2 THEN '' END FROM conversations""")
 def permalink_parse(spark, d):
-    p = U.parse_permalink(F.col("url"))
-    return literal(spark, LINKS, "id long, url string").select("id", *[p[c].alias(c) for c in ("workspace", "channel", "ts", "thread_ts")])
+    """Permanent links: literal ones, and one to every message, alone, into its thread, with an empty parameter, or on another host."""
+    p, k = U.parse_permalink(F.col("url")), F.col("turn") % 4
+    c = read(spark, d, "conversations")
+    end = F.when(k == 1, F.format_string("?cid=x&thread_ts=%d%%2E000000#f", F.col("conv_id") + 1_700_000_000)).when(k == 2, "?thread_ts").otherwise("")
+    host = F.when(k == 3, F.lit(".slack.com.example")).otherwise(F.lit(".Slack.com"))
+    url = F.concat(F.lit("https://Team"), F.col("conv_id").cast("string"), host, F.lit("/archives/C"), F.col("conv_id").cast("string"), F.format_string("/p%d%06d", F.col("conv_id") + 1_700_000_000, F.col("turn")), end)
+    own = c.select((1000 + F.col("conv_id") * 100 + F.col("turn")).alias("id"), url.alias("url"))
+    return literal(spark, LINKS, "id long, url string").unionByName(own).select("id", *[p[c].alias(c) for c in ("workspace", "channel", "ts", "thread_ts")])
 
 
 TYPES = [(1, "text/html"), (2, "text/plain; charset=UTF-8"), (3, "application/xhtml+xml"), (4, "application/json"), (5, "application/pdf"), (6, "image/png"), (7, ""), (8, ' text/html ; x=1; charset="Shift_JIS"'), (9, "TEXT/HTML"), (10, "application/xml;charset=")]
 
 
-@query("SELECT CAST(id AS BIGINT) AS id, ok, charset FROM " + sql_values([(1, 1, None), (2, 1, "utf-8"), (3, 1, None), (4, 1, None), (5, 0, None), (6, 0, None), (7, 1, None), (8, 1, "shift_jis"), (9, 0, None), (10, 1, None)], "id, ok, charset"))
+@query("SELECT CAST(id AS BIGINT) AS id, ok, charset FROM " + sql_values([(1, 1, None), (2, 1, "utf-8"), (3, 1, None), (4, 1, None), (5, 0, None), (6, 0, None), (7, 1, None), (8, 1, "shift_jis"), (9, 0, None), (10, 1, None)], "id, ok, charset") + " UNION ALL SELECT page_id + 1000, CASE WHEN page_id % 4 = 3 THEN 0 ELSE 1 END, CASE page_id % 4 WHEN 0 THEN 'x-' || page_id WHEN 2 THEN 'utf-8' END FROM pages")
 def content_types(spark, d):
-    t = F.col("t")
-    return literal(spark, TYPES, "id long, t string").select("id", codec.accepts_content_type(t).cast("int").alias("ok"), codec.extract_charset(t).alias("charset"))
+    """Content types and their character sets: literal ones, and one for every page."""
+    t, i, k = F.col("t"), F.col("page_id").cast("string"), F.col("page_id") % 4
+    own = F.when(k == 0, F.concat(F.lit('text/x-'), i, F.lit('; q=1; Charset="X-'), i, F.lit('"'))).when(k == 1, F.concat(F.lit("application/json;x="), i)).when(k == 2, F.concat(F.lit(" application/xml ;charset=;charset=UTF-8;v="), i)).otherwise(F.concat(F.lit("video/text/"), i))
+    return literal(spark, TYPES, "id long, t string").unionByName(read(spark, d, "pages").select((F.col("page_id") + 1000).alias("id"), own.alias("t"))).select("id", codec.accepts_content_type(t).cast("int").alias("ok"), codec.extract_charset(t).alias("charset"))
 
 
 # --- threads ---------------------------------------------------------------------------------------------
@@ -848,6 +894,22 @@ def single_message(spark, d):
     return got.groupBy("key").agg(F.min("ts").alias("ts"), F.md5(F.min("text")).alias("text"), F.count("*").alias("n")).select(part(1).alias("conv_id"), part(2).alias("turn"), "ts", "text", "n")
 
 
+@query("""
+WITH m AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, count(*) OVER (PARTITION BY conv_id) AS n, text FROM conversations)
+SELECT conv_id, n > 1 AS is_thread, n AS n_messages, sum(len(text)) AS chars FROM m GROUP BY conv_id, n""")
+def replied_messages(spark, d):
+    """Links to the first message of every conversation, not into its thread: one with replies takes them all."""
+    at = lambda turn: F.format_string("%d.%06d", F.col("conv_id") * 1000 + 1_700_000_000, turn)
+    c = read(spark, d, "conversations")
+    sizes = c.groupBy("conv_id").agg(F.count("*").alias("n"), F.min("turn").alias("first"))
+    said = c.join(sizes, "conv_id")
+    start = F.col("turn") == F.col("first")
+    messages = said.select(F.concat(F.lit("C"), "conv_id").alias("channel"), at(F.col("turn")).alias("ts"), F.when(~start, at(F.col("first"))).alias("thread_ts"), F.col("role").alias("user"), "text", F.when(start, F.col("n") - 1).alias("reply_count"))
+    links = sizes.select(F.col("conv_id").alias("key"), F.struct(F.lit("t").alias("workspace"), F.concat(F.lit("C"), "conv_id").alias("channel"), at(F.col("first")).alias("ts"), F.lit(None).cast("string").alias("thread_ts"), F.lit("u").alias("raw_url")).alias("link"))
+    got = thread_ops.thread_messages(links, messages)
+    return got.groupBy("key").agg(F.max("is_thread").alias("is_thread"), F.count("*").alias("n_messages"), F.sum(F.char_length("text")).alias("chars")).withColumnRenamed("key", "conv_id")
+
+
 # --- errors ----------------------------------------------------------------------------------------------
 
 KINDS = [
@@ -858,9 +920,14 @@ KINDS = [
 ]
 
 
-@query("SELECT area, kind, code FROM " + sql_values(KINDS, "area, kind, code"))
+@query("SELECT area, kind, code FROM " + sql_values(KINDS, "area, kind, code") + f" UNION ALL SELECT area, kind, code FROM orders JOIN {sql_values([(i, *x) for i, x in enumerate(KINDS)], 'i, area, kind, code')} ON i = o_orderkey % {len(KINDS)} UNION ALL SELECT 'repo', o_orderstatus || o_orderpriority, 2 FROM orders")
 def error_exit_code(spark, d):
-    rows = literal(spark, [(a, k) for a, k, _ in KINDS], "area string, kind string")
+    """Kinds of errors and their exit codes: each, one for every order, and kinds that are unknown."""
+    named = literal(spark, [(i, a, k) for i, (a, k, _) in enumerate(KINDS)], "i long, area string, kind string")
+    orders = read(spark, d, "orders")
+    own = orders.select((F.col("o_orderkey") % len(KINDS)).alias("i")).join(F.broadcast(named), "i").select("area", "kind")
+    unknown = orders.select(F.lit("repo").alias("area"), F.concat("o_orderstatus", "o_orderpriority").alias("kind"))
+    rows = named.select("area", "kind").unionByName(own).unionByName(unknown)
     code: Column = F.lit(None).cast("int")
     for area in errors.EXIT_CODES:
         code = F.when(F.col("area") == area, errors.exit_code(area, F.col("kind"))).otherwise(code)
@@ -870,7 +937,9 @@ def error_exit_code(spark, d):
 STATUSES = [(1, 200, 10), (2, 404, 10), (3, 429, 10), (4, 403, 0), (5, 403, 50), (6, 500, None), (7, 503, None), (8, 204, None), (9, 403, None)]
 
 
-@query("SELECT CAST(id AS BIGINT) AS id, CASE WHEN s BETWEEN 200 AND 299 THEN NULL WHEN s = 404 THEN 'NotFound' WHEN s = 429 OR (s = 403 AND coalesce(n, 1) = 0) THEN 'RateLimited' WHEN s = 403 THEN 'Forbidden' ELSE 'Api' END AS kind, s = 429 OR s >= 500 OR (s = 403 AND coalesce(n, 1) = 0) AS retry FROM " + sql_values(STATUSES, "id, s, n"))
+@query("SELECT CAST(id AS BIGINT) AS id, CASE WHEN s BETWEEN 200 AND 299 THEN NULL WHEN s = 404 THEN 'NotFound' WHEN s = 429 OR (s = 403 AND coalesce(n, 1) = 0) THEN 'RateLimited' WHEN s = 403 THEN 'Forbidden' ELSE 'Api' END AS kind, s = 429 OR s >= 500 OR (s = 403 AND coalesce(n, 1) = 0) AS retry FROM (SELECT * FROM " + sql_values(STATUSES, "id, s, n") + " UNION ALL SELECT o_orderkey + 1000, CASE o_orderkey % 4 WHEN 0 THEN 200 WHEN 1 THEN 403 ELSE 400 + o_orderkey % 200 END, o_orderkey % 3 FROM orders)")
 def retriable(spark, d):
-    kind = errors.repo_status(F.col("s"), F.col("n"))
-    return literal(spark, STATUSES, "id long, s int, n long").select("id", kind.alias("kind"), errors.is_retriable(kind, F.col("s"), F.lit(False)).alias("retry"))
+    """Statuses and quotas that are worth another try: literal ones, and one for every order."""
+    kind, k = errors.repo_status(F.col("s"), F.col("n")), F.col("o_orderkey")
+    own = read(spark, d, "orders").select((k + 1000).alias("id"), F.when(k % 4 == 0, 200).when(k % 4 == 1, 403).otherwise(400 + k % 200).cast("int").alias("s"), (k % 3).alias("n"))
+    return literal(spark, STATUSES, "id long, s int, n long").unionByName(own).select("id", kind.alias("kind"), errors.is_retriable(kind, F.col("s"), F.lit(False)).alias("retry"))

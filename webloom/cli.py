@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from webloom.errors import PipelineError
 from webloom.functions.urls import parse_permalink
+from webloom.operators.fetch import to_render
 from webloom.plans import commands
-from webloom.sources import credentials, live, recorded
+from webloom.sources import credentials, live, recorded, render
 
 log = logging.getLogger("webloom")
 
@@ -82,7 +83,8 @@ def plan(spark: SparkSession, a: argparse.Namespace):
             none = spark.createDataFrame([], "path string, body string, api_error string")
             said = live.complete(lambda known: live.chat_calls(links, known), lambda new: live.chat_api(new, token), none)
             return commands.fetch(asked, recorded.empty(spark, "responses"), chat=live.chat_tables(said))
-        return commands.fetch(asked, live.pages(asked).persist())
+        pages = live.pages(asked).persist()
+        return commands.fetch(asked, pages, rendered=render.rendered(to_render(asked, pages), 1).persist())
     if a.command == "repo-tree":
         asked = spark.createDataFrame([(1, a.repository, a.ref)], "request_id long, repository string, ref string")
         return commands.repo_tree(asked, _repo(spark, a, asked), a.path, a.pattern)

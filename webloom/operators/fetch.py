@@ -13,6 +13,7 @@ from webloom.operators.exchanges import latest
 
 # Fixed value: bytes of a page that are read at most.
 MAX_RESPONSE_BYTES = 10_000_000
+UNREADABLE = "playwright-cli failed: could not parse playwright output"
 
 
 def response_error(status: Column, content_type: Column, size: Column, failure: Column) -> Column:
@@ -53,6 +54,17 @@ def fetch_pages(requests: DataFrame, responses: DataFrame, resolved: DataFrame |
     return fetch_responses(requests.join(latest(responses, "url"), "url", "left"), resolved, rendered)
 
 
+def to_render(requests: DataFrame, responses: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
+    """(url), once each: the final addresses of requests (url, js, raw) whose page must be rendered by a browser, since that is
+    forced, the page needs scripts, or what could be extracted is thin."""
+    resolved = None if resolved is None else latest(resolved, "host", whole=True)
+    page = answered(requests.join(latest(responses, "url"), "url", "left"), resolved).filter("kind IS NULL")
+    forced, raw = F.coalesce("js", F.lit(False)), F.coalesce("raw", F.lit(False))
+    early = page.withColumn("_need", forced | H.is_js_dependent(F.col("html")))
+    thin = ~raw & H.is_thin_extract(H.extract_article(F.when(~F.col("_need") & ~raw, F.col("html"))))
+    return early.filter(F.col("_need") | thin).select(F.col("final_url").alias("url")).distinct()
+
+
 def fetch_responses(asked: DataFrame, resolved: DataFrame | None = None, rendered: DataFrame | None = None) -> DataFrame:
     """Requests with their exchange (url, js, raw, final_url, status, content_type, body, failure, ...) with final_url,
     markdown, used_raw_fallback and error instead.
@@ -63,15 +75,15 @@ def fetch_responses(asked: DataFrame, resolved: DataFrame | None = None, rendere
     columns = [c for c in asked.columns if c not in ("final_url", "status", "content_type", "body", "failure")]
     page = answered(asked, resolved)
     if rendered is None:
-        page = page.withColumn("_js_html", F.lit(None).cast("string"))
+        page = page.withColumn("_js_html", F.lit(None).cast("string")).withColumn("_js_failure", F.lit(None).cast("string"))
     else:
-        ready = rendered.select(F.col("url").alias("final_url"), F.when(F.col("failure").isNull(), H.parse_renderer_output(F.col("stdout"))).alias("_js_html"))
+        ready = rendered.select(F.col("url").alias("final_url"), F.when(F.col("failure").isNull(), H.parse_renderer_output(F.col("stdout"))).alias("_js_html"), F.coalesce("failure", F.lit(UNREADABLE)).alias("_js_failure"))
         page = page.join(ready, "final_url", "left")
     forced, raw = F.coalesce("js", F.lit(False)), F.coalesce("raw", F.lit(False))
     need = forced | H.is_js_dependent(F.col("html"))
     failed = F.col("kind").isNull() & forced & F.col("_js_html").isNull()
     page = page.withColumn("_need", need).withColumn("_html", F.when(need, F.coalesce("_js_html", "html")).otherwise(F.col("html")))
-    page = page.withColumn("kind", F.when(failed, "Playwright").otherwise(F.col("kind"))).withColumn("detail", F.when(failed, "no rendered page").otherwise(F.col("detail")))
+    page = page.withColumn("detail", F.when(failed, F.coalesce("_js_failure", F.lit("no rendered page"))).otherwise(F.col("detail"))).withColumn("kind", F.when(failed, "Playwright").otherwise(F.col("kind")))
     page = page.withColumn("_a", H.read_page(F.when(F.col("kind").isNull(), F.col("_html")), raw))
     retry = ~raw & ~F.col("_need") & F.col("_js_html").isNotNull() & H.is_thin_extract(F.col("_a"))
     if rendered is not None:

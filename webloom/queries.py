@@ -426,10 +426,10 @@ def research_partition(spark, d):
     return done.select(F.col("request_id").alias("page_id"), "url", F.col("reason").isNull().alias("ok"), "reason")
 
 
-def _source_reports(docs: DataFrame, page: Column) -> DataFrame:
-    rows = docs.select(F.col("source").alias("request_id"), "rank", F.concat(F.lit("https://d/"), "doc_id").alias("url"), F.concat(F.lit("doc ["), "doc_id", F.lit("]")).alias("title"), "doc_id", page.alias("markdown"))
+def _source_reports(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    rows = docs.select(F.col("source").alias("request_id"), "rank", F.concat(F.lit("https://d/"), "doc_id").alias("url"), F.concat(F.lit("doc ["), "doc_id", F.lit("]")).alias("title"), "doc_id")
     failed = F.col("doc_id") % 4 == 0
-    fetches = rows.filter("rank <= 3").select("request_id", "rank", "url", F.when(~failed, F.col("url")).alias("final_url"), "markdown", (F.col("doc_id") % 3 == 0).alias("used_raw_fallback"), F.when(failed, "fetch failed: status 500").alias("reason"))
+    fetches = rows.filter("rank <= 3").join(texts, "doc_id").select("request_id", "rank", "url", F.when(~failed, F.col("url")).alias("final_url"), F.col("text").alias("markdown"), (F.col("doc_id") % 3 == 0).alias("used_raw_fallback"), F.when(failed, "fetch failed: status 500").alias("reason"))
     none = F.array().cast("array<struct<url:string,title:string>>")
     first = F.struct(F.lit(0).alias("query_idx"), F.lit("first").alias("answer"), none.alias("sources"))
     second = F.struct(F.lit(1).alias("query_idx"), F.lit(None).cast("string").alias("answer"), none.alias("sources"))
@@ -460,8 +460,10 @@ def research_report(spark, d):
 @query()
 def research_report_whole(spark, d):
     """What research_report asks; the tests compare it with the texts themselves."""
-    docs = read(spark, d, "documents").withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
-    return _source_reports(docs, F.col("text"))
+    docs = read(spark, d, "documents")
+    # ids are ranked without their texts; only the texts of the pages that are fetched join them
+    ranked = docs.select("doc_id", "source").withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
+    return _source_reports(ranked, docs.select("doc_id", "text"))
 
 
 BODIES = [

@@ -135,3 +135,58 @@ def test_clashing_columns(spark):
     got = tiff.decode_pages(df)
     assert got.columns[:4] == ["_page", "_ERROR", "_page_", "_width"] and got.columns[-1] == "_error_"
     assert got.first()._page == 1 and got.first()._page_ == 0
+
+
+@pytest.mark.parametrize("dtype", ["<f4", ">f8", "<f2", "i1", "<i2", ">i4"])
+@pytest.mark.parametrize("predictor", [1, 2, 3])
+def test_sample_formats(dtype, predictor):
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 20, (8, 8)).astype(dtype)
+    if predictor == 3 and x.dtype.itemsize == 1:
+        return
+    (page,) = tiff.pages(tiff.encode([x], tiff.DEFLATE, predictor))
+    assert page.format == x.dtype.kind
+    assert np.array_equal(np.frombuffer(page.pixels, dtype=x.dtype.newbyteorder("<")).reshape(8, 8), x)
+    mean, deviation = map(float, tiff.feature(page).split(":")[2:4])
+    assert mean == pytest.approx(float(x.astype("f8").mean()), abs=0.02) and deviation == pytest.approx(float(x.astype("f8").std()), abs=0.02)
+
+
+def changed(data, tag, value):
+    """The file with another value of a field of its only page, a 16-bit number in place."""
+    at = struct.unpack_from("<I", data, 4)[0]
+    out = bytearray(data)
+    for i in range(struct.unpack_from("<H", data, at)[0]):
+        if struct.unpack_from("<H", data, at + 2 + 12 * i)[0] == tag:
+            struct.pack_into("<H", out, at + 10 + 12 * i, value)
+            return bytes(out)
+    raise KeyError(tag)
+
+
+def test_fill_order_and_photometric():
+    rows = np.frombuffer(b"\xb1\x0f\x80", dtype=np.uint8).reshape(1, 3)
+    plain = tiff.encode([rows], tiff.NONE)
+    turned = tiff.encode([np.frombuffer(rows.tobytes().translate(tiff.TURNED), dtype=np.uint8).reshape(1, 3)], tiff.NONE)
+    turned = changed(changed(turned, tiff.PLANAR, 1), tiff.PHOTOMETRIC, 0)
+    # the field of the planes makes room for the fill order
+    at = turned.index(struct.pack("<HHIHH", tiff.PLANAR, 3, 1, 1, 0))
+    turned = turned[:at] + struct.pack("<HHIHH", tiff.FILL_ORDER, 3, 1, 2, 0) + turned[at + 12 :]
+    (page,), (other,) = tiff.pages(plain), tiff.pages(turned)
+    assert page.pixels == other.pixels == rows.tobytes() and (page.photometric, other.photometric) == (1, 0)
+    bad = turned.replace(struct.pack("<HHIHH", tiff.FILL_ORDER, 3, 1, 2, 0), struct.pack("<HHIHH", tiff.SAMPLE_FORMAT, 3, 1, 3, 0))
+    with pytest.raises(tiff.TiffError, match="sample format"):
+        list(tiff.pages(bad))
+
+
+def test_query_against_a_plain_version(spark):
+    """Every column of the query, from the stored files of the texts themselves."""
+    got = {r.doc_id: r for r in queries.op3_tiff_pages(spark, SF).collect()}
+    by_text = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        data = tiff.payload(r.text)
+        media = tiff.file_of(data)
+        parts = list(tiff.pages(media))
+        assert b"".join(p.pixels for p in parts) == data
+        want = (len((r.text or "").encode()), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).hexdigest(), "|".join(map(tiff.feature, parts)))
+        assert tuple(got[r.doc_id])[1:] == want
+        assert by_text.setdefault(r.text, want) == want
+    assert len(got) == spark.read.parquet(f"{SF}/documents.parquet").count()

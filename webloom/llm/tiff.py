@@ -1,7 +1,9 @@
 """TIFF media columns: a writer for sample payloads and a reader that emits one row per page.
 
 The reader walks the image directories, takes strips or tiles, decodes none, PackBits, LZW and deflate,
-and undoes the horizontal-difference and the floating-point predictor. Samples of 1, 2 and 4 bits come as one byte each.
+and undoes the horizontal-difference and the floating-point predictor. Bytes whose bits are filled from the low end are turned
+around. Samples of 1, 2 and 4 bits come as one byte each; unsigned, signed and floating-point ones are told apart. What the
+samples mean (white as zero, palettes) is told by _photometric and left to the reader.
 Whatever is wrong with a file is a TiffError, and what it may decode to is limited."""
 
 from __future__ import annotations
@@ -20,12 +22,14 @@ from webloom.llm.common import columns_of, fresh, in_small_batches, quoted, slic
 
 # Fixed values of the public TIFF 6.0 format.
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
-WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
+WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, FILL_ORDER = 256, 257, 258, 259, 262, 266
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR = 273, 277, 278, 279, 284
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 317, 322, 323, 324, 325, 339
 FIELD = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 16: "Q", 17: "q"}
 WIDTHS = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 16: 8, 17: 8}
 CLEAR, END = 256, 257
+FORMATS = {1: "u", 2: "i", 3: "f", 4: "u"}
+TURNED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 #: Bytes that one page may decode to.
 MAX_PAGE = 1 << 30
 
@@ -43,6 +47,8 @@ class Page:
     bits: int
     compression: int
     predictor: int
+    photometric: int
+    format: str  # of a sample: u, i or f
     pixels: bytes  # rows from the top, samples of a pixel together, little-endian
 
 
@@ -61,21 +67,27 @@ def unpack_bits(data: bytes, most: int = MAX_PAGE) -> bytes:
 
 
 def pack_bits(data: bytes) -> bytes:
-    out, i = bytearray(), 0
-    while i < len(data):
-        run = 1
-        while run < 128 and data[i + run : i + run + 1] == data[i : i + 1]:
-            run += 1
-        if run > 1:
-            out += bytes((257 - run, data[i]))
-            i += run
-            continue
-        j = i + 1
-        while j < len(data) and j - i < 128 and data[j : j + 1] != data[j + 1 : j + 2]:
-            j += 1
-        out.append(j - i - 1)
-        out += data[i:j]
-        i = j
+    """Runs of two bytes or more, and what lies between them, in packets of 128 at most."""
+    x = np.frombuffer(data, dtype=np.uint8)
+    start = np.concatenate([[0], np.flatnonzero(np.diff(x)) + 1]) if len(x) else np.zeros(0, dtype=np.int64)
+    size = np.diff(np.append(start, len(x)))
+    out, at = bytearray(), 0
+
+    def literal(end: int) -> None:
+        for i in range(at, end, 128):
+            part = data[i : min(i + 128, end)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for first, n in zip(start[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+        literal(first)
+        at = first + n
+        while n > 1:
+            k = min(n, 128)
+            out += bytes((257 - k, data[first]))
+            n -= k
+        at -= n  # a single one that is left is literal
+    literal(len(data))
     return bytes(out)
 
 
@@ -241,6 +253,10 @@ def pages(data: bytes, max_page: int = MAX_PAGE) -> Iterator[Page]:
         width, height = _need(f, WIDTH, "width")[0], _need(f, HEIGHT, "height")[0]
         samples, bits = _one(f, SAMPLES, 1), _one(f, BITS, 1)
         compression, predictor, planar = _one(f, COMPRESSION, 1), _one(f, PREDICTOR, 1), _one(f, PLANAR, 1)
+        fill, photometric, formats = _one(f, FILL_ORDER, 1), _one(f, PHOTOMETRIC, 1), set(f.get(SAMPLE_FORMAT, (1,)))
+        kind = FORMATS.get(min(formats))
+        if len({FORMATS.get(x) for x in formats}) > 1 or kind is None or kind == "f" and bits not in (16, 32, 64) or fill not in (1, 2):
+            raise TiffError(f"sample format {sorted(formats)} with {bits} bits, fill order {fill}")
         if compression not in CODECS or bits not in (1, 2, 4, 8, 16, 32, 64) or len(set(f.get(BITS, (1,)))) > 1:
             raise TiffError(f"compression {compression} with {bits} bits")
         size = max(1, bits // 8)
@@ -264,22 +280,26 @@ def pages(data: bytes, max_page: int = MAX_PAGE) -> Iterator[Page]:
             plane, row, column = k // (across * down), k // across % down, k % across
             rows = th if tiled else min(th, height - row * th)
             most = rows * -(-tw * each * bits // 8)
-            raw = CODECS[compression][1](data[offsets[k] : offsets[k] + counts[k]], most)
+            packed = data[offsets[k] : offsets[k] + counts[k]]
+            raw = CODECS[compression][1](packed if fill == 1 else packed.translate(TURNED), most)
             block = _undo(raw, rows, tw, each, bits, predictor, order)
             y, x = row * th, column * tw
             target = out[y : y + th, x : x + tw, plane : plane + each]
             target[...] = block[: target.shape[0], : target.shape[1]]
-        yield Page(number, width, height, samples, bits, compression, predictor, out.tobytes())
+        yield Page(number, width, height, samples, bits, compression, predictor, photometric, kind, out.tobytes())
 
 
 def encode(images: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, rows_per_strip: int = 1024, tile: tuple[int, int] | None = None, order: str = "<") -> bytes:
-    """A file with one page per image: arrays (rows, columns) or (rows, columns, samples) of unsigned numbers."""
+    """A file with one page per image: arrays (rows, columns) or (rows, columns, samples) of unsigned, signed or floating-point
+    numbers."""
     out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0))
     link = 4
     for image in images:
         image = image if image.ndim == 3 else image[:, :, None]
         height, width, samples = image.shape
         size = image.dtype.itemsize
+        kind = {"u": 1, "i": 2, "f": 3}[image.dtype.kind]
+        image = image.view(f"{image.dtype.byteorder if size > 1 else '|'}u{size}") if kind > 1 else image
         th, tw = tile or (rows_per_strip, width)
         offsets, counts = [], []
         for y in range(0, height, th):
@@ -298,7 +318,7 @@ def encode(images: list[np.ndarray], compression: int = DEFLATE, predictor: int
                 offsets.append(len(out))
                 counts.append(len(packed))
                 out += packed
-        entries = [(WIDTH, 4, (width,)), (HEIGHT, 4, (height,)), (BITS, 3, (8 * size,) * samples), (COMPRESSION, 3, (compression,)), (PHOTOMETRIC, 3, (1,)), (SAMPLES, 3, (samples,)), (PLANAR, 3, (1,)), (PREDICTOR, 3, (predictor,))]
+        entries = [(WIDTH, 4, (width,)), (HEIGHT, 4, (height,)), (BITS, 3, (8 * size,) * samples), (COMPRESSION, 3, (compression,)), (PHOTOMETRIC, 3, (1,)), (SAMPLES, 3, (samples,)), (PLANAR, 3, (1,)), (PREDICTOR, 3, (predictor,))] + [(SAMPLE_FORMAT, 3, (kind,) * samples)] * (kind > 1)
         entries += [(TILE_WIDTH, 4, (tw,)), (TILE_HEIGHT, 4, (th,)), (TILE_OFFSETS, 4, offsets), (TILE_COUNTS, 4, counts)] if tile else [(STRIP_OFFSETS, 4, offsets), (ROWS_PER_STRIP, 4, (th,)), (STRIP_COUNTS, 4, counts)]
         rows = b""
         for tag, kind, values in sorted(entries):
@@ -354,12 +374,12 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(quoted(id_col)).cast("long"), F.col(quoted(text_col)).cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_pages int, media binary")
 
 
-PAGE = {"_page": "int", "_width": "int", "_height": "int", "_samples": "int", "_bits": "int", "_compression": "int", "_predictor": "int", "_pixels": "binary", "_feature": "string", "_error": "string"}
+PAGE = {"_page": "int", "_width": "int", "_height": "int", "_samples": "int", "_bits": "int", "_compression": "int", "_predictor": "int", "_photometric": "int", "_format": "string", "_pixels": "binary", "_feature": "string", "_error": "string"}
 
 
 def feature(page: Page) -> str:
     """Size, mean and deviation of the samples, and a 64-bit mean hash over a grid of 8 by 8."""
-    x = np.frombuffer(page.pixels, dtype=f"<u{max(1, page.bits // 8)}")
+    x = np.frombuffer(page.pixels, dtype=f"<{page.format if page.bits >= 8 else 'u'}{max(1, page.bits // 8)}")
     flat = np.add.reduceat(x, np.linspace(0, len(x), 64, endpoint=False).astype(np.int64), dtype=np.float64) if len(x) >= 64 else np.zeros(64)
     mark = int("".join("1" if v > flat.mean() else "0" for v in flat), 2)
     return f"{page.width}x{page.height}x{page.samples}:{page.bits}:{x.mean() if len(x) else 0:.4f}:{x.std() if len(x) else 0:.4f}:{mark:016x}"
@@ -367,7 +387,7 @@ def feature(page: Page) -> str:
 
 def decode_pages(media: DataFrame, media_col: str = "media", max_page: int = MAX_PAGE) -> DataFrame:
     """One row per page of the files in `media_col`, with all other columns and, last, _page, _width, _height, _samples,
-    _bits, _compression, _predictor, _pixels, _feature and _error; where `media` has a column of that name, ours has more
+    _bits, _compression, _predictor, _photometric, _format (u, i or f), _pixels, _feature and _error; where `media` has a column of that name, ours has more
     underscores behind.
 
     A null or unreadable file, and one with a page of more than `max_page` bytes, gives one row with null page columns and
@@ -376,7 +396,7 @@ def decode_pages(media: DataFrame, media_col: str = "media", max_page: int = MAX
     own = fresh(media.columns, *PAGE)
     schema = ", ".join([f"{quoted(c)} {media.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} {t}" for c, t in zip(own, PAGE.values(), strict=True)])
     names = [*keep, *own]
-    kinds = [pa.int32()] * 7 + [pa.binary(), pa.string(), pa.string()]
+    kinds = [pa.int32()] * 8 + [pa.string(), pa.binary(), pa.string(), pa.string()]
 
     def run(batches):
         for batch in slices(batches):
@@ -384,7 +404,7 @@ def decode_pages(media: DataFrame, media_col: str = "media", max_page: int = MAX
 
             def flush(batch=batch):
                 carried = [batch.column(i).take(pa.array(who, pa.int64())) for i in range(1, batch.num_columns)]
-                return pa.RecordBatch.from_arrays(carried + [pa.array([r[i] for r in rows], kinds[i]) for i in range(10)], names)
+                return pa.RecordBatch.from_arrays(carried + [pa.array([r[i] for r in rows], kinds[i]) for i in range(len(kinds))], names)
 
             for i, data in enumerate(batch.column(0)):
                 try:
@@ -392,14 +412,14 @@ def decode_pages(media: DataFrame, media_col: str = "media", max_page: int = MAX
                         raise TiffError("null")
                     for p in pages(data.as_py(), max_page):
                         who.append(i)
-                        rows.append((p.number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.pixels, feature(p), None))
+                        rows.append((p.number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.photometric, p.format, p.pixels, feature(p), None))
                         size += len(p.pixels)
                         if size > 16_000_000:  # pages go out as they come
                             yield flush()
                             who, rows, size = [], [], 0
                 except TiffError as e:
                     who.append(i)
-                    rows.append((None,) * 9 + (str(e),))
+                    rows.append((None,) * (len(kinds) - 1) + (str(e),))
             yield flush()
 
     return media.select(F.col(quoted(media_col)), *columns_of(media, media_col)).mapInArrow(run, schema)

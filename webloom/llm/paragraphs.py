@@ -33,8 +33,8 @@ from webloom.llm.near_dedup import GOLDEN, bucket_pairs, mix, shared_groups
 from webloom.llm.repeats import VALUE, both_powers, packed
 
 K, BANDS, SHINGLE, PAIRS = 30, 10, 5, 20
-#: Bits of a paragraph's shingles by which almost similar ones are told apart.
-N_BITS = 1024
+#: Bits of a paragraph's shingles by which almost similar ones are told apart, and rare shingles that go along with each.
+N_BITS, EARLIER = 1024, 16
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -223,7 +223,7 @@ def near_paragraphs(docs: DataFrame, texts: DataFrame, threshold: float, min_wor
     joined = connected_components(links)
     left = rare_prefixes.open_nodes(groups, joined)
     sets = stored(shingle_sets(texts, nodes, left).join(left, "node").select("node", "label", "set"))
-    rest = rare_prefixes.links_between(sets, threshold, N_BITS).select("a", "b")
+    rest = rare_prefixes.links_between(sets, threshold, N_BITS, EARLIER).select("a", "b")
     dropped(groups, left, sets)
     if rest.limit(1).count():
         joined = connected_components(stored(links.union(rest)))

@@ -63,31 +63,42 @@ def counted(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def close_pairs(sets: DataFrame, threshold: float, n_bits: int = 256) -> DataFrame:
+def close_pairs(sets: DataFrame, threshold: float, n_bits: int = 256, earlier: int = 0) -> DataFrame:
     """Pairs (a, b) of nodes of different labels among `sets` (node, label, set) that may reach the threshold: all that
-    do are among them."""
+    do are among them.
+
+    A pair meets at every element that its prefixes share. With `earlier`, the first so many elements before its own go along
+    with each, so that a pair meets at the first one only, which is enough: whatever rules it out there does so later."""
     bits = [f"b{i}" for i in range(n_bits // 64)]
     held = sets.sparkSession.sparkContext.broadcast(counted(sets))
 
     def run(batches):
         often = held.value
         for batch in slices(batches):
-            out = [[] for _ in range(6 + len(bits))]
+            out, before = [[] for _ in range(6 + len(bits))], []
             for node, label, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 x = np.frombuffer(s, dtype=np.uint64)
                 n = often[(x % np.uint64(BUCKETS)).astype(np.int64)]
                 order = np.lexsort((x, n))[: len(x) - int(np.ceil(threshold * len(x) - EPS)) + 1]
                 at = np.flatnonzero(n[order] > 1)  # what occurs once meets nothing
+                if earlier:
+                    rare = x[order[at]].view(np.int64)
+                    before += [rare[: min(k, earlier)] for k in range(len(at))]
                 short = len(x) - int(np.ceil(2 * threshold / (1 + threshold) * len(x) - EPS)) + 1
                 for o, v in zip(out, (x[order[at]].view(np.int64), np.full(len(at), node), np.full(len(at), label), np.full(len(at), len(x)), at, at < short, *(np.full(len(at), b) for b in bits_of(x, n_bits))), strict=True):
                     o.append(v)
             names = ["token", "node", "label", "size", "at", "short", *bits]
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names)
-
-    postings = stored(sets.select("node", "label", "set").mapInArrow(run, "token long, node long, label long, size long, at long, short boolean, " + ", ".join(f"{b} long" for b in bits)))
-    x = postings.filter("short").select("token", *[F.col(c).alias(f"x_{c}") for c in ("node", "label", "size", "at", *bits)])
-    y = postings.select("token", *[F.col(c).alias(f"y_{c}") for c in ("node", "label", "size", "at", *bits)])
+                columns = [pa.array(np.concatenate(o)) for o in out]
+                if earlier:
+                    ends = np.cumsum([0, *map(len, before)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *before]))))
+                yield pa.RecordBatch.from_arrays(columns, names + ["before"] * (earlier > 0))
+
+    postings = stored(sets.select("node", "label", "set").mapInArrow(run, "token long, node long, label long, size long, at long, short boolean, " + ", ".join(f"{b} long" for b in bits) + ", before array<long>" * (earlier > 0)))
+    carried = ["node", "label", "size", "at", *bits] + ["before"] * (earlier > 0)
+    x = postings.filter("short").select("token", *[F.col(c).alias(f"x_{c}") for c in carried])
+    y = postings.select("token", *[F.col(c).alias(f"y_{c}") for c in carried])
     met = x.join(y, "token").filter("x_label <> y_label AND (x_size < y_size OR x_size = y_size AND x_node < y_node)")
     need = F.lit(threshold / (1 + threshold)) * (F.col("x_size") + F.col("y_size")) - EPS
     left = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))
@@ -95,6 +106,8 @@ def close_pairs(sets: DataFrame, threshold: float, n_bits: int = 256) -> DataFra
     differ = sum((F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in bits), F.lit(0))
     left = F.least(left, (F.col("x_size") + F.col("y_size") - differ) / 2)
     met = met.filter((F.col("x_size") >= F.lit(threshold) * F.col("y_size") - EPS) & (left >= need))
+    if earlier:
+        met = met.filter(~F.arrays_overlap("x_before", "y_before"))
     found = stored(met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct())
     dropped(postings)
     return found
@@ -109,9 +122,9 @@ def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def links_between(sets: DataFrame, threshold: float, n_bits: int = 256) -> DataFrame:
+def links_between(sets: DataFrame, threshold: float, n_bits: int = 256, earlier: int = 0) -> DataFrame:
     """(a, b, similarity) of all nodes of different labels among `sets` (node, label, set), compared exactly."""
-    pairs = close_pairs(sets, threshold, n_bits)
+    pairs = close_pairs(sets, threshold, n_bits, earlier)
     exact = run_once(jaccard, "double")
     of = lambda end, name: sets.select(F.col("node").alias(end), F.col("set").alias(name))
     both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")

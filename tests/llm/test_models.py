@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from tests.conftest import SF
 from webloom.llm import language_id, queries, toxicity
@@ -179,3 +180,46 @@ def test_toxicity_query(spark):
     pos, neg = [s for s, t in held if t], [s for s, t in held if not t]
     assert sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / len(pos) / len(neg) > 0.95
     assert all(r.predicted == int(r.score >= 0.5) and r.held_out == in_fifth(i) for i, r in got.items())
+
+
+def test_descent_against_plain_loops():
+    """Two epochs of one batch, term by term and pair by pair."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 12, rng.integers(0, 6))).astype(np.int32) for _ in range(40)]
+    labels = np.array([float(4 in r or rng.random() < 0.2) for r in rows])
+    rate, factor_rate, weak, strong, k = 0.3, 0.05, 0.2, 100.0, 2
+    model = toxicity.train(rows, labels, 16, factors=k, epochs=2, rate=rate, factor_rate=factor_rate, weak=weak, strong=strong, seed=7)
+    seen = sorted({int(t) for r in rows for t in r})
+    share = labels.mean()
+
+    def evidence(t):
+        inside = [y for r, y in zip(rows, labels, strict=True) if t in r]
+        n, p = len(inside), sum(inside)
+        part = lambda x, expected: x * math.log(x / expected) if x else 0.0
+        return 2 * (part(p, n * share) + part(n - p, n * (1 - share)))
+
+    prior = {t: weak if evidence(t) > 2 * math.log(len(seen)) else strong for t in seen}
+    assert set(prior.values()) == {weak, strong}
+    start = np.random.default_rng(7).normal(0, 0.02, (len(seen), k)).astype(np.float32)
+    v = {t: [float(x) for x in start[i]] for i, t in enumerate(seen)}
+    w, bias, gb = dict.fromkeys(seen, 0.0), math.log(share / (1 - share)), 1.0
+    gw, gv = dict.fromkeys(seen, 1.0), {t: [1.0] * k for t in seen}
+    for _ in range(2):
+        errors = []
+        for r, y in zip(rows, labels, strict=True):
+            z = bias + sum(w[int(t)] for t in r) + sum(sum(a * b for a, b in zip(v[int(s)], v[int(t)], strict=True)) for i, s in enumerate(r) for t in r[i + 1 :])
+            errors.append(1 / (1 + math.exp(-z)) - y)
+        gb += sum(errors) ** 2
+        bias -= rate * sum(errors) / math.sqrt(gb)
+        dw = {t: sum(e for r, e in zip(rows, errors, strict=True) if t in r) + prior[t] * w[t] for t in seen}
+        dv = {t: [sum(e * sum(v[int(s)][f] for s in r if s != t) for r, e in zip(rows, errors, strict=True) if t in r) + strong * v[t][f] for f in range(k)] for t in seen}
+        for t in seen:
+            gw[t] += dw[t] ** 2
+            w[t] -= rate * dw[t] / math.sqrt(gw[t])
+            for f in range(k):
+                gv[t][f] += dv[t][f] ** 2
+                v[t][f] -= factor_rate * dv[t][f] / math.sqrt(gv[t][f])
+    assert model.bias == pytest.approx(bias, abs=1e-5)
+    for t in seen:
+        assert float(model.weight[model.place[t]]) == pytest.approx(w[t], abs=1e-4)
+        assert [float(x) for x in model.factors[model.place[t]]] == pytest.approx(v[t], abs=1e-4)

@@ -124,8 +124,26 @@ def test_queries(spark):
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), crc(ids))
         at += len(ids)
     packed = queries.op2_best_fit_packing(spark, SF).collect()
-    assert sum(r.length for r in packed) == at
-    assert len({r.sequence_id for r in packed}) <= 1.02 * at / 1024 + 2
+    by_doc, seqs = {}, {}
+    for r in packed:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert by_doc.keys() == texts.keys()
+    for doc_id, pieces in by_doc.items():
+        ids, at_ = plain_ids(texts[doc_id]), 0
+        for k, r in enumerate(sorted(pieces, key=lambda r: r.piece)):
+            assert (r.piece, r.start, r.ids_crc32) == (k, at_, crc(ids[at_ : at_ + r.length]))
+            assert len(ids) > 1024 or k == 0
+            assert k == 0 or r.length == 1024
+            at_ += r.length
+        assert at_ == len(ids)
+    for parts in seqs.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= 1024
+    assert len(seqs) <= -(-at // 1024) + 1  # one more than any packing needs
 
 
 def test_ids_are_those_of_a_fresh_tokenizer():

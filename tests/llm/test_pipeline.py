@@ -38,4 +38,5 @@ def test_odd_tables(spark, rows, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in pipeline.STAGES:
         docs = stored(stage(spark, docs, str(tmp_path)))
-    assert docs.count() >= 0
+    # null and empty texts have no letter; of the copies with one id one row stays, as does the row without an id
+    assert sorted((str(r.doc_id), r.piece, r.start) for r in docs.collect()) == ([("3", 0, 0), ("None", 0, 0)] if rows else [])

@@ -192,7 +192,9 @@ WHEN 4 THEN '<form action=x><div><p>' || a || '<p>' || b || '</p><ul><li>one<ul>
 ELSE '<article><p>' || a || '<table><tr><th>k<th>v<tr><td>id<td><b>' || {_ID} || '</b></table><p>' || b || '</article>' END"""
 _HEAD = f"""'<html><head><title>Doc ' || {_ID} || '</title><meta name=author content="A ' || {_ID} || '"><meta property="article:published_time" content="2024-01-0' || CAST(1 + doc_id % 9 AS VARCHAR(1)) || '"></head><body><nav><a href=/>Menu</a></nav>'"""
 _PAGE = f"{_HEAD} || {_PARTS} || '<footer>Foot</footer></body></html>'"
-_SHOWN = f"""'---' || chr(10) || 'title: "Doc ' || {_ID} || '"' || chr(10) || CASE WHEN doc_id % 20 = 10 THEN '' ELSE 'author: "A ' || {_ID} || '"' || chr(10) || 'date: "2024-01-0' || CAST(1 + doc_id % 9 AS VARCHAR(1)) || '"' || chr(10) END || '---' || chr(10) || chr(10) || CASE
+_SHOWN = f"""CASE WHEN doc_id % 20 = 14 THEN '> Note: Readability extraction failed. Showing raw page conversion.' || chr(10) || chr(10) ELSE '' END || '---' || chr(10) || 'title: "Doc ' || {_ID} || '"' || chr(10) || CASE WHEN doc_id % 20 IN (10, 14) THEN '' ELSE 'author: "A ' || {_ID} || '"' || chr(10) || 'date: "2024-01-0' || CAST(1 + doc_id % 9 AS VARCHAR(1)) || '"' || chr(10) END || '---' || chr(10) || chr(10) || CASE
+WHEN doc_id % 20 = 14 THEN '[Menu](/)' || chr(10) || chr(10) || 'short' || chr(10) || chr(10) || 'Foot'
+WHEN doc_id % 20 = 15 THEN trim(repeat(b || ' ', 200))
 WHEN doc_id % 20 = 10 THEN '[Menu](/)' || chr(10) || chr(10) || a || chr(10) || chr(10) || b
 WHEN doc_id % 6 = 3 THEN '### Head ' || {_ID} || chr(10) || chr(10) || a || chr(10) || chr(10) || b
 WHEN doc_id % 6 = 4 THEN a || chr(10) || chr(10) || b || chr(10) || chr(10) || '- one' || chr(10) || '  - two ' || {_ID}
@@ -202,15 +204,16 @@ ELSE a || chr(10) || chr(10) || b END"""
 
 def _made_pages(spark, d):
     parts = read(spark, d, "documents").selectExpr("doc_id", f"trim({_LETTERS['spark']} || ' ' || {_FILLER}) AS a", f"'second ' || {_ID} || ' ' || {_FILLER} AS b")
-    page = f"CASE doc_id % 20 WHEN 10 THEN {_HEAD} || '<p>' || a || '</p><form><p>' || b || '</form>' WHEN 11 THEN '<html><body><div id=\"root\"></div><script src=a.js></script></body></html>' ELSE {_PAGE} END"
+    page = f"CASE doc_id % 20 WHEN 10 THEN {_HEAD} || '<p>' || a || '</p><form><p>' || b || '</form>' WHEN 11 THEN '<html><body><div id=\"root\"></div><script src=a.js></script></body></html>' WHEN 14 THEN {_HEAD} || '<p>short<footer>Foot' WHEN 15 THEN {_HEAD} || '<article><p>' || repeat(b || ' ', 200) || '</article>' ELSE {_PAGE} END"
     return parts.selectExpr("doc_id", f"'https://d.example/' || {_ID} AS url", f"{page} AS html", f"{_PAGE} AS shown")
 
 
 @query(f"""WITH p AS (SELECT doc_id, trim({_LETTERS['duckdb']} || ' ' || {_FILLER}) AS a, 'second ' || {_ID} || ' ' || {_FILLER} AS b FROM documents),
 k AS (SELECT *, CASE doc_id % 20 WHEN 7 THEN 'Status' WHEN 8 THEN 'UnsupportedContentType' WHEN 9 THEN 'Timeout' WHEN 12 THEN 'Playwright' WHEN 13 THEN 'InternalHost' END AS kind FROM p)
-SELECT doc_id AS request_id, CASE WHEN kind IS NULL THEN md5({_SHOWN}) END AS output, kind, CAST(CASE WHEN kind IS NULL THEN NULL WHEN kind IN ('Status', 'Timeout') THEN 2 ELSE 1 END AS INTEGER) AS exit_code FROM k""")
+SELECT doc_id AS request_id, CASE WHEN kind IS NULL THEN md5(CASE WHEN strlen({_SHOWN}) > 100000 THEN left({_SHOWN}, 100000) || chr(10) || chr(10) || '(truncated: showing 100000 / ' || strlen({_SHOWN}) || ' bytes)' ELSE {_SHOWN} END) END AS output, kind, CAST(CASE WHEN kind IS NULL THEN NULL WHEN kind IN ('Status', 'Timeout') THEN 2 ELSE 1 END AS INTEGER) AS exit_code FROM k""")
 def fetch_known_pages(spark, d):
-    """The fetch command over pages made of known parts: read, raw, rendered, titled and dated ones, and five ways to fail."""
+    """The fetch command over pages made of known parts: read, raw, rendered, titled and dated ones, unreadable and over-long
+    ones, and five ways to fail."""
     pages, k = _made_pages(spark, d), F.col("doc_id") % 20
     final = F.when(k == 13, "http://10.0.0.1/").otherwise(F.col("url"))
     responses = pages.select(
@@ -347,12 +350,12 @@ WITH p AS (SELECT CAST(rid AS BIGINT) AS rid, s, CASE WHEN contains(s, '-') THEN
   CASE WHEN contains(s, '-') THEN CASE WHEN regexp_matches(trim(s[instr(s, '-') + 1:]), '^\+?[0-9]+$') THEN CAST(trim(s[instr(s, '-') + 1:]) AS BIGINT) WHEN trim(s[instr(s, '-') + 1:]) = '' THEN 1000000 END
        WHEN regexp_matches(trim(s), '^\+?[0-9]+$') THEN CAST(trim(s) AS BIGINT) END AS b FROM """ + sql_values(RANGES, "rid, s") + """),
 r AS (SELECT rid, a, b FROM p WHERE a > 0 AND b >= a),
-n AS (SELECT doc_id, count(*) AS n FROM (""" + LINES_SQL + """) GROUP BY doc_id),
-x AS (SELECT r.rid, n.doc_id, n.n, a, string_agg(printf('%5d', pos) || chr(9) || line, chr(10) ORDER BY pos) FILTER (pos BETWEEN a AND b) AS part FROM r CROSS JOIN n JOIN (""" + LINES_SQL + """) l ON l.doc_id = n.doc_id GROUP BY r.rid, n.doc_id, n.n, a)
+n AS (SELECT d.doc_id, count(l.pos) AS n FROM documents d LEFT JOIN (""" + LINES_SQL + """) l USING (doc_id) GROUP BY d.doc_id),
+x AS (SELECT r.rid, n.doc_id, n.n, a, string_agg(printf('%5d', pos) || chr(9) || line, chr(10) ORDER BY pos) FILTER (pos BETWEEN a AND b) AS part FROM r CROSS JOIN n LEFT JOIN (""" + LINES_SQL + """) l ON l.doc_id = n.doc_id GROUP BY r.rid, n.doc_id, n.n, a)
 SELECT rid, doc_id, md5(CASE WHEN a > n THEN '(file has ' || n || ' lines, requested start at ' || a || ')' ELSE part END) AS part FROM x""")
 def line_range(spark, d):
     ranges = literal(spark, RANGES, "rid long, s string").withColumn("r", T.parse_line_range(F.col("s"))).filter("r IS NOT NULL")
-    docs = read(spark, d, "documents").filter("text <> ''").select("doc_id", "text")
+    docs = read(spark, d, "documents").select("doc_id", "text")
     # twelve literal ranges against every document: a stated set, not a join of two tables
     each = docs.withColumn("q", F.explode(F.array(*[F.lit(r[0]).cast("long") for r in RANGES]))).join(F.broadcast(ranges), F.col("q") == F.col("rid"))
     return each.select("rid", "doc_id", F.md5(T.apply_line_range(F.col("text"), F.col("r.start"), F.col("r.end"))).alias("part"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from webloom.llm import rare_prefixes
 from webloom.llm.common import dropped, fresh, in_small_batches, quoted, run_once, slices, stored
 from webloom.llm.components import connected_components
-from webloom.llm.near_dedup import GOLDEN, bucket_pairs, mix, shared_groups
+from webloom.llm.near_dedup import GOLDEN, _small, bucket_pairs, mix, shared_groups
 from webloom.llm.repeats import VALUE, both_powers, packed
 
 K, BANDS, SHINGLE, PAIRS = 30, 10, 5, 20
@@ -224,10 +224,15 @@ def near_paragraphs(docs: DataFrame, texts: DataFrame, threshold: float, min_wor
     left = rare_prefixes.open_nodes(groups, joined)
     sets = stored(shingle_sets(texts, nodes, left).join(left, "node").select("node", "label", "set"))
     rest = rare_prefixes.links_between(sets, threshold, N_BITS, EARLIER).select("a", "b")
-    dropped(groups, left, sets)
+    named = nodes.join(joined, "node", "left").select("h1", "h2", "places", place.alias("place"), F.coalesce("label", "node").alias("label"))
     if rest.limit(1).count():
-        joined = connected_components(stored(links.union(rest)))
-    labels = nodes.join(joined, "node", "left").select("h1", "h2", "places", place.alias("place"), F.coalesce("label", "node").alias("label"))
+        # classes, not paragraphs, are what is still to be put together: a pair of classes counts once
+        of = lambda end: left.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
+        between = stored(rest.join(of("a"), "a").join(of("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+        above = _small(connected_components(between).select(F.col("node").alias("label"), F.col("label").alias("above")))
+        named = named.join(above, "label", "left").select("h1", "h2", "places", "place", F.coalesce("above", "label").alias("label"))
+    labels = stored(named)
+    dropped(groups, left, sets, links)
     classes = stored(labels.groupBy("label").agg(F.sum("places").alias("places"), F.min("place").alias("least")).filter("places > 1").select("label", "least"))
     member = stored(labels.join(classes, "label").select("h1", "h2", "label", "least"))
     rows = stored(units.drop("bands").join(member, ["h1", "h2"]).select("doc", "first", "end", "n_words", "block", "label", "least"))
@@ -236,7 +241,7 @@ def near_paragraphs(docs: DataFrame, texts: DataFrame, threshold: float, min_wor
     before = Window.partitionBy("doc").orderBy("first", F.desc("block")).rowsBetween(Window.unboundedPreceding, 0)
     left = stored(rows.withColumn("gone", F.last(gone, ignorenulls=True).over(before)).filter(F.col("block") | F.col("gone").isNull() | (F.col("first") >= F.col("gone.end"))).drop("gone", "least"))
     again = stored(left.groupBy("label").agg(F.count("*").alias("places"), F.min(place).alias("least")).filter("places > 1").select("label", "least"))
-    dropped(units, nodes, classes, member, rows)
+    dropped(units, nodes, labels, classes, member, rows)
     return left.join(again, "label").select("doc", "first", "end", "n_words", F.col("least.doc").alias("class_doc"), F.col("least.first").alias("class_first"))
 
 

@@ -111,8 +111,9 @@ class _Writer:
         tag = node.tag
         if tag in MARKS or tag == "a" and node.attrs.get("href"):
             mark = MARKS.get(tag) or (node.attrs["href"],)
-            if mark in [m for m, _ in self.frames] or "`" in [m for m, _ in self.frames]:
-                return False
+            held = [m for m, _ in self.frames]
+            if mark in held or "`" in held or tag == "a" and any(isinstance(m, tuple) for m in held):
+                return False  # marks do not nest in themselves, links not in links
             self.mark(mark)
             return True
         if tag == "img":

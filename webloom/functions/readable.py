@@ -162,8 +162,9 @@ def attempt(root: Node, strip: bool, weigh: bool, clean: bool) -> tuple[int, lis
         if c is top or score.get(id(c), 0.0) + bonus >= limit and (id(c) in score) or prose:
             chosen.append(c)
     if clean:
+        tops = {id(c) for c in chosen}
         for node in (n for c in chosen for n in nodes(c)):
-            if node not in chosen and id(node) not in within and cluttered(node, of[id(node)], weigh):
+            if id(node) not in tops and id(node) not in within and cluttered(node, of[id(node)], weigh):
                 gone.add(id(node))
     left = measured([n for c in chosen for n in nodes(c)], gone)
     return sum(left[id(c)].chars for c in chosen), chosen, gone

@@ -30,8 +30,7 @@ TABLE_HEAD = "| Attribute | Value |\n|-----------|-------|\n"
 def api_rows(wanted: DataFrame, responses: DataFrame, schema: str, name: str) -> DataFrame:
     """wanted (path, ...) with the parsed body as `name` and `name`_error: recorded responses by path, the latest ones of a log.
     A body is parsed once, whatever is made of it."""
-    held = latest(responses, "path").withColumn("_parsed", F.from_json("body", schema))
-    joined = wanted.join(held, "path", "left")
+    joined = wanted.join(latest(responses, "path"), "path", "left").withColumn("_parsed", F.from_json("body", schema))
     kind = F.when(F.col("status").isNull(), "Network").otherwise(F.coalesce(errors.repo_status(F.col("status"), F.col("remaining")), F.when(F.col("_parsed").isNull(), "Network")))
     marked = joined.withColumn("_failed", kind)
     said = error_message(F.col("body"))

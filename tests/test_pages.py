@@ -3,8 +3,9 @@
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from webloom.functions import dom
+from webloom.functions import codec, dom
 from webloom.functions import html as H
 
 
@@ -146,3 +147,16 @@ def test_linear(html):
     start = time.perf_counter()
     H.page_of(html)
     assert time.perf_counter() - start < 8
+
+
+def test_long_texts_go_to_python_by_the_hundred(spark):
+    """Pages and bodies do not wait in Arrow batches of ten thousand rows."""
+    row = spark.createDataFrame([("<p>x</p>", bytearray(b"x"), "latin1")], "html string, body binary, charset string")
+    plan = lambda c: row.select(c.alias("c"))._jdf.queryExecution().executedPlan().toString()
+    for c in (H.html_to_markdown(F.col("html")), H.extract_article(F.col("html")), H.read_page(F.col("html"), F.lit(False)), codec.decode_body(F.col("body"), F.col("charset"))):
+        assert "BatchEvalPython" in plan(c) and "ArrowEvalPython" not in plan(c)
+
+
+def test_bodies_that_need_no_table_stay_out_of_python(spark):
+    row = spark.createDataFrame([(bytearray(b"caf\xe9"), None), (bytearray(b"caf\xe9"), "latin1"), (None, "latin1"), (bytearray("é".encode()), "utf8")], "body binary, charset string")
+    assert [r[0] for r in row.select(codec.decode_body(F.col("body"), F.col("charset"))).collect()] == ["caf�", "café", None, "é"]

@@ -20,3 +20,17 @@ def arrow_udf(schema: str) -> Callable:
         return call
 
     return decorate
+
+
+def text_udf(schema: str) -> Callable:
+    """A UDF of one row, made when it is used, for columns of long texts: Spark hands such rows over by the hundred, whatever the
+    session says of Arrow batches, whose ten thousand rows would be whole in a worker, with all that is made of them."""
+
+    def decorate(f: Callable) -> Callable[..., Column]:
+        @wraps(f)
+        def call(*columns: Column) -> Column:
+            return F.udf(f, schema, useArrow=False)(*columns)
+
+        return call
+
+    return decorate

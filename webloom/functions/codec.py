@@ -6,11 +6,10 @@ import codecs
 import re
 from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from webloom.functions import arrow_udf
+from webloom.functions import text_udf
 from webloom.functions.text import WS
 
 # The encodings of the public web standard by Python's names, each with its labels but for the regular
@@ -112,16 +111,16 @@ def decode(body: bytes, label: str | None) -> str:
     return codecs.charmap_decode(body, "replace", table)[0] if table else body.decode(name, errors="replace")
 
 
-@arrow_udf("string")
-def _decode(body: pd.Series, charset: pd.Series) -> pd.Series:
-    return pd.Series([None if b is None else decode(bytes(b), c) for b, c in zip(body, charset, strict=True)], dtype=object)
+@text_udf("string")
+def _decode(body: bytes | None, charset: str | None) -> str | None:
+    return None if body is None else decode(bytes(body), charset)
 
 
 def decode_body(body: Column, charset: Column) -> Column:
     """Bytes as text, wrong ones replaced: UTF-8 where no or an unknown charset is named. A byte-order mark decides about bytes
     of any other charset."""
     plain = charset.isNull() | charset.isin("utf-8", "utf8")
-    return F.when(plain, F.make_valid_utf8(body.cast("string"))).otherwise(_decode(body, charset))
+    return F.when(plain, F.make_valid_utf8(body.cast("string"))).otherwise(_decode(F.when(~plain, body), charset))  # every row goes to Python, but only these bodies
 
 
 def error_message(body: Column) -> Column:

@@ -1,15 +1,14 @@
 """HTML column functions: thin-page tests and titles in Spark expressions; article extraction and HTML to
-Markdown, which expressions cannot hold, in Arrow UDFs over the standard library's parser."""
+Markdown, which expressions cannot hold, in UDFs over the standard library's parser."""
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from webloom.functions import arrow_udf, dom, markdown, readable
+from webloom.functions import dom, markdown, readable, text_udf
 from webloom.functions.text import WS, escape_yaml, shift_headings, trim, truncate_with_note
 
 # Limits and marks of the page tests.
@@ -106,24 +105,23 @@ def markdown_of(html: str) -> str:
     return markdown.render([dom.parse(html)])
 
 
-@arrow_udf(ARTICLE)
-def _articles(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([article_of(x) if x is not None else (None, None, None, None, True) for x in html], columns=["title", "byline", "published_time", "content_html", "used_raw_fallback"])
+@text_udf(ARTICLE)
+def _article(html: str | None) -> tuple:
+    return article_of(html) if html is not None else (None, None, None, None, True)
 
 
 def extract_article(html: Column) -> Column:
-    return _articles(html)
+    return _article(html)
 
 
-@arrow_udf(PAGE)
-def _pages(html: pd.Series, raw: pd.Series) -> pd.DataFrame:
-    none = (None, None, None, None, True, None)
-    return pd.DataFrame([page_of(x, bool(r)) if x is not None else none for x, r in zip(html, raw, strict=True)], columns=["title", "byline", "published_time", "content_html", "used_raw_fallback", "markdown"])
+@text_udf(PAGE)
+def _page(html: str | None, raw: bool) -> tuple:
+    return page_of(html, bool(raw)) if html is not None else (None, None, None, None, True, None)
 
 
 def read_page(html: Column, raw: Column) -> Column:
     """The article of a page, or with `raw` the whole page, and its Markdown in one pass."""
-    return _pages(html, raw)
+    return _page(html, raw)
 
 
 def extract_raw(html: Column, fallback: bool = False) -> Column:
@@ -132,9 +130,9 @@ def extract_raw(html: Column, fallback: bool = False) -> Column:
     return F.struct(extract_title(html).alias("title"), null.alias("byline"), null.alias("published_time"), html.alias("content_html"), F.lit(fallback).alias("used_raw_fallback"))
 
 
-@arrow_udf("string")
-def _markdown(html: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else markdown_of(x) for x in html], dtype=object)
+@text_udf("string")
+def _markdown(html: str | None) -> str | None:
+    return None if html is None else markdown_of(html)
 
 
 def html_to_markdown(html: Column) -> Column:

@@ -65,14 +65,14 @@ def filter_tree(entries: DataFrame, prefix: str | None = None, pattern: str | No
     return kept
 
 
-def tree_line(path: Column, size: Column) -> Column:
-    return F.concat(path, F.when(size.isNotNull(), F.concat(F.lit(" ("), format_size(size), F.lit(")"))).otherwise(""), F.lit("\n"))
+def tree_line(path: Column, size: Column, largest: str = "MB") -> Column:
+    return F.concat(path, F.when(size.isNotNull(), F.concat(F.lit(" ("), format_size(size, largest), F.lit(")"))).otherwise(""), F.lit("\n"))
 
 
-def format_tree(entries: DataFrame, trees: DataFrame) -> DataFrame:
+def format_tree(entries: DataFrame, trees: DataFrame, largest: str = "MB") -> DataFrame:
     """trees (key, owner, repo, ref, truncated) with output: header, number of files, and entries (key, idx, path, size)
-    in their order. One listing is one text, as long as its repository has files."""
-    listed = entries.groupBy("key").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", tree_line(F.col("path"), F.col("size")).alias("t")))), lambda x: x["t"]), "").alias("body"))
+    in their order, sizes in units up to `largest`. One listing is one text, as long as its repository has files."""
+    listed = entries.groupBy("key").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", tree_line(F.col("path"), F.col("size"), largest).alias("t")))), lambda x: x["t"]), "").alias("body"))
     head = F.concat("owner", F.lit("/"), "repo", F.lit(" (ref: "), "ref", F.lit(")\nfiles: "), F.coalesce("n", F.lit(0)).cast("string"), F.when(F.col("truncated"), TRUNCATED_NOTE).otherwise(""), F.lit("\n\n"))
     return trees.join(listed, "key", "left").select(*trees.columns, F.coalesce("n", F.lit(0)).alias("files"), F.concat(head, F.coalesce("body", F.lit(""))).alias("output"))
 

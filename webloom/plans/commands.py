@@ -61,9 +61,9 @@ def _check(df: DataFrame, column: str, valid, kind: str) -> DataFrame:
     return df.withColumn("_detail", F.when(bad, F.col(column)).otherwise(F.col("_detail"))).withColumn("_kind", F.when(bad, kind).otherwise(F.col("_kind")))
 
 
-def repo_tree(requests: DataFrame, responses: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+def repo_tree(requests: DataFrame, responses: DataFrame, path: str | None = None, pattern: str | None = None, largest: str = "MB") -> DataFrame:
     """requests (request_id, repository, ref) → request_id, output, error: the files of each repository at its ref (null:
-    the default branch) below a path prefix and by a glob on their names."""
+    the default branch) below a path prefix and by a glob on their names, sizes in units up to `largest`."""
     asked = _check(_repos(requests), "ref", validate_ref, "InvalidRef")
     if path is not None:
         asked = _check(asked.withColumn("_path", F.lit(path)), "_path", validate_path, "InvalidPath").drop("_path")
@@ -81,7 +81,7 @@ def repo_tree(requests: DataFrame, responses: DataFrame, path: str | None = None
     done = tree.withColumn("error", failed)
     entries = done.filter("error IS NULL").select(F.col("request_id").alias("key"), F.posexplode("tree.tree").alias("idx", "e")).select("key", "idx", "e.*")
     heads = done.select(F.col("request_id").alias("key"), "owner", "repo", F.col("_ref").alias("ref"), F.coalesce("tree.truncated", F.lit(False)).alias("truncated"), "error")
-    text = repo_ops.format_tree(repo_ops.filter_tree(entries, path, pattern), heads)
+    text = repo_ops.format_tree(repo_ops.filter_tree(entries, path, pattern), heads, largest)
     return text.select(F.col("key").alias("request_id"), F.when(F.col("error").isNull(), F.col("output")).alias("output"), "error")
 
 

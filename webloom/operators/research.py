@@ -76,8 +76,9 @@ def top_sources(sources: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def partition_fetches(wanted: DataFrame, fetched: DataFrame) -> DataFrame:
-    """wanted (request_id, rank, url) with markdown, used_raw_fallback, final_url and the reason of failures."""
-    joined = wanted.join(fetched, "url", "left")
+    """wanted (request_id, rank, url) with markdown, used_raw_fallback, final_url and the reason of failures. Fetches with a
+    request_id are that request's own, others anyone's."""
+    joined = wanted.join(fetched, ["request_id", "url"] if "request_id" in fetched.columns else "url", "left")
     missing = F.col("final_url").isNull() & F.col("error").isNull()
     return joined.select("request_id", "rank", "url", "final_url", "markdown", "used_raw_fallback", F.when(missing, F.lit("fetch failed: no response")).otherwise(F.col("error.message")).alias("reason"))
 

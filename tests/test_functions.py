@@ -9,6 +9,7 @@ from webloom.functions import html as H
 from webloom.functions import text as T
 from webloom.functions import urls as U
 from webloom.operators import repo as repo_ops
+from webloom.queries import QUERIES
 
 
 def one(spark, expr):
@@ -165,3 +166,38 @@ def test_charsets(spark):
     got = [r[0] for r in df.select(codec.decode_body(F.col("b"), F.col("c"))).collect()]
     assert got[:7] == ["�"] * 7 and got[7:] == [b"\xe9\x82".decode("cp932"), "й‚", "é\x82"]
     assert all("é".encode(name, "replace") is not None for name in codec.ENCODINGS)
+
+
+def test_lines_are_split_once(spark):
+    """However many ranges are asked and however often a range names its lines."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(QUERIES["line_range"](spark, "/root/testdata/sf0.001")).count("split(") == 1
+    row = spark.createDataFrame([("a\nb",)], "t string")
+    assert plan(row.select(T.apply_line_range(F.col("t"), F.lit(1), F.lit(None)).alias("x"))).count("split(") <= 1
+
+
+def test_line_numbers_of_more_than_five_digits(spark):
+    row = spark.range(1).select(F.repeat(F.lit("x\n"), 100_001).alias("t"))
+    assert row.select(T.apply_line_range(F.col("t"), F.lit(99_999), F.lit(None))).first()[0] == "99999\tx\n100000\tx\n100001\tx"
+
+
+def test_base64_is_decoded_once(spark):
+    row = spark.createDataFrame([("YQ==",), ("%%",), ("/w==",), (None,)], "b string").select(codec.decode_base64(F.col("b")).alias("d"))
+    assert [tuple(r[0]) for r in row.collect()] == [("a", None), (None, "Content decode error: invalid base64"), (None, "Content decode error: binary file (not UTF-8)"), (None, None)]
+    both = row.select("d.text", "d.error")
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("to_binary(") <= 1
+
+
+def test_rows_that_ask_for_nothing_are_spread(spark):
+    """Files with content have no blob to ask for; they do not all meet in the join's task for null."""
+    responses = spark.createDataFrame([("/p", 200, None, '{"content": "c"}')], "path string, status int, remaining long, body string")
+    wanted = spark.range(1000).select("id", F.when(F.col("id") == 7, "/p").alias("path"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = repo_ops.api_rows(wanted, responses, "content string", "x").withColumn("at", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(got) == 1000 and len({r["at"] for r in got}) > 4
+    assert {r.id: (r.x.content if r.x else None, r.x_error.kind if r.x_error else None, r.path) for r in got} == {i: ("c", None, "/p") if i == 7 else (None, "Network", None) for i in range(1000)}

@@ -34,3 +34,8 @@ def text_udf(schema: str) -> Callable:
         return call
 
     return decorate
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), the value computed once however often f names it: below a function of higher order Spark shares nothing."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))

@@ -9,7 +9,7 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from webloom.functions import text_udf
+from webloom.functions import let, text_udf
 from webloom.functions.text import WS
 
 # The encodings of the public web standard by Python's names, each with its labels but for the regular
@@ -70,9 +70,12 @@ def extract_charset(content_type: Column) -> Column:
 def decode_base64(b64: Column) -> Column:
     """struct(text, error): white space is dropped; what is no base64 or no UTF-8 is an error."""
     raw = F.try_to_binary(F.regexp_replace(b64, WS + "+", ""), F.lit("base64"))
-    text = F.try_validate_utf8(raw.cast("string"))
-    error = F.when(b64.isNull(), None).when(raw.isNull(), "Content decode error: invalid base64").when(text.isNull(), "Content decode error: binary file (not UTF-8)")
-    return F.struct(text.alias("text"), error.alias("error"))
+
+    def found(raw: Column, text: Column) -> Column:
+        error = F.when(b64.isNull(), None).when(raw.isNull(), "Content decode error: invalid base64").when(text.isNull(), "Content decode error: binary file (not UTF-8)")
+        return F.struct(text.alias("text"), error.alias("error"))
+
+    return let(raw, lambda r: let(F.try_validate_utf8(r.cast("string")), lambda t: found(r, t)))
 
 
 #: Byte-order marks; one of them counts more than the label of an encoding other than UTF-8.

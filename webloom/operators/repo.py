@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom import errors, schemas
+from webloom.functions import let
 from webloom.functions.codec import decode_base64, error_message
-from webloom.functions.text import apply_line_range, escape_md_link, format_size, lines, shift_headings
+from webloom.functions.text import escape_md_link, format_size, line_range, lines, shift_headings
 from webloom.functions.urls import encode_path, glob_regex
 from webloom.operators.exchanges import latest
 
@@ -29,8 +30,10 @@ TABLE_HEAD = "| Attribute | Value |\n|-----------|-------|\n"
 
 def api_rows(wanted: DataFrame, responses: DataFrame, schema: str, name: str) -> DataFrame:
     """wanted (path, ...) with the parsed body as `name` and `name`_error: recorded responses by path, the latest ones of a log.
-    A body is parsed once, whatever is made of it."""
-    joined = wanted.join(latest(responses, "path"), "path", "left").withColumn("_parsed", F.from_json("body", schema))
+    A body is parsed once, whatever is made of it. Rows that ask for nothing (path null) are spread over the join's tasks."""
+    plain = [F.col(c) for c, t in wanted.dtypes if not t.startswith(("map", "struct", "array", "variant"))]
+    asked = wanted.withColumn("_key", F.coalesce("path", F.concat(F.lit("\0"), F.xxhash64(*plain).cast("string"))))  # no path begins so
+    joined = asked.join(latest(responses, "path").withColumnRenamed("path", "_key"), "_key", "left").withColumn("_parsed", F.from_json("body", schema))
     kind = F.when(F.col("status").isNull(), "Network").otherwise(F.coalesce(errors.repo_status(F.col("status"), F.col("remaining")), F.when(F.col("_parsed").isNull(), "Network")))
     marked = joined.withColumn("_failed", kind)
     said = error_message(F.col("body"))
@@ -83,7 +86,7 @@ def file_content(contents: Column, blob: Column) -> Column:
 
 
 def format_file(path: Column, text: Column, start: Column, end: Column) -> Column:
-    return F.concat(path, F.lit(" ("), F.size(lines(text)).cast("string"), F.lit(" lines)\n\n"), apply_line_range(text, start, end))
+    return let(lines(text), lambda all_: F.concat(path, F.lit(" ("), F.size(all_).cast("string"), F.lit(" lines)\n\n"), line_range(all_, start, end)))
 
 
 def metadata_table(r: Column) -> Column:

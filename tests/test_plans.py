@@ -228,3 +228,21 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main([*base, "fetch", "ftp://x"], spark) == 1
     assert cli.main([*base, "fetch", "https://none.example/"], spark) == 2
     assert "error: invalid URL: must be HTTP(S)" in capsys.readouterr().err
+
+
+def test_local_search_reads_the_documents_once(spark):
+    from webloom.operators.research import local_search
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    rows = [(i, f"common word{i % 7} rare{i}") for i in range(50)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(seen), "doc_id long, text string")
+    asked = spark.createDataFrame([("common rare3",), ("word2 common",), ("nothing",)], "search_query string")
+    got = {r.search_query: r.body for r in local_search(asked, docs, 2).collect()}
+    assert read.value == 50
+    uris = {q: [c for c in (f"doc://{i}" for i in range(50)) if f'"{c}"' in body] for q, body in got.items()}
+    assert uris == {"common rare3": ["doc://0", "doc://3"], "word2 common": ["doc://2", "doc://9"]}

@@ -15,6 +15,8 @@ from webloom.schemas import SEARCH_RESPONSE
 # Limits and wording of reports.
 DEPTH = 3
 PAGE_BYTES = 3000
+# Fixed value: terms of all queries, with repeats, that local search hands to every task.
+ASKED_TERMS = 1_000_000
 NO_ANSWER = "(No answer returned — the query may have been filtered by safety settings.)"
 
 
@@ -148,21 +150,26 @@ def local_search(queries: DataFrame, documents: DataFrame, k: int = 5) -> DataFr
 
     Terms are asked the rarest first. The k-th best count by the rarer half bounds the k-th best of all from below; what
     reaches it, L of T terms, holds one of the T - L + 1 rarest. Only such pairs of query and document are made and counted
-    in full, so a word that is everywhere makes no rows of its own."""
+    in full, so a word that is everywhere makes no rows of its own. Texts are read once, to the asked terms that each holds;
+    what follows keeps these rows in place, unless the queries have more terms than are handed to every task."""
     split = lambda c: F.array_distinct(F.split(F.lower(c), r"[^\p{L}\p{N}]+"))
     terms = queries.select("search_query", F.explode(split("search_query")).alias("term")).filter("term != ''").distinct()
+    few = terms.limit(ASKED_TERMS + 1).count() <= ASKED_TERMS
+    handed = F.broadcast if few else lambda df: df
     vocabulary = terms.select("term").distinct()
-    postings = documents.select("doc_id", F.explode(split("text")).alias("term")).join(vocabulary, "term", "left_semi")
+    # the filter is what the last join would add to one reading alone, so that all of them are the same
+    words = documents.filter("doc_id IS NOT NULL").select("doc_id", F.explode(split("text")).alias("term")).join(handed(vocabulary), "term", "left_semi")
+    held = words.groupBy("doc_id").agg(F.collect_set("term").alias("held"))
+    postings = held.select("doc_id", F.explode("held").alias("term"))
     often = postings.groupBy("term").agg(F.count("*").alias("df"))
     by_query = Window.partitionBy("search_query")
     asked = terms.join(often, "term").withColumn("r", F.row_number().over(by_query.orderBy("df", "term"))).withColumn("t", F.count("*").over(by_query))
-    half = postings.join(asked.filter(F.col("r") * 2 <= F.col("t") + 1).select("term", "search_query"), "term").groupBy("search_query", "doc_id").agg(F.count("*").alias("n"))
+    half = postings.join(handed(asked.filter(F.col("r") * 2 <= F.col("t") + 1).select("term", "search_query")), "term").groupBy("doc_id", "search_query").agg(F.count("*").alias("n"))
     kth = half.withColumn("k", F.row_number().over(by_query.orderBy(F.desc("n")))).filter(F.col("k") == k).select("search_query", F.col("n").alias("least"))
     first = asked.join(kth, "search_query", "left").filter(F.col("r") <= F.col("t") - F.coalesce("least", F.lit(1)) + 1)
-    pairs = postings.join(first.select("term", "search_query"), "term").select("search_query", "doc_id").distinct()
-    held = postings.groupBy("doc_id").agg(F.collect_set("term").alias("held"))
+    pairs = postings.join(handed(first.select("term", "search_query")), "term").select("doc_id", "search_query").distinct()
     wanted = asked.groupBy("search_query").agg(F.collect_set("term").alias("wanted"))  # a query's own terms
-    scored = pairs.join(held, "doc_id").join(wanted, "search_query").select("search_query", "doc_id", F.size(F.array_intersect("held", "wanted")).alias("n"))
+    scored = pairs.join(held, "doc_id").join(handed(wanted), "search_query").select("search_query", "doc_id", F.size(F.array_intersect("held", "wanted")).alias("n"))
     best = scored.withColumn("r", F.row_number().over(by_query.orderBy(F.desc("n"), "doc_id"))).filter(F.col("r") <= k)
     chunk = F.struct(F.struct(F.concat(F.lit("doc://"), F.col("doc_id")).alias("uri"), F.concat(F.lit("document "), F.col("doc_id")).alias("title")).alias("web"))
     grouped = best.groupBy("search_query").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", chunk.alias("c")))), lambda x: x["c"]).alias("chunks"))

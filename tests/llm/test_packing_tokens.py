@@ -169,3 +169,14 @@ def test_cache_is_bounded():
         for held in (known, known.old):
             assert sum(tokens.ENTRY_BYTES + len(k) + len(v) for k, v in held.items()) <= limit
             assert max(map(len, held), default=0) < tokens.LONG
+
+
+def test_new_segments_are_encoded_together(monkeypatch):
+    calls, own = [], tokens.SegmentIds._ids
+    monkeypatch.setattr(tokens.SegmentIds, "_ids", lambda self, texts: calls.append(len(texts)) or own(self, texts))
+    enc = tokens.TextEncoder(tokens.default_tokenizer())
+    words = [f"w{i}{end}" for i in range(2000) for end in ("", ".\n", "'s", "日\n\n", "² x")]
+    texts = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+    odd = ["a \x1cb", "a  b", "a \x85b c", "a ​b", "a\n b", "a ", "日 本"]
+    assert list(enc.encode_all(texts + odd + texts)) == [enc._whole(t) for t in texts + odd + texts]
+    assert len(calls) < len(words) / 100

@@ -68,6 +68,19 @@ def slices(batches, rows: int = BATCH_ROWS, keep=None):
             yield batch.slice(start, rows)
 
 
+def gathered(batches, size: int = 1 << 23):
+    """Arrow batches put together until they hold `size` bytes: for work that shares something among many rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= size:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: lineage ends there, and what
     follows survives the loss of any executor."""

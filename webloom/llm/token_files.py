@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import quoted, shared_dir, slices, small_batches
+from webloom.llm.common import gathered, quoted, shared_dir, slices, small_batches
 from webloom.llm.tokens import CACHE_BYTES, default_tokenizer, encoder
 
 META = "doc_id long, shard string, first long, n_tokens long"
@@ -156,7 +156,7 @@ class TokenFiles:
             enc, first, out = encoder(tok), 0, None
             end = np.uint32(end_id).astype("<u4").tobytes()
             name = f"ids-{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}.bin"
-            for batch in slices(batches, keep=("tokens", tok, CACHE_BYTES)):
+            for batch in gathered(slices(batches, keep=("tokens", tok, CACHE_BYTES))):
                 if batch.num_rows and out is None:
                     store.create_dir(base, recursive=True)
                     out = store.open_output_stream(f"{base}/{name}")

@@ -68,7 +68,7 @@ def slices(batches, rows: int = BATCH_ROWS, keep=None):
             yield batch.slice(start, rows)
 
 
-def gathered(batches, size: int = 1 << 23):
+def gathered(batches, size: int):
     """Arrow batches put together until they hold `size` bytes: for work that shares something among many rows."""
     held, n = [], 0
     for batch in batches:

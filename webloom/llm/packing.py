@@ -28,7 +28,7 @@ def cut_pieces(docs: DataFrame, capacity: int = 1024, tokenizer_path: str | None
     def run(batches):
         enc = encoder(path, cache_bytes)
         end = np.uint32(end_id).astype("<u4").tobytes()
-        for batch in gathered(slices(batches, keep=("tokens", path, cache_bytes))):
+        for batch in gathered(slices(batches, keep=("tokens", path, cache_bytes)), enc.group_bytes):
             out = [], [], [], [], []
             for doc, ids in zip(batch.column(0).to_pylist(), enc.encode_all(t or "" for t in batch.column(1).to_pylist()), strict=True):
                 ids += end

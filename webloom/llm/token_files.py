@@ -156,7 +156,7 @@ class TokenFiles:
             enc, first, out = encoder(tok), 0, None
             end = np.uint32(end_id).astype("<u4").tobytes()
             name = f"ids-{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}.bin"
-            for batch in gathered(slices(batches, keep=("tokens", tok, CACHE_BYTES))):
+            for batch in gathered(slices(batches, keep=("tokens", tok, CACHE_BYTES)), enc.group_bytes):
                 if batch.num_rows and out is None:
                     store.create_dir(base, recursive=True)
                     out = store.open_output_stream(f"{base}/{name}")

@@ -22,8 +22,8 @@ CACHE_BYTES = 128_000_000
 #: What an entry takes besides its bytes (offsets, and a hash table while it is looked up), and the bytes from which on a
 #: segment is not kept.
 ENTRY_BYTES, LONG = 48, 64
-#: Segments and bytes of a call of the library, and characters of texts whose segments are told apart together.
-CALL_SEGMENTS, CALL_BYTES, GROUP_CHARS = 200, 1 << 16, 1 << 23
+#: Segments and bytes of a call of the library; texts whose segments are told apart together are this part of the cache.
+CALL_SEGMENTS, CALL_BYTES, GROUP_PART = 200, 1 << 16, 32
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -152,6 +152,7 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = t = Tokenizer.from_file(path)
+        self.group_bytes = limit // GROUP_PART
         self.added = [token.content for token in t.get_added_tokens_decoder().values()]
         kind = repr(t.pre_tokenizer)
         self.by_segment = t.normalizer is None and kind.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in kind
@@ -166,15 +167,16 @@ class TextEncoder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode_all(self, texts):
-        """A generator; texts of GROUP_CHARS characters, or one longer text, in memory at a time."""
+        """A generator; texts of `group_bytes` characters, or one longer text, in memory at a time."""
         group, size = [], 0
         for text in texts:
             group.append(text)
             size += len(text)
-            if size >= GROUP_CHARS:
+            if size >= self.group_bytes:
                 yield from self._group(group)
                 group, size = [], 0
-        yield from self._group(group)
+        if group:
+            yield from self._group(group)
 
     def _group(self, texts: list[str]):
         """Segments are cut, told apart and put together again by Arrow, so that each is looked up once a group."""
@@ -195,6 +197,8 @@ class TextEncoder:
         ids = self.rest.of(named.dictionary.filter(pa.array(~other))).take(pa.array(place[named.indices.to_numpy()], mask=other[named.indices.to_numpy()]))
         at, data = np.frombuffer(ids.buffers()[1] or bytes(8), dtype="<i8")[bounds].tolist(), memoryview(ids.buffers()[2] or b"")
         between = dict(zip(cut, pairwise(at), strict=True))
+        del words, named, other, before, place, bounds
+        pa.default_memory_pool().release_unused()
         heads = pa.array(sorted({head for (head, _, _), ok in zip(ends, apart, strict=True) if ok and head}), pa.large_string())
         of_head = dict(zip(heads.to_pylist(), self.first.of(heads).to_pylist(), strict=True))
         for i, (text, ok, (head, _, _)) in enumerate(zip(texts, apart, ends, strict=True)):

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from webloom.llm import paragraphs, queries
 
 SF = "/root/testdata/sf0.01"
@@ -196,3 +198,39 @@ def test_lines_are_found_across_texts_with_and_without_blank_lines(spark):
     text = {r.doc_id: r.text for r in paragraphs.remove_spans(df, paragraphs.duplicates(df)).collect()}
     everything = " ".join(text.values())
     assert all(w in everything for _, t in docs for w in t.split() if w.startswith("n"))
+
+
+def test_nothing_is_worked_out_twice(spark, monkeypatch):
+    rng = random.Random(13)
+    noise = lambda n: " ".join(f"n{rng.randint(0, 10**9)}" for _ in range(n))
+    passage, plans, sets = noise(90), [], []
+    df = spark.createDataFrame([(i, f"{noise(20)} {passage} {noise(20)}") for i in range(5)], "doc_id long, text string")
+    stored, shingle_sets = paragraphs.stored, paragraphs.shingle_sets
+    monkeypatch.setattr(paragraphs, "stored", lambda x: plans.append(x._jdf.queryExecution().executedPlan().toString()) or stored(x))
+    monkeypatch.setattr(paragraphs, "shingle_sets", lambda *a: sets.append(a) or shingle_sets(*a))
+    check([(r.doc_id, r.text) for r in df.collect()], paragraphs.duplicates(df).collect())
+    assert len(sets) == 1  # the second comparison is among paragraphs of the first
+    assert sum(len(re.findall(r"(?m)^[^(]*ArrowEvalPython.*common", p)) for p in plans) == 1
+    (of_segments,) = [p for p in plans if "min_by(" in p]
+    assert "SortAggregate" not in of_segments and "HashAggregate" in of_segments
+
+
+def test_cuts_of_many_texts_at_once():
+    rng = np.random.Generator(np.random.PCG64(3))
+    sizes = [0, 5, 20, 21, 22, 400, 1, 3000, 40]
+    texts = [rng.integers(0, 50, n).astype(np.uint64) for n in sizes]
+    who = np.repeat(np.arange(len(sizes)), sizes)
+    with np.errstate(over="ignore"):
+        together = paragraphs.cut_places(np.concatenate(texts), who)
+        want, at = [], 0
+        for words in texts:
+            pair = paragraphs.mix(words[:-1] * paragraphs.A[0] + words[1:]) >> np.uint64(24)
+            want += sorted({at + i + int(np.argmin(pair[i : i + paragraphs.PAIRS])) + 1 for i in range(len(pair) - paragraphs.PAIRS + 1)})
+            at += len(words)
+        x = rng.integers(0, 2**63, 100).astype(np.uint64)
+        assert (paragraphs.mix_in_place(x.copy(), np.empty_like(x)) == paragraphs.mix(x)).all()
+    assert together.tolist() == want and len(want) > 200
+    text, h, n = rng.integers(0, 3, 300), rng.integers(0, 20, 300), rng.integers(1, 3, 300)
+    text.sort()
+    keys = list(zip(text.tolist(), h.tolist(), n.tolist(), strict=True))
+    assert paragraphs.seen_before(text, h, n).tolist() == [k in keys[:i] for i, k in enumerate(keys)]

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from webloom.llm import rare_prefixes
 from webloom.llm.common import dropped, fresh, in_small_batches, quoted, run_once, slices, stored
 from webloom.llm.components import connected_components
-from webloom.llm.near_dedup import GOLDEN, _small, bucket_pairs, mix, shared_groups
+from webloom.llm.near_dedup import GOLDEN, M1, M2, _small, bucket_pairs, mix, shared_groups
 from webloom.llm.repeats import VALUE, both_powers, packed
 
 K, BANDS, SHINGLE, PAIRS = 30, 10, 5, 20
@@ -68,6 +68,16 @@ def shingle_hashes(words: np.ndarray) -> np.ndarray:
     return out
 
 
+def mix_in_place(x: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """mix(x), written over x; t is as long."""
+    for shift, factor in ((30, M1), (27, M2), (31, None)):
+        np.right_shift(x, np.uint64(shift), out=t)
+        x ^= t
+        if factor is not None:
+            x *= factor
+    return x
+
+
 def paragraph_spans(first: np.ndarray, line: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, whether it is a block) of the paragraphs as runs of words a..b-1: all lines, and in texts with blank lines what
     stands between these, if it has several lines."""
@@ -96,20 +106,22 @@ def paragraph_units(data: np.ndarray, starts: np.ndarray, min_words: int):
     offsets = np.cumsum(n) - n
     inside = np.repeat(a - offsets, n) + np.arange(n.sum())
     shingle = shingle_hashes(words)[inside]
-    least = np.stack([np.minimum.reduceat(mix(shingle * A[k] + B[k]), offsets) for k in range(K)])
+    least, x, t = np.empty((K, len(a)), dtype=np.uint64), np.empty_like(shingle), np.empty_like(shingle)
+    for k in range(K):
+        np.multiply(shingle, A[k], out=x)
+        x += B[k]
+        np.minimum.reduceat(mix_in_place(x, t), offsets, out=least[k])
     bands = np.zeros((BANDS, len(a)), dtype=np.uint64)
     for r in range(K // BANDS):
         bands = mix(bands + least[r :: K // BANDS] + GOLDEN)
     return first[a], end[b - 1], b - a, block, runs_hash(words, a, b), runs_hash(mix(words ^ GOLDEN), a, b), bands.T.astype(np.uint32).view(np.int32)
 
 
-def cut_places(words: np.ndarray) -> np.ndarray:
-    """Word numbers before which a text is cut."""
+def cut_places(words: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Word numbers before which texts are cut, from the words of a buffer and the text that each belongs to."""
     pair = mix(words[:-1] * A[0] + words[1:])
-    if len(pair) < PAIRS:
-        return np.zeros(0, dtype=np.int64)
     low = np.uint64((1 << 24) - 1)
-    out = []
+    out = [np.zeros(0, dtype=np.int64)]
     for start in range(0, len(pair) - PAIRS + 1, 1 << 23):  # overlapping parts of very long texts
         part = pair[start : start + (1 << 23) + PAIRS - 1]
         m, w = (part & ~low) | np.arange(len(part), dtype=np.uint64), 1
@@ -118,15 +130,27 @@ def cut_places(words: np.ndarray) -> np.ndarray:
             w *= 2
         n = len(part) - PAIRS + 1
         m = np.minimum(m[:n], m[PAIRS - w : PAIRS - w + n])
+        m = m[text[start : start + n] == text[start + PAIRS : start + PAIRS + n]]  # pairs in a row are those of one text
+        m = m[np.append(True, m[1:] != m[:-1])] if len(m) else m
         out.append(np.unique(m & low).astype(np.int64) + start)
     return np.unique(np.concatenate(out)) + 1
 
 
-def buffers(docs: list, texts: list, most: int = 2_000_000):
-    """Texts put together line after line: documents, their first bytes, the buffer."""
+def seen_before(text: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the same h and n stand earlier in the same text."""
+    order = np.lexsort((n, h, text))
+    t, x, m = text[order], h[order], n[order]
+    out = np.zeros(len(h), dtype=bool)
+    out[order[1:]] = (t[1:] == t[:-1]) & (x[1:] == x[:-1]) & (m[1:] == m[:-1])
+    return out
+
+
+def buffers(docs: list, texts: list, most: int = 300_000):
+    """Texts put together line after line: documents, their first bytes, the buffer. So small that its numbers stay in a
+    processor's cache."""
     ids, starts, parts, size = [], [], [], 0
     for doc, text in zip(docs, texts, strict=True):
-        b = (text or "").encode()
+        b = text if isinstance(text, bytes) else (text or "").encode()
         ids.append(doc)
         starts.append(size)
         parts.append(b + b"\n")
@@ -155,27 +179,25 @@ def paragraphs(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def segments(docs: DataFrame) -> DataFrame:
+    """The segments of each text between its cuts; `again`: the same stands earlier in this text."""
+
     def run(batches):
         with np.errstate(over="ignore"):
             for batch in slices(batches):
                 for ids, starts, data in buffers(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     first, end, words, _ = words_of(data)
-                    at = np.append(np.searchsorted(first, starts), len(first))
-                    a, b, who, number = [], [], [], []
-                    for i in range(len(ids)):
-                        cuts = cut_places(words[at[i] : at[i + 1]]) + at[i]
-                        if len(cuts) > 1:  # what lies before the first cut and after the last may be cut otherwise elsewhere
-                            a.append(cuts[:-1])
-                            b.append(cuts[1:])
-                            who.append(np.full(len(cuts) - 1, i))
-                            number.append(np.arange(len(cuts) - 1))
-                    if not a:
+                    text = np.searchsorted(starts, first, side="right") - 1
+                    cuts = cut_places(words, text)
+                    who = text[cuts]
+                    inner = who[:-1] == who[1:]  # what lies before the first cut and after the last may be cut otherwise elsewhere
+                    a, b, number = cuts[:-1][inner], cuts[1:][inner], (np.arange(len(cuts)) - np.searchsorted(who, who))[:-1][inner]
+                    if not len(a):
                         continue
-                    a, b, who, number = map(np.concatenate, (a, b, who, number))
+                    who, n = text[a], (b - a).astype(np.int64)
                     h = runs_hash(words, a, b).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(number), pa.array(first[a] - starts[who]), pa.array(end[b - 1] - starts[who]), pa.array((b - a).astype(np.int64)), pa.array(h)], ["doc", "number", "first", "end", "n_words", "h"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(number), pa.array(first[a] - starts[who]), pa.array(end[b - 1] - starts[who]), pa.array(n), pa.array(h), pa.array(seen_before(who, h, n))], ["doc", "number", "first", "end", "n_words", "h", "again"])
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, number long, first long, end long, n_words long, h long")
+    return docs.select("doc", "text").mapInArrow(run, "doc long, number long, first long, end long, n_words long, h long, again boolean")
 
 
 def shingle_sets(texts: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -189,27 +211,25 @@ def shingle_sets(texts: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataF
         press = zstandard.ZstdDecompressor()
         with np.errstate(over="ignore"):
             for batch in slices(batches):
-                nodes_, sets = [], []
+                nodes_, parts = [], []
                 for z, spans in zip(batch.column("z").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                    data = np.frombuffer(press.decompress(z), dtype=np.uint8)
-                    for s in spans:
-                        nodes_.append(s["node"])
-                        sets.append(np.unique(shingle_hashes(words_of(data[s["first"] : s["end"]])[2])).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes_, pa.int64()), pa.array(sets, pa.binary())], ["node", "set"])
+                    data = press.decompress(z)
+                    nodes_ += [s["node"] for s in spans]
+                    parts += [data[s["first"] : s["end"]] for s in spans]
+                for ids, starts, data in buffers(nodes_, parts):
+                    first, _, words, _ = words_of(data)
+                    at, shingle = np.append(np.searchsorted(first, starts), len(first)), shingle_hashes(words)
+                    sets = [np.unique(shingle[a : max(a, b - SHINGLE + 1)]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["node", "set"])
 
     return stored(texts.join(by_doc, "doc").mapInArrow(run, "node long, set binary"))
 
 
-def similar_pairs(texts: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), stored, of the distinct paragraphs (node, doc, first, end, bands) that share a band, by near_dedup.bucket_pairs,
-    and are similar."""
-    pairs = bucket_pairs(groups)
-    sets = shingle_sets(texts, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+def similar_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b), stored, whose shingle sets (node, set) are similar."""
     exact = run_once(rare_prefixes.jaccard, "double")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    found = stored(both.select("a", "b", exact("x", "y").alias("similarity")).filter(F.col("similarity") >= threshold).select("a", "b"))
-    dropped(pairs, sets)
-    return found
+    return stored(both.select("a", "b", exact("x", "y").alias("similarity")).filter(F.col("similarity") >= threshold).select("a", "b"))
 
 
 def near_paragraphs(docs: DataFrame, texts: DataFrame, threshold: float, min_words: int) -> DataFrame:
@@ -219,23 +239,29 @@ def near_paragraphs(docs: DataFrame, texts: DataFrame, threshold: float, min_wor
     distinct = units.groupBy("h1", "h2").agg(F.count("*").alias("places"), F.min(F.struct("doc", "first", "end")).alias("one"), F.any_value("bands").alias("bands"))
     nodes = stored(distinct.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "places", "one.*", "bands"))
     groups = shared_groups(nodes)
-    links = similar_pairs(texts, nodes, groups, threshold)
+    pairs = bucket_pairs(groups)
+    # every node of a group is in a pair, so that these are the sets of all nodes that are compared below
+    compared = shingle_sets(texts, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    links = similar_pairs(pairs, compared, threshold)
     joined = connected_components(links)
     left = rare_prefixes.open_nodes(groups, joined)
-    sets = stored(shingle_sets(texts, nodes, left).join(left, "node").select("node", "label", "set"))
+    sets = stored(compared.join(left, "node").select("node", "label", "set"))
+    dropped(pairs, compared)
     rest = rare_prefixes.links_between(sets, threshold, N_BITS, EARLIER).select("a", "b")
-    named = nodes.join(joined, "node", "left").select("h1", "h2", "places", place.alias("place"), F.coalesce("label", "node").alias("label"))
+    linked = F.col("label").isNotNull().alias("linked")
+    named = nodes.join(joined, "node", "left").select("h1", "h2", "places", place.alias("place"), F.coalesce("label", "node").alias("label"), linked)
     if rest.limit(1).count():
         # classes, not paragraphs, are what is still to be put together: a pair of classes counts once
         of = lambda end: left.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
         between = stored(rest.join(of("a"), "a").join(of("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
         above = _small(connected_components(between).select(F.col("node").alias("label"), F.col("label").alias("above")))
-        named = named.join(above, "label", "left").select("h1", "h2", "places", "place", F.coalesce("above", "label").alias("label"))
-    labels = stored(named)
+        linked = (F.col("linked") | F.col("above").isNotNull()).alias("linked")
+        named = named.join(above, "label", "left").select("h1", "h2", "places", "place", F.coalesce("above", "label").alias("label"), linked)
+    labels = stored(named.filter("places > 1 OR linked").drop("linked"))  # all others are alone in their classes
     dropped(groups, left, sets, links)
     classes = stored(labels.groupBy("label").agg(F.sum("places").alias("places"), F.min("place").alias("least")).filter("places > 1").select("label", "least"))
     member = stored(labels.join(classes, "label").select("h1", "h2", "label", "least"))
-    rows = stored(units.drop("bands").join(member, ["h1", "h2"]).select("doc", "first", "end", "n_words", "block", "label", "least"))
+    rows = stored(units.drop("bands").join(member.hint("shuffle_hash"), ["h1", "h2"]).select("doc", "first", "end", "n_words", "block", "label", "least"))
     # lines within a block that goes: blocks of a text are apart, so the last one that begins before a line decides
     gone = F.when(F.col("block") & (place != F.col("least")), F.struct("first", "end"))
     before = Window.partitionBy("doc").orderBy("first", F.desc("block")).rowsBetween(Window.unboundedPreceding, 0)
@@ -249,26 +275,34 @@ def equal_passages(docs: DataFrame, texts: DataFrame, min_run: int) -> DataFrame
     """The same for segments that stand in two places or more and make runs of `min_run` words, and for the words at both
     ends of a run that go on alike (see run_ends)."""
     found = stored(segments(docs))
-    # stored, so that the join has nothing but exchanges below it and Spark can split a hot segment
-    twice = stored(found.groupBy("h", "n_words").agg(F.count("*").alias("places"), F.min(F.struct("doc", "first", "end")).alias("least")).filter("places > 1"))
-    repeated = stored(found.join(twice, ["h", "n_words"]).select("doc", "number", "first", "end", "n_words", "least"))
+    # minima of numbers, which Spark aggregates by hash; of places in one text those seen before are passed over.
+    # Stored, so that the join has nothing but exchanges below it and Spark can split a hot segment; no key is twice in the
+    # side that is hashed.
+    own = F.when(~F.col("again"), F.col("doc"))
+    least = F.min("doc").alias("least_doc"), F.min_by("first", own).alias("least_first"), F.min_by("end", own).alias("least_end")
+    twice = stored(found.groupBy("h", "n_words").agg(F.count("*").alias("places"), *least).filter("places > 1").drop("places"))
+    repeated = stored(found.drop("again").join(twice.hint("shuffle_hash"), ["h", "n_words"]).drop("h"))
     dropped(found, twice)
     in_text = Window.partitionBy("doc").orderBy("number")
-    island = repeated.withColumn("island", F.col("number") - F.row_number().over(in_text))
+    opens = F.coalesce(F.col("number") > F.lag("number").over(in_text) + 1, F.lit(True))
+    closes = F.coalesce(F.col("number") + 1 < F.lead("number").over(in_text), F.lit(True))
+    island = repeated.select("*", (F.col("number") - F.row_number().over(in_text)).alias("island"), opens.alias("opens"), closes.alias("closes"))
     run = island.withColumn("run", F.sum("n_words").over(Window.partitionBy("doc", "island")))
-    run = stored(run.filter(F.col("run") >= min_run))
-    whole = run.select("doc", "first", "end", "n_words", F.col("least.doc").alias("class_doc"), F.col("least.first").alias("class_first"))
+    run = stored(run.filter(F.col("run") >= min_run).drop("number", "island", "run"))
+    dropped(repeated)
+    whole = run.select("doc", "first", "end", "n_words", F.col("least_doc").alias("class_doc"), F.col("least_first").alias("class_first"))
     return whole.withColumn("kind", F.lit("passage")).unionByName(run_ends(run, texts).withColumn("kind", F.lit("edge")))
 
 
 def run_ends(run: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc, first, end, n_words, class_doc, class_first): the words before a run's first segment and behind its last one that
-    are those of the place where that segment stands first, in another text. They are at most PAIRS, since what goes on
-    alike for longer is cut alike; the segments beside a run stand nowhere else, so nothing that is kept is touched. A run
-    whose outermost segment stands first itself, cut otherwise than in a text before, keeps that segment."""
-    place = lambda own, least: F.struct("doc", F.col(own).alias("at"), F.col("least.doc").alias("of_doc"), F.col(f"least.{least}").alias("of_at"))
-    ends = run.groupBy("doc", "island").agg(F.min_by(place("first", "first"), "number").alias("l"), F.max_by(place("end", "end"), "number").alias("r")).select("l", "r")
-    sides = ends.select(F.explode(F.array(F.struct(F.lit(True).alias("before"), "l.*"), F.struct(F.lit(False).alias("before"), "r.*"))).alias("s")).select("s.*").filter("doc <> of_doc").distinct()
+    """(doc, first, end, n_words, class_doc, class_first): the words before a run's first segment (`opens`) and behind its
+    last one (`closes`) that are those of the place where that segment stands first, in another text. They are at most
+    PAIRS, since what goes on alike for longer is cut alike; the segments beside a run stand nowhere else, so nothing that
+    is kept is touched. A run whose outermost segment stands first itself, cut otherwise than in a text before, keeps that
+    segment."""
+    side = lambda is_end, before, own: F.struct(F.col(is_end).alias("is_end"), F.lit(before).alias("before"), F.col(own).alias("at"), F.col(f"least_{own}").alias("of_at"))
+    outer = run.filter("(opens OR closes) AND doc <> least_doc").select("doc", F.col("least_doc").alias("of_doc"), F.explode(F.array(side("opens", True, "first"), side("closes", False, "end"))).alias("s"))
+    sides = stored(outer.filter("s.is_end").select("s.before", "doc", "s.at", "of_doc", "s.of_at"))
     asked = sides.select("before", "doc", "at").union(sides.select("before", F.col("of_doc").alias("doc"), F.col("of_at").alias("at"))).distinct()
     by_doc = asked.groupBy("doc").agg(F.collect_list(F.struct("before", "at")).alias("asked"))
 
@@ -300,26 +334,33 @@ def run_ends(run: DataFrame, texts: DataFrame) -> DataFrame:
     def common(before: pd.Series, mine: pd.Series, other: pd.Series) -> pd.DataFrame:
         rows = []
         for side, a, b in zip(before, mine, other, strict=True):
-            x, y = ([(m.start(), m.end(), m[0].lower()) for m in WORD.finditer(t)] for t in (bytes(a), bytes(b)))
-            if side:  # offsets from the end
-                x, y = ([(s - len(t), e - len(t), w) for s, e, w in v][::-1] for v, t in ((x, a), (y, b)))
-            n = 0
-            while n < min(len(x), len(y), PAIRS) and x[n][2] == y[n][2]:
-                n += 1
+            a, b = bytes(a).lower(), bytes(b).lower()
+            if side:  # backwards from the end
+                a, b = a[::-1], b[::-1]
+            n, x, y, last_x, last_y = 0, None, None, None, None
+            for p, q in zip(WORD.finditer(a), WORD.finditer(b)):
+                if n == PAIRS or p[0] != q[0]:
+                    break
+                if not n:
+                    x, y = p, q
+                n, last_x, last_y = n + 1, p, q
             if not n:
                 rows.append((0, 0, 0, 0, 0))
             elif side:
-                rows.append((n, x[n - 1][0], x[0][1], y[n - 1][0], y[0][1]))
+                rows.append((n, -last_x.end(), -x.start(), -last_y.end(), -y.start()))
             else:
-                rows.append((n, x[0][0], x[n - 1][1], y[0][0], y[n - 1][1]))
+                rows.append((n, x.start(), last_x.end(), y.start(), last_y.end()))
         return pd.DataFrame(rows, columns=["n", "first", "end", "of_first", "of_end"])
 
     schema = "n long, first long, end long, of_first long, of_end long"
     got = both.select("doc", "at", "of_doc", "of_at", run_once(common, schema)("before", "beside", "of_beside").alias("c")).filter("c.n > 0")
-    of_first = (F.col("of_at") + F.col("c.of_first")).alias("class_first")
-    found = got.select("doc", (F.col("at") + F.col("c.first")).alias("first"), (F.col("at") + F.col("c.end")).alias("end"), F.col("c.n").alias("n_words"), F.col("of_doc").alias("class_doc"), of_first)
-    stays = got.select(F.col("of_doc").alias("doc"), of_first.alias("first"), (F.col("of_at") + F.col("c.of_end")).alias("end"), F.col("c.n").alias("n_words"), F.col("of_doc").alias("class_doc"), of_first)
-    return stored(found.unionByName(stays).distinct())
+    of_first = F.col("of_at") + F.col("c.of_first")
+    edge = lambda doc, at, first, end: F.struct(F.col(doc).alias("doc"), (F.col(at) + F.col(first)).alias("first"), (F.col(at) + F.col(end)).alias("end"), F.col("c.n").alias("n_words"), F.col("of_doc").alias("class_doc"), of_first.alias("class_first"))
+    # what goes and what stays, from one comparison
+    edges = got.select(F.explode(F.array(edge("doc", "at", "c.first", "c.end"), edge("of_doc", "of_at", "c.of_first", "c.of_end"))).alias("e"))
+    found = stored(edges.select("e.*").distinct())
+    dropped(sides, beside)
+    return found
 
 
 @in_small_batches
